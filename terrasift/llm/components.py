@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     never gathers in one group. Loops are allowed and make their node known; nulls are ignored.
     """
     priority = lambda c: F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("id"))
-    current = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct()
+    current = checkpoint(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct())
     known = None
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
