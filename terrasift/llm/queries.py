@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .decontamination import find_contamination
 from .jaccard import near_duplicate_components
+from .labelled import remainder
 from .mixing import mix
 from .sharding import shard
 
@@ -28,6 +30,20 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels"), toxicity.learnable()))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality.score_texts(docs, quality.fit(docs, _read(spark, sf_dir, "labels"), quality.learnable()))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +53,6 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_benchmark_decontamination, op9_ngram_jaccard_join, op10_vector_bin_packing)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_benchmark_decontamination, op6_toxicity, op8_quality_classifier, op9_ngram_jaccard_join, op10_vector_bin_packing)}
 
 ORACLES: dict[str, str] = {}

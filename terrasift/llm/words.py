@@ -63,15 +63,20 @@ _POWERS = _Powers()
 
 
 class Words:
-    """The words of some texts. start, end: bytes in data; first[i]:first[i + 1] are the words of text i."""
+    """The words of some texts. start, end: bytes in data; first[i]:first[i + 1] are the words of text i.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool) -> None:
+    kinds has a number for each byte: 0 for separators; neighbours of one other kind make a word.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, lower: bool) -> None:
         self.offsets, n = offsets, len(data)
         self.data = _LOWER[data] if lower else data
-        inside = is_word[self.data]
+        self.kind = kinds[self.data]
+        inside = self.kind != 0
         begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
+        change = self.kind[1:] != self.kind[:-1]
+        begins[1:] &= change
+        ends[:-1] &= change
         edges = offsets[(offsets > 0) & (offsets < n)]
         begins[edges] = inside[edges]
         ends[edges - 1] = inside[edges - 1]
