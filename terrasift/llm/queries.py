@@ -9,8 +9,12 @@ from . import quality, toxicity
 from .decontamination import find_contamination
 from .jaccard import near_duplicate_components
 from .labelled import remainder
+from .licenses import document_paths, scan_licenses
 from .mixing import mix
+from .revisits import captures, resolve_revisits
+from .secrets import find_secrets
 from .sharding import shard
+from .topk import scaled_vectors, top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(_read(spark, sf_dir, "pages")))
+    line = lambda e: F.concat(e["key"], F.lit(": "), e["value"])
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), line), "\n")
+    return found.select("record_id", "url", "ts", "response_id", "check", "resolved", headers.alias("headers"), "digest", "bytes")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x).cast("long")
@@ -30,6 +41,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(scaled_vectors(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"), document_paths())
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score_texts(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels"), toxicity.learnable()))
@@ -37,6 +56,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_read(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(of("assign", "access", "hex")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = quality.score_texts(docs, quality.fit(docs, _read(spark, sf_dir, "labels"), quality.learnable()))
@@ -53,6 +80,20 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_benchmark_decontamination, op6_toxicity, op8_quality_classifier, op9_ngram_jaccard_join, op10_vector_bin_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing,
+        op2_warc_revisits,
+        op3_benchmark_decontamination,
+        op4_exact_top_k,
+        op5_license_scan,
+        op6_toxicity,
+        op7_secret_scan,
+        op8_quality_classifier,
+        op9_ngram_jaccard_join,
+        op10_vector_bin_packing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
