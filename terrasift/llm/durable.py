@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def checkpoint(frame: DataFrame) -> DataFrame:
@@ -18,5 +19,18 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """frame, written as Parquet in the shared checkpoint folder and read again."""
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def spare_name(frame: DataFrame, name: str) -> str:
+    """name, lengthened until frame has no column of that name."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .durable import checkpoint
+from .durable import checkpoint, spare_name
 from .words import NOT_SPACE, Words, mix, shingle_sets, text_chunks
 
 #: From this many classes on, a shingle counts as frequent and is used in combinations only.
@@ -304,3 +304,18 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     result = result.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
     blank = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return result.select(blank("id").alias(id_col), F.col("n").alias("n_shingles"), blank("c").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
+    """docs with one document of each component of near copies: that with the smallest id.
+
+    Rows of one id are one document, of which one row stays; rows without an id stay, one of each text.
+    """
+    found = checkpoint(near_duplicate_components(docs, id_col, text_col, **rule))
+    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
+    kept = docs.join(dropped.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    key = spare_name(docs, "key")
+    own = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    return kept.withColumn(key, own).dropDuplicates([key]).drop(key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpoint
+from .durable import checkpoint, spare_name
 from .prefix import running_total, word_count
 
 SEED, MOST_COPIES = 20250101, 3
@@ -105,3 +105,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform("u", _position)).otherwise(F.array().cast("array<double>")))
     out = rows.select(F.col("id").alias(id_col), F.when(~F.col("is_null"), F.col("name")).alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions")
     return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rule) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it, with all their columns."""
+    chosen = checkpoint(mix(docs, id_col, text_col, source_col, **rule).select(F.col(id_col).alias("id"), "size", "copies"))
+    turn, copies, of = (spare_name(docs, n) for n in ("turn", "copies", "of"))
+    by_id = lambda *order: F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
+    if chosen.groupBy("id").count().where("count > 1").isEmpty():
+        chosen, rows = chosen.withColumn(turn, F.lit(1)), docs.withColumn(turn, F.lit(1))
+    else:
+        chosen = chosen.withColumn(turn, F.row_number().over(Window.partitionBy("id").orderBy("size", "copies")))
+        rows = docs.withColumn(turn, by_id(word_count(F.col(text_col)), text_col, source_col))
+    chosen = chosen.where("copies > 0").select(F.col("id").alias(of), turn, F.col("copies").alias(copies)).hint("shuffle_hash")
+    same = rows[id_col].eqNullSafe(chosen[of]) & (rows[turn] == chosen[turn])
+    return rows.join(chosen, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias(copies)).drop(copies)
