@@ -80,7 +80,7 @@ def captures(pages: DataFrame) -> DataFrame:
     """Records of two captures of each page, derived from its own columns: the full response, and a later (for every
     eleventh page: earlier) request that was answered with not modified, under a URL of another spelling."""
     at = lambda seconds: F.timestamp_seconds(F.lit(1704067200) + seconds)
-    digest, pick, id_ = F.md5("html"), F.crc32(F.col("url").cast("binary")) % 4, F.col("page_id")
+    digest, pick, id_ = F.md5("html"), F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("url"), 1, 1)) % 4, F.col("page_id")
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     headers = lambda *pairs: F.map_filter(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
     first, modified = at(id_ * 60), stamp(at(id_ * 60 - id_ % 1000 * 3600))
