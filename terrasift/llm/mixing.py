@@ -17,6 +17,8 @@ from .prefix import running_total, word_count
 SEED, MOST_COPIES = 20250101, 3
 #: Times that what a source still misses is filled, in the hashed order, from documents that fit into it.
 FILLS = 2
+#: Part of a target that whole documents may miss it by.
+NEAR = 0.005
 
 
 def source_targets(totals: DataFrame, schedule: DataFrame, most: int = MOST_COPIES) -> DataFrame:
@@ -67,12 +69,13 @@ def cycle_schedule(names: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedule=cycle_schedule, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """(id_col, source_col, size, source_size, target, copies, taken, positions), sorted by first position.
+    """(id_col, source_col, size, source_size, target, copies, part, taken, positions), sorted by first position.
 
     schedule makes a source_targets schedule from (name, is_null). Sizes are words; a null text has none. A source with
     a target of k times its size and a rest takes every document k times, and once more those that lie before the rest
     in the order of hashed ids; what is missing is filled twice from the next documents that fit into it, then by the
-    one document that brings the sum closest to the target. Documents that aren't
+    one document that brings the sum closest to the target. Only if that is still further than NEAR of the target away, as
+    in a source of few long documents, does one document come in part, with ``part`` more words. Documents that aren't
     taken have no positions and come last. Rows of one id and size are taken in any order among themselves.
     A null source is a source; an empty table gives no rows.
     """
@@ -96,20 +99,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = checkpoint(rows)
     missing = rows.groupBy(*key).agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("missing"))
     gap = F.abs(F.col("size") - F.col("missing"))
-    fit = rows.where("not more and size > 0").join(missing, key).where(gap < F.col("missing"))
-    fit = fit.groupBy(*key).agg(F.min(F.struct(gap.alias("gap"), "size", "before")).alias("fit")).select(*key, F.col("fit.size").alias("fit_size"), F.col("fit.before").alias("fit_before"))
+    fit = rows.where("not more and size > 0").join(missing, key).groupBy(*key, "missing")
+    fit = fit.agg(F.min(F.when(gap < F.col("missing"), F.struct(gap.alias("gap"), "size", "before"))).alias("fit"), F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", "before"))).alias("cut"))
     rows = rows.join(fit, key, "left")
-    fits = F.coalesce((F.col("size") == F.col("fit_size")) & (F.col("before") == F.col("fit_before")), F.lit(False)) & ~F.col("more")
-    rows = rows.withColumn("copies", F.col("whole") + (F.col("more") | fits).cast("int"))
-    rows = rows.withColumn("u", F.transform(F.sequence(F.lit(0), F.greatest("copies", F.lit(1)) - 1), lambda j: F.least(F.try_divide(j * F.col("source_size") + F.col("before") + F.col("size") / 2, F.col("target")), F.lit(1.0))))
-    rows = rows.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform("u", _position)).otherwise(F.array().cast("array<double>")))
-    out = rows.select(F.col("id").alias(id_col), F.when(~F.col("is_null"), F.col("name")).alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions")
+    is_ = lambda one: F.coalesce((F.col("size") == F.col(f"{one}.size")) & (F.col("before") == F.col(f"{one}.before")), F.lit(False)) & ~F.col("more")
+    far = F.coalesce(F.coalesce("fit.gap", "missing") > F.col("target") * NEAR, F.lit(False)) & F.col("cut").isNotNull()
+    rows = rows.withColumn("copies", F.col("whole") + (F.col("more") | (is_("fit") & ~far)).cast("int"))
+    rows = rows.withColumn("part", F.when(is_("cut") & far, F.floor("missing")).otherwise(0).cast("long"))
+    times = F.col("copies") + (F.col("part") > 0).cast("int")
+    rows = rows.withColumn("u", F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda j: F.least(F.try_divide(j * F.col("source_size") + F.col("before") + F.col("size") / 2, F.col("target")), F.lit(1.0))))
+    rows = rows.withColumn("positions", F.when((times > 0) & (F.col("size") > 0), F.transform("u", _position)).otherwise(F.array().cast("array<double>")))
+    out = rows.select(F.col("id").alias(id_col), F.when(~F.col("is_null"), F.col("name")).alias(source_col), "size", "source_size", "target", "copies", "part", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), "positions")
     return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rule) -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it, with all their columns."""
-    chosen = checkpoint(mix(docs, id_col, text_col, source_col, **rule).select(F.col(id_col).alias("id"), "size", "copies"))
+    """The rows of docs, each as many times as the mix takes it, with all their columns. Texts stay whole: one that is
+    taken in part counts once more from half its size on."""
+    chosen = mix(docs, id_col, text_col, source_col, **rule)
+    rounded = (F.col("copies") + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")).alias("copies")
+    chosen = checkpoint(chosen.select(F.col(id_col).alias("id"), "size", rounded))
     turn, copies, of = (spare_name(docs, n) for n in ("turn", "copies", "of"))
     by_id = lambda *order: F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
     if chosen.groupBy("id").count().where("count > 1").isEmpty():

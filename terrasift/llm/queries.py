@@ -118,12 +118,15 @@ l1 as (select name, is_null, any_value(rest) - coalesce(sum(size) filter (more),
 f1 as (select name, is_null, h, before, size, missing, coalesce(sum(size) over (partition by name, is_null order by h, before rows between unbounded preceding and 1 preceding), 0) t from m1 join l1 using (name, is_null) where not more and size > 0 and size <= missing),
 m2 as (select m1.* replace (m1.more or f1.h is not null as more) from m1 left join f1 on m1.name = f1.name and m1.is_null = f1.is_null and m1.h = f1.h and m1.before = f1.before and m1.size = f1.size and f1.t + f1.size <= f1.missing),
 l2 as (select name, is_null, any_value(rest) - coalesce(sum(size) filter (more), 0) missing from m2 group by 1, 2),
-fit as (select name, is_null, arg_min(before, (abs(size - missing), size, before)) fit from m2 join l2 using (name, is_null) where not more and size > 0 and abs(size - missing) < missing group by 1, 2),
-taken as (select m2.*, cast(whole as bigint) + case when more or coalesce(before = fit and size > 0, false) then 1 else 0 end copies,
+fit as (select name, is_null, any_value(missing) missing, min(abs(size - missing)) filter (abs(size - missing) < missing) gap, arg_min(before, (abs(size - missing), size, before)) filter (abs(size - missing) < missing) fit,
+  arg_min(before, (size, before)) filter (size > missing) cut from m2 join l2 using (name, is_null) where not more and size > 0 group by 1, 2),
+near as (select m2.*, fit, cut, missing, coalesce(coalesce(gap, missing) > target * 0.005e0, false) and cut is not null far,
   case when place % 2 = 0 then w * 1.5e0 else w * 0.5e0 end w0, case when place % 2 = 0 then w * 0.5e0 else w * 1.5e0 end w1 from m2 left join fit using (name, is_null)),
+taken as (select *, cast(whole as bigint) + case when more or coalesce(before = fit and size > 0 and not far, false) then 1 else 0 end copies,
+  case when far and not more and size > 0 and before = cut then floor(missing)::bigint else 0 end part from near),
 placed as (select *, least(least((before + size / 2e0) / nullif(target, 0e0), 1e0) * ((w0 + w1) / 2), (w0 + w1) / 2) goal from taken)
-select id doc_id, size::bigint size, s source_size, target, (size * copies)::bigint taken,
-  case when copies > 0 and size > 0 then round(case when goal <= 0 then 0e0 else goal * 2 / (w0 + sqrt(greatest(w0 * w0 + (w1 - w0) * goal * 2, 0e0))) end, 9) end as position from placed
+select id doc_id, size::bigint size, s source_size, target, (size * copies + part)::bigint taken,
+  case when copies + part > 0 and size > 0 then round(case when goal <= 0 then 0e0 else goal * 2 / (w0 + sqrt(greatest(w0 * w0 + (w1 - w0) * goal * 2, 0e0))) end, 9) end as position from placed
 """
 
 _REVISITS = r"""

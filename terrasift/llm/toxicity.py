@@ -83,7 +83,7 @@ class Examples:
         self.at = np.searchsorted(cell, np.arange(len(terms) * max(self.blocks, 1) + 1))
         self.most = np.zeros(len(terms) * max(self.blocks, 1))
         np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(terms), -1)
+        self.most = self.most.reshape(len(terms), max(self.blocks, 1))
 
     def _read(self, term: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, exact cosines) of some blocks."""

@@ -1,0 +1,430 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, repeats, and clashing columns."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrasift.llm import jaccard, licenses, quality, revisits, secrets, sharding, topk, toxicity
+from terrasift.llm.components import connected_components
+from terrasift.llm.decontamination import drop_contaminated, find_contamination
+from terrasift.llm.mixing import mix, mixed_documents
+from terrasift.llm.words import ALNUM, NOT_SPACE, Words, text_chunks, window_hashes
+
+WORDS = [f"w{i}" for i in range(400)]
+SCHEMA = "doc_id long, text string, source string, size long, n_words int, key string, label string"
+
+
+def corpus(seed=0, n=60):
+    """Documents with copies, near copies, shared passages, nulls, blanks, a long text, and columns with busy names."""
+    r = random.Random(seed)
+    words = lambda k: [r.choice(WORDS) for _ in range(k)]
+    texts = [" ".join(words(r.choice([3, 8, 30, 60]))) for _ in range(n)]
+    base = words(120)
+    for k in range(12):
+        copy = base[:]
+        copy[r.randrange(120)] = f"edit{k}"
+        texts.append("\n".join([" ".join(copy[:60]), " ".join(copy[60:])]))
+    texts += [" ".join(base).upper(), " ".join(base), " ".join(base), "one", "ONE", "one two three four", None, "", " \t\n", " ".join(words(9000)), "é " * 40, "naïve Café x " * 6]
+    passage = " ".join(words(20))
+    texts += [" ".join(words(40)) + " " + passage for _ in range(5)]
+    rows = [(i, t, None if i % 9 == 0 else f"s{i % 4}", 7, 3, "k", "l") for i, t in enumerate(texts)]
+    return [*rows, rows[2], rows[2], (None, "no id here at all", "s1", None, None, None, None)]
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def spaced(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def test_words_match_regular_expressions():
+    texts = [r[1] for r in corpus()] + ["a", "", "x--y", "ÀÉ_z9", "tail "]
+    import pyarrow as pa
+
+    for kinds, pattern in ((NOT_SPACE, r"[^\x20\x09-\x0D]+"), (ALNUM, "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")):
+        for low, high, data, offsets in text_chunks(pa.array(texts)):
+            words = Words(data, offsets, kinds, lower=True)
+            got = [[words.word(j).decode() for j in range(words.first[i], words.first[i + 1])] for i in range(high - low)]
+            assert got == [re.findall(pattern, lower(t)) for t in texts[low:high]]
+            hashes = words.hashes()
+            by_word = collections.defaultdict(set)
+            for j, h in enumerate(hashes.tolist()):
+                by_word[words.word(j)].add(h)
+            assert all(len(v) == 1 for v in by_word.values()) and len({*map(min, by_word.values())}) == len(by_word)
+    assert len(window_hashes(np.zeros(3, np.uint64), 5)) == 0
+
+
+def components_by_force(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(30)] + [(50, 51)], [(5, 5)], []])
+def test_components(spark, pairs):
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert {r.node: r.component for r in got} == components_by_force(pairs, {x for p in pairs for x in p})
+
+
+def jaccard_by_force(rows):
+    sets = {}
+    for k, r in enumerate(rows):
+        w = spaced(r[1])
+        sets[k] = set(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
+    pairs = [(a, b) for a in sets for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    ids = [r[0] if r[0] is not None else -1 for r in rows]
+    comp = components_by_force([(ids[a], ids[b]) for a, b in pairs], set(ids))
+    return sorted((i, len(sets[k]), comp[i]) for k, i in enumerate(ids))
+
+
+@pytest.mark.parametrize("frequent, block", [(64, 1_500_000), (2, 1_500_000), (3, 150)])
+def test_jaccard(spark, monkeypatch, frequent, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard.signatures, "__defaults__", (frequent,))
+    rows = corpus(1)
+    got = jaccard.near_duplicate_components(frame(spark, rows)).collect()
+    mark = lambda x: -1 if x is None else x
+    assert sorted((mark(r.doc_id), r.n_shingles, mark(r.component_id)) for r in got) == jaccard_by_force(rows)
+
+
+def test_signatures_meet_for_every_similar_pair():
+    """Any two sets at the threshold share a signature, whatever the frequencies."""
+    rule, r = jaccard._Rule(75, 100), np.random.Generator(np.random.PCG64(3))
+    for n in (3, 4, 7, 20, 33, 64, 150, 400):
+        for _ in range(30):
+            pool = r.integers(1, 2**63, 3 * n, dtype=np.uint64)
+            x = np.sort(pool[:n])
+            gone = r.integers(0, n // 4 + 1)
+            y = np.sort(np.concatenate((r.permutation(x)[gone:], pool[n : n + (n - gone) // 8])))
+            common = len(np.intersect1d(x, y))
+            if 100 * common < 75 * (len(x) + len(y) - common):
+                continue
+            px, py = x[: rule.prefix(len(x))], y[: rule.prefix(len(y))]
+            df = {int(t): int(f) for t, f in zip(pool, r.integers(2, 130, len(pool)), strict=True)}
+            shared = set(px.tolist()) & set(py.tolist())
+            keep = lambda p: np.array([t for t in p.tolist() if t in shared or df[t] % 2], dtype=np.uint64)  # noqa: B023, E731
+            a, b = (jaccard.signatures(k, np.array([df[int(t)] for t in k]), len(s), rule) for k, s in ((keep(px), x), (keep(py), y)))
+            assert len(np.intersect1d(a, b)), (len(x), len(y), common)
+
+
+def test_drop_near_duplicates(spark):
+    rows = corpus(1)
+    kept = jaccard.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    force = jaccard_by_force(rows)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for i, _, c in force if i >= 0})
+    assert jaccard.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_mixing(spark):
+    rows = corpus(2)
+    got = mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[2]] += len(spaced(r[1]))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        target |= {s: 3.0 * sizes[s] for s in full} if full else {s: level * weight[s] for s in free}
+        free -= full or free
+        left -= sum(target[s] for s in full)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert 0 <= r.taken <= 3 * r["size"] and len(r.positions) == (r.copies + (r.part > 0) if r["size"] else 0)
+        assert all(0 <= p <= 1 for p in r.positions)
+        taken[r.source] += r.taken
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(1, 0.005 * target[s]), s
+    assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in mix(frame(spark, rows, 5)).collect()]
+    mixed = mixed_documents(frame(spark, rows))
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({k: v for k, v in sum((collections.Counter({r.doc_id: r.copies + (2 * r.part >= max(r["size"], 1))}) for r in got), collections.Counter()).items() if v})
+    assert mixed.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert mix(frame(spark, [])).count() == 0 and mixed_documents(frame(spark, [])).count() == 0
+
+
+def test_mixing_follows_the_schedule(spark):
+    """A source whose weight falls stands earlier than one whose weight rises."""
+    rows = [(i, "a b c d", f"s{i % 2}", 0, 0, "", "") for i in range(400)]
+    mean = {r.source: r.p for r in mix(frame(spark, rows)).where("copies > 0").groupBy("source").agg(F.avg(F.expr("positions[0]")).alias("p")).collect()}
+    assert mean["s0"] < 0.47 and mean["s1"] > 0.45
+
+
+def test_revisits(spark):
+    rows, r = [], random.Random(5)
+    for i in range(300):
+        url = r.choice(["http://a.example/x", "https://www.a.example/x/#f", "http://b.example/?utm_x=1&q=2", None])
+        kind = r.choice(["response", "revisit"])
+        headers = None if r.random() < 0.1 else {k: v for k, v in (("etag", r.choice(['"1"', 'W/"1"', '"2"', None])), ("last-modified", r.choice(["m1", "m2", None])), ("date", f"d{i}"), ("content-type", "t")) if v}
+        rows.append((i, kind, url, None if r.random() < 0.05 else 1_700_000_000 + r.randrange(40) * 500, headers, f"g{i}", i))
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, t long, headers map<string,string>, digest string, bytes long").withColumn("ts", F.timestamp_seconds("t")).withColumn("slot", F.lit("busy"))
+    got = {x.record_id: x for x in revisits.resolve_revisits(df).collect()}
+    canon = lambda u: {"http://a.example/x": "a", "https://www.a.example/x/#f": "a", "http://b.example/?utm_x=1&q=2": "b"}.get(u)
+    assert set(got) == {x[0] for x in rows if x[1] == "revisit"}
+    for i, _, url, t, headers, _, _ in (x for x in rows if x[1] == "revisit"):
+        before = [x for x in rows if x[1] == "response" and canon(url) and canon(x[2]) == canon(url) and t and x[3] and x[3] < t]
+        best = max(before, key=lambda x: (x[3], x[0]), default=None)
+        g, h, s = got[i], headers or {}, (best[4] or {}) if best else {}
+        strip = lambda x: x.removeprefix("W/")
+        if not best:
+            check = "no response"
+        elif "etag" in h and "etag" in s:
+            check = "etag" if strip(h["etag"]) == strip(s["etag"]) else "mismatch"
+        elif "last-modified" in h and "last-modified" in s:
+            check = "last-modified" if h["last-modified"] == s["last-modified"] else "mismatch"
+        else:
+            check = "unchecked"
+        assert (g.response_id, g.check) == (best and best[0], check)
+        if g.resolved:
+            assert g.headers == s | {k: v for k, v in h.items() if k in revisits.PERMITTED} and g.digest == best[5]
+        else:
+            assert g.headers is None and g.digest is None
+    assert revisits.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_captures_of_pages(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    assert revisits.resolve_revisits(revisits.captures(pages)).count() == pages.count()
+
+
+def leaks_by_force(rows, items, width=10):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        n = min(width, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    out = []
+    for r in rows:
+        w, hit, found = words(r[1]), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if (k := tuple(w[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[k]
+        out.append((str(r[0]), len(w), sorted(hit), sorted(found)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [16 << 20, 400])
+def test_decontamination(spark, monkeypatch, block):
+    from terrasift.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    rows = corpus(3)
+    texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 12]
+    r = random.Random(1)
+    items = [(str(k), " ".join(r.choice(texts).split()[k % 5 : k % 5 + 5 + 3 * k])) for k in range(12)] + [("short", "one"), ("short", "one, TWO"), ("none", "..."), ("null", None), ("", "w1 w2")]
+    table = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
+    got = find_contamination(frame(spark, rows), table).collect()
+    spread = lambda x: [p for a, b in zip(x.starts, x.ends, strict=True) for p in range(a, b)]
+    force = leaks_by_force(rows, [(k, t) for k, t in items])
+    assert sorted((str(x.doc_id), x.n_words, spread(x), list(x["items"])) for x in got) == force
+    kept = drop_contaminated(frame(spark, rows), table)
+    assert kept.columns == frame(spark, rows).columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted(d for d, _, hit, _ in force if not hit)
+    assert find_contamination(frame(spark, rows), table.limit(0)).where(F.size("starts") > 0).count() == 0
+    assert find_contamination(frame(spark, []), table).count() == 0
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    r = np.random.Generator(np.random.PCG64(2))
+    rows = [(i, r.integers(-3, 4, 6).astype(float).tolist()) for i in range(230)]
+    rows += [(500, rows[0][1]), (300, None), (301, [1.0, None] * 3), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (None, [1.0] * 6), (600, [1.0, 2.0]), (610, [3.0, 4.0]), rows[5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
+    got = topk.top_k(topk.scaled_vectors(df, scale=1), F.col("vec_id") % 10 == 0, 5).collect()
+    usable = {i: np.array(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    force = []
+    for q in (i for i in usable if i % 10 == 0):
+        scores = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))[:5]
+        force += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got)) == sorted(force)
+    assert topk.top_k(topk.scaled_vectors(df.limit(0)), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_reading_stops_before_the_lists_end():
+    """Candidates along one direction leave few that can qualify after the first step."""
+    values = np.outer(np.arange(400), np.ones(8, dtype=np.int64))
+    query, ids, scores = topk.block_top_k(np.array([-1]), np.ones((1, 8), dtype=np.int64), np.arange(400), values, 3)
+    assert ids.tolist() == [399, 398, 397] and scores.tolist() == [3192, 3184, 3176]
+
+
+def test_licenses(spark):
+    text = "some text\nReleased under the MIT License.\nmore"
+    rows = [
+        (1, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"),
+        (2, "no words", "a/b/x.txt"),
+        (3, text, "a/b/y.txt"),
+        (4, "This work is licensed under the GNU General Public License, version 3.", "/a/b/COPYING.txt"),
+        (5, "plain", "a/b/c/z.txt"),
+        (6, None, "q/z.txt"),
+        (7, "plain", None),
+        (8, "Licensed under CC BY-NC 4.0. " + "word " * 5000, "q/NOTICE"),
+        (9, "", ""),
+        (3, text, "a/b/y.txt"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string").withColumn("path", F.lit("busy"))
+    got = {r.doc_id: (r.licence, r.origin) for r in licenses.scan_licenses(df, F.col("at")).collect()}
+    assert got == {1: ("Apache-2.0", "header"), 2: ("GPL-3.0", "inherited"), 3: ("MIT", "header"), 4: ("GPL-3.0", "header"), 5: ("GPL-3.0", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none"), 9: (None, "none")}
+    assert licenses.scan_licenses(df, F.col("at")).count() == len(rows) and licenses.scan_licenses(df.limit(0), F.col("at")).count() == 0
+
+
+def test_secrets(spark):
+    r = random.Random(4)
+    token = lambda k, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(alphabet) for _ in range(k))
+    texts = [f'é password = "{token(8)}" x', "token:abc", f"API_KEY='{token(30)}'", "AKIA" + token(16, "ABCDEF0123456789"), "AKIASHORT", token(40, "0123456789abcdef"), token(23, "0123456789abcdef"), None, "", "word " * 9000]
+    texts += ["ſecret: abcdefgh", "secret secret = secret: abcdefgh", f"key {token(44)} end", "id 123e4567-e89b-12d3-a456-426614174000", "sha256-" + token(64, "0123456789abcdef"), "thisisalongordinaryword2 " * 3, "2024-01-01T00:00:00Z/2024-01-02"]
+    texts += [" ".join(r.choice(["password=", "a:", "token = ", token(5), token(26), "AKIA" + token(20, "ABC012"), token(24, "abcdef01"), "\n"]) for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, spans string")
+    patterns = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 0, 20), ("hex", "[0-9a-f]+", 0, 0, 24))
+    got = secrets.find_secrets(df).collect()
+    assert len(got) == len(texts) + 1
+    for row in got:
+        text = [*texts, texts[0]][row.doc_id] or ""
+        force = [(m.start(), k, name, m.end()) for k, (name, p, flags, group, least) in enumerate(patterns) for m in re.finditer(p, text, flags) if len(m[group]) >= least]
+        assert [(s.kind, s.start, s.end) for s in row.spans if s.kind != "random"] == [(n, a, b) for a, _, n, b in sorted(force)]
+    random_of = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind == "random"] for x in got if x.doc_id < len(texts)}
+    assert random_of[12] == [texts[12].split()[1]] and not any(random_of[i] for i in (13, 14, 15, 16, 9))
+
+
+def labelled(spark, n=400):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(n):
+        bad, low = i % 8 == 0, i % 5 == 0
+        words = [r.choice(WORDS) for _ in range(r.choice([20, 60]))]
+        if bad:
+            for _ in range(3):
+                words.insert(r.randrange(len(words)), r.choice(["vile", "foul", "nasty"]))
+        text = " ".join(w + "%%%" if low else w for w in words)
+        rows.append((i, text, "s", 0, 0, "k", "l"))
+        if i % 2 == 0 or i % 7 == 0:
+            labels.append((i, int(not low), int(bad)))
+    rows += [(n, None, None, None, None, None, None), (n + 1, "", "s", 0, 0, "k", "l"), (n + 2, " ".join(WORDS) * 40, "s", 0, 0, "k", "l"), rows[3], (None, "vile foul nasty", "s", 0, 0, "k", "l")]
+    return frame(spark, rows), spark.createDataFrame([*labels, labels[0], (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("busy"))
+
+
+def test_toxicity(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels, toxicity.learnable())
+    got = toxicity.score_texts(docs, model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert 0 <= r.score <= 1
+        if r.doc_id is None or r.doc_id < 400:
+            assert (r.score >= toxicity.THRESHOLD) == (r.doc_id is None or r.doc_id % 8 == 0), r
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and all(r.doc_id is not None and (r.doc_id >= 400 or r.doc_id % 8) for r in kept.collect())
+    used = {i for r in got for i in r.neighbours}
+    assert used and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in used)
+    none = toxicity.fit(docs, labels.limit(0), toxicity.learnable())
+    assert {r.score for r in toxicity.score_texts(docs, none).collect()} == {0.0}
+    assert toxicity.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_block_max_search_is_exact():
+    r = np.random.Generator(np.random.PCG64(8))
+    rows = [(i, int(r.integers(0, 2)), np.sort(r.permutation(40)[: r.integers(1, 9)]), None) for i in range(900)]
+    rows = [(i, y, t, r.integers(1, 5, len(t))) for i, y, t, _ in rows]
+    index = toxicity.Examples(np.arange(40, dtype=np.uint64), r.random(40) + 1, rows, 0.1)
+    dense = np.zeros((900, 40))
+    for i, _, t, c in rows:
+        dense[i, t] = toxicity._weigh(t, c, index.idf)
+    for _ in range(60):
+        term = np.sort(r.permutation(40)[: r.integers(1, 7)])
+        query = toxicity._weigh(term, r.integers(1, 4, len(term)), index.idf)
+        who, cosine = index.nearest(term, query, 25)
+        exact = dense[:, term] @ query
+        assert np.allclose(np.sort(cosine)[::-1], np.sort(exact[exact > 0])[::-1][:25]) and np.allclose(exact[index.ids[who]], cosine)
+
+
+def test_quality(spark):
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels, quality.learnable())
+    got = quality.score_texts(docs, model).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    right = [(r.score >= 0.5) == bool(r.doc_id % 5) for r in got if r.doc_id is not None and r.doc_id < 400]
+    assert sum(right) / len(right) > 0.98
+    again = quality.fit(docs.repartition(5), labels, quality.learnable())
+    assert np.allclose(model.weights, again.weights)
+    one = quality.fit(docs, labels.where("quality = 1"), quality.learnable())
+    assert len({r.score for r in quality.score_texts(docs, one).collect()}) == 1
+    assert quality.score_texts(docs, quality.fit(docs.limit(0), labels, quality.learnable())).where("score = 0.5").count() == docs.count()
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """No small step from the solution lowers the objective."""
+    r = np.random.Generator(np.random.PCG64(1))
+    rows = [np.sort(r.permutation(30)[: r.integers(2, 8)]) for _ in range(80)]
+    y = np.array([int(f[0] < 4) for f in rows])
+    scale = np.ones(quality.FEATURES)
+    weights, bias = quality.hinge(rows, y, scale, 0.5, 400)
+    bound = 0.5 * len(y) / 2 / np.array([(y == 0).sum(), (y == 1).sum()])[y]
+
+    def objective(w, b):
+        margin = np.array([w[f].sum() / np.sqrt(len(f)) + b for f in rows]) * np.where(y == 1, 1, -1)
+        return 0.5 * (w @ w + b * b) + (bound * np.maximum(0, 1 - margin)).sum()
+
+    best = objective(weights, bias)
+    for _ in range(200):
+        step = np.zeros_like(weights)
+        step[:30] = r.normal(size=30) * 0.01
+        assert objective(weights + step, bias + r.normal() * 0.01) >= best - 1e-4
+
+
+def test_sharding(spark, monkeypatch):
+    rows = corpus(9, 500)
+    rows += [(10_000 + i, "same words again and again", "s", 0, 0, "", "") for i in range(300)]
+    got = sharding.shard(frame(spark, rows), 6).collect()
+    assert len(got) == len(rows)
+    text = collections.defaultdict(set)
+    for r in rows:
+        text[r[0]].add((len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())))
+    load, slots, where = collections.Counter(), collections.defaultdict(list), {}
+    for r in got:
+        assert (r["size"], r.text_crc32) in text[r.doc_id]
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        where.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(load.values()) / 6
+    assert max(load.values()) - min(load.values()) <= max(0.02 * mean, max(r["size"] for r in got) - mean * 0.7) and len(load) == 6
+    small = sum(load.values()) // (6 * sharding.PIECES)
+    count = collections.Counter((r["size"], r.text_crc32) for r in got)
+    assert all(len(s) == 1 for k, s in where.items() if count[k] * k[0] <= small)
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard(frame(spark, rows, 5), 6).collect()))
+    assert sharding.shard(frame(spark, [])).count() == 0
+
+
+def test_place_balances_every_dimension():
+    r = np.random.Generator(np.random.PCG64(5))
+    units = np.column_stack((r.pareto(1.5, 3000) * 100, r.pareto(1.5, 3000) * 20, np.ones(3000)))
+    where = sharding.place(units, 8)
+    for column in units.T:
+        load = np.bincount(where, weights=column, minlength=8)
+        assert load.max() / load.min() < 1.05
