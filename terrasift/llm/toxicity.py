@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words that go with a label in the examples; their document frequencies are counted over all documents.
+Terms are the words, and the beginnings of words, that go with a label in the examples; their document frequencies are
+counted over all documents.
 The examples form an inverted index whose lists are cut in blocks of neighbouring examples, each with the largest
 weight of a term in it. A query's dot product with these maxima bounds every example of a block, so blocks are read
 from the highest bound down, until no other can hold one of the k nearest.
@@ -16,26 +17,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, remainder
-from .words import ALNUM, Words, text_chunks
+from .words import ALNUM, Words, distinct_by_row, mix, text_chunks
 
 #: Labelled rows that are examples, terms, neighbours that vote, examples of a block, and blocks that are read at once first.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK, FIRST = 16384, 2048, 25, 64, 4
-#: Least chi-square of a term with the label, and least examples with it.
-LEAST_CHI2, LEAST_ROWS = 30.0, 5
+#: Least chi-square of a term with the label, and least part of the examples that it is; the same for examples with the term.
+LEAST_CHI2, LEAST_PHI2, LEAST_ROWS, LEAST_PART = 30.0, 0.01, 5, 0.0025
+#: Beginnings of longer words, in bytes, that are terms as well: inflected words share them.
+PREFIXES = (4, 5, 6)
 #: Votes of weight 1 that the base rate counts as, and score from which a text counts as toxic.
 PRIOR, THRESHOLD = 0.5, 0.3
 
 
+def _hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of the words and of their beginnings; a beginning differs from the word that is written like it."""
+    row, size = words.row_of_word(), words.end - words.start
+    values, rows = [words.hashes()], [row]
+    for n in PREFIXES:
+        long = np.flatnonzero(size > n)
+        values.append(mix(words.hashes_to(words.start[long], words.start[long] + n)))
+        rows.append(row[long])
+    return np.concatenate(values), np.concatenate(rows)
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that have a word, batch by batch."""
+    """Documents of each label that have a term, batch by batch."""
     for batch in batches:
         y = batch.column("y").to_numpy()
         terms, labels = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for low, _, data, offsets in text_chunks(batch.column("text")):
-            words = Words(data, offsets, ALNUM, lower=True)
-            pairs = np.unique(np.rec.fromarrays([words.row_of_word(), words.hashes()], names="r,h"))
-            terms.append(pairs["h"])
-            labels.append(y[low + pairs["r"]])
+        for low, high, data, offsets in text_chunks(batch.column("text")):
+            value, first = distinct_by_row(*_hashes(Words(data, offsets, ALNUM, lower=True)), high - low)
+            terms.append(value)
+            labels.append(np.repeat(y[low:high], np.diff(first)))
         term, place = np.unique(np.concatenate(terms), return_inverse=True)
         label = np.concatenate(labels)
         ones = np.bincount(place, weights=label, minlength=len(term)).astype(np.int64)
@@ -43,18 +56,29 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(ones), pa.array(every)], ["term", "ones", "every"])
 
 
+def _high_bits(terms: np.ndarray) -> np.ndarray:
+    """True for the high 20 bits that any of the terms has; most hashes are sorted out by it."""
+    table = np.zeros(1 << 20, dtype=bool)
+    table[(terms >> np.uint64(44)).astype(np.int64)] = True
+    return table
+
+
 def _vectors(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, term numbers, counts) of the texts that have any of the sorted terms."""
+    table = _high_bits(terms)
     for low, _, data, offsets in text_chunks(column):
         words = Words(data, offsets, ALNUM, lower=True)
-        hashes = words.hashes()
-        if not len(hashes) or not len(terms):
+        if not len(words.start) or not len(terms):
             continue
-        at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-        hit = np.flatnonzero(terms[at] == hashes)
+        hashes, rows = _hashes(words)
+        at = table[(hashes >> np.uint64(44)).astype(np.int64)]
+        hit = np.flatnonzero(at)
+        at = np.minimum(np.searchsorted(terms, hashes[hit]), len(terms) - 1)
+        same = terms[at] == hashes[hit]
+        hit, at = hit[same], at[same]
         if not len(hit):
             continue
-        code, count = np.unique(words.row_of_word()[hit] * len(terms) + at[hit], return_counts=True)
+        code, count = np.unique(rows[hit] * len(terms) + at, return_counts=True)
         row, term = np.divmod(code, len(terms))
         cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         for a, b in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
@@ -118,7 +142,7 @@ class Examples:
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Examples:
     """The index of at most EXAMPLES labelled documents for which usable, a condition on labels, holds.
 
-    Terms are the at most TERMS words most strongly tied to the label by chi-square. Without labels, or with one label
+    Terms are the at most TERMS words and beginnings most strongly tied to the label by chi-square, of equal texts one. Without labels, or with one label
     only, there are no terms, and every text gets the base rate (0 without labels).
     """
     sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col)
@@ -126,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
     terms = np.zeros(0, dtype=np.uint64)
     if 0 < ones < size:
         n, p = float(size), float(ones)
-        counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every"))
+        counts = sample.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every"))
         away = F.col("ones") * n - F.col("every") * p
         chi2 = away * away * n / (F.col("every") * (n - F.col("every")) * (p * (n - p)))
-        kept = counts.where((F.col("every") >= LEAST_ROWS) & (F.col("every") < n)).where(chi2 >= LEAST_CHI2).orderBy(chi2.desc(), "term").limit(TERMS)
+        kept = counts.where((F.col("every") >= max(LEAST_ROWS, n * LEAST_PART)) & (F.col("every") < n)).where(chi2 >= max(LEAST_CHI2, n * LEAST_PHI2)).orderBy(chi2.desc(), "term").limit(TERMS)
         terms = np.sort(np.array([r.term for r in kept.select("term").collect()], dtype=np.int64).view(np.uint64))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, lower: bool) -> None:
         self.offsets, n = offsets, len(data)
+        self.sums: np.ndarray | None = None
         self.data = _LOWER[data] if lower else data
         self.kind = kinds[self.data]
         inside = self.kind != 0
@@ -88,12 +89,17 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
+        return self.hashes_to(self.start, self.end)
+
+    def hashes_to(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from start to end."""
+        if not len(start):
             return np.zeros(0, dtype=np.uint64)
         up, down = _POWERS.upto(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        if self.sums is None:
+            self.sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=self.sums[1:])
+        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -134,6 +140,18 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return value[keep], np.searchsorted(own[keep], np.arange(len(counts) + 1))
 
 
+def distinct_by_row(value: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first): the distinct values of row i, ascending, are values[first[i]:first[i + 1]]."""
+    order = np.argsort(row, kind="stable")
+    value, row = value[order], row[order]
+    first = np.searchsorted(row, np.arange(rows + 1))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        value[a:b].sort()
+    keep = np.ones(len(value), dtype=bool)
+    keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[keep], np.searchsorted(row[keep], np.arange(rows + 1))
+
+
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of stretches of a text column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
