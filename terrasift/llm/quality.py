@@ -1,6 +1,6 @@
 """Quality by a support vector machine over n-grams scaled by their naive Bayes log-count ratios.
 
-Indicators of word and word-shape n-grams, hashed into a fixed number of features, are scaled by the log-ratio of their
+Indicators of n-grams of words, of their shapes, and of whether they repeat one of the two before, hashed into a fixed number of features, are scaled by the log-ratio of their
 smoothed counts in the two classes; a linear hinge-loss model is fitted to them by dual coordinate descent, and its
 margins are turned into probabilities on rows that it was not fitted to.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, remainder
-from .words import Words, mix, text_chunks, window_hashes
+from .words import Words, distinct_by_row, mix, text_chunks, window_hashes
 
 #: Labelled rows to fit on, features (a power of two), smoothing, penalty, passes over the rows, part kept for calibration.
 ROWS, FEATURES, SMOOTHING, PENALTY, PASSES, CALIBRATION = 8192, 1 << 18, 1.0, 0.1, 10, 5
@@ -42,19 +42,15 @@ def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     shape = np.where(kind == 1, np.where(caps == 0, 1, np.where(caps == size, 2, 3)), np.where(kind == 2, 4, 5)).astype(np.uint64)
     shape = np.where((kind == 3) | (kind == 4), hashes, mix(shape))
     row, parts, owner = words.row_of_word(), [], []
-    for source, width in ((hashes, 1), (hashes, 2), (shape, 1), (shape, 2), (shape, 3)):
-        grams = window_hashes(source, width) + np.uint64(source is shape)
+    same = np.zeros(n, dtype=np.uint64)
+    same[1:] += hashes[1:] == hashes[:-1]
+    same[2:] += np.uint64(2) * (hashes[2:] == hashes[:-2])
+    for source, width, salt in ((hashes, 1, 0), (hashes, 2, 0), (shape, 1, 1), (shape, 2, 1), (shape, 3, 1), (same, 4, 2)):
+        grams = window_hashes(source, width) + np.uint64(salt)
         inside = row[: len(grams)] == row[width - 1 :][: len(grams)]
         parts.append((mix(grams[inside]) % np.uint64(FEATURES)).astype(np.int64))
         owner.append(row[: len(grams)][inside])
-    code = np.concatenate(owner) * FEATURES + np.concatenate(parts)
-    order = np.argsort(np.concatenate(owner), kind="stable")
-    code = code[order]
-    cuts = np.searchsorted(code >> (FEATURES.bit_length() - 1), np.arange(rows + 1))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        code[a:b].sort()
-    code = code[np.concatenate(([True], code[1:] != code[:-1]))]
-    return code & (FEATURES - 1), np.searchsorted(code >> (FEATURES.bit_length() - 1), np.arange(rows + 1))
+    return distinct_by_row(np.concatenate(parts), np.concatenate(owner), rows)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
