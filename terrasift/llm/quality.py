@@ -43,8 +43,8 @@ def _ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     shape = np.where((kind == 3) | (kind == 4), hashes, mix(shape))
     row, parts, owner = words.row_of_word(), [], []
     same = np.zeros(n, dtype=np.uint64)
-    same[1:] += hashes[1:] == hashes[:-1]
-    same[2:] += np.uint64(2) * (hashes[2:] == hashes[:-2])
+    same[1:] += (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    same[2:] += np.uint64(2) * ((hashes[2:] == hashes[:-2]) & (row[2:] == row[:-2]))
     for source, width, salt in ((hashes, 1, 0), (hashes, 2, 0), (shape, 1, 1), (shape, 2, 1), (shape, 3, 1), (same, 4, 2)):
         grams = window_hashes(source, width) + np.uint64(salt)
         inside = row[: len(grams)] == row[width - 1 :][: len(grams)]
