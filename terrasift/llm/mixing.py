@@ -19,6 +19,8 @@ SEED, MOST_COPIES = 20250101, 3
 FILLS = 2
 #: Part of a target that whole documents may miss it by.
 NEAR = 0.005
+#: Up to this many sources, their figures are broadcast to the documents; beyond it they are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def source_targets(totals: DataFrame, schedule: DataFrame, most: int = MOST_COPIES) -> DataFrame:
@@ -84,24 +86,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     rows = checkpoint(rows.withColumn("spread", F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 4)))
     totals = checkpoint(rows.groupBy(*key).agg(F.sum("size").alias("source_size")))
+    by_source = F.broadcast if totals.count() <= FEW_SOURCES else (lambda side: side)
     targets = checkpoint(source_targets(totals, schedule(totals.select(*key)), most))
     rows = running_total(rows, key, "spread", "size", ["id", "size"], "before")
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    rows = rows.join(targets, key).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    rows = rows.join(by_source(targets), key).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = checkpoint(rows.withColumn("more", (F.col("before") + F.col("size") <= F.col("rest")) & (F.col("size") > 0)))
     for _ in range(FILLS):
         left = rows.groupBy(*key).agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("missing"))
-        small = rows.where("not more and size > 0").join(left, key).where("size <= missing").select(*key, "spread", "id", "size", "before", "missing")
+        small = rows.where("not more and size > 0").join(by_source(left), key).where("size <= missing").select(*key, "spread", "id", "size", "before", "missing")
         small = running_total(small, key, "spread", "size", ["before"], "sum").where("sum + size <= missing")
         small = small.select(*key, "spread", "before", "size", F.lit(True).alias("fills"))
         rows = rows.join(small, [*key, "spread", "before", "size"], "left").withColumn("more", F.col("more") | F.coalesce("fills", F.lit(False))).drop("fills")
         rows = checkpoint(rows)
     missing = rows.groupBy(*key).agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("missing"))
     gap = F.abs(F.col("size") - F.col("missing"))
-    fit = rows.where("not more and size > 0").join(missing, key).groupBy(*key, "missing")
+    fit = rows.where("not more and size > 0").join(by_source(missing), key).groupBy(*key, "missing")
     fit = fit.agg(F.min(F.when(gap < F.col("missing"), F.struct(gap.alias("gap"), "size", "before"))).alias("fit"), F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", "before"))).alias("cut"))
-    rows = rows.join(fit, key, "left")
+    rows = rows.join(by_source(fit), key, "left")
     is_ = lambda one: F.coalesce((F.col("size") == F.col(f"{one}.size")) & (F.col("before") == F.col(f"{one}.before")), F.lit(False)) & ~F.col("more")
     far = F.coalesce(F.coalesce("fit.gap", "missing") > F.col("target") * NEAR, F.lit(False)) & F.col("cut").isNotNull()
     rows = rows.withColumn("copies", F.col("whole") + (F.col("more") | (is_("fit") & ~far)).cast("int"))
