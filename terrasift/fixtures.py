@@ -47,7 +47,7 @@ from part group by 1,2""",
  case when l_returnflag='R' then null else 1e0+l_tax*10e0 end build_cost_multiplier,
  case when l_linestatus='O' then l_quantity end land_cost_usd_per_km2_year,
  case when l_returnflag='A' then l_quantity/10e0 end water_cost_usd_per_m3,
- (l_orderkey*8+l_linenumber)*100000000+l_partkey*1000+l_suppkey%1000 file_order
+ (l_orderkey*8+l_linenumber)*10000000000+l_partkey%10000*1000000+cast(floor(l_extendedprice*100e0) as bigint)%1000000 file_order
 from lineitem join orders on l_orderkey=o_orderkey""",
     "results": """select cast((c_custkey%151)-75 as double) latitude, cast(((c_custkey*37)%360)-180 as double) longitude, case when c_custkey%3=0 then null else n_name end country,
  o_totalprice/200e0 lcoa_per_t, case when o_orderkey%11=0 then 5000e0 else 0e0 end grid_energy_mwh,

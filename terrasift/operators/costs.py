@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import annual_cost, depth_multiplier, effective_depth, store_scale, to_input_basis
@@ -48,7 +48,11 @@ def check_recipes(techs: DataFrame, links: DataFrame, tolerance: float = 1e-3, e
         cases += [(f"extra {side}", extra_keys(ours, plant)), (f"missing {side}", extra_keys(plant, ours)), (f"amount {side}", differing_keys(ours, plant, tolerance))]
     off = F.abs(F.col("overall_efficiency") - overall_efficiency(F.col("carriers_in"), F.col("carriers_out"))) > efficiency_tolerance
     cases.append(("efficiency", F.when(off, F.array(F.lit("overall_efficiency"))).otherwise(F.array().cast("array<string>"))))
-    rows = F.flatten(F.array(*(F.transform(keys, lambda k, p=problem: F.struct(F.lit(p).alias("problem"), k.alias("detail"))) for problem, keys in cases)))
+
+    def named(problem: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(problem).alias("problem"), k.alias("detail")))
+
+    rows = F.flatten(F.array(*(named(*case) for case in cases)))
     return both.select("tech", F.inline(rows))
 
 

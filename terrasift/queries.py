@@ -50,7 +50,7 @@ def cheapest_sites(rows: DataFrame) -> DataFrame:
     return analysis.cheapest(analysis.clipped(results.combine_segments(rows))).select("rank", "latitude", "longitude", "country", "lcoa_per_t")
 
 
-@query("results", f"{_LAST} select country, count(lcoa_per_t) sites, round(median(lcoa_per_t),6) median_lcoa, round(min(lcoa_per_t),6) min_lcoa, round(max(lcoa_per_t),6) max_lcoa from last where country is not null group by country", digits=6)
+@query("results", f"{_LAST} select country, count(lcoa_per_t) sites, round(median(lcoa_per_t),9) median_lcoa, round(min(lcoa_per_t),9) min_lcoa, round(max(lcoa_per_t),9) max_lcoa from last where country is not null group by country", digits=9)
 def country_lcoa_stats(rows: DataFrame) -> DataFrame:
     return analysis.country_stats(results.combine_segments(rows))
 
@@ -60,12 +60,12 @@ def combine_segments_last(rows: DataFrame) -> DataFrame:
     return results.combine_segments(rows)
 
 
-@query("results", "select count(lcoa_per_t) count, round(avg(lcoa_per_t),4) mean, round(stddev_samp(lcoa_per_t),4) std, round(min(lcoa_per_t),4) min, round(quantile_cont(lcoa_per_t,0.25),4) p25, round(quantile_cont(lcoa_per_t,0.5),4) p50, round(quantile_cont(lcoa_per_t,0.75),4) p75, round(quantile_cont(lcoa_per_t,0.9),4) p90, round(quantile_cont(lcoa_per_t,0.99),4) p99, round(max(lcoa_per_t),4) max from results")
+@query("results", "select count(lcoa_per_t) count, round(avg(lcoa_per_t),9) mean, round(stddev_samp(lcoa_per_t),9) std, round(min(lcoa_per_t),9) min, round(quantile_cont(lcoa_per_t,0.25),9) p25, round(quantile_cont(lcoa_per_t,0.5),9) p50, round(quantile_cont(lcoa_per_t,0.75),9) p75, round(quantile_cont(lcoa_per_t,0.9),9) p90, round(quantile_cont(lcoa_per_t,0.99),9) p99, round(max(lcoa_per_t),9) max from results", digits=9)
 def lcoa_describe(rows: DataFrame) -> DataFrame:
     return analysis.describe(rows, "lcoa_per_t")
 
 
-@query("results", "select round(quantile_cont(lcoa_per_t,0.02),4) low, round(quantile_cont(lcoa_per_t,0.98),4) high from results")
+@query("results", "select round(quantile_cont(lcoa_per_t,0.02),9) low, round(quantile_cont(lcoa_per_t,0.98),9) high from results", digits=9)
 def lcoa_clip_quantiles(rows: DataFrame) -> DataFrame:
     return analysis.clip_quantiles(rows)
 
@@ -106,7 +106,7 @@ def frequent_countries(rows: DataFrame) -> DataFrame:
 _TOP = ", top as (select country from results where country is not null group by 1 order by count(*) desc, 1 limit 20)"
 
 
-@query("results", f"{_TOP}, q as (select country, quantile_cont(lcoa_per_t,0.25) q1, quantile_cont(lcoa_per_t,0.5) median, quantile_cont(lcoa_per_t,0.75) q3 from results where country in (select country from top) group by 1) select country, round(q1,6) q1, round(median,6) median, round(q3,6) q3, round(min(lcoa_per_t),6) low, round(max(lcoa_per_t),6) high from q join results using (country) where lcoa_per_t between q1-1.5e0*(q3-q1) and q3+1.5e0*(q3-q1) group by country, q1, median, q3", digits=6)
+@query("results", f"{_TOP}, q as (select country, quantile_cont(lcoa_per_t,0.25) q1, quantile_cont(lcoa_per_t,0.5) median, quantile_cont(lcoa_per_t,0.75) q3 from results where country in (select country from top) group by 1) select country, round(q1,9) q1, round(median,9) median, round(q3,9) q3, round(min(lcoa_per_t),9) low, round(max(lcoa_per_t),9) high from q join results using (country) where lcoa_per_t between q1-1.5e0*(q3-q1) and q3+1.5e0*(q3-q1) group by country, q1, median, q3", digits=9)
 def country_box_stats(rows: DataFrame) -> DataFrame:
     return analysis.box_stats(analysis.of_top_countries(rows), "country")
 
