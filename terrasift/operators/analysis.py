@@ -32,6 +32,11 @@ def largest(cells: DataFrame, column: str = "max_capacity_mw", n: int = 10) -> D
     return cells.orderBy(F.col(column).desc_nulls_last(), *PLACE).limit(n)
 
 
+def total_capacity(cells: DataFrame) -> DataFrame:
+    """Installable capacity of all cells, by kind."""
+    return cells.agg(*(F.sum(c).alias(f"total_{c}") for c in ("max_power_solar_mw", "max_power_wind_mw", "max_capacity_mw")))
+
+
 def country_stats(results: DataFrame) -> DataFrame:
     known = results.where("country is not null")
     cost = F.col("lcoa_per_t")

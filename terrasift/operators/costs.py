@@ -78,6 +78,15 @@ def build_spatial_costs(cells: DataFrame, techs: DataFrame) -> DataFrame:
     return both.select("cell_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "tech", F.col("rate").alias("interest_rate"), depth_multiplier(F.col("depth"), F.col("tech")).alias("build_cost_multiplier"))
 
 
+def override_source(kind: str, spatial: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """The overrides that a run uses: none, the spatial table, or a table of one's own."""
+    if kind not in ("none", "spatial", "custom"):
+        raise ValueError(f"unknown source of overrides: {kind}")
+    if kind == "custom" and custom is None:
+        raise ValueError("custom overrides need a table")
+    return {"none": spatial.limit(0), "spatial": spatial, "custom": custom}[kind]
+
+
 def tech_overrides(spatial: DataFrame) -> DataFrame:
     """The last value in file order of each parameter, by cell and technology."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("file_order"))).alias(c)

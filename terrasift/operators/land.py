@@ -24,6 +24,14 @@ def class_fractions(landcover: DataFrame, south: float = -75, north: float = 75)
     return rows.where(F.col("latitude").between(south, north)).groupBy("latitude", "longitude", "modis_class").agg(F.avg("fraction").alias("fraction"))
 
 
+def block_fractions(landcover: DataFrame, south: float = -75, north: float = 75) -> DataFrame:
+    """As class_fractions by blocks of 20 fine rows, which carry the floor of their first row's latitude: nearly the same
+    cells, labelled one degree higher. Kept to compare with tables that were made that way."""
+    latitude = (90 - F.floor(F.col("y_index") / 20)).cast("double")
+    rows = landcover.select(latitude.alias("latitude"), coarse_longitude(F.col("x_index")).alias("longitude"), "modis_class", (F.col("percentage") / 100).alias("fraction"))
+    return rows.where((F.col("latitude") > south) & (F.col("latitude") <= north)).groupBy("latitude", "longitude", "modis_class").agg(F.avg("fraction").alias("fraction"))
+
+
 def availability(fractions: DataFrame) -> DataFrame:
     """Wind availability by class shares, and land and sea of each cell, in one pass."""
     share = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, chain(*WIND_SHARE.items()))), F.col("modis_class")), F.lit(0.0))

@@ -51,6 +51,18 @@ def first_within(probe: DataFrame, rows: DataFrame, order: str = "file_order", t
     return found.select("id", "r.*")
 
 
+def merged_within(probe: DataFrame, rows: DataFrame, keys: list[str], values: list[str], order: str = "file_order", tolerance: float = TOLERANCE_DEGREES) -> DataFrame:
+    """(id, keys, values): of all rows within the tolerance, the last value in order that isn't null, of each column."""
+    found = within_tolerance(probe, rows, tolerance)
+    return found.groupBy("id", *keys).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values))
+
+
+def locations_of(points: DataFrame, edges: DataFrame, country: str) -> DataFrame:
+    """The points(id, x, y) that lie in one country."""
+    inside = locate_country(points, edges).where(F.col("country") == country).select("id")
+    return points.join(inside, "id", "left_semi")
+
+
 def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least") -> DataFrame:
     """(value, nearest) for values(value) and axis(axis_value): the closest axis value, of two as close the lower or,
     with tie 'greatest', the higher.

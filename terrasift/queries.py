@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import load, with_inputs
-from .functions.costs import annual_cost, capital_recovery
+from .functions.costs import annual_cost, capital_recovery, legacy_annual_cost
 from .functions.geometry import cell_area_km2, cell_id, solar_density
 from .functions.names import location_label, normalize_name
 from .functions.recipes import differing_keys, extra_keys, float_map, overall_efficiency
@@ -569,3 +569,76 @@ def operating_headline(dispatch: DataFrame) -> DataFrame:
 def normalized_names(spatial: DataFrame) -> DataFrame:
     old = F.when(F.col("tech") == "wind", "OnshoreWind").when(F.col("tech") == "electrolysis", "HB").otherwise(F.col("tech"))
     return spatial.select("file_order", "tech", normalize_name(old, compatible=True).alias("today"))
+
+
+# --- more of the same ----------------------------------------------------------------------------------------------------
+
+
+@query("cells spatial", digits=6)  # DuckDB ends with an internal error on its SQL; a test has brute force
+def tolerance_overrides(cells: DataFrame, spatial: DataFrame) -> DataFrame:
+    moved = spatial.join(cells.select("cell_id", "latitude", "longitude"), "cell_id").withColumn("latitude", F.col("latitude") + F.col("file_order") % 7 * 0.05)
+    return lookup.merged_within(cells.select(F.col("cell_id").alias("id"), "latitude", "longitude"), moved, ["tech"], ["interest_rate", "build_cost_multiplier"])
+
+
+@query("landcover", ", f as (select cast(90-floor(y_index/20e0) as double) latitude, cast(floor(x_index/20e0)-180 as double) longitude, modis_class, avg(percentage/100e0) fraction from landcover group by 1,2,3) select latitude, longitude, modis_class, round(fraction,6) fraction from f where latitude > -75 and latitude <= 75", digits=6)
+def land_blocks(landcover: DataFrame) -> DataFrame:
+    return land.block_fractions(landcover)
+
+
+@query("cells", f", a as (select *, {_AREA} area, {_ANGLES} from cells), b as (select *, area*onshore_land_pct/100e0*({_SOLAR}) s, (area*onshore_land_pct/100e0+area*least(greatest(100e0-onshore_land_pct,0e0),100e0)/100e0)*5e0 w from a) select round(sum(s),2) total_max_power_solar_mw, round(sum(w),2) total_max_power_wind_mw, round(sum(s+w),2) total_max_capacity_mw from b", digits=2)
+def total_capacity(cells: DataFrame) -> DataFrame:
+    return analysis.total_capacity(land.with_capacity(cells.select("latitude", "longitude", "onshore_land_pct")))
+
+
+@query("cells", f", a as (select *, {_AREA} area, {_ANGLES} from cells), b as (select *, area*onshore_land_pct/100e0*({_SOLAR}*(1e0/0.03e0)/(with z as (select radians(15e0) tilt, radians(90e0-23.44e0) alt) select {_SOLAR} from z)) s, (area*onshore_land_pct/100e0+area*least(greatest(100e0-onshore_land_pct,0e0),100e0)/100e0)*5e0 w from a) select cell_id, round(s,2) max_power_solar_mw, round(s+w,2) max_capacity_mw from b", digits=2)
+def recalibrated_cells(cells: DataFrame) -> DataFrame:
+    return land.recalibrate_solar(land.with_capacity(cells), 0.03).select("cell_id", "max_power_solar_mw", "max_capacity_mw")
+
+
+@query("cells", "select latitude, longitude, round(onshore_land_pct,4) land_onshore_pct, round(greatest(100e0-onshore_land_pct,0e0),4) offshore_sea_pct, round(bathymetry_depth_m,4) bathymetry_depth_m, round(max_capacity_mw,4) area_cap_mw from cells")
+def land_metadata(cells: DataFrame) -> DataFrame:
+    return land.land_metadata(cells).select("latitude", "longitude", "land_onshore_pct", "offshore_sea_pct", "bathymetry_depth_m", "area_cap_mw")
+
+
+@query("variants", "select variant, round(overnight*om*100e0/100e0+overnight/(rate*100e0+1e0),4) annual from variants")
+def legacy_costs(v: DataFrame) -> DataFrame:
+    return v.select("variant", legacy_annual_cost(F.col("overnight"), F.col("om") * 100, F.col("rate") * 100 + 1).alias("annual"))
+
+
+@query("variants", ", o as (select variant, overnight*0.1e0 c, eff*0.9e0 e from variants where variant%2=0) select v.variant, component_type, round(coalesce(case when component_type='link' and v.variant%3=0 then c*coalesce(e,eff) else c end, overnight),4) capital_cost, round(coalesce(e,eff),4) efficiency from variants v left join o on o.variant=v.variant")
+def scenario_costs(v: DataFrame) -> DataFrame:
+    name = F.col("variant").cast("string").alias("name")
+    components = v.select(name, "component_type", F.col("overnight").alias("capital_cost"), F.col("eff").alias("efficiency"), (F.col("variant") % 3 == 0).alias("output_rated"))
+    own = v.where("variant % 2 = 0").select(name, (F.col("overnight") * 0.1).alias("capital_cost"), (F.col("eff") * 0.9).alias("efficiency"))
+    return costs.scenario_overrides(components, own).select(F.col("name").cast("long").alias("variant"), "component_type", "capital_cost", "efficiency")
+
+
+@query("capacity", ", w as (select cell_id, coalesce(sum(optimum) filter (name='hydrogen_compression'),0e0) hydrogen_compression, coalesce(sum(optimum) filter (name='compressed_hydrogen_store'),0e0) compressed_hydrogen_store from capacity group by 1) select cell_id, 0e0 battery_pcs_charge, 0e0 battery_pcs_discharge, round(hydrogen_compression,4) hydrogen_compression, round(compressed_hydrogen_store,4) compressed_hydrogen_store, false converter_gap, true too_large from w where compressed_hydrogen_store*0.5e0 > hydrogen_compression+1e-6")
+def storage_cycle_check(capacity: DataFrame) -> DataFrame:
+    return checks.battery_violations(capacity, 0.954, cycles=0.5)
+
+
+@query("dispatch techs", ", d as (select distinct cell_id, name from dispatch) select cell_id, name from d where name not in (select tech from techs where tech<>'wind')")
+def unmatched_components(dispatch: DataFrame, techs: DataFrame) -> DataFrame:
+    used = dispatch.select("cell_id", F.col("name").alias("tech")).distinct()
+    return costs.unmatched(used, techs.where("tech <> 'wind'").select(F.col("tech").alias("name"))).select("cell_id", F.col("tech").alias("name"))
+
+
+@query("weather", ", d as (select distinct cell_id, resource from weather), g as (select cell_id, unnest(['wind','solar_tracking','grid','tidal']) name from (select distinct cell_id from weather)) select count(*) missing from (select distinct name from g) where name not in ('grid') and name not in (select resource from d) and not (name='solar_tracking' and 'solar' in (select resource from d))")
+def profile_completeness(rows: DataFrame) -> DataFrame:
+    generators = rows.select(F.explode(F.array(*map(F.lit, ("wind", "solar_tracking", "grid", "tidal")))).alias("name")).distinct()
+    return weather.missing_profiles(generators, rows).agg(F.count("*").alias("missing"))
+
+
+@query("cells edges", ", b as (select min(least(x1,x2)) w, max(greatest(x1,x2)) e, min(least(y1,y2)) s, max(greatest(y1,y2)) n from edges where polygon_order=1) select cell_id id, longitude x, latitude y from cells, b where longitude > w and longitude <= e and latitude between s and n")
+def country_locations(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    points = cells.select(F.col("cell_id").alias("id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return lookup.locations_of(points, edges, "NATION_1")
+
+
+@query("capacity techs spatial cells", f", {_SPLIT}, u as (select c.cell_id, sum(optimum) filter (name='wind') wind from capacity c group by 1) select cells.cell_id, latitude, longitude, country, round(total_cost,2) total_cost, round(build_cost_pct,2) build_cost_pct, round(onshore_land_pct,2) land_onshore_pct, round(wind,2) wind_mw from cells left join split using (cell_id) left join u using (cell_id)", digits=2)
+def assembled_results(capacity: DataFrame, techs: DataFrame, spatial: DataFrame, cells: DataFrame) -> DataFrame:
+    wind = capacity.where("name = 'wind'").groupBy("cell_id").agg(F.sum("optimum").alias("wind_mw"))
+    places = cells.select("cell_id", "latitude", "longitude", "country", F.col("onshore_land_pct").alias("land_onshore_pct"))
+    splits = _splits(capacity, techs, spatial).select("cell_id", "total_cost", "build_cost_pct")
+    return results.assemble([splits, wind], places)

@@ -50,3 +50,21 @@ def test_joins_of_equal_keys_need_no_nested_loop(spark, data):
 def test_scans_read_what_they_need(spark, data):
     plan = QUERIES["lcoa_describe"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan and "o_totalprice" in plan
+
+
+def test_tolerance_overrides(spark, data):
+    """Brute force over all pairs, in its own SQL without the strings that DuckDB stumbles over."""
+    from terrasift.fixtures import load
+
+    cells = load(spark, data, "cells").collect()
+    where = {c.cell_id: (c.latitude, c.longitude) for c in cells}
+    rows = sorted((r.file_order, where[r.cell_id][0] + r.file_order % 7 * 0.05, where[r.cell_id][1], r.tech, r.interest_rate, r.build_cost_multiplier) for r in load(spark, data, "spatial").collect())
+    want = {}
+    for c in cells:
+        for _, lat, lon, tech, rate, factor in rows:
+            if abs(lat - c.latitude) <= 0.125 and abs(lon - c.longitude) <= 0.125:
+                last = want.setdefault((c.cell_id, tech), [None, None])
+                want[c.cell_id, tech] = [rate if rate is not None else last[0], factor if factor is not None else last[1]]
+    rounded = lambda x: x if x is None else round(x, 6)
+    got = {(r.id, r.tech): [r.interest_rate, r.build_cost_multiplier] for r in QUERIES["tolerance_overrides"](spark, data).collect()}
+    assert got == {k: [rounded(x) for x in v] for k, v in want.items()}
