@@ -47,23 +47,28 @@ def terms(text: Column) -> Column:
 def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
     """(unit, licence, cosine): the most similar template of each unit(unit, text) with a cosine above 0.
 
-    idf is ln((1 + units) / (1 + units with the term)) + 1 over all units; a template's terms that no unit has weigh the
-    most. Ties go to the licence that sorts first.
+    idf is ln((1 + units) / (1 + units with the term)) + 1 over all units that have terms; a template's terms that no unit
+    has weigh the most. Ties go to the licence that sorts first. A unit that repeats is one unit: its counts, and so its
+    vector, are a multiple. Terms are told apart by 64-bit hashes.
     """
-    counted = units.select("unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    counted = checkpoint(counted)
-    total = units.agg(F.count("*").alias("n"))
+    hashed = lambda of: of.select("*", F.explode(terms(F.col("text"))).alias("word")).withColumn("term", F.xxhash64("word")).drop("text", "word")
+    counted = hashed(units).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    total = units.where(F.size(terms(F.col("text"))) > 0).select("unit").distinct().agg(F.count("*").alias("n"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda n, df: F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + 1
-    weighted = counted.join(df, "term").crossJoin(F.broadcast(total)).select("unit", "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))  # total is one row
-    norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    own = templates.withColumn("template", F.monotonically_increasing_id()).select("template", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
-    own = own.join(df, "term", "left").crossJoin(F.broadcast(total)).select("template", "licence", "term", (F.col("tf") * idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("tw"))
+    own = hashed(templates.withColumn("template", F.monotonically_increasing_id())).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    own = own.join(df, "term", "left").crossJoin(F.broadcast(total)).select("template", "licence", "term", (F.col("tf") * idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("tw"))  # total is one row
     length = own.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("length"))
-    own = own.join(length, "template").select("template", "licence", "term", (F.col("tw") / F.col("length")).alias("tw"))
-    dots = weighted.join(F.broadcast(own), "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosines = dots.join(norms, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    own = own.join(length, "template").groupBy("term").agg(F.collect_list(F.struct("template", "licence", (F.col("tw") / F.col("length")).alias("tw"))).alias("own"))
+
+    weighted = counted.join(df, "term").crossJoin(F.broadcast(total)).select("unit", "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    weighted = weighted.join(F.broadcast(own), "term", "left")  # own has the terms of the templates, a table of fixed size
+    shared = F.collect_list(F.when(F.col("own").isNotNull(), F.struct("w", "own")))
+    by_unit = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("shared"))
+    dots = by_unit.select("unit", "norm", F.explode("shared").alias("s")).select("unit", "norm", "s.w", F.inline("s.own"))
+    dots = dots.groupBy("unit", "template").agg(F.first("licence").alias("licence"), F.first("norm").alias("norm"), F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    cosines = dots.select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     best = cosines.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
     return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
@@ -94,7 +99,7 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     rows = rows.withColumn("key", F.xxhash64("id", "path", "text"))
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    cued = rows.where(F.col("text").rlike(CUE) | named).select("key", "text", lines.alias("lines")).dropDuplicates(["key"])
+    cued = rows.where(F.col("text").rlike(CUE) | named).select("key", "text", lines.alias("lines"))
     unit = lambda n: F.struct(F.col("key"), n.alias("line"))
     units = cued.select("key", F.posexplode(F.concat(F.array("text"), "lines")).alias("line", "text")).select(unit(F.col("line")).alias("unit"), "text")
     found = match_templates(units, template_rows(docs.sparkSession)).where(F.col("cosine") >= LEAST_COSINE)
@@ -102,7 +107,8 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     found = found.select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), F.when(F.col("b.o"), "file").otherwise("header").alias("origin"))
 
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    rows = checkpoint(rows.select("id", "path", "key", folder.alias("folder"), named.alias("named")).join(found, "key", "left"))
+    rows = rows.select("id", "path", "key", folder.alias("folder"), named.alias("named"))
+    rows = checkpoint(rows.join(checkpoint(found), "key", "left"))
     held = rows.where("named and licence is not null").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("b"))
     held = held.select(F.col("folder").alias("above"), F.col("b.licence").alias("near"), (-F.col("b.c")).alias("near_cosine"))
     folders = rows.where("folder is not null").select("folder").distinct()

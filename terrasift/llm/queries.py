@@ -174,7 +174,7 @@ d as (select doc_id, text, case when doc_id % 15 = 0 then src || part || '/LICEN
 e as (select *, regexp_replace(path, '/[^/]*$', '') folder, doc_id % 5 = 0 named, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) lines from d),
 u as (select doc_id, unnest(range(0, len(lines) + 1)) line, unnest(list_concat([text], lines)) text from e where regexp_matches(text, '{CUE}') or named),
 tf as (select doc_id, line, term, count(*) tf from (select doc_id, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[a-z0-9]+)*')) term from u) group by 1, 2, 3),
-n as (select count(*) n from u), df as (select term, count(*) df from tf group by 1),
+n as (select count(*) n from (select distinct doc_id, line from tf)), df as (select term, count(*) df from tf group by 1),
 w as (select doc_id, line, term, tf * (ln((1e0 + n) / (1e0 + df)) + 1) w from tf join df using (term), n),
 norm as (select doc_id, line, sqrt(sum(w * w)) norm from w group by 1, 2),
 tt as (select k, licence, term, count(*) tf from (select k, licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[a-z0-9]+)*')) term from (select row_number() over () k, * from t)) group by 1, 2, 3),
