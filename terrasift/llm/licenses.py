@@ -44,28 +44,43 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[a-z0-9]+)*"), F.lit(0))
 
 
+def term_counts(text: Column) -> Column:
+    """array<struct<term, tf>> of a text: the runs of equal values in its sorted term hashes."""
+    found = F.array_sort(F.transform(terms(text), lambda w: F.xxhash64(w)))
+    return F.transform(F.array(found), _runs)[0]
+
+
+def _runs(found: Column) -> Column:
+    starts = F.filter(F.transform(found, lambda t, i: F.when((i == 0) | (F.get(found, i - 1) != t), i)), lambda i: i.isNotNull())
+    counts = lambda starts: F.transform(starts, lambda b, k: F.struct(F.get(found, b).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(found)) - b).alias("tf"), (k == 0).alias("first")))
+    return F.transform(F.array(starts), counts)[0]
+
+
 def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
     """(unit, licence, cosine): the most similar template of each unit(unit, text) with a cosine above 0.
 
-    idf is ln((1 + units) / (1 + units with the term)) + 1 over all units that have terms; a template's terms that no unit
-    has weigh the most. Ties go to the licence that sorts first. A unit that repeats is one unit: its counts, and so its
-    vector, are a multiple. Terms are told apart by 64-bit hashes.
+    idf is ln((1 + units) / (1 + units with the term)) + 1 over all rows of units that have terms; a template's terms that
+    no unit has weigh the most. Ties go to the licence that sorts first. Rows of one unit have the same text; they count
+    as several units in idf, and are divided out of its vector. Terms are told apart by 64-bit hashes.
+
+    A unit is one row, so its terms are counted in place; what moves is one row for each distinct term of a unit, once to
+    its idf and once, as partial sums, to its unit.
     """
-    hashed = lambda of: of.select("*", F.explode(terms(F.col("text"))).alias("word")).withColumn("term", F.xxhash64("word")).drop("text", "word")
-    counted = hashed(units).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    total = units.where(F.size(terms(F.col("text"))) > 0).select("unit").distinct().agg(F.count("*").alias("n"))
+    counted = units.select("unit", F.inline(term_counts(F.col("text"))))
+    total = counted.agg(F.count_if("first").alias("n"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda n, df: F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + 1
 
-    own = hashed(templates.withColumn("template", F.monotonically_increasing_id())).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    own = templates.withColumn("template", F.monotonically_increasing_id()).select("template", "licence", F.inline(term_counts(F.col("text"))))
     own = own.join(df, "term", "left").crossJoin(F.broadcast(total)).select("template", "licence", "term", (F.col("tf") * idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("tw"))  # total is one row
     length = own.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("length"))
     own = own.join(length, "template").groupBy("term").agg(F.collect_list(F.struct("template", "licence", (F.col("tw") / F.col("length")).alias("tw"))).alias("own"))
 
-    weighted = counted.join(df, "term").crossJoin(F.broadcast(total)).select("unit", "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    weighted = counted.join(df, "term").crossJoin(F.broadcast(total)).select("unit", "term", "first", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))
     weighted = weighted.join(F.broadcast(own), "term", "left")  # own has the terms of the templates, a table of fixed size
     shared = F.collect_list(F.when(F.col("own").isNotNull(), F.struct("w", "own")))
-    by_unit = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("shared"))
+    rows = F.count_if("first")
+    by_unit = weighted.groupBy("unit").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) * F.sqrt(rows)).alias("norm"), shared.alias("shared"))
     dots = by_unit.select("unit", "norm", F.explode("shared").alias("s")).select("unit", "norm", "s.w", F.inline("s.own"))
     dots = dots.groupBy("unit", "template").agg(F.first("licence").alias("licence"), F.first("norm").alias("norm"), F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosines = dots.select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
