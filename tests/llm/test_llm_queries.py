@@ -72,7 +72,7 @@ def test_packing_query(spark, data):
 
 def test_pipeline_against_brute_force(spark, data):
     """Every stage on its predecessor's rows: none is lost that has to stay, none stays that has to go."""
-    from test_operators import jaccard_by_force, leaks_by_force
+    from test_llm_operators import jaccard_by_force, leaks_by_force
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, kept = docs.columns, [docs]
