@@ -140,17 +140,18 @@ class Examples:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Examples:
-    """The index of at most EXAMPLES labelled documents for which usable, a condition on labels, holds.
+    """The index of at most EXAMPLES labelled documents for which usable, a condition on labels, holds; equal texts are
+    one example, with the smallest id and the largest label.
 
-    Terms are the at most TERMS words and beginnings most strongly tied to the label by chi-square, of equal texts one. Without labels, or with one label
+    Terms are the at most TERMS words and beginnings most strongly tied to the label by chi-square. Without labels, or with one label
     only, there are no terms, and every text gets the base rate (0 without labels).
     """
-    sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col)
+    sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     terms = np.zeros(0, dtype=np.uint64)
     if 0 < ones < size:
         n, p = float(size), float(ones)
-        counts = sample.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every"))
+        counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every"))
         away = F.col("ones") * n - F.col("every") * p
         chi2 = away * away * n / (F.col("every") * (n - F.col("every")) * (p * (n - p)))
         kept = counts.where((F.col("every") >= max(LEAST_ROWS, n * LEAST_PART)) & (F.col("every") < n)).where(chi2 >= max(LEAST_CHI2, n * LEAST_PHI2)).orderBy(chi2.desc(), "term").limit(TERMS)

@@ -347,6 +347,18 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_copies_of_a_text_once(spark):
+    r = random.Random(7)
+    words = lambda k: " ".join(r.choice(WORDS) for _ in range(k))
+    texts = ["one text of its own"] * 300 + [words(20) + " vile" for _ in range(60)] + [words(20) for _ in range(540)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 360)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    kept = {x.doc_id for x in toxicity.drop_toxic(docs, model).collect()}
+    assert len(model.ids) == len(set(model.ids.tolist())) and not kept & set(range(300, 360)) and kept >= set(range(360, 900))
+    assert model.base < 0.01
+
+
 def test_block_max_search_is_exact():
     r = np.random.Generator(np.random.PCG64(8))
     rows = [(i, int(r.integers(0, 2)), np.sort(r.permutation(40)[: r.integers(1, 9)]), None) for i in range(900)]
