@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words, and the beginnings of words, that go with a label in the examples; their document frequencies are
-counted over all documents.
-The examples form an inverted index whose lists are cut in blocks of neighbouring examples, each with the largest
-weight of a term in it. A query's dot product with these maxima bounds every example of a block, so blocks are read
-from the highest bound down, until no other can hold one of the k nearest.
+Terms are all words, and beginnings of words, of the examples; their document frequencies are counted over all
+documents. Besides its IDF a term has a weight by its tie to the label (phi), which is never 0. Words that no example has
+match nothing; they count for no neighbour and not in the length of a query.
+The examples form an inverted index. A query reads its lists from the highest product a list entry down; what its
+unread terms can add to an example at most bounds every example, and once few can be among the k nearest, these are
+finished from their own terms.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 from .labelled import labelled_sample, remainder
 from .words import ALNUM, Words, distinct_by_row, mix, text_chunks
 
-#: Labelled rows that are examples, terms, neighbours that vote, examples of a block, and blocks that are read at once first.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK, FIRST = 16384, 2048, 25, 64, 4
-#: Least chi-square of a term with the label, and least part of the examples that it is; the same for examples with the term.
-LEAST_CHI2, LEAST_PHI2, LEAST_ROWS, LEAST_PART = 30.0, 0.01, 5, 0.0025
+#: Labelled rows that are examples, and neighbours that vote.
+EXAMPLES, NEIGHBOURS = 16384, 25
+#: Chi-square that a term reaches by chance, and the weight of terms without a tie to the label; it grows to 1 with the tie.
+NOISE, LEAST_TIE = 10.0, 0.005
+#: Parts of a query's lists after which it is tried whether few enough examples are left.
+STEPS = (0.02, 0.1, 0.3, 1.0)
 #: Beginnings of longer words, in bytes, that are terms as well: inflected words share them.
 PREFIXES = (4, 5, 6)
 #: Votes of weight 1 that the base rate counts as, and score from which a text counts as toxic.
@@ -91,44 +95,83 @@ def _weigh(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class Examples:
-    """The block-max index of the labelled examples that have terms."""
+    """The labelled examples that have terms, by example and, once searched, by term.
+
+    Counts are kept instead of weights, so that cosines are computed in full precision.
+    """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], base: float) -> None:
-        self.terms, self.idf, self.base = terms, idf, base
-        made = sorted(((int(t[np.argmax(w)]), i, y, t, w) for i, y, t, c in rows for w in [_weigh(t, c, idf)]), key=lambda x: x[:3])
-        self.ids, self.y = np.array([m[1] for m in made], dtype=np.int64), np.array([m[2] for m in made], dtype=np.int64)
-        owner = np.repeat(np.arange(len(made)), [len(m[3]) for m in made])
-        term = np.concatenate([np.zeros(0, np.int64), *(m[3] for m in made)])
-        weight = np.concatenate([np.zeros(0), *(m[4] for m in made)])
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
-        self.blocks = -(-len(made) // BLOCK)
-        cell = term * max(self.blocks, 1) + self.owner // BLOCK
-        self.at = np.searchsorted(cell, np.arange(len(terms) * max(self.blocks, 1) + 1))
-        self.most = np.zeros(len(terms) * max(self.blocks, 1))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(terms), max(self.blocks, 1))
-
-    def _read(self, term: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, exact cosines) of some blocks."""
-        cell = (term[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin, size = self.at[cell], self.at[cell + 1] - self.at[cell]
-        entry = np.repeat(begin - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
-        who, place = np.unique(self.owner[entry], return_inverse=True)
-        part = self.weight[entry] * np.repeat(np.repeat(query, len(blocks)), size)
-        return who, np.bincount(place, weights=part, minlength=len(who))
+        self.terms, self.idf, self.base, self.owner = terms, idf, base, None
+        rows = sorted(rows, key=lambda r: r[0])
+        self.ids, self.y = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+        self.first = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows]))).astype(np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r[2], np.int32) for r in rows)])
+        self.count = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r[3], np.int32) for r in rows)])
+        norms = [np.sqrt((w * w).sum()) for r in rows for w in [(1 + np.log(r[3])) * idf[r[2]]]]
+        self.inverse = 1 / np.array(norms, dtype=np.float64)
+
+    def __getstate__(self) -> dict:
+        """Without the lists by term; terms as differences, and bytes of one place next to each other, as they then shrink most."""
+        packed = [zlib.compress(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in (np.diff(self.term, prepend=0), self.count)]
+        return {k: v for k, v in self.__dict__.items() if k in ("terms", "idf", "base", "ids", "y", "first", "inverse")} | {"packed": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        term, count = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in state.pop("packed"))
+        self.__dict__ |= state | {"term": np.cumsum(term, dtype=np.int32), "count": count, "owner": None}
+
+    def _invert(self) -> None:
+        order = np.argsort(self.term, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))[order]
+        self.part = self.count[order]
+        self.at = np.searchsorted(self.term[order], np.arange(len(self.terms) + 1))
+        self.logs = 1 + np.log(np.maximum(np.arange(self.part.max(initial=0) + 1), 1))
+        self.most = np.zeros(len(self.terms))
+        np.maximum.at(self.most, self.term, self.logs[self.count])
+
+    def _read(self, term: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+        """Adds the products of some terms to the examples' sums."""
+        cuts = [slice(a, b) for a, b in zip(self.at[term].tolist(), self.at[term + 1].tolist(), strict=True)]
+        owner, part = np.concatenate([self.owner[c] for c in cuts]), self.logs[np.concatenate([self.part[c] for c in cuts])]
+        part *= np.repeat(weight, self.at[term + 1] - self.at[term])
+        into += np.bincount(owner, weights=part, minlength=len(into))
+
+    def _finish(self, who: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of some examples over some terms, from the examples' own terms."""
+        size = self.first[who + 1] - self.first[who]
+        entry = np.repeat(self.first[who] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
+        query = np.zeros(len(self.terms))
+        query[term] = weight
+        return np.bincount(np.repeat(np.arange(len(who)), size), weights=query[self.term[entry]] * self.logs[self.count[entry]], minlength=len(who))
 
     def nearest(self, term: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first, ties to the first example."""
-        bound = query @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        who, cosine = self._read(term, query, order[:FIRST])
-        rest, kth = order[FIRST:], np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
-        rest = rest[bound[rest] >= kth - 1e-12]
-        if len(rest):
-            more, its = self._read(term, query, rest)
-            who, cosine = np.concatenate((who, more)), np.concatenate((cosine, its))
+        if self.owner is None:
+            self._invert()
+        weight = query * self.idf[term]
+        lists, bound = self.at[term + 1] - self.at[term], weight * self.most[term]
+        order = np.argsort(-bound / np.maximum(lists, 1), kind="stable")
+        order = order[lists[order] > 0]
+        term, weight, lists, bound = term[order], weight[order], lists[order], bound[order]
+        done = np.cumsum(lists)
+        total, sums, low = int(done[-1]) if len(done) else 0, np.zeros(len(self.ids)), 0
+        who = np.arange(len(self.ids))
+        for part in STEPS:
+            high = int(np.searchsorted(done, part * total, side="left")) + 1 if total else 0
+            high = min(high, len(term))
+            if high > low:
+                self._read(term[low:high], weight[low:high], sums)
+            low, rest = high, bound[high:].sum()
+            if low >= len(term) or len(sums) <= k:
+                continue
+            cosine = sums * self.inverse
+            kth = np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+            near = np.flatnonzero(cosine + rest * self.inverse >= kth - 1e-9)
+            if (self.first[near + 1] - self.first[near]).sum() < total - done[low - 1]:
+                who, sums = near, sums[near] + self._finish(near, term[low:], weight[low:])
+                break
+        cosine = sums * self.inverse[who]
+        kept = np.flatnonzero(sums > 0)
+        who, cosine = who[kept], cosine[kept]
         best = np.lexsort((who, -np.round(cosine, 12)))[:k]
         return who[best], cosine[best]
 
@@ -143,19 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
     """The index of at most EXAMPLES labelled documents for which usable, a condition on labels, holds; equal texts are
     one example, with the smallest id and the largest label.
 
-    Terms are the at most TERMS words and beginnings most strongly tied to the label by chi-square. Without labels, or with one label
+    Terms are all words and beginnings in the examples, weighted by their tie to the label. Without labels, or with one label
     only, there are no terms, and every text gets the base rate (0 without labels).
     """
     sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    terms = np.zeros(0, dtype=np.uint64)
+    terms, tie = np.zeros(0, dtype=np.uint64), np.zeros(0)
     if 0 < ones < size:
         n, p = float(size), float(ones)
-        counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every"))
-        away = F.col("ones") * n - F.col("every") * p
-        chi2 = away * away * n / (F.col("every") * (n - F.col("every")) * (p * (n - p)))
-        kept = counts.where((F.col("every") >= max(LEAST_ROWS, n * LEAST_PART)) & (F.col("every") < n)).where(chi2 >= max(LEAST_CHI2, n * LEAST_PHI2)).orderBy(chi2.desc(), "term").limit(TERMS)
-        terms = np.sort(np.array([r.term for r in kept.select("term").collect()], dtype=np.int64).view(np.uint64))
+        counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, ones bigint, every bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("every").alias("every")).toArrow()
+        terms = counts["term"].to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        terms, of, every = terms[order], *(counts[c].to_numpy()[order].astype(np.float64) for c in ("ones", "every"))
+        chi2 = (of * n - every * p) ** 2 * n / np.maximum(every * (n - every) * (p * (n - p)), 1.0)
+        tie = np.maximum(LEAST_TIE, np.sqrt(np.maximum(chi2 - NOISE, 0.0) / n))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms) + 1, dtype=np.int64)
@@ -163,29 +207,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
             total[-1] += len(batch)
             for _, term, _ in _vectors(batch.column(0), terms):
                 total[term] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
     df = np.zeros(len(terms) + 1)
-    for r in docs.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        df[r.k] = r.n
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    df[found["k"].to_numpy()] = found["n"].to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * tie
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {row: (term, count) for row, term, count in _vectors(batch.column("text"), terms)}
             pick = pa.array(list(found), pa.int64())
-            pairs = [pa.array([x[j].tolist() for x in found.values()], pa.list_(pa.int64())) for j in (0, 1)]
+            pairs = [pa.array([x[j].astype(np.int32).tobytes() for x in found.values()], pa.binary()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), batch.column("y").take(pick), *pairs], ["id", "y", "term", "count"])
 
-    rows = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(vectors, "id bigint, y int, term array<bigint>, count array<bigint>").collect()
-    made = [(r.id, r.y, np.array(r.term), np.array(r["count"])) for r in rows]
-    plain, toxic = size - len(made), ones - sum(r[1] for r in made)
-    return Examples(terms, idf, made, toxic / plain if plain else ones / size if size else 0.0)
+    rows = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(vectors, "id bigint, y int, term binary, count binary").toArrow()
+    made = [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*(rows[c].to_pylist() for c in ("id", "y", "term", "count")), strict=True)]
+    return Examples(terms, idf, made, ones / size if size else 0.0)
 
 
 def score_texts(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, neighbours, cosines) for every row of docs; a text without terms (null, empty) gets the base rate
-    of the examples without terms, and no neighbours. Other columns are not read; rows may repeat."""
+    of the examples, and no neighbours. Other columns are not read; rows may repeat."""
     index = docs.sparkSession.sparkContext.broadcast(examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,7 +357,26 @@ def test_toxicity_counts_copies_of_a_text_once(spark):
     model = toxicity.fit(docs, labels, F.lit(True))
     kept = {x.doc_id for x in toxicity.drop_toxic(docs, model).collect()}
     assert len(model.ids) == len(set(model.ids.tolist())) and not kept & set(range(300, 360)) and kept >= set(range(360, 900))
-    assert model.base < 0.01
+    assert model.base < 0.15
+
+
+def test_toxicity_searches_all_terms(spark):
+    """A toxic text whose words are too rare to be tied to the label is found by its near copy, and search is exact."""
+    r = random.Random(9)
+    words = lambda k: [r.choice(WORDS) for _ in range(k)]
+    rare = [f"qx{j}" for j in range(12)]
+    texts = [" ".join(words(20) + ["vile"]) for _ in range(80)] + [" ".join(words(20)) for _ in range(1000)] + [" ".join(rare)]
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join([*rare[:11], "other"])])), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 80 or i == 1080)) for i in range(1081)], "doc_id long, toxic int"), F.lit(True))
+    got = {x.doc_id: x for x in toxicity.score_texts(docs, model).collect()}
+    assert got[1081].neighbours[0] == 1080 and got[1081].score >= toxicity.THRESHOLD
+    dense = np.zeros((1081, len(model.terms)))
+    held = lambda x: list(toxicity._vectors(pa.array(x), model.terms))
+    for i, term, count in held(texts):
+        dense[i, term] = toxicity._weigh(term, count, model.idf)
+    for i in (0, 200, 700):
+        exact = np.sort(dense @ dense[i])[::-1][:25]
+        assert np.allclose(got[i].cosines, exact) and got[i].neighbours[0] == i
 
 
 def test_block_max_search_is_exact():
