@@ -1,7 +1,7 @@
 """Secret scans of whole texts: patterns, and strings that a tokenizer finds inefficient.
 
 Random strings fall into short tokens under a vocabulary learned from text. A run of key characters with few
-characters per token is a secret unless it is a digest or an identifier of a known form.
+characters per token is a secret unless it is a digest or an identifier of a known form; so is such a stretch between words.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Digests by their hexadecimal lengths (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), with an algorithm's name or not; UUIDs; dates and plain numbers.
 _KNOWN = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=/])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9T_/+-]+Z?", re.IGNORECASE | re.ASCII)
 
+_PART = re.compile(r"[^/=_-]+")
+
 _RUN_BYTES = np.zeros(256, dtype=np.uint8)
 _RUN_BYTES[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = 1
 _HEX_BYTES = np.zeros(256, dtype=np.uint8)
@@ -72,15 +74,40 @@ def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> list[tuple[int,
 
 
 def is_candidate(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not _KNOWN.fullmatch(run)
+    return any(c.isalpha() for c in run) and not _KNOWN.fullmatch(run)
+
+
+def stretches(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
+    """(start, end) in a run of what is random: the whole, or what is left without the words around it, or else parts
+    between separators. A known form between words is no secret, nor are its parts."""
+    random = lambda a, b: b - a >= LEAST and is_candidate(run[a:b]) and efficiency.ratio(run[a:b]) <= RATIO
+    if _KNOWN.fullmatch(run):
+        return []
+    parts = [m.span() for m in _PART.finditer(run)]
+    if random(0, len(run)):
+        return [(0, len(run))]
+    word = lambda p: run[p[0] : p[1]].isalpha() and efficiency.ratio(run[p[0] : p[1]]) > RATIO
+    first, last = 0, len(parts)
+    while first < last and word(parts[first]):
+        first += 1
+        if first < last and _KNOWN.fullmatch(run, parts[first][0], parts[-1][1]):
+            return []
+    while first < last and word(parts[last - 1]):
+        last -= 1
+        if first < last and _KNOWN.fullmatch(run, parts[first][0], parts[last - 1][1]):
+            return []
+    if first < last and random(parts[first][0], parts[last - 1][1]):
+        return [(parts[first][0], parts[last - 1][1])]
+    return [p for p in parts if random(*p)]
 
 
 def random_spans(text: str, efficiency: Efficiency, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs with few characters per token that touch none of the spans taken."""
+    """Runs, or stretches of them, with few characters per token that touch none of the spans taken."""
     found = []
     for m in _RUN.finditer(text):
-        if is_candidate(m[0]) and efficiency.ratio(m[0]) <= RATIO and not any(s < m.end() and m.start() < e for s, _, e in taken):
-            found.append((m.start(), 3, m.end()))
+        if any(c.isalpha() for c in m[0]):
+            at = [(m.start() + a, m.start() + b) for a, b in stretches(m[0], efficiency)]
+            found += [(a, 3, b) for a, b in at if not any(s < b and a < e for s, _, e in taken)]
     return found
 
 
@@ -106,9 +133,6 @@ def _likely(data: np.ndarray, offsets: np.ndarray) -> dict[int, set[str]]:
     for kind, table, least in (("hex", _HEX_BYTES, 24), ("random", _RUN_BYTES, LEAST)):
         runs = Words(data, offsets, table, lower=False)
         keep = runs.end - runs.start >= least
-        if kind == "random":
-            digits = np.concatenate(([0], np.cumsum((data >= 0x30) & (data <= 0x39))))
-            keep &= digits[runs.end] > digits[runs.start]
         for row in np.unique(runs.row_of_word()[keep]).tolist():
             out.setdefault(row, set()).add(kind)
     return out

@@ -313,6 +313,20 @@ def test_secrets(spark):
     assert random_of[12] == [texts[12].split()[1]] and not any(random_of[i] for i in (13, 14, 15, 16, 9))
 
 
+def test_random_strings_of_letters_and_behind_words(spark):
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    token = lambda k, alphabet=letters + "0123456789": "".join(r.choice(alphabet) for _ in range(k))
+    keys = [token(24, letters) for _ in range(40)] + [token(24) for _ in range(120)]
+    around = [""] * 40 + ["/services/production/"] * 40 + ["database-connection-"] * 40 + ["/services/production/"] * 40
+    texts = [f"a {a}{k}{'/settings/default' if i >= 120 else ''} b" for i, (a, k) in enumerate(zip(around, keys, strict=True))]
+    plain = ["/services/production/database-connection-settings", "/services/production/settings/123e4567-e89b-12d3-a456-426614174000-database-connection-settings-default", "internationalization_of_ordinary_words", "=" * 40, "-" * 5000 + "a"]
+    df = spark.createDataFrame(list(enumerate([*texts, *plain])), "doc_id long, text string")
+    got = {x.doc_id: [[*texts, *plain][x.doc_id][s.start : s.end] for s in x.spans if s.kind == "random"] for x in secrets.find_secrets(df).collect()}
+    assert all(len(got[i]) == 1 and k in got[i][0] for i, k in enumerate(keys))
+    assert not any(got[i] for i in range(len(texts), len(texts) + len(plain)))
+
+
 def labelled(spark, n=400):
     r = random.Random(6)
     rows, labels = [], []
