@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Candidates that one group sweeps.
+BLOCK = 256
+
 
 def capacity_sweep(frame: DataFrame, candidates: DataFrame, demand: float, storage_cost: float) -> DataFrame:
     """(cell_id, mix, storage, cost, unmet) by windows: frame(cell_id, hour_index, wind, solar), candidates(mix, wind_mw,
     solar_mw, mix_cost). Storage that carries a cyclic year is the largest fall of the running sum over two years in a
-    row; a mix that makes less than the demand is infeasible. candidates is a short list, crossed with every hour."""
-    mixes = F.broadcast(candidates.limit(1024))
+    row; a mix that makes less than the demand is infeasible. All candidates are crossed with every hour."""
     flow = F.coalesce("wind", F.lit(0.0)) * F.col("wind_mw") + F.coalesce("solar", F.lit(0.0)) * F.col("solar_mw") - demand
-    net = frame.crossJoin(mixes).select("cell_id", "mix", "mix_cost", "hour_index", flow.alias("net"))
+    net = frame.crossJoin(candidates).select("cell_id", "mix", "mix_cost", "hour_index", flow.alias("net"))
     twice = net.withColumn("year", F.explode(F.array(F.lit(0), F.lit(1))))
     order = Window.partitionBy("cell_id", "mix").orderBy("year", "hour_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fallen = twice.withColumn("sum", F.sum("net").over(order)).withColumn("fall", F.max("sum").over(order) - F.col("sum"))
@@ -41,15 +43,19 @@ def sequent_peak(net: np.ndarray) -> np.ndarray:
 
 def capacity_sweep_packed(frame: DataFrame, candidates: DataFrame, demand: float, storage_cost: float) -> DataFrame:
     """As capacity_sweep, for full years: a cell's hours are one group, and the candidates are swept inside it, so that
-    rows don't multiply by hours times candidates. A group holds the hours of a year; candidates is a short list."""
-    mixes = candidates.limit(1024).orderBy("mix").toPandas()
+    rows don't multiply by hours times candidates. A group holds the hours of a year and BLOCK candidates; the hours are
+    repeated for each block. The list of candidates is held by the driver."""
+    mixes = candidates.orderBy("mix").toPandas()
+    blocks = -(-len(mixes) // BLOCK)
 
     def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour_index").fillna(0.0)
-        net = np.outer(mixes.wind_mw, pdf.wind) + np.outer(mixes.solar_mw, pdf.solar) - demand
-        return pd.DataFrame({"cell_id": key[0], "mix": mixes.mix, "mix_cost": mixes.mix_cost, "surplus": net.sum(axis=1), "storage": sequent_peak(net), "unmet": np.maximum(0.0, -net).sum(axis=1)})
+        own = mixes.iloc[key[1] * BLOCK : (key[1] + 1) * BLOCK]
+        net = np.outer(own.wind_mw, pdf.wind) + np.outer(own.solar_mw, pdf.solar) - demand
+        return pd.DataFrame({"cell_id": key[0], "mix": own.mix, "mix_cost": own.mix_cost, "surplus": net.sum(axis=1), "storage": sequent_peak(net), "unmet": np.maximum(0.0, -net).sum(axis=1)})
 
-    sized = frame.select("cell_id", "hour_index", "wind", "solar").groupBy("cell_id").applyInPandas(sweep, "cell_id long, mix int, mix_cost double, surplus double, storage double, unmet double")
+    hours = frame.select("cell_id", "hour_index", "wind", "solar", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks else F.expr("cast(array() as array<int>)")).alias("block"))
+    sized = hours.groupBy("cell_id", "block").applyInPandas(sweep, "cell_id long, mix int, mix_cost double, surplus double, storage double, unmet double")
     return _priced(sized, storage_cost)
 
 

@@ -178,6 +178,17 @@ def test_sweep_forms_agree(spark):
     assert sizing.best_mix(sizing.capacity_sweep_packed(frame, mixes, 0.9, 0.1)).count() == 3
 
 
+def test_sweep_takes_all_mixes(spark):
+    frame = spark.createDataFrame([(c, h, 0.5, float(h % 2)) for c in range(2) for h in range(4)], "cell_id long, hour_index int, wind double, solar double")
+    grid = list(itertools.product(range(33), range(33)))
+    mixes = spark.createDataFrame([(m, float(w), float(s), 1.0 if m == len(grid) - 1 else 100.0) for m, (w, s) in enumerate(grid)], "mix int, wind_mw double, solar_mw double, mix_cost double")
+    for f in (sizing.capacity_sweep, sizing.capacity_sweep_packed):
+        sized = f(frame, mixes, 0.9, 0.1).collect()
+        assert sorted((x.cell_id, x.mix) for x in sized) == [(c, m) for c in range(2) for m in range(len(grid))]
+        assert sorted((x.cell_id, x.mix) for x in sizing.best_mix(f(frame, mixes, 0.9, 0.1)).collect()) == [(0, 1088), (1, 1088)]
+    assert sizing.capacity_sweep_packed(frame, mixes.limit(0), 0.9, 0.1).count() == 0
+
+
 def test_economics(spark):
     capacity = spark.createDataFrame([(1, "wind", 10.0), (1, "electrolysis", 4.0), (1, "other", 2.0)], "cell_id long, name string, optimum double")
     prices = spark.createDataFrame([("wind", 100.0), ("electrolysis", 50.0), ("other", 7.0)], "name string, capital_cost double")
