@@ -8,31 +8,35 @@ from pyspark.sql import functions as F
 from .durable import checkpoint
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def contract(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
-    Each round hooks every node to the neighbour (or itself) of least hashed priority and contracts the graph;
-    random priorities remove a constant share of the nodes a round whatever the graph's shape, so the rounds grow
-    with the logarithm of the longest path. All steps are partial aggregations and equi joins; a hub's row count
-    never gathers in one group. Loops are allowed and make their node known; nulls are ignored.
+    Each round hooks every node to the least neighbour (or itself) and contracts the graph. Nodes are longs that should be
+    well spread, such as hashes: in random order a constant share of the nodes goes in a round whatever the graph's
+    shape, and a star whose centre is its least node goes in one. All steps are partial aggregations and equi joins; a
+    hub's row count never gathers in one group. Loops are allowed and make their node known; nulls are ignored.
     """
-    priority = lambda c: F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("id"))
-    current = checkpoint(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct())
-    known = None
+    current, hops = checkpoint(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct()), []
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = both.groupBy("a").agg(F.min(priority("b")).alias("best"))
-        hop = checkpoint(hop.select(F.col("a").alias("node"), F.least(priority("a"), "best")["id"].alias("root")))
-        if known is None:
-            known = hop
-        else:
-            step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            known = checkpoint(known.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        first = hop.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        second = hop.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        hops.append(checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))))
+        first = hops[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        second = hops[-1].select(F.col("node").alias("b"), F.col("root").alias("rb"))
         current = current.join(first, "a").join(second, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         current = checkpoint(current.distinct())
         if current.isEmpty():
             break
-    least = known.groupBy("root").agg(F.min("node").alias("component"))
-    return known.join(least, "root").select("node", "component")
+    known = hops[0]
+    for hop in hops[1:]:
+        step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        known = known.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return known.withColumnRenamed("root", "component")
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """contract for longs that needn't be well spread, such as ids: it works on their hashes, which differ where they do."""
+    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna()
+    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("hash", F.xxhash64("node"))
+    found = contract(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "a", "b").withColumnRenamed("node", "hash")
+    found = names.join(found, "hash").select("node", F.col("component").alias("root"))
+    return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")

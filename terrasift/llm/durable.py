@@ -5,24 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """frame, computed once and kept in spark.checkpoint.dir; a lost executor loses none of it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a session without one gets one of our own if it runs in this process alone."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
-    Only where the session names no folder (tests, a laptop) one of our own is made.
-    """
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """frame, computed once and kept in the shared folder; a lost executor loses none of it."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """frame, written as Parquet in the shared checkpoint folder and read again."""
+def written(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """frame, written as Parquet in folder, or else in the shared folder, and read again.
+
+    It stays there, as other jobs may read it; cleaning the shared folder is up to its owner.
+    """
     spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = folder or shared_folder(spark)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -11,10 +11,13 @@ The method, exact from end to end:
    rarity and keep the shortest prefix that must hit a partner: a rare shingle is a signature by itself; frequent
    ones fall into classes, where every combination of k = 2 is a signature, so a class of c frequent shingles
    survives c - 2 misses and the prefix is extended until the survivals exceed the misses a partner can cause.
-4. Classes that share a signature are chained; chained groups are verified: exact intersection counts from an
-   inverted index of the group. Groups above a size are verified in pairs of blocks.
+4. Classes that share a signature form a group with all that they reach that way; groups are verified with exact
+   intersection counts. A group above a size is cut in blocks: each block is verified by itself, then one set of every
+   component of a block is compared with all other blocks, and only where that leaves several larger components are
+   their blocks compared in pairs.
 
-Set identity and shingles are 64-bit hashes.
+A shingle that very many classes have in their prefix is told by counting in each batch; its entries need no counting
+and are dealt by class. Shingles are 64-bit hashes; sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import contract
 from .durable import checkpoint, spare_name
 from .words import NOT_SPACE, Words, mix, shingle_sets, text_chunks
 
@@ -35,9 +38,10 @@ from .words import NOT_SPACE, Words, mix, shingle_sets, text_chunks
 FREQUENT = 64
 #: A prefix is extended by this part of the set.
 EXTENSION = 8
-#: Text bytes whose prefixes make one bucket of shingles, and shingles that one block of a group may hold.
-BUCKET_BYTES, BLOCK_SHINGLES = 32 << 20, 1_500_000
-_NO_ID = -(2**63)
+#: Shingles of sets whose prefixes make one bucket, and shingles that one block of a group may hold.
+BUCKET_SHINGLES, BLOCK_SHINGLES = 4_000_000, 100_000
+#: A shingle is hot with at least one in HOT_SHARE of all prefix entries, and at least HOT_LEAST of them.
+HOT_SHARE, HOT_LEAST = 4096, 1024
 
 
 def _ceil(a: int, b: int) -> int:
@@ -68,9 +72,12 @@ class _Rule:
         return max(0, self.least_shared(smallest) - 1)
 
 
-def _set_hash(values: np.ndarray) -> int:
+def _set_hash(values: np.ndarray) -> bytes:
+    """128 bits of a set of shingles."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([np.bitwise_xor.reduce(mix(values + np.uint64(0x51ED))) + values.sum(dtype=np.uint64)], dtype=np.uint64))[0].astype(np.int64))
+        one = np.bitwise_xor.reduce(mix(values + np.uint64(0x51ED))) + values.sum(dtype=np.uint64)
+        two = mix(values ^ np.uint64(0xA5A5_0F0F_3C3C_9696)).sum(dtype=np.uint64) + np.uint64(len(values))
+        return mix(np.array([one, two], dtype=np.uint64)).tobytes()
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,37 +88,47 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield low + i, values[first[i] : first[i + 1]]
 
 
-def _profile(width: int):
+def _profile(width: int, rule: _Rule):
+    """A row for each text; and for each shingle that is common in a batch's prefixes one without a node, its count in n."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
+            node, size, prefixes = [b""] * len(batch), np.zeros(len(batch), dtype=np.int64), {}
             for row, values in _sets(batch, width):
                 size[row] = len(values)
-                node[row] = _set_hash(values) if len(values) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(size)], ["id", "node", "n"])
+                if len(values):
+                    node[row] = _set_hash(values)
+                    prefixes.setdefault(node[row], values[: rule.prefix(len(values))].copy())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(node, pa.binary()), pa.array(size)], ["id", "th", "node", "n"])
+            entries = np.concatenate([np.zeros(0, np.uint64), *prefixes.values()])
+            token, count = np.unique(entries, return_counts=True)
+            common = count >= max(2, len(entries) / HOT_SHARE)
+            token, count = token[common].view(np.int64), count[common].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(token), pa.nulls(len(token), pa.binary()), pa.array(count)], ["id", "th", "node", "n"])
 
     return run
 
 
-def _prefixes(width: int, rule: _Rule, buckets: int):
-    """Rows of one bucket and one batch: the prefix shingles in it of the batch's classes, each class once."""
+def _prefixes(width: int, rule: _Rule, buckets: int, hot: np.ndarray):
+    """Rows of one bucket and one batch: the prefix shingles in it of the batch's classes, each class once. Hot shingles
+    lie in buckets of their own, dealt by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts = [], []
-            seen: set[int] = set()
+            found: dict[bytes, np.ndarray] = {}
             for _, values in _sets(batch, width):
-                if len(values) and (node := _set_hash(values)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    parts.append(values[: rule.prefix(len(values))].copy())
-            if not nodes:
+                if len(values) and (node := _set_hash(values)) not in found:
+                    found[node] = values[: rule.prefix(len(values))].copy()
+            if not found:
                 continue
-            tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(nodes)), [len(p) for p in parts])
+            ids = np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2)
+            tokens, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(ids)), [len(p) for p in found.values()])
             bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int32)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+                bucket[is_hot] = buckets + (ids[owner[is_hot], 0] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            ids = np.array(nodes, dtype=np.int64)
             cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
             rows = []
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
@@ -122,19 +139,28 @@ def _prefixes(width: int, rule: _Rule, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The prefix shingles of a bucket that at least two classes have, with the number of classes."""
-    read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()])
-    node, token = np.repeat(read("nodes", np.int64), read("counts", np.int32)), read("tokens", np.uint64)
-    order = np.lexsort((node, token))
-    node, token = node[order], token[order]
-    keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
-    node, token = node[keep], token[keep]
-    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    frequency = np.diff(np.append(start, len(token)))
-    frequency = np.repeat(frequency, frequency)
-    keep = frequency > 1
-    return pa.table({"node": node[keep], "token": token[keep].view(np.int64), "df": frequency[keep].astype(np.int32)})
+def _shared(buckets: int, hot: np.ndarray, hot_count: np.ndarray):
+    """The prefix shingles of a bucket that at least two classes have, with the number of classes (of hot ones, a bound)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()])
+        node, token = np.repeat(read("nodes", np.uint64).reshape(-1, 2), read("counts", np.int32), axis=0), read("tokens", np.uint64)
+        order = np.lexsort((node[:, 1], node[:, 0], token))
+        node, token = node[order], token[order]
+        keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(axis=1)))
+        node, token = node[keep], token[keep]
+        if key[0].as_py() >= buckets:
+            frequency = hot_count[np.searchsorted(hot, token)]
+        else:
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            frequency = np.diff(np.append(start, len(token)))
+            frequency = np.repeat(frequency, frequency)
+        keep = frequency > 1
+        nodes = np.ascontiguousarray(node[keep])
+        nodes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, pa.py_buffer(nodes.tobytes())]).cast(pa.binary())
+        return pa.table({"node": nodes, "token": token[keep].view(np.int64), "df": np.minimum(frequency[keep], 2**31 - 1).astype(np.int32)})
+
+    return run
 
 
 def signatures(tokens: np.ndarray, frequency: np.ndarray, n: int, rule: _Rule, frequent: int = FREQUENT) -> np.ndarray:
@@ -196,126 +222,218 @@ def _tokens(width: int):
     return run
 
 
-def verify(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (pairs of positions) that connect whatever a link of similarity num / den or more connects.
+class _Index:
+    """Sets by shingle, to count what one set has in common with each."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        self.token, self.start = flat[start], np.append(start, len(flat))
+
+    def near(self, values: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The sets with a similarity of num / den or more to values."""
+        at = np.minimum(np.searchsorted(self.token, values), len(self.token) - 1)
+        at = at[self.token[at] == values]
+        size = self.start[at + 1] - self.start[at]
+        entry = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else at
+        common = np.bincount(self.owner[entry], minlength=len(self.n))
+        return np.flatnonzero(den * common >= num * (self.n + len(values) - common))
+
+
+def verify(sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (pairs of positions) that connect whatever a link of similarity num / den or more connects, and the component
+    of each position.
 
     Sweeps pivots: a pivot's exact intersection with every set comes from an inverted index. It ends once all sets
     that were no pivot lie in one component, so that every pair across components has been counted.
     """
-    n = np.array([len(s) for s in sets])
-    owner, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner_by = flat[order], owner[order]
-    start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    frequency = np.diff(np.append(start, len(flat)))
-    begin, length = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
-    begin[order], length[order] = np.repeat(start, frequency), np.repeat(frequency, frequency)
-    first = np.concatenate(([0], np.cumsum(n)))
-    label, open_, links = np.arange(len(sets)), np.ones(len(sets), dtype=bool), []
+    index, label, open_, links = _Index(sets), np.arange(len(sets)), np.ones(len(sets), dtype=bool), []
     while True:
         names, held = np.unique(label[open_], return_counts=True)
         if len(names) <= 1:
-            return links
+            return links, label
         pivot = int(np.flatnonzero(open_ & (label == names[np.argmin(held)]))[0])
         open_[pivot] = False
-        b, size = begin[first[pivot] : first[pivot + 1]], length[first[pivot] : first[pivot + 1]]
-        b, size = b[size > 1], size[size > 1]
-        if not len(b):
-            continue
-        at = np.repeat(b - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        common = np.bincount(owner_by[at], minlength=len(sets))
-        near = np.flatnonzero(den * common >= num * (n + n[pivot] - common))
-        for other in near:
+        for other in index.near(sets[pivot], num, den).tolist():
             if label[other] != label[pivot]:
-                links.append((pivot, int(other)))
+                links.append((pivot, other))
                 label[label == label[other]] = label[pivot]
 
 
-def _verify_rows(num: int, den: int):
-    """Links of each run of equal (label, low, high); rows come sorted by these."""
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[int], list[np.ndarray]]]:
+    """(key, nodes, sets) of each run of equal keys; a node that repeats comes once."""
+    key, found = None, {}
+    for batch in batches:
+        for k, node, tokens in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            if k != key:
+                if found:
+                    yield key, list(found), list(found.values())
+                key, found = k, {}
+            found[node] = np.frombuffer(tokens, dtype=np.uint64)
+    if found:
+        yield key, list(found), list(found.values())
 
-    def links(nodes: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
-        unique = dict(zip(nodes, sets, strict=True))
-        ids = list(unique)
-        return [(ids[a], ids[b]) for a, b in verify([np.frombuffer(x, dtype=np.uint64) for x in unique.values()], num, den)]
+
+def _link_rows(num: int, den: int, keys: tuple[str, ...]):
+    """Links of each run of equal keys; rows come sorted by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for _, nodes, sets in _blocks(batches, keys):
+            links = verify(sets, num, den)[0] if len(sets) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[i]] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+_WITHIN = "label bigint, block int, blocks int, node bigint, part bigint, pivot boolean, single boolean, tokens binary"
+
+
+def _within(num: int, den: int):
+    """Each block's sets with their component in the block; one set of each is its pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (label, block, blocks), nodes, sets in _blocks(batches, ("label", "block", "blocks")):
+            part = verify(sets, num, den)[1]
+            names, first, held = np.unique(part, return_index=True, return_counts=True)
+            at, n = np.searchsorted(names, part), len(nodes)
+            pivot = np.zeros(n, dtype=bool)
+            pivot[first] = True
+            columns = [pa.array([label] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array([blocks] * n, pa.int32()), pa.array(nodes, pa.int64())]
+            columns += [pa.array(np.array(nodes, dtype=np.int64)[first[at]]), pa.array(pivot), pa.array(held[at] == 1), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "block", "blocks", "node", "part", "pivot", "single", "tokens"])
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Links between the parts of a block, whose sets come first, and the pivots of other blocks, which are read one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, parts, index = None, [], [], None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "low", "high")), strict=True))
-            for k, node, tokens in zip(keys, batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if k != key:
-                    out += links(nodes, sets) if len(nodes) > 1 else []
-                    key, nodes, sets = k, [], []
-                nodes.append(node)
-                sets.append(tokens)
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema)
-        if len(nodes) > 1:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(nodes, sets)], schema)
+            links = set()
+            for label, block, guest, part, tokens in zip(*(batch.column(c).to_pylist() for c in ("label", "block", "guest", "part", "tokens")), strict=True):
+                if (label, block) != key:
+                    key, sets, parts, index = (label, block), [], [], None
+                values = np.frombuffer(tokens, dtype=np.uint64)
+                if not guest:
+                    sets.append(values)
+                    parts.append(part)
+                    continue
+                if not sets:  # no class of the group lies in this block
+                    continue
+                if index is None:
+                    index, parts = _Index(sets), np.array(parts, dtype=np.int64)
+                links |= {(part, other) for other in np.unique(parts[index.near(values, num, den)]).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _large_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in groups of several blocks; sets(label, block, blocks, node, tokens)."""
+    parts = sets.repartition("label", "block").sortWithinPartitions("label", "block", "blocks")
+    parts = checkpoint(parts.mapInArrow(_within(num, den), _WITHIN))
+    links = parts.where("node <> part").select(F.col("part").alias("a"), F.col("node").alias("b"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    guests = parts.where("pivot").select("label", others.alias("block"), F.lit(True).alias("guest"), "part", "tokens")
+    meet = parts.select("label", "block", F.lit(False).alias("guest"), "part", "tokens").unionByName(guests)
+    meet = meet.repartition("label", "block").sortWithinPartitions("label", "block", "guest")
+    across = checkpoint(meet.mapInArrow(_across(num, den), "a bigint, b bigint").distinct())
+    links = links.unionByName(across)
+
+    # Sets that are alone in their block's component have met all others. Of the rest, pairs in different components haven't.
+    joined = contract(across, "a", "b").select(F.col("node").alias("part"), "component")
+    rest = parts.where("not single").join(joined, "part", "left").withColumn("component", F.coalesce("component", "part"))
+    open_ = rest.groupBy("label").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("label")
+    if open_.isEmpty():
+        return links
+    pairs = rest.join(open_, "label", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "tokens").where("low < high")
+    pairs = pairs.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
+    return links.unionByName(pairs.mapInArrow(_link_rows(num, den, ("label", "low", "high")), "a bigint, b bigint"))
+
+
+def _classes_and_components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows(id, th, node, n), classes(node, rep)): th is the hash of a row's text, node its set's 128 bits, and rep the
+    least (id, th) of the set's component."""
+    rule, both = _Rule(num, den), ["id", "th"]
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    profile = checkpoint(texts.mapInArrow(_profile(width, rule), "id bigint, th bigint, node binary, n bigint"))
+    rows = profile.where("node is not null")
+    classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(*both)).alias("rep"), F.max("n").alias("n"))
+    classes = checkpoint(classes.withColumn("k", F.xxhash64(F.monotonically_increasing_id())))
+
+    entries = (classes.agg(F.sum("n")).first()[0] or 0) * 3 // 8
+    least = max(HOT_LEAST, entries // HOT_SHARE)
+    hot = profile.where("node is null").groupBy("th").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("th").toArrow()  # at most 2 * HOT_SHARE rows
+    hot_token, hot_count = (hot[c].to_numpy() for c in ("th", "n"))
+    order = np.argsort(hot_token.view(np.uint64))
+    hot_token, hot_count = hot_token.view(np.uint64)[order], hot_count[order]
+    buckets = _ceil(entries + 1, BUCKET_SHINGLES * 3 // 8)
+
+    dealt = texts.mapInArrow(_prefixes(width, rule, buckets, hot_token), "bucket int, nodes binary, counts binary, tokens binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets, hot_token, hot_count), "node binary, token bigint, df int")
+    per_class = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t")).join(classes, "node")
+    per_class = per_class.select(F.col("k").alias("node"), "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
+    signed = checkpoint(per_class.mapInArrow(_signature_rows(rule), "sig bigint, node bigint"))
+    stars = signed.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
+    groups = contract(signed.join(stars, "sig").select("node", "centre"), "node", "centre").withColumnRenamed("component", "label")
+
+    wanted = groups.join(classes.select(F.col("k").alias("node"), "rep", "n"), "node")
+    weight = wanted.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    wanted = wanted.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    wanted = checkpoint(wanted.select(F.col("rep.id").alias("wanted_id"), F.col("rep.th").alias("wanted_th"), "node", "label", "blocks", "block"))
+    same = texts["id"].eqNullSafe(F.col("wanted_id")) & (texts["th"] == F.col("wanted_th"))
+    fetch = lambda some: texts.join(some.hint("shuffle_hash"), same).select("text", "node", "label", "blocks", "block").mapInArrow(_tokens(width), "node bigint, label bigint, blocks int, block int, tokens binary")
+    small = fetch(wanted.where("blocks = 1")).repartition("label").sortWithinPartitions("label")
+    links = small.mapInArrow(_link_rows(num, den, ("label",)), "a bigint, b bigint")
+    large = wanted.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_large_groups(fetch(large), num, den))
+
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    own = rows.where("n > 0").join(repeated, "id", "left_semi").join(classes.select("node", "k"), "node").select("id", "k")
+    by_id = own.join(own.groupBy("id").agg(F.min("k").alias("centre")), "id").select(F.col("k").alias("a"), F.col("centre").alias("b"))
+    joined = contract(links.unionByName(by_id), "a", "b")
+    joined = joined.join(classes.select(F.col("k").alias("node"), "rep"), "node")
+    least_rep = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    joined = joined.join(least_rep, "component").select(F.col("node").alias("k"), "least")
+    return rows, classes.join(joined, "k", "left").select("node", F.coalesce("least", "rep").alias("rep"))
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs.
 
     Words are runs of anything but space and tab to carriage return, A to Z lower-cased. Two rows link when
     den * |intersection| >= num * |union| of their distinct width-word shingles; fewer words are one shingle; a null,
-    empty or blank text has none and links with nothing. component_id is the smallest id reachable. Rows of one id
-    count as linked with each other; a null id is an id of its own that sorts first. Other columns are not read.
+    empty or blank text has none and links with nothing. Ids are whole numbers. component_id is the smallest id
+    reachable, null where a row without an id is. Rows of one id that have words count as linked with each other; rows
+    without an id don't. Other columns are not read.
     """
-    rule, long = _Rule(num, den), "bigint"
-    texts = docs.select(F.coalesce(F.col(id_col).cast(long), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = _ceil(size + 1, BUCKET_BYTES)
-
-    profile = checkpoint(texts.mapInArrow(_profile(width), "id bigint, node bigint, n bigint"))
-    classes = checkpoint(profile.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
-
-    dealt = texts.mapInArrow(_prefixes(width, rule, buckets), "bucket int, nodes binary, counts binary, tokens binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "node bigint, token bigint, df int")
-    per_class = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t")).join(classes, "node")
-    per_class = per_class.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
-    signed = per_class.mapInArrow(_signature_rows(rule), "sig bigint, node bigint")
-    chain = signed.select("node", F.lag("node").over(Window.partitionBy("sig").orderBy("node")).alias("before")).where("before is not null")
-    groups = connected_components(chain, "before", "node").withColumnRenamed("component", "label")
-
-    groups = groups.join(classes, "node")
-    weight = groups.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    groups = groups.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    wanted = checkpoint(groups.select(F.col("rep").alias("id"), "node", "label", "blocks", "block"))
-    held = texts.join(wanted.hint("shuffle_hash"), "id").select("text", "node", "label", "blocks", "block")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    paired = held.mapInArrow(_tokens(width), "node bigint, label bigint, blocks int, block int, tokens binary").withColumn("other", other)
-    paired = paired.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "tokens")
-    paired = paired.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
-    links = checkpoint(paired.mapInArrow(_verify_rows(num, den), "a bigint, b bigint"))
-
-    rep = lambda c, to: classes.select(F.col("node").alias(c), F.col("rep").alias(to))
-    edges = links.join(rep("a", "x"), "a").join(rep("b", "y"), "b").select("x", "y")
-    own = profile.where("n > 0").join(classes.select("node", "rep"), "node").select("id", "rep")
-    repeated = profile.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
-    edges = edges.union(own.join(repeated, "id", "left_semi"))
-    joined = connected_components(edges, "x", "y")
-    result = profile.join(classes.select("node", "rep"), "node", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    result = result.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
-    result = result.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
-    blank = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return result.select(blank("id").alias(id_col), F.col("n").alias("n_shingles"), blank("c").alias("component_id"))
+    rows, classes = _classes_and_components(docs, id_col, text_col, width, num, den)
+    found = rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep.id")).otherwise(F.col("id")).alias("component_id"))
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
-    """docs with one document of each component of near copies: that with the smallest id.
+    """docs with one document of each component of near copies: that with the smallest id, where a row without an id
+    comes first, and of equal ids the text with the smallest hash.
 
-    Rows of one id are one document, of which one row stays; rows without an id stay, one of each text.
+    Rows of one id are one document, of which one row stays; so are rows without an id that have equal texts. Texts
+    without words stay.
     """
-    found = checkpoint(near_duplicate_components(docs, id_col, text_col, **rule))
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(dropped.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
-    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+    rule = {"width": 5, "num": 75, "den": 100} | rule
+    rows, classes = _classes_and_components(docs, id_col, text_col, rule["width"], rule["num"], rule["den"])
+    found = checkpoint(rows.join(classes, "node", "left").select("id", "th", (F.col("n") > 0).alias("has"), "rep"))
+    gone = found.where(F.col("has") & ~(F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.th") == F.col("th")))).select("id", "th").distinct()
+    same = docs[id_col].cast("bigint").eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["th"])
+    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    if found.groupBy("id").count().where("count > 1").isEmpty():
         return kept
     key = spare_name(docs, "key")
-    own = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    own = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
     return kept.withColumn(key, own).dropDuplicates([key]).drop(key)

@@ -97,7 +97,7 @@ def jaccard_by_force(rows):
     return sorted((i, len(sets[k]), comp[i]) for k, i in enumerate(ids))
 
 
-@pytest.mark.parametrize("frequent, block", [(64, 1_500_000), (2, 1_500_000), (3, 150)])
+@pytest.mark.parametrize("frequent, block", [(64, 1_500_000), (2, 1_500_000), (3, 150), (64, 60)])
 def test_jaccard(spark, monkeypatch, frequent, block):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(jaccard.signatures, "__defaults__", (frequent,))
