@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import checkpoint
 
+#: Up to this many edges that are left are contracted in one task, instead of in further rounds.
+FEW_EDGES = 50_000
+
+
+def _last_hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node reachable from each node of few edges."""
+    ends = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches]
+    nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        least = least[least[root]]
+        if (least == root).all():
+            break
+        root = least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
 
 def contract(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
@@ -14,18 +38,18 @@ def contract(edges: DataFrame, left: str, right: str) -> DataFrame:
     Each round hooks every node to the least neighbour (or itself) and contracts the graph. Nodes are longs that should be
     well spread, such as hashes: in random order a constant share of the nodes goes in a round whatever the graph's
     shape, and a star whose centre is its least node goes in one. All steps are partial aggregations and equi joins; a
-    hub's row count never gathers in one group. Loops are allowed and make their node known; nulls are ignored.
+    hub's row count never gathers in one group. The last FEW_EDGES edges are contracted in one task. Loops are allowed and
+    make their node known; nulls are ignored.
     """
     current, hops = checkpoint(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna().distinct()), []
-    while True:
+    while current.count() > FEW_EDGES:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hops.append(checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))))
         first = hops[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
         second = hops[-1].select(F.col("node").alias("b"), F.col("root").alias("rb"))
         current = current.join(first, "a").join(second, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         current = checkpoint(current.distinct())
-        if current.isEmpty():
-            break
+    hops.append(checkpoint(current.coalesce(1).mapInArrow(_last_hop, "node bigint, root bigint")))
     known = hops[0]
     for hop in hops[1:]:
         step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm import jaccard, licenses, quality, revisits, secrets, sharding, topk, toxicity
+from terrasift.llm import components, jaccard, licenses, quality, revisits, secrets, sharding, topk, toxicity
 from terrasift.llm.components import connected_components
 from terrasift.llm.decontamination import drop_contaminated, find_contamination
 from terrasift.llm.mixing import mix, mixed_documents
@@ -80,8 +80,10 @@ def components_by_force(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("few", [0, 3, 50_000])
 @pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(30)] + [(50, 51)], [(5, 5)], []])
-def test_components(spark, pairs):
+def test_components(spark, monkeypatch, pairs, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     got = connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
     assert {r.node: r.component for r in got} == components_by_force(pairs, {x for p in pairs for x in p})
 
