@@ -3,9 +3,10 @@
 Terms are all words, and beginnings of words, of the examples; their document frequencies are counted over all
 documents. Besides its IDF a term has a weight by its tie to the label (phi), which is never 0. Words that no example has
 match nothing; they count for no neighbour and not in the length of a query.
-The examples form an inverted index. A query reads its lists from the highest product a list entry down; what its
-unread terms can add to an example at most bounds every example, and once few can be among the k nearest, these are
-finished from their own terms.
+The examples form an inverted index, cut in blocks of similar examples. A query reads the short lists whole. Of the terms
+with the longest lists, every block knows the highest weight: with it, a block's highest cosine is bounded, and only
+blocks that may hold one of the k nearest are read, those with the highest bounds first. Votes by squared cosine are
+calibrated on examples that are scored without themselves.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import checkpoint
 from .labelled import labelled_sample, remainder
 from .words import ALNUM, Words, distinct_by_row, mix, text_chunks
 
-#: Labelled rows that are examples, and neighbours that vote.
-EXAMPLES, NEIGHBOURS = 16384, 25
+#: Labelled rows that are examples, neighbours that vote, and examples that the calibration is fitted on.
+EXAMPLES, NEIGHBOURS, CALIBRATION = 4096, 9, 2048
 #: Chi-square that a term reaches by chance, and the weight of terms without a tie to the label; it grows to 1 with the tie.
 NOISE, LEAST_TIE = 10.0, 0.005
-#: Parts of a query's lists after which it is tried whether few enough examples are left.
-STEPS = (0.02, 0.1, 0.3, 1.0)
+#: Terms whose lists are kept by block, examples of a block, blocks that a query reads first, and queries of one step.
+HEAD, BLOCK, FIRST, STEP = 1024, 64, 4, 64
+#: What rounding may make a cosine wrong by.
+SLACK = 1e-12
 #: Beginnings of longer words, in bytes, that are terms as well: inflected words share them.
 PREFIXES = (4, 5, 6)
 #: Votes of weight 1 that the base rate counts as, and score from which a text counts as toxic.
@@ -101,7 +105,7 @@ class Examples:
     """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], base: float) -> None:
-        self.terms, self.idf, self.base, self.owner = terms, idf, base, None
+        self.terms, self.idf, self.base, self.owner, self.calibration, self.shared = terms, idf, base, None, None, None
         rows = sorted(rows, key=lambda r: r[0])
         self.ids, self.y = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows]))).astype(np.int64)
@@ -117,69 +121,130 @@ class Examples:
 
     def __setstate__(self, state: dict) -> None:
         term, count = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in state.pop("packed"))
-        self.__dict__ |= state | {"term": np.cumsum(term, dtype=np.int32), "count": count, "owner": None}
+        self.__dict__ |= state | {"term": np.cumsum(term, dtype=np.int32), "count": count, "owner": None, "calibration": None, "shared": None}
 
     def _invert(self) -> None:
-        order = np.argsort(self.term, kind="stable")
-        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))[order]
-        self.part = self.count[order]
-        self.at = np.searchsorted(self.term[order], np.arange(len(self.terms) + 1))
-        self.logs = 1 + np.log(np.maximum(np.arange(self.part.max(initial=0) + 1), 1))
-        self.most = np.zeros(len(self.terms))
-        np.maximum.at(self.most, self.term, self.logs[self.count])
-
-    def _read(self, term: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
-        """Adds the products of some terms to the examples' sums."""
-        cuts = [slice(a, b) for a, b in zip(self.at[term].tolist(), self.at[term + 1].tolist(), strict=True)]
-        owner, part = np.concatenate([self.owner[c] for c in cuts]), self.logs[np.concatenate([self.part[c] for c in cuts])]
-        part *= np.repeat(weight, self.at[term + 1] - self.at[term])
-        into += np.bincount(owner, weights=part, minlength=len(into))
-
-    def _finish(self, who: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sums of some examples over some terms, from the examples' own terms."""
-        size = self.first[who + 1] - self.first[who]
-        entry = np.repeat(self.first[who] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
-        query = np.zeros(len(self.terms))
-        query[term] = weight
-        return np.bincount(np.repeat(np.arange(len(who)), size), weights=query[self.term[entry]] * self.logs[self.count[entry]], minlength=len(who))
-
-    def nearest(self, term: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, best first, ties to the first example."""
+        """The lists by term, and the blocks; examples whose heaviest head term is the same become neighbours in them."""
+        n = len(self.ids)
+        self.logs = 1 + np.log(np.maximum(np.arange(self.count.max(initial=0) + 1), 1))
+        owner = np.repeat(np.arange(n), np.diff(self.first))
+        weight = (self.logs[self.count] * self.idf[self.term] * self.inverse[owner])
+        head = np.argsort(-np.bincount(self.term, minlength=len(self.terms)), kind="stable")[:HEAD]
+        self.head = np.full(len(self.terms), -1, dtype=np.int64)
+        self.head[head] = np.arange(len(head))
+        row = self.head[self.term]
+        top, rest = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        dense = np.zeros((len(head), n))
+        dense[row[top], owner[top]] = weight[top]
+        self.order = np.lexsort((self.ids, dense.argmax(axis=0))) if len(head) else np.arange(n)
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((self.blocks, len(head), BLOCK))
+        for b in range(self.blocks):
+            own = self.order[b * BLOCK : (b + 1) * BLOCK]
+            self.dense[b, :, : len(own)] = dense[:, own]
+        self.most = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(head), 0))
+        place = np.empty(n, dtype=np.int64)
+        place[self.order] = np.arange(n)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.owner, self.part = place[owner[rest]], weight[rest]
+        self.at = np.searchsorted(self.term[rest], np.arange(len(self.terms) + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, own: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest of each query (terms, weights), with a cosine above 0, best first, ties to
+        the smaller id. Examples with the id in own are no neighbours of that query."""
         if self.owner is None:
             self._invert()
-        weight = query * self.idf[term]
-        lists, bound = self.at[term + 1] - self.at[term], weight * self.most[term]
-        order = np.argsort(-bound / np.maximum(lists, 1), kind="stable")
-        order = order[lists[order] > 0]
-        term, weight, lists, bound = term[order], weight[order], lists[order], bound[order]
-        done = np.cumsum(lists)
-        total, sums, low = int(done[-1]) if len(done) else 0, np.zeros(len(self.ids)), 0
-        who = np.arange(len(self.ids))
-        for part in STEPS:
-            high = int(np.searchsorted(done, part * total, side="left")) + 1 if total else 0
-            high = min(high, len(term))
-            if high > low:
-                self._read(term[low:high], weight[low:high], sums)
-            low, rest = high, bound[high:].sum()
-            if low >= len(term) or len(sums) <= k:
-                continue
-            cosine = sums * self.inverse
-            kth = np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-            near = np.flatnonzero(cosine + rest * self.inverse >= kth - 1e-9)
-            if (self.first[near + 1] - self.first[near]).sum() < total - done[low - 1]:
-                who, sums = near, sums[near] + self._finish(near, term[low:], weight[low:])
-                break
-        cosine = sums * self.inverse[who]
-        kept = np.flatnonzero(sums > 0)
-        who, cosine = who[kept], cosine[kept]
-        best = np.lexsort((who, -np.round(cosine, 12)))[:k]
-        return who[best], cosine[best]
-
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, ids of the nearest, cosines): the votes weighted by squared cosine, drawn to the base rate."""
-        who, cosine = self.nearest(term, _weigh(term, count, self.idf), NEIGHBOURS)
-        vote = cosine * cosine
-        return float(((vote * self.y[who]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)), self.ids[who], cosine
+        width = self.blocks * BLOCK
+        sums, asked = np.zeros((len(queries), width)), np.zeros((len(queries), self.most.shape[0]))
+        for i, (term, weight) in enumerate(queries):
+            row = self.head[term]
+            asked[i, row[row >= 0]] = weight[row >= 0]
+            term, weight = term[row < 0], weight[row < 0]
+            low, high = self.at[term], self.at[term + 1]
+            cuts = [slice(x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+            if cuts:
+                part = np.concatenate([self.part[c] for c in cuts]) * np.repeat(weight, high - low)
+                sums[i] = np.bincount(np.concatenate([self.owner[c] for c in cuts]), weights=part, minlength=width)
+        by_block = sums.reshape(len(queries), self.blocks, BLOCK)
+        bound = asked @ self.most + by_block.max(axis=2) if self.blocks else np.zeros((len(queries), 0))
+        read = np.zeros(bound.shape, dtype=bool)
+
+        def complete(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who = np.flatnonzero(wanted[:, b])
+                by_block[who, b] += asked[who] @ self.dense[b]
+            read[wanted] = True
+
+        first, kth = max(FIRST, -(-2 * k // BLOCK)), np.full(len(queries), -np.inf)
+        best = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(best, np.argsort(-bound, axis=1)[:, :first], True, axis=1)
+        complete(best)
+        for i in range(len(queries)):
+            known = by_block[i, read[i]].ravel()
+            if len(known) > k + 1:
+                kth[i] = np.partition(known, len(known) - k - 1)[len(known) - k - 1]
+        complete(~read & (bound >= kth[:, None] - SLACK) & (bound > 0))
+        out = []
+        for i in range(len(queries)):
+            known = np.where(read[i][:, None], by_block[i], -np.inf).ravel()[: len(self.ids)]
+            least = np.partition(known, len(known) - k - 1)[len(known) - k - 1] if len(known) > k + 1 else -np.inf
+            at = np.flatnonzero((known >= least - SLACK) & (known > 0))
+            who, cosine = self.order[at], np.round(known[at], 12)
+            if own is not None and own[i] is not None:
+                other = self.ids[who] != own[i]
+                who, cosine = who[other], cosine[other]
+            top = np.lexsort((self.ids[who], -cosine))[:k]
+            out.append((who[top], cosine[top]))
+        return out
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int | None] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(vote, ids of the nearest, cosines) of vectors (terms, counts): votes weighted by squared cosine, drawn to the
+        base rate."""
+        out = []
+        for who, cosine in self.nearest([(term, _weigh(term, count, self.idf)) for term, count in vectors], NEIGHBOURS, own):
+            vote = cosine * cosine
+            out.append((float(((vote * self.y[who]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)), self.ids[who], cosine))
+        return out
+
+    def search(self, column: pa.Array, own: list[int | None] | None = None) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+        """(row, vote, ids, cosines) of the texts that have any term."""
+        rows, vectors = [], []
+        for row, term, count in _vectors(column, self.terms):
+            rows.append(row)
+            vectors.append((term, count))
+            if len(rows) == STEP:
+                yield from ((r, *v) for r, v in zip(rows, self.votes(vectors, own and [own[r] for r in rows]), strict=True))
+                rows, vectors = [], []
+        yield from ((r, *v) for r, v in zip(rows, self.votes(vectors, own and [own[r] for r in rows]), strict=True))
+
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        """Calibrated scores of votes; they keep their order."""
+        if self.calibration is None:
+            return votes
+        slope, shift = self.calibration
+        return 1 / (1 + np.exp(-np.clip(slope * _logit(votes) + shift, -30, 30)))
+
+
+def _logit(votes: np.ndarray) -> np.ndarray:
+    votes = np.clip(votes, 1e-4, 1 - 1e-4)
+    return np.log(votes / (1 - votes))
+
+
+def calibrate(votes: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
+    """Slope and shift of the logistic curve of labels over the votes' logits, by Newton's method on smoothed labels
+    (Platt); none where a label is missing or votes and labels don't rise together."""
+    ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+    if not ones or not zeros:
+        return None
+    x, goal = np.stack([_logit(votes), np.ones(len(votes))]), np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (p - goal) + 1e-3 * (w - [1.0, 0.0]))
+        w -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Examples:
@@ -190,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
     only, there are no terms, and every text gets the base rate (0 without labels).
     """
     sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
+    sample = checkpoint(sample)
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     terms, tie = np.zeros(0, dtype=np.uint64), np.zeros(0)
     if 0 < ones < size:
@@ -224,38 +290,54 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
 
     rows = sample.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(vectors, "id bigint, y int, term binary, count binary").toArrow()
     made = [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*(rows[c].to_pylist() for c in ("id", "y", "term", "count")), strict=True)]
-    return Examples(terms, idf, made, ones / size if size else 0.0)
+    model = Examples(terms, idf, made, ones / size if size else 0.0)
+    model.shared = docs.sparkSession.sparkContext.broadcast(model)
+    if len(terms):
+        index = model.shared
+
+        def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(vote, row) for row, vote, _, _ in index.value.search(batch.column("text"), batch.column("id").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), batch.column("y").take(pa.array([r for _, r in found], pa.int64()))], ["vote", "y"])
+
+        some = sample.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION)
+        votes = some.select(F.col("id").cast("long").alias("id"), "text", "y").repartition(32).mapInArrow(without_itself, "vote double, y int").toArrow()
+        model.calibration = calibrate(*(votes[c].to_numpy() for c in ("vote", "y")))
+    return model
 
 
 def score_texts(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, neighbours, cosines) for every row of docs; a text without terms (null, empty) gets the base rate
-    of the examples, and no neighbours. Other columns are not read; rows may repeat."""
-    index = docs.sparkSession.sparkContext.broadcast(examples)
+    """(id_col, score, neighbours, cosines) for every row of docs; a text without terms (null, empty) gets the calibrated
+    base rate of the examples, and no neighbours. Ids of examples are whole numbers. Other columns are not read; rows may
+    repeat."""
+    index, calibration = examples.shared, examples.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
+        own.calibration = calibration
         for batch in batches:
-            score, ids, cosines = np.full(len(batch), own.base), [[]] * len(batch), [[]] * len(batch)
-            for row, term, count in _vectors(batch.column("text"), own.terms):
-                score[row], who, cosine = own.score(term, count)
-                ids[row], cosines[row] = who.tolist(), cosine.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["id", "score", "neighbours", "cosines"])
+            vote, ids, cosines = np.full(len(batch), own.base), [[]] * len(batch), [[]] * len(batch)
+            for row, found, who, cosine in own.search(batch.column("text")):
+                vote[row], ids[row], cosines[row] = found, who.tolist(), cosine.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own.scores(vote)), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["id", "score", "neighbours", "cosines"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, score double, neighbours array<bigint>, cosines array<double>").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, examples: Examples, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score below THRESHOLD."""
-    index = docs.sparkSession.sparkContext.broadcast(examples)
+    """The rows of docs, with all their columns, that score below THRESHOLD; so does a null or empty text as long as the
+    base rate does. Rows that repeat are judged alike; an empty table stays one."""
+    index, calibration = examples.shared, examples.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
+        own.calibration = calibration
         for batch in batches:
-            score = np.full(len(batch), own.base)
-            for row, term, count in _vectors(batch.column(text_col), own.terms):
-                score[row] = own.score(term, count)[0]
-            yield batch.filter(pa.array(score < THRESHOLD))
+            vote = np.full(len(batch), own.base)
+            for row, found, _, _ in own.search(batch.column(text_col)):
+                vote[row] = found
+            yield batch.filter(pa.array(own.scores(vote) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 

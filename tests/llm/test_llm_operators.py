@@ -391,11 +391,13 @@ def test_toxicity_searches_all_terms(spark):
     for i, term, count in held(texts):
         dense[i, term] = toxicity._weigh(term, count, model.idf)
     for i in (0, 200, 700):
-        exact = np.sort(dense @ dense[i])[::-1][:25]
+        exact = np.sort(dense @ dense[i])[::-1][: toxicity.NEIGHBOURS]
         assert np.allclose(got[i].cosines, exact) and got[i].neighbours[0] == i
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("head", [1024, 12, 0])
+def test_block_max_search_is_exact(monkeypatch, head):
+    monkeypatch.setattr(toxicity, "HEAD", head)
     r = np.random.Generator(np.random.PCG64(8))
     rows = [(i, int(r.integers(0, 2)), np.sort(r.permutation(40)[: r.integers(1, 9)]), None) for i in range(900)]
     rows = [(i, y, t, r.integers(1, 5, len(t))) for i, y, t, _ in rows]
@@ -406,7 +408,7 @@ def test_block_max_search_is_exact():
     for _ in range(60):
         term = np.sort(r.permutation(40)[: r.integers(1, 7)])
         query = toxicity._weigh(term, r.integers(1, 4, len(term)), index.idf)
-        who, cosine = index.nearest(term, query, 25)
+        who, cosine = index.nearest([(term, query)], 25)[0]
         exact = dense[:, term] @ query
         assert np.allclose(np.sort(cosine)[::-1], np.sort(exact[exact > 0])[::-1][:25]) and np.allclose(exact[index.ids[who]], cosine)
 

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -60,6 +62,23 @@ def test_classifiers_on_held_out_rows(spark, name, label, modulus, held):
     assert sum(right) / len(right) > 0.9
 
 
+def test_toxicity_query_finds_the_nearest(spark, data):
+    """Neighbours of every document against dense cosines of all examples; every text with a term of theirs has some."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"), toxicity.learnable())
+    texts = documents(spark, data)
+    dense = lambda some: {i: v for i, v in ((i, next(iter(toxicity._vectors(pa.array([texts[i]]), model.terms)), None)) for i in some) if v}
+    examples = np.zeros((len(model.ids), len(model.terms)))
+    for i, (_, term, count) in dense(model.ids.tolist()).items():
+        examples[model.ids.tolist().index(i), term] = toxicity._weigh(term, count, model.idf)
+    vectors, found = dense(texts), {r.doc_id: r.neighbours for r in QUERIES["op6_toxicity"](spark, data).collect()}
+    for i, (_, term, count) in vectors.items():
+        cosines = examples[:, term] @ toxicity._weigh(term, count, model.idf)
+        order = np.lexsort((model.ids, -np.round(cosines, 12)))[: toxicity.NEIGHBOURS]
+        assert found[i] == model.ids[order[cosines[order] > 0]].tolist() and found[i]
+    assert all(not found[i] for i in texts if i not in vectors)
+
+
 def test_packing_query(spark, data):
     texts = documents(spark, data)
     rows = QUERIES["op10_vector_bin_packing"](spark, data).collect()
