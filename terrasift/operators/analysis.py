@@ -54,12 +54,39 @@ def of_top_countries(results: DataFrame, n: int = 20) -> DataFrame:
 def describe(df: DataFrame, column: str, *by: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """count, mean, std, min, quantiles (linear between values) and max."""
     c = F.col(column)
-    named = [F.percentile(c, F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles]
-    return df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *named, F.max(c).alias("max"))
+    found = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.array(*map(F.lit, quantiles))).alias("q"))
+    named = [F.get("q", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)] if by else []
+    if by:
+        return found.select(*by, "count", "mean", "std", "min", *named, "max")
+    ranked = quantile_row(df, column, {f"p{round(q * 100)}": q for q in quantiles})
+    return found.drop("q").crossJoin(ranked).select("count", "mean", "std", "min", *(f"p{round(q * 100)}" for q in quantiles), "max")  # both are one row
+
+
+def quantile_row(df: DataFrame, column: str, named: dict[str, float], pieces: int = 4096) -> DataFrame:
+    """One row of exact quantiles, linear between values, of a table of any size.
+
+    The range of the values is cut in equal pieces. Rows are counted by value, and values by piece; only values of
+    the pieces that hold a wanted rank are ordered, each piece by itself. Nulls and NaN don't count; no rows give nulls.
+    """
+    counts = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("n").alias("rows"))
+    width = F.coalesce(F.try_divide((F.col("v") - F.col("least")) * pieces, F.col("most") - F.col("least")), F.lit(0.0))
+    counts = counts.crossJoin(ends).select("v", "n", "rows", F.least(F.lit(pieces - 1), F.floor(width)).alias("piece"))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are pieces
+    sums = counts.groupBy("piece", "rows").agg(F.sum("n").alias("inside")).withColumn("start", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.alias("rank")) for k, q in named.items() for p in [F.lit(q) * (F.col("rows") - 1)] for r in (F.floor(p), F.ceil(p)))))
+    asked = sums.select("piece", "start", "inside", wanted.alias("w")).where((F.col("w.rank") >= F.col("start")) & (F.col("w.rank") < F.col("start") + F.col("inside")))
+    asked = asked.select("piece", "start", "w.name", "w.rank").distinct()
+    within = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = counts.join(asked.select("piece", "start").distinct(), "piece").withColumn("upto", F.col("start") + F.sum("n").over(within))
+    found = kept.join(asked.drop("start"), "piece").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    share = lambda q: F.lit(q) * (F.max("rows") - 1) - F.floor(F.lit(q) * (F.max("rows") - 1))
+    of = lambda k, f: f(F.when(F.col("name") == k, F.col("v")))
+    return found.agg(*((of(k, F.min) + (of(k, F.max) - of(k, F.min)) * share(q)).alias(k) for k, q in named.items()))
 
 
 def clip_quantiles(df: DataFrame, column: str = "lcoa_per_t", low: float = 0.02, high: float = 0.98) -> DataFrame:
-    return df.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(high)).alias("high"))
+    return quantile_row(df, column, {"low": low, "high": high})
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -115,9 +142,9 @@ def depth_ends(costs: DataFrame, cells: DataFrame, n: int = 5) -> DataFrame:
 
 
 def coverage(cells: DataFrame, results: DataFrame) -> DataFrame:
-    """Places with capacity, solved and missing, with and without a country."""
+    """Places with capacity, solved and missing, with and without a country; of several countries of a place the first."""
     land = cells.where("max_capacity_mw > 0").select(*PLACE).distinct()
-    solved = results.select(*PLACE, "country").dropDuplicates(list(PLACE))
+    solved = results.groupBy(*PLACE).agg(F.min("country").alias("country"))
     found = land.join(solved.withColumn("solved", F.lit(True)), list(PLACE), "left")
     counts = found.agg(F.count("*").alias("land_cells"), F.count("solved").alias("solved"), F.count("country").alias("with_country"))
     counts = counts.withColumns({"missing": F.col("land_cells") - F.col("solved"), "without_country": F.col("solved") - F.col("with_country")})

@@ -9,6 +9,7 @@ from ..functions.costs import annual_cost, depth_multiplier, effective_depth, st
 from ..functions.names import normalize_name
 from ..functions.recipes import differing_keys, extra_keys, first_efficiency, overall_efficiency, recipe_per_output, second_efficiency
 from ..schemas import DEFAULT_LIFETIME, DEFAULT_OM, DEFAULT_RATE, DEFAULT_WATER_M3_PER_T, RATE_ALIASES
+from .lookup import merged_within, place_key
 
 
 def _or(name: str, value: float):
@@ -36,6 +37,34 @@ def link_coefficients(techs: DataFrame, links: DataFrame) -> DataFrame:
     return both.withColumns({"efficiency": first_efficiency(*arguments, F.col("bus1")), "efficiency2": second_efficiency(*arguments, F.col("bus2"))})
 
 
+def compile_costs(techs: DataFrame, links: DataFrame, time_step: float = 1.0, aggregation: int = 1) -> DataFrame:
+    """(tech, component_type, efficiency, efficiency2, standing_loss, annual_cost, capital_cost, overall_efficiency): what a
+    plant's tables take from techs, and the summary.
+
+    A link with a recipe gets its coefficients from it, else it keeps the plant's. Its cost is per output, and
+    capital_cost per input. A link that isn't in the plant, a recipe without a bus of the link, with an amount that isn't
+    positive, and a link with a second bus but no recipe are errors.
+    """
+    plant = links.select(F.col("name").alias("tech"), "bus0", "bus1", "bus2", F.col("efficiency").alias("plant_efficiency"), F.col("efficiency2").alias("plant_efficiency2"))
+    both = techs.join(plant, "tech", "left")
+    error = lambda text: F.raise_error(F.concat(F.col("tech"), F.lit(f": {text}"))).cast("double")
+    is_link, recipe = F.col("component_type") == "link", F.col("carriers_in").isNotNull() & F.col("carriers_out").isNotNull()
+    second = F.coalesce(~F.lower(F.trim("bus2")).isin("", "nan"), F.lit(False))
+    taken, made = F.try_element_at("carriers_in", F.col("bus0")), F.try_element_at("carriers_out", F.col("bus1"))
+    first = first_efficiency(*(F.col(c) for c in ("carriers_in", "carriers_out", "bus0", "bus1")))
+    first = F.when((taken > 0) & (made > 0), first).otherwise(error("the recipe lacks a positive amount of the link's first two buses"))
+    first = F.when(F.col("bus0").isNull(), error("no such link in the plant")).when(recipe, first).otherwise(F.col("plant_efficiency"))
+    other = F.coalesce(second_efficiency(*(F.col(c) for c in ("carriers_in", "carriers_out", "bus0", "bus2"))), error("the recipe lacks the link's third bus"))
+    other = F.when(~second, F.col("plant_efficiency2")).when(recipe, other).otherwise(error("a link with a third bus needs a recipe"))
+    both = both.withColumns({"efficiency": F.when(is_link, first), "efficiency2": F.when(is_link, other)})
+    annual = annual_cost(F.col("overnight"), _or("rate", DEFAULT_RATE), _or("lifetime", DEFAULT_LIFETIME), _or("om", DEFAULT_OM))
+    cost = F.when(is_link, to_input_basis(annual, F.col("efficiency"))).when(F.col("component_type") == "store", annual * store_scale(time_step, aggregation)).otherwise(annual)
+    loss = F.when((F.col("component_type") == "store") & (F.col("standing_loss") > 0), F.col("standing_loss"))
+    ins, outs = recipe_per_output(*(F.col(c) for c in ("bus0", "bus1", "bus2", "efficiency", "efficiency2")))
+    overall = F.when(is_link & recipe, overall_efficiency(ins, outs))
+    return both.select("tech", "component_type", "efficiency", "efficiency2", loss.alias("standing_loss"), annual.alias("annual_cost"), cost.alias("capital_cost"), overall.alias("overall_efficiency"))
+
+
 def check_recipes(techs: DataFrame, links: DataFrame, tolerance: float = 1e-3, efficiency_tolerance: float = 2e-2) -> DataFrame:
     """(tech, problem, detail): ports of a recipe that the plant's coefficients don't have, and the other way round; amounts
     that differ; an overall efficiency that differs from outputs over inputs."""
@@ -98,6 +127,20 @@ def location_overrides(spatial: DataFrame) -> DataFrame:
     return spatial.groupBy("cell_id").agg(last("land_cost_usd_per_km2_year"), last("water_cost_usd_per_m3"))
 
 
+def place_overrides(cells: DataFrame, spatial: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """(cell_id, tech, interest_rate, build_cost_multiplier) for cells(cell_id, latitude, longitude): the last values in file
+    order at the cell's place, to four decimals; with a tolerance, cells without any take those of rows so near."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("file_order"))).alias(c)
+    key, values = ["key_lat", "key_lon"], ["interest_rate", "build_cost_multiplier"]
+    at = spatial.select(*place_key(F.col("latitude"), F.col("longitude")), "tech", *values, "file_order").groupBy(*key, "tech").agg(*map(last, values))
+    probe = cells.select("cell_id", "latitude", "longitude", *place_key(F.col("latitude"), F.col("longitude")))
+    found = probe.join(at, key).select("cell_id", "tech", *values)
+    if tolerance is None:
+        return found
+    rest = probe.join(at.select(*key).distinct(), key, "left_anti").select(F.col("cell_id").alias("id"), "latitude", "longitude")
+    return found.unionByName(merged_within(rest, spatial, ["tech"], values, tolerance=tolerance).withColumnRenamed("id", "cell_id"))
+
+
 def apply_overrides(techs: DataFrame, overrides: DataFrame, time_step: float = 1.0, aggregation: int = 1) -> DataFrame:
     """(cell_id, tech, capital_cost) of each cell and technology with a rate of its own: the multiplier goes to the build
     part, or to the whole where a technology isn't split."""
@@ -128,7 +171,9 @@ def interest_rates(overrides: DataFrame) -> DataFrame:
 
 def location_costs(cells: DataFrame, overrides: DataFrame, meta: DataFrame) -> DataFrame:
     """Water and land cost of each cell: water the cell's own, else the scenario's; land the cell's own only. meta has
-    one row."""
-    both = cells.join(overrides, "cell_id", "left").crossJoin(meta.limit(1))
+    one row, that of the scenario; any other number of rows is an error."""
+    one = meta.agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("water_cost_baseline_usd_per_m3", "water_usage_m3_per_t_nh3")))
+    one = one.where(F.when(F.col("rows") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("meta has to have one row")).cast("boolean"))).drop("rows")
+    both = cells.join(overrides, "cell_id", "left").crossJoin(one)
     water, usage = F.coalesce("water_cost_usd_per_m3", "water_cost_baseline_usd_per_m3"), F.coalesce("water_usage_m3_per_t_nh3", F.lit(DEFAULT_WATER_M3_PER_T))
     return both.select("cell_id", "land_cost_usd_per_km2_year", water.alias("water_cost_usd_per_m3"), usage.alias("water_usage_m3_per_t_nh3"), (water * usage).alias("water_cost_per_t"))

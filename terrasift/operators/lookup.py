@@ -64,19 +64,26 @@ def locations_of(points: DataFrame, edges: DataFrame, country: str) -> DataFrame
 
 
 def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least") -> DataFrame:
-    """(value, nearest) for values(value) and axis(axis_value): the closest axis value, of two as close the lower or,
-    with tie 'greatest', the higher.
+    """(value, nearest) for values(value) and axis(axis_value): the closest axis value; of two as close the lower, with tie
+    'greatest' the higher, and with 'first' the one with the lower axis position, a column of axis.
 
-    Both sides are cut to distinct values and ordered together; neighbours on either side are the only candidates.
+    The axis alone is ordered: its values make intervals. Values meet their interval by an equi join on equal parts of the
+    axis, as many as it has values.
     """
-    both = values.select(F.col("value").alias("v"), F.lit(None).cast("double").alias("a")).dropna(subset=["v"]).distinct()
-    both = both.unionByName(axis.select(F.col("axis_value").alias("v"), F.col("axis_value").alias("a")).dropna().distinct())
-    before = F.last("a", ignorenulls=True).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("a", ignorenulls=True).over(Window.orderBy("v").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    both = both.groupBy("v").agg(F.max("a").alias("a"), F.count_if(F.col("a").isNull()).alias("asked")).withColumns({"low": before, "high": after})
-    closer = (F.col("v") - F.col("low") < F.col("high") - F.col("v")) if tie == "greatest" else (F.col("v") - F.col("low") <= F.col("high") - F.col("v"))
-    pick = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull() | closer, F.col("low")).otherwise(F.col("high"))
-    return both.where("asked > 0").select(F.col("v").alias("value"), pick.alias("nearest"))
+    position = F.min("position") if tie == "first" else F.lit(0)
+    lines = axis.select(F.col("axis_value").alias("low"), *(["position"] if tie == "first" else [])).dropna(subset=["low"]).groupBy("low").agg(position.alias("low_at"))
+    order = Window.orderBy("low")  # the lines of a grid, not the values that are looked up
+    lines = lines.select("low", "low_at", F.lead("low").over(order).alias("high"), F.lead("low_at").over(order).alias("high_at"))
+    ends = lines.agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count("*").alias("parts"))
+    part = lambda c: F.greatest(F.lit(0), F.least(F.col("parts"), F.floor(F.coalesce(F.try_divide((c - F.col("least")) * F.col("parts"), F.col("most") - F.col("least")), F.lit(0.0)))))
+    covered = F.explode(F.sequence(part(F.col("low")), part(F.coalesce("high", "most"))))
+    lines = lines.crossJoin(ends).select("low", "high", "low_at", "high_at", "least", covered.alias("part"))  # ends is one row
+    asked = values.select("value").dropna().distinct().crossJoin(ends).select("value", "least", part(F.col("value")).alias("part"))
+    both = asked.join(lines.drop("least"), "part").where((F.greatest("value", "least") >= F.col("low")) & (F.col("high").isNull() | (F.col("value") < F.col("high"))))
+    below, above = F.col("value") - F.col("low"), F.col("high") - F.col("value")
+    even = {"least": F.col("low"), "greatest": F.col("high"), "first": F.when(F.col("high_at") < F.col("low_at"), F.col("high")).otherwise(F.col("low"))}[tie]
+    pick = F.when(F.col("high").isNull() | (below < above), F.col("low")).when(above < below, F.col("high")).otherwise(even)
+    return both.select("value", pick.alias("nearest"))
 
 
 def nearest_grid(probe: DataFrame, grid: DataFrame, tie: str = "least") -> DataFrame:
@@ -92,7 +99,8 @@ def locate_country(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, country) for points(id, x, y): the first polygon that holds the point or has it on its border, else null.
 
     edges(country, polygon_order, x1, y1, x2, y2). Bounding boxes find candidates by the whole degrees that they cover;
-    then the crossings of a ray decide, over all rings, so that holes are outside.
+    then the crossings of a ray decide, over all rings, so that holes are outside. A ray only meets the edges of its own degree
+    of latitude.
     """
     boxes = edges.groupBy("polygon_order").agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"))
     degrees = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
@@ -103,7 +111,9 @@ def locate_country(points: DataFrame, edges: DataFrame) -> DataFrame:
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 == y1, 1.0).otherwise(y2 - y1) + x1)
     on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    tested = near.join(edges, "polygon_order").groupBy("id", "polygon_order", "country").agg((F.count_if(crosses) % 2 == 1).alias("inside"), F.bool_or(on).alias("border"))
+    bands = F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int")))
+    near = near.withColumn("band", F.floor("y").cast("int"))
+    tested = near.join(edges.withColumn("band", bands), ["polygon_order", "band"]).groupBy("id", "polygon_order", "country").agg((F.count_if(crosses) % 2 == 1).alias("inside"), F.bool_or(on).alias("border"))
     first = tested.where("inside or border").groupBy("id").agg(F.min_by("country", "polygon_order").alias("country"))
     return points.select("id").join(first, "id", "left")
 

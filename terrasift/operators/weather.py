@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,11 @@ def site_weather(locations: DataFrame, weather: DataFrame) -> DataFrame:
     return near.join(weather.withColumnsRenamed({"latitude": "near_lat", "longitude": "near_lon"}), ["near_lat", "near_lon"])
 
 
+def location_frame(locations: DataFrame, weather: DataFrame, wake: float = WAKE_FACTOR) -> DataFrame:
+    """weather_frame of the nearest grid point of each location(cell_id, latitude, longitude); weather has hour_index."""
+    return weather_frame(site_weather(locations, weather), wake)
+
+
 def missing_profiles(generators: DataFrame, profiles: DataFrame) -> DataFrame:
     """Generators without a profile; tracking may use solar's; grid and ramp_dummy need none."""
     known = profiles.select("resource").distinct()
@@ -53,19 +60,23 @@ def block_mean(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
     return kept.groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.avg(value).alias(value))
 
 
+def _whole_blocks(dense: DataFrame, k: int) -> DataFrame:
+    """dense, whose number of hours has to be a multiple of k."""
+    hours = dense.agg((F.max("hour_index") + 1).alias("hours"))
+    whole = F.when(F.col("hours") % k == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{k} does not divide "), F.col("hours").cast("string"), F.lit(" hours"))).cast("boolean"))
+    return dense.crossJoin(hours).where(whole).drop("hours")  # hours is one row
+
+
 def block_mean_strict(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
     """As block_mean, but the hours have to be a multiple of k, and a series with a mean of 0 or less is 0."""
-    hours = dense.agg((F.max("hour_index") + 1).alias("n")).first()["n"] or 0
-    if hours % k:
-        raise ValueError(f"{k} does not divide {hours} hours")
-    means = block_mean(dense, k, value)
+    means = block_mean(_whole_blocks(dense, k), k, value)
     level = F.avg(value).over(Window.partitionBy("cell_id", "resource"))
     return means.withColumn(value, F.when(level <= 0, 0.0).otherwise(F.col(value)))
 
 
 def block_sum(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
-    """Sums of k hours each, with their number as weight."""
-    return dense.groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.sum(value).alias(value), F.count("*").alias("weights"))
+    """Sums of k hours each, with their number as weight; the hours have to be a multiple of k."""
+    return _whole_blocks(dense, k).groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.sum(value).alias(value), F.count("*").alias("weights"))
 
 
 def cyclic_change(series: DataFrame, value: str = "p") -> DataFrame:
@@ -92,21 +103,34 @@ def neighbour_distance(hours: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def merge_neighbours(values: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges the closest neighbours until n rows are left; both distances of a merged row are renewed."""
-    values, weights = [v.astype(float) for v in values], [float(w) for w in weights]
-    distance = lambda i: 2 * np.abs(values[i + 1] - values[i]).sum() * weights[i] * weights[i + 1] / (weights[i] + weights[i + 1])
-    gaps = [distance(i) for i in range(len(values) - 1)]
-    while len(values) > max(n, 1):
-        i = int(np.argmin(gaps))
-        both = weights[i] + weights[i + 1]
-        values[i] = (values[i] * weights[i] + values[i + 1] * weights[i + 1]) / both
-        weights[i] = both
-        del values[i + 1], weights[i + 1], gaps[i]
-        if i < len(gaps):
-            gaps[i] = distance(i)
-        if i > 0:
-            gaps[i - 1] = distance(i - 1)
-    return np.array(values), np.array(weights)
+    """Merges the closest neighbours, of equal ones the first, until n rows are left; both distances of a merged row are
+    renewed. A heap of distances over a linked list: entries of rows that have changed since are passed over."""
+    values, weights = values.astype(float), weights.astype(float)
+    count = len(values)
+    following, before, changes = list(range(1, count + 1)), list(range(-1, count - 1)), [0] * count
+    distance = lambda i, j: 2 * np.abs(values[j] - values[i]).sum() * weights[i] * weights[j] / (weights[i] + weights[j])
+    entry = lambda i: (distance(i, following[i]), i, changes[i], changes[following[i]])
+    gaps = [entry(i) for i in range(count - 1)]
+    heapq.heapify(gaps)
+    alive = [True] * count
+    for _ in range(count - max(n, 1)):
+        while True:
+            _, i, own, other = heapq.heappop(gaps)
+            if alive[i] and changes[i] == own and changes[following[i]] == other:
+                break
+        j = following[i]
+        values[i] = (values[i] * weights[i] + values[j] * weights[j]) / (weights[i] + weights[j])
+        weights[i] += weights[j]
+        alive[j], following[i] = False, following[j]
+        changes[i] += 1
+        changes[j] += 1
+        if following[i] < count:
+            before[following[i]] = i
+            heapq.heappush(gaps, entry(i))
+        if before[i] >= 0:
+            heapq.heappush(gaps, entry(before[i]))
+    left = np.flatnonzero(alive)
+    return values[left], weights[left]
 
 
 def cluster_hours(hours: DataFrame, columns: list[str], k: int) -> DataFrame:

@@ -5,41 +5,18 @@ Doubles are rounded in both, as engines add them up in different orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixtures import load, with_inputs
 from .functions.costs import annual_cost, capital_recovery, legacy_annual_cost
 from .functions.geometry import cell_area_km2, cell_id, solar_density
 from .functions.names import location_label, normalize_name
 from .functions.recipes import differing_keys, extra_keys, float_map, overall_efficiency
 from .operators import analysis, checks, costs, economics, land, lookup, results, sizing, weather
+from .registry import ORACLES, QUERIES, query
 from .schemas import COST_COMPONENTS
 from .sources import sinks, tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _rounded(df: DataFrame, digits: int) -> DataFrame:
-    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def query(inputs: str, sql: str | None = None, digits: int = 4) -> Callable:
-    """Registers a function of the named inputs; sql sees them as tables, and gets its doubles rounded as well."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(*(load(spark, sf_dir, n) for n in inputs.split())), digits)
-        if sql:
-            ORACLES[f.__name__] = with_inputs(inputs, sql)
-        return f
-
-    return register
-
-
 # --- results -----------------------------------------------------------------------------------------------------------
 
 _LAST = ", last as (select * exclude (turn) from (select *, row_number() over (partition by latitude, longitude order by file_rank desc, row_no desc) turn from results) where turn = 1)"
@@ -126,7 +103,13 @@ def retry_list(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return results.retry_list(cells.where("max_capacity_mw > 0"), analysis.clipped(rows))
 
 
-@query("results")
+@query(
+    "results",
+    f"{_LAST}, q as (select quantile_cont(lcoa_per_t,0.02) low, quantile_cont(lcoa_per_t,0.98) high from last) select format('{{:.2f}}_{{:.2f}}', latitude, longitude) cell, "
+    "'{\"type\":\"Polygon\",\"coordinates\":[[['||w||','||s||'],['||e||','||s||'],['||e||','||n||'],['||w||','||n||'],['||w||','||s||']]]}' geojson, round(greatest(low,least(high,lcoa_per_t)),6) \"value\", round(low,6) low, round(high,6) high "
+    "from (select *, longitude-0.5e0 w, longitude+0.5e0 e, latitude-0.5e0 s, latitude+0.5e0 n from last), q where lcoa_per_t is not null",
+    digits=6,
+)
 def cell_geojson_feed(rows: DataFrame) -> DataFrame:
     return analysis.map_feed(results.combine_segments(rows))
 
@@ -213,7 +196,7 @@ def overridden_costs(spatial: DataFrame, techs: DataFrame) -> DataFrame:
 
 @query("spatial cells", f", l as ({_CELL_LAST}) select cell_id, round(land_cost_usd_per_km2_year,4) land_cost_usd_per_km2_year, round(coalesce(water_cost_usd_per_m3,0.8e0),4) water_cost_usd_per_m3, 1.5e0 water_usage_m3_per_t_nh3, round(coalesce(water_cost_usd_per_m3,0.8e0)*1.5e0,4) water_cost_per_t from cells left join l using (cell_id)")
 def resolved_location_costs(spatial: DataFrame, cells: DataFrame) -> DataFrame:
-    meta = cells.sparkSession.createDataFrame([(None, 0.8)], "water_usage_m3_per_t_nh3 double, water_cost_baseline_usd_per_m3 double")
+    meta = cells.sparkSession.createDataFrame([(None, 0.8)], "water_usage_m3_per_t_nh3 double, water_cost_baseline_usd_per_m3 double").coalesce(1)
     return costs.location_costs(cells.select("cell_id"), costs.location_overrides(spatial), meta)
 
 
@@ -642,3 +625,9 @@ def assembled_results(capacity: DataFrame, techs: DataFrame, spatial: DataFrame,
     places = cells.select("cell_id", "latitude", "longitude", "country", F.col("onshore_land_pct").alias("land_onshore_pct"))
     splits = _splits(capacity, techs, spatial).select("cell_id", "total_cost", "build_cost_pct")
     return results.assemble([splits, wind], places)
+
+
+# The other modules register theirs; they use what is defined above.
+from . import design_queries, file_queries  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "design_queries", "file_queries"]

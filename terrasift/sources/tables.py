@@ -23,6 +23,12 @@ def _read(spark: SparkSession, path: str | list[str], schema: T.StructType | Non
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """df, as it was read, with a column to order by: file, place of the block in it, then row."""
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", row.alias(name))
+
+
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of schema that df has, cast to its types, NaN as null, then df's other columns."""
     def cast(f: T.StructField) -> Column:
@@ -67,9 +73,12 @@ def read_scenario(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spatial_costs(spark: SparkSession, path: str) -> DataFrame:
-    costs = S.lower_columns(_optional(spark, path, S.SPATIAL_COSTS))
-    costs = typed(S.require_columns(costs, "lat", "lon", "tech", "interest_rate"), S.SPATIAL_COSTS)
-    costs = costs if "file_order" in costs.columns else costs.withColumn("file_order", F.monotonically_increasing_id())
+    """The cost table; a column file_order, if it has none, is the place of a row in its file, files by name."""
+    costs = _optional(spark, path, S.SPATIAL_COSTS)
+    if "file_order" not in (c.strip().lower() for c in costs.columns):
+        costs = in_file_order(costs, "file_place")
+    costs = typed(S.require_columns(S.lower_columns(costs), "lat", "lon", "tech", "interest_rate"), S.SPATIAL_COSTS)
+    costs = costs.withColumnRenamed("file_place", "file_order")
     return costs.withColumn("tech", normalize_name(F.col("tech")))
 
 
@@ -146,10 +155,10 @@ def country_edges(features: DataFrame) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Result files in the given order, columns by name, with file_rank and row_no."""
+    """Result files in the given order, columns by name, with file_rank and row_no, a row's place in its file."""
     out = None
     for rank, path in enumerate(paths):
-        part = _read(spark, path).withColumns({"file_rank": F.lit(rank), "row_no": F.monotonically_increasing_id()})
+        part = in_file_order(_read(spark, path), "row_no").withColumn("file_rank", F.lit(rank))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no segment files")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -151,9 +152,10 @@ def test_weather(spark):
     series = spark.createDataFrame(rows, "cell_id long, resource string, t string, cf double").withColumn("ts", F.to_timestamp("t")).drop("t")
     dense = weather.dense_hours(series)
     assert dense.count() == 14 and close(dense.agg(F.sum("cf")).first()[0], 2.0)
-    assert weather.block_mean(dense, 3).count() == 4 and weather.block_sum(dense, 3).agg(F.sum("weights")).first()[0] == 14
-    with pytest.raises(ValueError, match="does not divide"):
-        weather.block_mean_strict(dense, 3)
+    assert weather.block_mean(dense, 3).count() == 4 and weather.block_sum(dense, 7).agg(F.sum("weights")).first()[0] == 14
+    for blocks in (weather.block_sum, weather.block_mean_strict):
+        with pytest.raises(Exception, match="does not divide"):
+            blocks(dense, 3).collect()
     assert weather.block_mean_strict(dense, 7).count() == 2
     frame = weather.weather_frame(dense)
     assert close(frame.where("hour_index = 3").first().wind, 0.3 * 0.93) and close(frame.where("hour_index = 3").first().solar_tracking, 0.3)
@@ -226,3 +228,68 @@ def test_reports(spark):
     assert analysis.describe(rows, "lcoa_per_t").first().p50 == 4.5
     feed = analysis.map_feed(rows).first()
     assert feed.geojson.startswith('{"type":"Polygon"') and feed.low <= feed.value <= feed.high
+
+
+def merged_by_force(values, weights, n):
+    """Distances of all neighbours anew for every merge; of equal ones the first."""
+    rows = [(v.astype(float), float(w)) for v, w in zip(values, weights)]
+    while len(rows) > max(n, 1):
+        gaps = [2 * abs(b[0] - a[0]).sum() * a[1] * b[1] / (a[1] + b[1]) for a, b in zip(rows, rows[1:])]
+        i = gaps.index(min(gaps))
+        (a, u), (b, v) = rows[i : i + 2]
+        rows[i : i + 2] = [((a * u + b * v) / (u + v), u + v)]
+    return rows
+
+
+@pytest.mark.parametrize("count, n", [(1, 1), (2, 1), (9, 3), (120, 20), (50, 0)])
+def test_neighbours_merge_as_by_force(count, n):
+    r = np.random.Generator(np.random.PCG64(count))
+    values, weights = np.round(r.random((count, 2)) * 4) / 4, np.ones(count)
+    got, want = weather.merge_neighbours(values, weights, n), merged_by_force(values, weights, n)
+    assert np.allclose(got[0], [v for v, _ in want]) and np.allclose(got[1], [w for _, w in want])
+
+
+def test_quantiles_by_counts(spark):
+    r = random.Random(4)
+    values = [r.choice([1.0, 2.5, -3.0, 1e9]) for _ in range(300)] + [r.gauss(0, 5) for _ in range(500)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    asked = {"a": 0.0, "b": 0.02, "c": 0.5, "d": 0.999, "e": 1.0}
+    got, known = analysis.quantile_row(df, "v", asked).first(), [v for v in values if v is not None and v == v]
+    assert all(abs(got[k] - np.quantile(known, q)) <= 1e-9 * max(1, abs(got[k])) for k, q in asked.items())
+    assert analysis.quantile_row(df.limit(0), "v", asked).first().c is None
+    assert analysis.quantile_row(df.where("v = 1"), "v", asked).first().asDict() == dict.fromkeys(asked, 1.0)
+
+
+@pytest.mark.parametrize("tie", ["least", "greatest", "first"])
+def test_nearest_on_axis(spark, tie):
+    axis, values = {7.0: 0, 1.0: 3, 1.5: 1, 40.0: 2, -2.0: 9}, [-9.0, -2.0, 1.0, 1.25, 1.3, 4.25, 23.5, 39.0, 41.0, 1e6, None]
+    key = {"least": lambda v: lambda a: (abs(a - v), a), "greatest": lambda v: lambda a: (abs(a - v), -a), "first": lambda v: lambda a: (abs(a - v), axis[a])}[tie]
+    got = lookup.nearest_on_axis(spark.createDataFrame([(v,) for v in values], "value double"), spark.createDataFrame(list(axis.items()), "axis_value double, position int"), tie).collect()
+    assert {r.value: r.nearest for r in got} == {v: min(axis, key=key(v)) for v in values if v is not None}
+    one = lookup.nearest_on_axis(spark.createDataFrame([(3.0,)], "value double"), spark.createDataFrame([(1.0, 0)], "axis_value double, position int"), tie)
+    assert [tuple(r) for r in one.collect()] == [(3.0, 1.0)]
+
+
+def test_errors_of_costs_and_blocks(spark):
+    techs = "tech string, component_type string, overnight double, lifetime double, rate double, om double, standing_loss double, carriers_in map<string,double>, carriers_out map<string,double>"
+    links = spark.createDataFrame([("a", "power", "out", None, 0.5, None), ("b", "power", "out", "heat", 0.5, 0.1)], "name string, bus0 string, bus1 string, bus2 string, efficiency double, efficiency2 double")
+    row = lambda name, ins, outs: spark.createDataFrame([(name, "link", 1.0, 20.0, 0.1, 0.0, None, ins, outs)], techs)
+    assert costs.compile_costs(row("a", None, None), links).first().efficiency == 0.5
+    for bad, text in ((row("c", None, None), "no such link"), (row("a", {"power": 0.0}, {"out": 1.0}), "positive amount"), (row("b", None, None), "needs a recipe"), (row("b", {"power": 1.0}, {"out": 1.0}), "third bus")):
+        with pytest.raises(Exception, match=text):
+            costs.compile_costs(bad, links).collect()
+    dense = spark.createDataFrame([(1, "wind", i, 1.0) for i in range(7)], "cell_id long, resource string, hour_index int, cf double")
+    for blocks in (weather.block_sum, weather.block_mean_strict):
+        with pytest.raises(Exception, match="does not divide"):
+            blocks(dense, 3).collect()
+    with pytest.raises(Exception, match="one row"):
+        costs.location_costs(spark.createDataFrame([(1,)], "cell_id long"), spark.createDataFrame([(1, 1.0, 2.0)], "cell_id long, land_cost_usd_per_km2_year double, water_cost_usd_per_m3 double"), spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "water_usage_m3_per_t_nh3 double, water_cost_baseline_usd_per_m3 double")).collect()
+
+
+def test_place_overrides_with_tolerance(spark):
+    cells = spark.createDataFrame([(1, 10.0, 20.0), (2, 30.0, 40.0), (3, 50.0, 60.0)], "cell_id long, latitude double, longitude double")
+    rows = [(10.00001, 20.0, "wind", 0.1, None, 1), (10.0, 20.0, "wind", 0.2, None, 2), (10.1, 20.0, "wind", 0.9, 9.0, 3), (30.1, 40.0, "solar", 0.3, 2.0, 4), (30.0, 40.2, "solar", 0.4, 2.0, 5)]
+    spatial = spark.createDataFrame(rows, "latitude double, longitude double, tech string, interest_rate double, build_cost_multiplier double, file_order long")
+    got = lambda **k: sorted(tuple(r) for r in costs.place_overrides(cells, spatial, **k).collect())
+    assert got() == [(1, "wind", 0.2, None)]
+    assert got(tolerance=0.125) == [(1, "wind", 0.2, None), (2, "solar", 0.3, 2.0)]
