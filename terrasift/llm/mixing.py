@@ -1,9 +1,9 @@
 """Mixing sources to time-varying target weights.
 
 A source's schedule gives its weight at points of training time 0 to 1, linear between them. The integral of the
-schedule sets the source's share of the mix; the running integral is its cumulative demand. A document stands at its
-place in the source's hashed order; the time at which the demand reaches that place, found by inverting the demand, is
-its training position. Sorting by position gives the curriculum.
+schedule sets the source's share of the mix; the running integral is its cumulative demand. What is taken of a source
+stands in hashed order, pass by pass; the time at which the demand reaches a document's place in it, found by inverting
+the demand, is its training position. Sorting by position gives the curriculum.
 """
 
 from __future__ import annotations
@@ -107,21 +107,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(by_source(fit), key, "left")
     is_ = lambda one: F.coalesce((F.col("size") == F.col(f"{one}.size")) & (F.col("before") == F.col(f"{one}.before")), F.lit(False)) & ~F.col("more")
     far = F.coalesce(F.coalesce("fit.gap", "missing") > F.col("target") * NEAR, F.lit(False)) & F.col("cut").isNotNull()
-    rows = rows.withColumn("copies", F.col("whole") + (F.col("more") | (is_("fit") & ~far)).cast("int"))
-    rows = rows.withColumn("part", F.when(is_("cut") & far, F.floor("missing")).otherwise(0).cast("long"))
-    times = F.col("copies") + (F.col("part") > 0).cast("int")
-    rows = rows.withColumn("u", F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda j: F.least(F.try_divide(j * F.col("source_size") + F.col("before") + F.col("size") / 2, F.col("target")), F.lit(1.0))))
-    rows = rows.withColumn("positions", F.when((times > 0) & (F.col("size") > 0), F.transform("u", _position)).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("last", F.col("more") | (is_("fit") & ~far)).withColumn("part", F.when(is_("cut") & far, F.floor("missing")).otherwise(0).cast("long"))
+    rows = rows.withColumn("copies", F.col("whole") + F.col("last").cast("int")).withColumn("extra", F.when(F.col("last"), F.col("size")).otherwise(F.col("part")))
+    rows = checkpoint(rows.select(*key, "id", "spread", "size", "before", "source_size", "target", "segments", "whole", "copies", "part", "extra"))
+    sums = rows.groupBy(*key).agg(F.sum("extra").alias("extras"))
+    rows = running_total(rows, key, "spread", "extra", ["id", "size"], "extra_before").join(by_source(sums), key)
+    # Demand is used up by what is taken: whole passes over the source first, then a pass over the documents that come once more.
+    all_, passed = F.col("whole") * F.col("source_size") + F.col("extras"), F.col("whole") * F.col("source_size")
+    whole_passes = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0), F.greatest("whole", F.lit(1)) - 1), lambda j: F.try_divide(j * F.col("source_size") + F.col("before") + F.col("size") / 2, all_)))
+    last_pass = F.when(F.col("extra") > 0, F.array(F.try_divide(passed + F.col("extra_before") + F.col("extra") / 2, all_)))
+    none = F.array().cast("array<double>")
+    rows = rows.withColumn("u", F.when(F.col("size") > 0, F.concat(F.coalesce(whole_passes, none), F.coalesce(last_pass, none))).otherwise(none))
+    rows = rows.withColumn("positions", F.transform("u", _position))
     out = rows.select(F.col("id").alias(id_col), F.when(~F.col("is_null"), F.col("name")).alias(source_col), "size", "source_size", "target", "copies", "part", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), "positions")
     return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rule) -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it, with all their columns. Texts stay whole: one that is
-    taken in part counts once more from half its size on."""
+    """The rows of docs, each as many times as the mix takes it, with all their columns, range-sorted by position.
+
+    Texts stay whole: one that is taken in part counts once more from half its size on. Texts without words come in every
+    whole pass over their source, first. Rows of one id are told apart by
+    size only; columns of any other name stay as they are. An empty table stays one.
+    """
     chosen = mix(docs, id_col, text_col, source_col, **rule)
-    rounded = (F.col("copies") + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")).alias("copies")
-    chosen = checkpoint(chosen.select(F.col(id_col).alias("id"), "size", rounded))
+    rounded = F.col("copies") + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")
+    chosen = checkpoint(chosen.select(F.col(id_col).alias("id"), "size", F.when(F.col("size") > 0, F.slice("positions", F.lit(1), rounded)).otherwise(F.array_repeat(F.lit(0.0), F.col("copies"))).alias("copies")))
     turn, copies, of = (spare_name(docs, n) for n in ("turn", "copies", "of"))
     by_id = lambda *order: F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
     if chosen.groupBy("id").count().where("count > 1").isEmpty():
@@ -129,6 +140,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         chosen = chosen.withColumn(turn, F.row_number().over(Window.partitionBy("id").orderBy("size", "copies")))
         rows = docs.withColumn(turn, by_id(word_count(F.col(text_col)), text_col, source_col))
-    chosen = chosen.where("copies > 0").select(F.col("id").alias(of), turn, F.col("copies").alias(copies)).hint("shuffle_hash")
+    chosen = chosen.where(F.size("copies") > 0).select(F.col("id").alias(of), turn, F.explode("copies").alias(copies)).hint("shuffle_hash")
     same = rows[id_col].eqNullSafe(chosen[of]) & (rows[turn] == chosen[turn])
-    return rows.join(chosen, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias(copies)).drop(copies)
+    found = rows.join(chosen, same).select(*(rows[c] for c in docs.columns), copies)
+    return found.repartitionByRange(copies, id_col).sortWithinPartitions(copies, id_col).drop(copies)

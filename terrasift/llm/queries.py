@@ -124,7 +124,10 @@ near as (select m2.*, fit, cut, missing, coalesce(coalesce(gap, missing) > targe
   case when place % 2 = 0 then w * 1.5e0 else w * 0.5e0 end w0, case when place % 2 = 0 then w * 0.5e0 else w * 1.5e0 end w1 from m2 left join fit using (name, is_null)),
 taken as (select *, cast(whole as bigint) + case when more or coalesce(before = fit and size > 0 and not far, false) then 1 else 0 end copies,
   case when far and not more and size > 0 and before = cut then floor(missing)::bigint else 0 end part from near),
-placed as (select *, least(least((before + size / 2e0) / nullif(target, 0e0), 1e0) * ((w0 + w1) / 2), (w0 + w1) / 2) goal from taken)
+extras as (select *, case when copies > whole then size else part end extra from taken),
+summed as (select *, whole * s + sum(extra) over (partition by name, is_null) every,
+  coalesce(sum(extra) over (partition by name, is_null order by h, id, size rows between unbounded preceding and 1 preceding), 0)::bigint extra_before from extras),
+placed as (select *, least((case when whole > 0 then before + size / 2e0 else extra_before + extra / 2e0 end) / nullif(every, 0e0) * ((w0 + w1) / 2), (w0 + w1) / 2) goal from summed)
 select id doc_id, size::bigint size, s source_size, target, (size * copies + part)::bigint taken,
   case when copies + part > 0 and size > 0 then round(case when goal <= 0 then 0e0 else goal * 2 / (w0 + sqrt(greatest(w0 * w0 + (w1 - w0) * goal * 2, 0e0))) end, 9) end as position from placed
 """

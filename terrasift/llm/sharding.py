@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import checkpoint
@@ -11,8 +11,8 @@ from .prefix import running_total, word_count
 
 #: Pools that small groups are gathered in by hash; with the pieces of large groups they are what the packing places.
 POOLS = 8192
-#: A group of more than a shard's mean bytes over this is cut in pieces of at most so much.
-PIECES = 64
+#: A group of more than a shard's mean bytes over ALONE is placed by itself, and of more than those over PIECES in pieces.
+ALONE, PIECES = 64, 16
 #: Weight of bytes, words and rows in the dot product; bytes are the law that is promised.
 WEIGHTS = (4.0, 1.0, 1.0)
 
@@ -31,23 +31,25 @@ def place(units: np.ndarray, shards: int) -> np.ndarray:
     return where
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", place_in: tuple[Column, Column] | None = None) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) for every row of docs; bytes, words and rows are near equal by shard.
 
     size is the text's UTF-8 bytes plus 8; a null text has no bytes, and its crc32 is that of none. Rows of equal texts
-    are a group and share a shard, unless the group is above 1 / PIECES of a shard's bytes: then it is cut by hashed id.
-    Groups below that are pooled by text hash in at most POOLS pools, so the packing places a bounded number of
-    units (POOLS + 2 * shards * PIECES) whatever the input. slot counts from 0 without gaps in each shard.
-    Rows of one id and text get their slots in any order among themselves.
+    are a group and share a shard. Only a group above 1 / PIECES of a shard's bytes is cut, by hashed id, as whole it
+    would break the balance. Groups up to 1 / ALONE of a shard are placed together with others of their text hash, in
+    POOLS pools, so the packing places a bounded number of units (POOLS + 2 * shards * ALONE) whatever the input.
+    slot counts from 0 without gaps in each shard: in hashed order, or, with place_in, by these columns, a piece of the
+    input (such as its file) and the row in the piece. Rows of one id and text get their slots in any order among
+    themselves; null ids and repeated rows are rows like others; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), word_count(text).alias("words"), F.xxhash64(text).alias("group"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), word_count(text).alias("words"), F.xxhash64(text).alias("group"), *((c.alias(n) for c, n in zip(place_in, ("piece_in", "row_in"), strict=True)) if place_in else ()))
     rows = checkpoint(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    most = max(1, total // (shards * PIECES))
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
+    alone, most = max(1, total // (shards * ALONE)), max(1, total // (shards * PIECES))
+    heavy = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > alone)
     heavy = heavy.select("group", F.ceil(F.col("bytes") / most).cast("int").alias("pieces"))
-    rows = rows.join(F.broadcast(heavy), "group", "left")  # fewer than shards * PIECES rows, as each holds more than that part
+    rows = rows.join(F.broadcast(heavy), "group", "left")  # fewer than shards * ALONE rows, as each holds more than that part
     cut = F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces"))
     rows = rows.withColumns({"pool": F.when(F.col("pieces").isNull(), F.pmod("group", F.lit(POOLS))).otherwise(F.col("group")), "piece": F.coalesce(cut, F.lit(-1)).cast("int")})
 
@@ -55,6 +57,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     units["shard"] = place(units[["size", "words", "rows"]].to_numpy(dtype=float), shards)
     placed = docs.sparkSession.createDataFrame(units[["pool", "piece", "shard"]], "pool long, piece int, shard int")
     rows = rows.join(F.broadcast(placed), ["pool", "piece"])
-    rows = rows.withColumns({"spread": F.xxhash64("id", "group", F.lit(11)), "one": F.lit(1)})
-    rows = running_total(rows, ["shard"], "spread", "one", ["id", "group"], "slot")
+    if place_in:
+        pieces = rows.groupBy("shard", "piece_in").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("shard").orderBy("piece_in").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select("shard", "piece_in", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        rows = rows.join(pieces, ["shard", "piece_in"]).withColumn("slot", F.row_number().over(Window.partitionBy("shard", "piece_in").orderBy("row_in", "id")) - 1 + F.col("before"))
+    else:
+        rows = rows.withColumns({"spread": F.xxhash64("id", "group", F.lit(11)), "one": F.lit(1)})
+        rows = running_total(rows, ["shard"], "spread", "one", ["id", "group"], "slot")
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"))

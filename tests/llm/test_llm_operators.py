@@ -162,6 +162,13 @@ def test_mixing(spark):
         taken[r.source] += r.taken
     for s in names:
         assert abs(taken[s] - target[s]) <= max(1, 0.005 * target[s]), s
+    for k, s in enumerate(names):  # the demand up to a position is what has been taken before, and half of what stands there
+        takes = sorted((p, r.part if r.part and j == len(r.positions) - 1 else r["size"]) for r in got if r.source == s for j, p in enumerate(r.positions))
+        first, last = (1.5, 0.5) if k % 2 == 0 else (0.5, 1.5)
+        every, done = sum(n for _, n in takes), 0
+        for p, n in takes:
+            assert abs(first * p + (last - first) * p * p / 2 - (done + n / 2) / every) < 1e-9
+            done += n
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in mix(frame(spark, rows, 5)).collect()]
     mixed = mixed_documents(frame(spark, rows))
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({k: v for k, v in sum((collections.Counter({r.doc_id: r.copies + (2 * r.part >= max(r["size"], 1))}) for r in got), collections.Counter()).items() if v})
@@ -464,7 +471,7 @@ def test_sharding(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(load.values()) / 6
     assert max(load.values()) - min(load.values()) <= max(0.02 * mean, max(r["size"] for r in got) - mean * 0.7) and len(load) == 6
-    small = sum(load.values()) // (6 * sharding.PIECES)
+    small = max(1, sum(load.values()) // (6 * sharding.PIECES))
     count = collections.Counter((r["size"], r.text_crc32) for r in got)
     assert all(len(s) == 1 for k, s in where.items() if count[k] * k[0] <= small)
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(frame(spark, rows, 5), 6).collect()))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from terrasift.llm import toxicity
+from terrasift.llm.durable import written
 from terrasift.llm.queries import ORACLES, QUERIES
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
@@ -86,6 +88,10 @@ def test_packing_query(spark, data):
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
+    load = collections.Counter()
+    for r in QUERIES["op10_vector_bin_packing"](spark, "/root/testdata/sf0.01").collect():
+        load[r.shard] += r["size"]
+    assert len(load) == 24 and max(load.values()) <= 1.02 * sum(load.values()) / 24
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
@@ -108,6 +114,14 @@ def test_pipeline_against_brute_force(spark, data):
     assert {x for x in mixed} <= set(pure) and max(collections.Counter(mixed).values()) <= 3
     words = lambda rows: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t in rows)
     assert abs(words(mixed) - words(pure)) < 0.02 * words(pure)
+    stored = written(corpus_pipeline.STAGES[3][1](spark, kept[3], data), "mixed")
+    place = {}
+    for k, r in enumerate(stored.orderBy("_metadata.file_path", "_metadata.row_index").select("doc_id").collect()):
+        place.setdefault(r.doc_id, []).append(k)
+    for _, shard in itertools.groupby(sorted(corpus_pipeline.STAGES[-1][1](spark, stored, data).collect(), key=lambda r: (r.shard, r.slot)), key=lambda r: r.shard):
+        at = -1  # slots follow the order of the mix
+        for r in shard:
+            at = min(k for k in place[r.doc_id] if k > at)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], data)
     assert sorted(r.doc_id for r in packed.collect()) == sorted(x[0] for x in mixed)
     assert corpus_pipeline.run(spark, data).count() == len(mixed)
