@@ -4,6 +4,7 @@ their target weights, and what is left is packed in shards."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrasift.llm import toxicity
 from terrasift.llm.decontamination import drop_contaminated
@@ -31,7 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard(docs)
+    """Slots follow the order of the mix, which is that of the rows in the files of docs; without files, hashed order."""
+    return shard(docs, place_in=(F.col("_metadata.file_path"), F.col("_metadata.row_index")) if docs.inputFiles() else None)
 
 
 STAGES = [
@@ -47,6 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each on the stored rows of the one before.
+
+    Texts that are null or have no words aren't toxic, are no copies, hold no windows, and weigh nothing in the mix, which
+    takes them in every whole pass over their source. Rows of one id are one document from the second stage on; without an id, equal texts are. Ties
+    go to the smaller id, then by hash. An empty table gives no rows; columns of any other name pass through to the last
+    stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
