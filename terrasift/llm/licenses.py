@@ -1,7 +1,7 @@
 """License scans with DataFrame functions only.
 
-Units are header lines that name a licence, and the whole text of every document with such a line or a licence file's
-name. A unit's terms are weighted by TF-IDF over all units; the cosine to each template decides its licence. A document
+Units are the blocks of lines between blank lines and the single lines that speak of a licence, and the whole text of
+licence files. A unit's terms are weighted by TF-IDF over all units; the cosine to each template decides its licence. A document
 without a licence inherits that of the nearest directory above it that holds a licence file.
 """
 
@@ -12,30 +12,54 @@ from pyspark.sql import functions as F
 
 from .durable import checkpoint
 
-#: Names and notices of common licences.
+#: Titles and notices of common licences.
 TEMPLATES = (
+    ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Artistic-1.0", "The Artistic License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A line with one of these names or grants a licence.
-CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|public domain|creative commons|\bcc(0| by)"
+#: Words of which every template has one; blocks and lines without any aren't compared.
+CUE = r"(?i)licen[cs]|copyright|spdx|permission|redistribut|public\s+domain|creative\s+commons|\bcc(0|[\s-]by)"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+BLANK = r"\n[ \t\r]*\n"
 LEAST_COSINE = 0.6
 
 
@@ -66,7 +90,7 @@ def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
     A unit is one row, so its terms are counted in place; what moves is one row for each distinct term of a unit, once to
     its idf and once, as partial sums, to its unit.
     """
-    counted = units.select("unit", F.inline(term_counts(F.col("text"))))
+    counted = checkpoint(units.select("unit", term_counts(F.col("text")).alias("terms"))).select("unit", F.inline("terms"))
     total = counted.agg(F.count_if("first").alias("n"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda n, df: F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + 1
@@ -89,8 +113,9 @@ def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
-    """The templates, a table of fixed size."""
-    return spark.createDataFrame(list(TEMPLATES), "licence string, text string").coalesce(1)
+    """The templates, and each licence's tag, a table of fixed size."""
+    tags = [(name, f"SPDX-License-Identifier: {name}{end}") for name in sorted({n for n, _ in TEMPLATES}) for end in ("", "-only", "-or-later")]
+    return spark.createDataFrame([*TEMPLATES, *tags], "licence string, text string").coalesce(1)
 
 
 def ancestors(directory: Column) -> Column:
@@ -102,21 +127,23 @@ def ancestors(directory: Column) -> Column:
 def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, path, licence, cosine, origin) for every row of docs.
 
-    origin is 'header' or 'file' for a licence found in the text itself (of a line, or of the whole text; the larger
-    cosine, of equal ones the header), 'inherited' for that of the nearest directory at or above with a licence file
-    (a file named licence, copying or notice whose own text has a licence; of several in one directory the largest
-    cosine, then the first path), else 'none' with nulls. Lines end at line feeds and are read to the end of the text. A
-    null text has no lines; a null path takes no part in inheritance. Rows that repeat are separate rows with the same
-    result; columns of other names are not read.
+    origin is 'file' for the licence of a licence file's whole text, 'header' for one of a block or a line in any text (the
+    larger cosine counts, of equal ones the header), 'inherited' for that of the nearest directory at or above with a
+    licence file (a file named licence, copying or notice whose own text has a licence; of several in one directory the
+    largest cosine, then the first path), else 'none' with nulls. Blocks end at blank lines, lines at line feeds; all are
+    read to the end of the text. A null text has none; a null path takes no part in inheritance. Rows that repeat are
+    separate rows with the same result; columns of other names are not read.
     """
     clean = F.regexp_replace(path, "^/+|/+$", "")
     rows = docs.select(F.col(id_col).alias("id"), clean.alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "path", "text"))
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0002"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws("\u0001", given("id"), given("path"), "text")))
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    cued = rows.where(F.col("text").rlike(CUE) | named).select("key", "text", lines.alias("lines"))
+    cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
+    parts = F.array_distinct(F.concat(cued(F.split("text", BLANK)), cued(F.split("text", "\n"))))
+    kept = rows.where(F.col("text").rlike(CUE) | named).select("key", F.when(named, F.col("text")).alias("text"), parts.alias("parts"))
     unit = lambda n: F.struct(F.col("key"), n.alias("line"))
-    units = cued.select("key", F.posexplode(F.concat(F.array("text"), "lines")).alias("line", "text")).select(unit(F.col("line")).alias("unit"), "text")
+    units = kept.select("key", F.posexplode(F.concat(F.array("text"), "parts")).alias("line", "text")).where("text is not null").select(unit(F.col("line")).alias("unit"), "text")
     found = match_templates(units, template_rows(docs.sparkSession)).where(F.col("cosine") >= LEAST_COSINE)
     found = found.groupBy(F.col("unit.key").alias("key")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), (F.col("unit.line") == 0).alias("o"), "licence")).alias("b"))
     found = found.select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), F.when(F.col("b.o"), "file").otherwise("header").alias("origin"))

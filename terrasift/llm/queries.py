@@ -9,7 +9,7 @@ from . import quality, toxicity
 from .decontamination import find_contamination
 from .jaccard import near_duplicate_components
 from .labelled import remainder
-from .licenses import CUE, TEMPLATES, document_paths, scan_licenses
+from .licenses import BLANK, CUE, TEMPLATES, document_paths, scan_licenses
 from .mixing import mix
 from .revisits import captures, resolve_revisits
 from .secrets import find_secrets
@@ -171,11 +171,12 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 _LICENSES = rf"""
-with t(licence, text) as (values {", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)}),
+with named_(licence, text) as (values {", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)}),
+t as (select * from named_ union all select licence, 'SPDX-License-Identifier: ' || licence || suffix from (select distinct licence from named_), (values (''), ('-only'), ('-or-later')) s(suffix)),
 p as (select doc_id, coalesce(text, '') text, coalesce(source, 'unknown') src, '/part-' || (doc_id // 1000) part, '/set-' || (doc_id % 1000 // 50) grp from documents),
 d as (select doc_id, text, case when doc_id % 15 = 0 then src || part || '/LICENSE' when doc_id % 15 = 5 then src || part || grp || '/LICENSE' when doc_id % 5 = 0 then src || '/LICENSE' else src || part || grp || '/doc-' || doc_id || '.txt' end path from p),
-e as (select *, regexp_replace(path, '/[^/]*$', '') folder, doc_id % 5 = 0 named, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) lines from d),
-u as (select doc_id, unnest(range(0, len(lines) + 1)) line, unnest(list_concat([text], lines)) text from e where regexp_matches(text, '{CUE}') or named),
+e as (select *, regexp_replace(path, '/[^/]*$', '') folder, doc_id % 5 = 0 named, list_distinct(list_filter(list_concat(regexp_split_to_array(text, '{BLANK}'), string_split(text, chr(10))), lambda x: regexp_matches(x, '{CUE}'))) lines from d),
+u as (select * from (select doc_id, unnest(range(0, len(lines) + 1)) line, unnest(list_concat([case when named then text end], lines)) text from e where regexp_matches(text, '{CUE}') or named) where text is not null),
 tf as (select doc_id, line, term, count(*) tf from (select doc_id, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[a-z0-9]+)*')) term from u) group by 1, 2, 3),
 n as (select count(*) n from (select distinct doc_id, line from tf)), df as (select term, count(*) df from tf group by 1),
 w as (select doc_id, line, term, tf * (ln((1e0 + n) / (1e0 + df)) + 1) w from tf join df using (term), n),

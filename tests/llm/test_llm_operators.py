@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +305,29 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df, F.col("at")).count() == len(rows) and licenses.scan_licenses(df.limit(0), F.col("at")).count() == 0
 
 
+COMMON = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "MPL-1.1": "MPL-1.1", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0"}
+GRANT = "/*\n * Permission is\n * hereby granted, free of charge, to any person obtaining a copy of this\n * software and associated documentation files, to deal in the Software\n * without restriction.\n */\n\nint main;"
+NOTICE = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n\nimport os"
+
+
+@pytest.mark.parametrize("others", [False, True])
+def test_licenses_of_real_texts(spark, others):
+    """Whole licence texts, a wrapped grant, a wrapped notice and a tag, with and without other documents."""
+    folder = Path("/usr/share/common-licenses")
+    texts = {k: (folder / k).read_text(errors="replace") for k in COMMON if (folder / k).exists()}
+    rows = [(k, t, f"{k}/LICENSE") for k, t in texts.items()] + [("grant", GRANT, "grant/a.c"), ("notice", NOTICE, "notice/a.py"), ("tag", "// SPDX-License-Identifier: MPL-2.0\nint x;", "tag/a.c"), ("none", "a line\n\nanother line without", "none/a.c")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, at string")
+    if others:
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        df = df.unionByName(docs.select(F.col("doc_id").cast("string"), "text", licenses.document_paths().alias("at")))
+    got = {r.doc_id: r.licence for r in licenses.scan_licenses(df, F.col("at")).where(~F.col("doc_id").rlike("^[0-9]+$")).collect()}
+    assert got == {k: COMMON[k] for k in texts} | {"grant": "MIT", "notice": "GPL-2.0", "tag": "MPL-2.0", "none": None}
+
+
+def test_every_template_has_a_cue():
+    assert all(re.search(licenses.CUE, text) for _, text in licenses.TEMPLATES)
+
+
 def test_secrets(spark):
     r = random.Random(4)
     token = lambda k, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(alphabet) for _ in range(k))
