@@ -76,7 +76,7 @@ def term_counts(text: Column) -> Column:
 
 def _runs(found: Column) -> Column:
     starts = F.filter(F.transform(found, lambda t, i: F.when((i == 0) | (F.get(found, i - 1) != t), i)), lambda i: i.isNotNull())
-    counts = lambda starts: F.transform(starts, lambda b, k: F.struct(F.get(found, b).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(found)) - b).alias("tf"), (k == 0).alias("first")))
+    counts = lambda starts: F.transform(starts, lambda b, k: F.struct(F.get(found, b).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(found)) - b).alias("tf")))
     return F.transform(F.array(starts), counts)[0]
 
 
@@ -85,13 +85,15 @@ def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
 
     idf is ln((1 + units) / (1 + units with the term)) + 1 over all rows of units that have terms; a template's terms that
     no unit has weigh the most. Ties go to the licence that sorts first. Rows of one unit have the same text; they count
-    as several units in idf, and are divided out of its vector. Terms are told apart by 64-bit hashes.
+    as several units in idf. Terms are told apart by 64-bit hashes.
 
-    A unit is one row, so its terms are counted in place; what moves is one row for each distinct term of a unit, once to
-    its idf and once, as partial sums, to its unit.
+    A unit is one row, so its terms are counted in place, once, and kept as two arrays beside a number of the row; what
+    moves is one row of numbers for each distinct term of a unit, once to its idf and once, as partial sums, to its unit.
     """
-    counted = checkpoint(units.select("unit", term_counts(F.col("text")).alias("terms"))).select("unit", F.inline("terms"))
-    total = counted.agg(F.count_if("first").alias("n"))
+    numbered = units.select("unit", F.monotonically_increasing_id().alias("u"), term_counts(F.col("text")).alias("t"))
+    numbered = checkpoint(numbered.select("unit", "u", F.transform("t", lambda x: x["term"]).alias("term"), F.transform("t", lambda x: x["tf"]).alias("tf")))
+    counted = numbered.select("u", F.inline(F.arrays_zip("term", "tf")))
+    total = numbered.where(F.size("term") > 0).agg(F.count("*").alias("n"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda n, df: F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + 1
 
@@ -100,15 +102,15 @@ def match_templates(units: DataFrame, templates: DataFrame) -> DataFrame:
     length = own.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("length"))
     own = own.join(length, "template").groupBy("term").agg(F.collect_list(F.struct("template", "licence", (F.col("tw") / F.col("length")).alias("tw"))).alias("own"))
 
-    weighted = counted.join(df, "term").crossJoin(F.broadcast(total)).select("unit", "term", "first", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    weighted = counted.join(df.hint("shuffle_hash"), "term").crossJoin(F.broadcast(total)).select("u", "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w"))
     weighted = weighted.join(F.broadcast(own), "term", "left")  # own has the terms of the templates, a table of fixed size
     shared = F.collect_list(F.when(F.col("own").isNotNull(), F.struct("w", "own")))
-    rows = F.count_if("first")
-    by_unit = weighted.groupBy("unit").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) * F.sqrt(rows)).alias("norm"), shared.alias("shared"))
-    dots = by_unit.select("unit", "norm", F.explode("shared").alias("s")).select("unit", "norm", "s.w", F.inline("s.own"))
-    dots = dots.groupBy("unit", "template").agg(F.first("licence").alias("licence"), F.first("norm").alias("norm"), F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosines = dots.select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-    best = cosines.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    by_unit = weighted.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), shared.alias("shared"))
+    dots = by_unit.select("u", "norm", F.explode("shared").alias("s")).select("u", "norm", "s.w", F.inline("s.own"))
+    dots = dots.groupBy("u", "template").agg(F.first("licence").alias("licence"), F.first("norm").alias("norm"), F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    cosines = dots.select("u", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    best = cosines.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    best = best.join(numbered.select("u", "unit"), "u").groupBy("unit").agg(F.min("b").alias("b"))
     return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
