@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.folders import shared_folder
 
 
+#: Rows that a Python worker is handed at once at most.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Python workers of this session handed fewer rows at once, as a row here is a whole text; it stays so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def checkpoint(frame: DataFrame) -> DataFrame:
     """frame, computed once and kept in the shared folder; a lost executor loses none of it."""
     context = frame.sparkSession.sparkContext

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import contract
-from .durable import checkpoint, spare_name
+from .durable import checkpoint, small_batches, spare_name
 from .words import NOT_SPACE, Words, mix, shingle_sets, text_chunks
 
 #: From this many classes on, a shingle counts as frequent and is used in combinations only.
@@ -361,6 +361,7 @@ def _classes_and_components(docs: DataFrame, id_col: str, text_col: str, width:
     """(rows(id, th, node, n), classes(node, rep)): th is the hash of a row's text, node its set's 128 bits, and rep the
     least (id, th) of the set's component."""
     rule, both = _Rule(num, den), ["id", "th"]
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     profile = checkpoint(texts.mapInArrow(_profile(width, rule), "id bigint, th bigint, node binary, n bigint"))
     rows = profile.where("node is not null")

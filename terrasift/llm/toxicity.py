@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpoint
+from .durable import checkpoint, small_batches
 from .labelled import labelled_sample, remainder
 from .words import ALNUM, Words, distinct_by_row, mix, text_chunks
 
@@ -254,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
     Terms are all words and beginnings in the examples, weighted by their tie to the label. Without labels, or with one label
     only, there are no terms, and every text gets the base rate (0 without labels).
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, usable, EXAMPLES, id_col, text_col).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
     sample = checkpoint(sample)
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -301,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), batch.column("y").take(pa.array([r for _, r in found], pa.int64()))], ["vote", "y"])
 
         some = sample.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION)
-        votes = some.select(F.col("id").cast("long").alias("id"), "text", "y").repartition(32).mapInArrow(without_itself, "vote double, y int").toArrow()
+        votes = some.select(F.col("id").cast("long").alias("id"), "text", "y").repartition(16).mapInArrow(without_itself, "vote double, y int").toArrow()
         model.calibration = calibrate(*(votes[c].to_numpy() for c in ("vote", "y")))
     return model
 
