@@ -241,11 +241,12 @@ def leaks_by_force(rows, items, width=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 400])
-def test_decontamination(spark, monkeypatch, block):
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
+def test_decontamination(spark, monkeypatch, bits):
+    """Also with a bitmap too small for its shingles, which lets most through to the join."""
     from terrasift.llm import decontamination
 
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontamination, "MOST_BITS", bits)
     rows = corpus(3)
     texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 12]
     r = random.Random(1)
