@@ -193,7 +193,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     stretches = stretches.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s"))
     names = spans.select("h1", "h2", "w1", "w2").distinct().join(owners, ["w1", "w2"]).select("h1", "h2", "name").distinct()
     names = names.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("name")).alias("items"))
-    named = stretches.join(names, ["h1", "h2"])
+    # Written, so that the join below sees its size: it is broadcast if small, and else keys of many equal texts are split.
+    named = written(stretches.join(names, ["h1", "h2"]), "leaks")
 
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
     out = lambda s, e, i: (F.col("id").alias(id_col), "n_words", none(s, "int").alias("starts"), none(e, "int").alias("ends"), none(i, "string").alias("items"))
