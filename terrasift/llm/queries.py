@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .codes import compress, with_label_error
 from .decontamination import find_contamination
 from .jaccard import near_duplicate_components
 from .labelled import remainder
@@ -80,6 +81,11 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(_read(spark, sf_dir, "embeddings"))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +99,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_vector_bin_packing,
+        op12_vector_code_compression,
     )
 }
 
@@ -206,6 +213,19 @@ reach(x, y) as (select doc_id, doc_id from d union select x, l.y from reach r jo
 select doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(y) component_id from d join reach on x = doc_id left join n using (doc_id) group by 1
 """
 
+_ASSIGN = "select id, p, arg_min(e, (d, e)) e, min(d) d from (select x.id, x.p, c.e, list_sum(list_transform(range(1, w + 1), lambda k: (x.v[k] - c.v[k]) ** 2))::bigint d from x join {books} c using (p), widths) group by 1, 2"
+_UPDATE = "select p, c.e, coalesce(m.v, c.v) v from {books} c left join (select p, e, list(s // n - case when s % n < 0 then 1 else 0 end order by k) v from (select p, e, k, sum(v[k])::bigint s, count(*) n from x join {codes} using (id, p), (select unnest(range(1, w + 1)) k from widths) group by 1, 2, 3) group by 1, 2) m using (p, e)"
+
+_CODES = f"""
+with kept as (select vec_id id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+widths as (select max(len(v)) // 16 w from kept), x as (select id, p, v[p * w + 1:p * w + w] v from kept, widths, (select unnest(range(16)) p)),
+b0 as (select p, e, v from x join (select id, row_number() over (order by id) - 1 e from (select id from kept order by id limit 64)) using (id)),
+c0 as materialized ({_ASSIGN.format(books='b0')}), b1 as materialized ({_UPDATE.format(books='b0', codes='c0')}),
+c1 as materialized ({_ASSIGN.format(books='b1')}), b2 as materialized ({_UPDATE.format(books='b1', codes='c1')}),
+c2 as materialized ({_ASSIGN.format(books='b2')}), r as (select id, string_agg(printf('%02x', e), '' order by p) code, sum(d)::bigint error from c2 group by 1)
+select id vec_id, code, error, sum(error) over (partition by label)::bigint label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from b2) codebooks_sha256 from r join kept using (id)
+"""
+
 #: The others have no SQL: greedy packing, nearest neighbours under learned terms, tokenizers, fitted models.
 ORACLES: dict[str, str] = {
     "op1_source_mixing": _MIXING,
@@ -214,4 +234,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_top_k": _TOP_K,
     "op5_license_scan": _LICENSES,
     "op9_ngram_jaccard_join": _JACCARD,
+    "op12_vector_code_compression": _CODES,
 }
