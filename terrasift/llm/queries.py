@@ -16,6 +16,7 @@ from .revisits import captures, resolve_revisits
 from .secrets import find_secrets
 from .sharding import shard
 from .topk import scaled_vectors, top_k
+from .trie import conversation_trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,10 @@ def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES = {
         op9_ngram_jaccard_join,
         op10_vector_bin_packing,
         op12_vector_code_compression,
+        op13_conversation_prefix_trie,
     )
 }
 
@@ -226,6 +232,17 @@ c2 as materialized ({_ASSIGN.format(books='b2')}), r as (select id, string_agg(p
 select id vec_id, code, error, sum(error) over (partition by label)::bigint label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from b2) codebooks_sha256 from r join kept using (id)
 """
 
+_TRIE = """
+with t as (select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first) turns from conversations where conv_id is not null group by 1),
+h as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda s, b: list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 h from t),
+r as (select c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) turns from h c left join t f on f.conv_id = c.conv_id - c.conv_id % 5),
+p as (select conv_id, d, len(turns) length, md5(turns[1:d]::varchar) key, md5(turns[1:d - 1]::varchar) above, case when d > 0 then strlen(turns[d].text) else 0 end bytes from (select *, unnest(range(0, len(turns) + 1)) d from r)),
+n as (select d, key, min(conv_id) conv, count(*) n, any_value(bytes) bytes, any_value(above) above, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (length = d), '') ends from p group by 1, 2),
+k as (select x.*, (select count(*) from n y where y.d = x.d + 1 and y.above = x.key) children from n x),
+s as (select a.d, a.key, count(*) filter (x.children = 0) leaves, sum((x.n - 1) * x.bytes) saved from k x join p a on a.conv_id = x.conv and a.d <= x.d group by 1, 2)
+select k.conv conv_id, k.d depth, u.conv parent_conv_id, k.n n_convs, k.children n_children, leaves n_leaves, saved::bigint saved_tokens, sha256(k.ends) ends_sha256 from k join s using (d, key) left join n u on u.d = k.d - 1 and u.key = k.above
+"""
+
 #: The others have no SQL: greedy packing, nearest neighbours under learned terms, tokenizers, fitted models.
 ORACLES: dict[str, str] = {
     "op1_source_mixing": _MIXING,
@@ -235,4 +252,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": _LICENSES,
     "op9_ngram_jaccard_join": _JACCARD,
     "op12_vector_code_compression": _CODES,
+    "op13_conversation_prefix_trie": _TRIE,
 }
