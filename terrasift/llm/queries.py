@@ -12,6 +12,7 @@ from .jaccard import near_duplicate_components
 from .labelled import remainder
 from .licenses import BLANK, CUE, TEMPLATES, document_paths, scan_licenses
 from .mixing import mix
+from .pii import find_personal_data
 from .revisits import captures, resolve_revisits
 from .secrets import find_secrets
 from .sharding import shard
@@ -82,6 +83,14 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compress(_read(spark, sf_dir, "embeddings"))
     return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
@@ -104,6 +113,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_vector_bin_packing,
+        op11_personal_data,
         op12_vector_code_compression,
         op13_conversation_prefix_trie,
     )
