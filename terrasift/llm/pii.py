@@ -25,7 +25,7 @@ from .words import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that are read to learn from, and proposals of them that are learned from, at most.
-SAMPLE_DOCS, SAMPLE_ROWS = 8192, 24576
+SAMPLE_DOCS, SAMPLE_ROWS = 4096, 24576
 #: Of the selected proposals of a kind, at least this share has to be right on the rows kept for calibration.
 PRECISION = 0.99
 #: Code points before and after a proposal that its features see.

@@ -86,7 +86,8 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    of = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
