@@ -239,10 +239,14 @@ def rewritings(kind: int, body: str) -> Iterator[tuple[str, bool]]:
         yield _regrouped(digits, (1, 6, 2, 5), "-"), False
     else:
         own = digits[-10:]
-        code = digits[:-10] or "1"
+        code, a, b, c = digits[:-10] or "1", own[:3], own[3:6], own[6:]
         yield body, True
-        for text in (f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"{own[:3]}.{own[3:6]}.{own[6:]}", f"00{code} {own[:3]} {own[3:6]} {own[6:]}", f"+{code}/{own[:3]}/{own[3:6]}{own[6:]}", f"{code}-{own[:3]}-{own[3:6]}-{own[6:]}"):
-            yield text, True
+        for sep in (" ", "-", "."):
+            yield f"({a}){sep.strip('.')}{b}{sep}{c}", True
+            yield sep.join((a, b, c)), True
+            yield sep.join((code, a, b, c)), True
+            yield sep.join((f"00{code}", a, b, c)), True
+            yield f"+{code}/{a}{sep}{b}{c}", True
         for text in (f"20{own[:2]}-{int(own[2:4]) % 12 + 1:02}-{int(own[4:6]) % 28 + 1:02}", f"{int(own[4:6]) % 28 + 1:02}.{int(own[2:4]) % 12 + 1:02}.20{own[:2]}", own, f"{own[:1]}.{own[1:]}", f"{own[:2]} {own[2:4]} {own[4:6]} {own[6:8]} {own[8:]}", f"978-{own[:1]}-{own[1:4]}-{own[4:9]}-{own[9:]}", f"{own[:5]}-{own[5:]}", f"{own[:3]},{own[3:6]},{own[6:9]}"):
             yield text, False
 
