@@ -9,6 +9,7 @@ from .functions.names import metric_column, with_units
 from .operators import analysis, checks, costs, land, lookup, results, weather
 from .queries import _CRF, _DENSE, _TECH_LAST
 from .registry import query
+from .sources.folders import new_path
 
 _ANNUAL = f"overnight*({_CRF.format(r='rate', n='lifetime')}+om)"
 
@@ -126,11 +127,17 @@ def first_places(cells: DataFrame) -> DataFrame:
     return lookup.first_rows(cells.select("cell_id", "latitude", "longitude"), ["cell_id"], 25)
 
 
-@query("cells edges", ", p as (select cell_id id, longitude x, latitude y from cells where abs(latitude)<=60 order by max_capacity_mw desc nulls last, cell_id limit 1), b as (select country, polygon_order, min(least(x1,x2)) w, max(greatest(x1,x2)) e from edges where seg<4 group by 1,2) select id, arg_min(country, polygon_order) country from p join b on x between w and e group by 1")
+@query(
+    "cells edges",
+    """, p as (select cell_id id, longitude x, latitude y from cells where abs(latitude)<=60 order by max_capacity_mw desc nulls last, cell_id limit 1),
+ t as (select id, polygon_order, country, sum(case when (y1>y)<>(y2>y) and x<(x2-x1)*(y-y1)/(case when y2=y1 then 1e0 else y2-y1 end)+x1 then 1 else 0 end)%2=1
+  or max(case when (x2-x1)*(y-y1)=(y2-y1)*(x-x1) and x between least(x1,x2) and greatest(x1,x2) and y between least(y1,y2) and greatest(y1,y2) then 1 else 0 end)=1 as inside from p, edges group by 1,2,3)
+ select p.id, arg_min(t.country, t.polygon_order) country from p left join t on t.id=p.id and t.inside group by 1""",
+)
 def country_of_largest_site(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """One point against the polygons; a point in a hole has no country, which the largest sites of these tables don't meet."""
+    """One point against all polygons, with their holes."""
     one = cells.where("abs(latitude) <= 60").orderBy(F.col("max_capacity_mw").desc_nulls_last(), "cell_id").limit(1)
-    return lookup.locate_country(one.select(F.col("cell_id").alias("id"), F.col("longitude").alias("x"), F.col("latitude").alias("y")), edges.where("seg < 4"))
+    return lookup.locate_country(one.select(F.col("cell_id").alias("id"), F.col("longitude").alias("x"), F.col("latitude").alias("y")), edges)
 
 
 # --- series --------------------------------------------------------------------------------------------------------------
@@ -141,9 +148,9 @@ def first_day(rows: DataFrame) -> DataFrame:
     return weather.first_hours(weather.dense_hours(rows), 24).select("cell_id", "resource", "hour_index", "cf")
 
 
-@query("weather", f"{_DENSE}, m as (select cell_id, resource, cast(hour_index//6 as int) block, avg(cf) cf from dense where hour_index < 48 group by 1,2,3) select cell_id, resource, block, round(case when avg(cf) over (partition by cell_id, resource)<=0 then 0e0 else cf end,6) cf from m", digits=6)
+@query("weather", f"{_DENSE}, m as (select cell_id, resource, cast(hour_index//6 as int) block, avg(cf) cf from dense group by 1,2,3) select cell_id, resource, block, round(case when avg(cf) over (partition by cell_id, resource)<=0 then 0e0 else cf end,6) cf from m", digits=6)
 def strict_block_mean(rows: DataFrame) -> DataFrame:
-    return weather.block_mean_strict(weather.first_hours(weather.dense_hours(rows), 48), 6)
+    return weather.block_mean_strict(weather.dense_hours(rows), 6)
 
 
 # --- detailed results ----------------------------------------------------------------------------------------------------
@@ -151,10 +158,13 @@ def strict_block_mean(rows: DataFrame) -> DataFrame:
 _LINKS = "links as (select tech name, 'AC_'||tech carrier, 'power' bus0, case when eff<1 then 'water' end bus2, eff efficiency from techs where component_type='link')"
 
 
+def links_of(techs: DataFrame) -> DataFrame:
+    return techs.where("component_type = 'link'").select(F.col("tech").alias("name"), F.concat(F.lit("AC_"), "tech").alias("carrier"), F.lit("power").alias("bus0"), F.when(F.col("eff") < 1, "water").alias("bus2"), F.col("eff").alias("efficiency"))
+
+
 @query("capacity techs", f", {_LINKS} select c.cell_id, c.name, round(optimum*efficiency*0.5e0,4) rated_mw, carrier, bus0 primary_source, bus2 secondary_source from capacity c join links using (name)")
 def rated_components(capacity: DataFrame, techs: DataFrame) -> DataFrame:
-    links = techs.where("component_type = 'link'").select(F.col("tech").alias("name"), F.concat(F.lit("AC_"), "tech").alias("carrier"), F.lit("power").alias("bus0"), F.when(F.col("eff") < 1, "water").alias("bus2"), F.col("eff").alias("efficiency"))
-    return results.rated_components(capacity, links, 0.5)
+    return results.rated_components(capacity, links_of(techs), 0.5)
 
 
 @query("capacity techs", "select cell_id, name, round(optimum*0.5e0*0.8e0,4) storage_mwh from capacity where name in (select tech from techs where component_type='store')")
@@ -166,7 +176,7 @@ _FLOWS = "['electrolysis','hydrogen_compression','hydrogen_from_storage','batter
 _SUMS = "sum(p*0.5e0) filter (flow='{}')"
 
 
-def _flows(dispatch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flows_of(dispatch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The dispatch dealt over the flows of a plant, primary by the hour, secondary by the half of the day."""
     names = F.array(*(F.lit(n) for n in ("electrolysis", "hydrogen_compression", "hydrogen_from_storage", "battery_pcs_charge", "battery_pcs_discharge", "hydrogen_fuel_cell", "ammonia_synthesis")))
     day = F.date_trunc("day", "ts").alias("ts")
@@ -175,9 +185,28 @@ def _flows(dispatch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, second
 
 
-@query("dispatch", ", a as (select cell_id, date_trunc('day',ts)::timestamp ts, " + _FLOWS + "[1+extract(hour from ts)::int%7] flow, p from dispatch), s as (select cell_id, date_trunc('day',ts)::timestamp ts, case when extract(hour from ts)<12 then 'hydrogen_compression' else 'ammonia_synthesis' end flow, p from dispatch), f as (select cell_id, ts, " + ", ".join(f"{_SUMS.format(n)}{d} {c}" for n, d, c in (("electrolysis", "", "electrolysis_mw"), ("hydrogen_compression", "/39.4e0", "hydrogen_to_storage_t_per_h"), ("hydrogen_from_storage", "/39.4e0", "hydrogen_from_storage_t_per_h"), ("battery_pcs_charge", "", "battery_charge_mw"), ("battery_pcs_discharge", "", "battery_discharge_mw"), ("hydrogen_fuel_cell", "*0.5e0", "fuel_cell_mw"), ("ammonia_synthesis", "", "synthesis_power_mw"))) + " from a group by 1,2), g as (select cell_id, ts, " + _SUMS.format("hydrogen_compression") + " compression_power_mw, " + _SUMS.format("ammonia_synthesis") + "/39.4e0 synthesis_hydrogen_t_per_h from s group by 1,2) select cell_id, ts, " + ", ".join(f"round({c},4) {c}" for c in ("electrolysis_mw", "hydrogen_to_storage_t_per_h", "hydrogen_from_storage_t_per_h", "battery_charge_mw", "battery_discharge_mw", "fuel_cell_mw", "synthesis_power_mw", "compression_power_mw", "synthesis_hydrogen_t_per_h")) + ", round(synthesis_hydrogen_t_per_h/0.18e0,4) ammonia_t_per_h from f join g using (cell_id, ts)")
+_PRIMARY = (("electrolysis", "", "electrolysis_mw"), ("hydrogen_compression", "/39.4e0", "hydrogen_to_storage_t_per_h"), ("hydrogen_from_storage", "/39.4e0", "hydrogen_from_storage_t_per_h"), ("battery_pcs_charge", "", "battery_charge_mw"), ("battery_pcs_discharge", "", "battery_discharge_mw"), ("hydrogen_fuel_cell", "*0.5e0", "fuel_cell_mw"), ("ammonia_synthesis", "", "synthesis_power_mw"))
+_CONSUMED = (
+    "first_flows as (select cell_id, date_trunc('day',ts)::timestamp ts, " + _FLOWS + "[1+extract(hour from ts)::int%7] flow, p from dispatch), second_flows as (select cell_id, date_trunc('day',ts)::timestamp ts, case when extract(hour from ts)<12 then 'hydrogen_compression' else 'ammonia_synthesis' end flow, p from dispatch),"
+    " primary_sums as (select cell_id, ts, " + ", ".join(f"{_SUMS.format(n)}{d} {c}" for n, d, c in _PRIMARY) + " from first_flows group by 1,2),"
+    " secondary_sums as (select cell_id, ts, " + _SUMS.format("hydrogen_compression") + " compression_power_mw, " + _SUMS.format("ammonia_synthesis") + "/39.4e0 synthesis_hydrogen_t_per_h from second_flows group by 1,2),"
+    " consumed as (select *, synthesis_hydrogen_t_per_h/0.18e0 ammonia_t_per_h from primary_sums join secondary_sums using (cell_id, ts))"
+)
+
+
+@query("dispatch", f", {_CONSUMED} select cell_id, ts, round(columns(* exclude (cell_id, ts)),4) from consumed")
 def daily_consumption(dispatch: DataFrame) -> DataFrame:
-    return results.consumption(*_flows(dispatch), 0.5, 0.5)
+    return results.consumption(*flows_of(dispatch), 0.5, 0.5)
+
+
+@query("dispatch techs", "select cell_id, ts, round(sum(p) filter (name='solar')*0.5e0,4) solar, round(sum(p) filter (name='wind')*0.5e0,4) wind from dispatch where name in (select tech from techs where component_type='generator') group by 1,2")
+def generation(dispatch: DataFrame, techs: DataFrame) -> DataFrame:
+    return results.generation(dispatch, techs.where("component_type = 'generator'").select(F.col("tech").alias("name")), 0.5)
+
+
+@query("levels", "select cell_id, ts, round(sum(e) filter (name='ammonia')*3e0,4) ammonia, round(sum(e) filter (name='battery_storage')*3e0,4) battery_storage, round(sum(e) filter (name='compressed_hydrogen_store')*3e0,4) compressed_hydrogen_store from levels group by 1,2")
+def stored_energy(levels: DataFrame) -> DataFrame:
+    return results.stored_energy(levels, scale=0.5, aggregation=3, time_step=2.0)
 
 
 @query("dispatch", ", a as (select cell_id, ts, sum(p) filter (name='wind') wind, sum(p) filter (name='solar') solar, -sum(p) filter (name='ammonia_synthesis') ammonia_synthesis from dispatch group by 1,2) select cell_id, ts, round(wind*2.5e0,4) wind, round(solar*2.5e0,4) solar, round(ammonia_synthesis*2.5e0,4) ammonia_synthesis from a")
@@ -210,17 +239,26 @@ def columns_with_units(capacity: DataFrame) -> DataFrame:
     return with_units(capacity.groupBy("cell_id").agg(*sums, F.count("*").cast("double").alias("hydrogen_storage_capacity"), F.lit(50.0).alias("percent_onshore")))
 
 
-@query("results", "select 'latitude' first, 'other' last, count(*) rows, round(sum(lcoa_per_t),2) lcoa from results", digits=2)
+_WIDE = ("other", "interest_rate_wind", "cost_share_wind_pct", "wind_mw", "hydrogen_storage_capacity_t", "lcoa_component_wind_per_t", "land_used_km2", "bathymetry_depth_m", "lcoa_per_t", "currency", "country", "longitude", "latitude")
+_ORDERED = ("latitude", "longitude", "country", "currency", "lcoa_per_t", "bathymetry_depth_m", "land_used_km2", "wind_mw", "hydrogen_storage_capacity_t", "cost_share_wind_pct", "lcoa_component_wind_per_t", "interest_rate_wind", "other")
+
+
+@query("results", "select unnest([" + ",".join(f"'{c}'" for c in _ORDERED) + f"]) \"column\", unnest(range({len(_ORDERED)}))::int place, count(*) rows, round(sum(lcoa_per_t),2) lcoa from results", digits=2)
 def ordered_columns(rows: DataFrame) -> DataFrame:
-    """First and last column of a result in report order, with totals of the rows."""
-    wide = rows.select(F.lit(1).alias("other"), F.lit(0.1).alias("interest_rate_wind"), F.col("lcoa_per_t"), F.lit(2.0).alias("wind_mw"), "country", "longitude", "latitude")
-    ordered = results.order_columns(wide)
-    return ordered.agg(F.lit(ordered.columns[0]).alias("first"), F.lit(ordered.columns[-1]).alias("last"), F.count("*").alias("rows"), F.sum("lcoa_per_t").alias("lcoa"))
+    """Each column of a result in report order with its place, and totals of the rows."""
+    extra = [F.lit(float(k)).alias(c) for k, c in enumerate(_WIDE) if c not in rows.columns]
+    ordered = results.order_columns(rows.select(*rows.columns, *extra).select(*_WIDE))
+    totals = ordered.agg(F.count("*").alias("rows"), F.sum("lcoa_per_t").alias("lcoa"))
+    return totals.select(F.posexplode(F.lit(ordered.columns)).alias("place", "column"), "rows", "lcoa")
 
 
 @query("cells results weather", "select 'cells' \"table\", '' missing, count(*) rows from cells union all select 'results', 'currency', count(*) from results union all select 'weather', 'latitude, longitude', count(*) from weather")
 def preflight_report(cells: DataFrame, rows: DataFrame, series: DataFrame) -> DataFrame:
-    return results.preflight({"cells": (cells, ("latitude", "longitude")), "results": (rows, ("latitude", "currency")), "weather": (series, ("latitude", "longitude", "cf"))})
+    """Seen while a run writes its inputs, by the scans of that run."""
+    spark, check = cells.sparkSession, results.Preflight()
+    for name, df, needed in (("cells", cells, ("latitude", "longitude")), ("results", rows, ("latitude", "currency")), ("weather", series, ("latitude", "longitude", "cf"))):
+        check.watch(name, df, needed).write.parquet(new_path(spark, name))
+    return check.report(spark).select("table", "missing", "rows")
 
 
 @query("spatial cells", "select distinct 'AC_'||cell_id carrier from (select cell_id from spatial union all select cell_id from cells where max_capacity_mw>0) where cell_id not in (select cell_id from cells where onshore_land_pct=0)")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import costs, land, weather
+from .design_queries import _CONSUMED, _LINKS, flows_of, links_of
+from .operators import costs, land, results, weather
+from .operators.results import combine_segments
 from .queries import _CRF, _FRAME, _TECH_LAST
 from .registry import query
 from .sources import sinks, tables
@@ -115,18 +117,25 @@ def locations_file(cells: DataFrame) -> DataFrame:
     return tables.read_locations(cells.sparkSession, _written(rows, "locations.csv"))
 
 
+def _weather_roots(rows: DataFrame) -> list[str]:
+    """Two roots with a set each, named by prefix and digits, with a folder for each resource."""
+    rows, roots = rows.select(F.col("cell_id").alias("latitude"), F.lit(0.0).alias("longitude"), "resource", "ts", "cf", F.lit(0).alias("hour_index")), []
+    for part in (0, 1):
+        roots.append(new_path(rows.sparkSession, "stack"))
+        rows.where(F.col("latitude") % 2 == part).write.partitionBy("resource").parquet(f"{roots[-1]}/weather{2019 + part}")
+    return roots
+
+
 @query("weather", "select cell_id::double latitude, resource, ts, round(cf,6) cf from weather", digits=6)
 def weather_files(rows: DataFrame) -> DataFrame:
-    """Two sets of files, a folder for each resource, read as one table."""
-    rows, paths = rows.select(F.col("cell_id").alias("latitude"), F.lit(0.0).alias("longitude"), "resource", "ts", "cf", F.lit(0).alias("hour_index")), []
-    for part in (0, 1):
-        path = new_path(rows.sparkSession, "weather.parquet")
-        rows.where(F.col("latitude") % 2 == part).write.partitionBy("resource").parquet(path)
-        paths.append(f"{path}/*")
-    spark = rows.sparkSession
-    base = [spark.read.option("basePath", p[:-2]).parquet(p) for p in paths]
-    both = base[0].unionByName(base[1])
-    return tables.typed(both, tables.S.WEATHER).select("latitude", "resource", "ts", "cf")
+    """Two roots of weather read as one table."""
+    return tables.read_weather(rows.sparkSession, _weather_roots(rows)).select("latitude", "resource", "ts", "cf")
+
+
+@query("weather", "select cell_id::double latitude, resource, ts, round(cf,6) cf from weather where resource<>'wind'", digits=6)
+def solar_weather_files(rows: DataFrame) -> DataFrame:
+    """As weather_files, but of two resources, whose folders alone are read."""
+    return tables.read_weather(rows.sparkSession, _weather_roots(rows), resources=["solar", "solar_tracking"]).select("latitude", "resource", "ts", "cf")
 
 
 @query("weather", "select count(*) \"hours\", round(sum(cf) filter (resource='wind'),4) wind, round(sum(cf) filter (resource<>'wind'),4) solar, 0e0 grid, count(*)::double ramp_dummy from weather")
@@ -193,6 +202,32 @@ def appended_results(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.parquet(path).select("latitude", "longitude", "lcoa_per_t", F.col("segment").cast("long").alias("segment"))
 
 
+@query("results", "select latitude, longitude, round(lcoa_per_t,6) lcoa_per_t, file_rank segment from results", digits=6)
+def committed_segments(rows: DataFrame) -> DataFrame:
+    """Segments that jobs committed one after the other, the second one twice, and once with rows that its next run replaced."""
+    path, of = new_path(rows.sparkSession, "results"), rows.withColumn("segment", F.col("file_rank").cast("int")).select("latitude", "longitude", "lcoa_per_t", "segment")
+    for which, cost in (("segment <> 1", 1), ("segment = 1", -1), ("segment = 1", 1), ("segment = 1", 1)):
+        sinks.commit_segments(of.where(which).withColumn("lcoa_per_t", F.col("lcoa_per_t") * cost), path)
+    return rows.sparkSession.read.parquet(path).select("latitude", "longitude", "lcoa_per_t", F.col("segment").cast("long").alias("segment"))
+
+
+@query("results cells", ", s as (select *, row_number() over (partition by latitude, longitude order by file_rank desc, row_no desc) turn from results) select latitude, longitude, row_no, round(lcoa_per_t,6) lcoa_per_t from s join cells using (latitude, longitude) where turn=1 and max_capacity_mw > 0", digits=6)
+def rewritten_results(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """The last result of each requested place, rewritten in the order of the requests."""
+    path = new_path(rows.sparkSession, "ordered.parquet")
+    requested = cells.where("max_capacity_mw > 0").select("latitude", "longitude", F.col("cell_id").alias("file_order"))
+    sinks.rewrite_in_order(combine_segments(rows), requested, path)
+    return rows.sparkSession.read.parquet(path).select("latitude", "longitude", "row_no", "lcoa_per_t")
+
+
+@query("cells", "select latitude lat, longitude lon from cells where max_capacity_mw>0 and longitude>=-90 and longitude<0")
+def stored_segment_locations(cells: DataFrame) -> DataFrame:
+    """A segment of places stored by band of longitude: two of the twelve bands and the next one's border are read."""
+    path = new_path(cells.sparkSession, "banded")
+    sinks.write_bands(cells, path)
+    return land.default_locations(tables.read_bands(cells.sparkSession, path, -90, 0))
+
+
 @query("results", "select row_no, round(lcoa_per_t,6) lcoa_eur_per_t, country from results", digits=6)
 def results_with_currency(rows: DataFrame) -> DataFrame:
     path = _written(sinks.with_currency(rows.select("row_no", "lcoa_per_t", "country"), " EUR"), "results.csv")
@@ -209,12 +244,43 @@ def weather_export(rows: DataFrame) -> DataFrame:
 @query("capacity dispatch", "select 'components' sheet, count(*) rows, round(sum(optimum),2) total from capacity union all select 'generation', count(*), round(sum(p),2) from dispatch", digits=2)
 def result_sheets(capacity: DataFrame, dispatch: DataFrame) -> DataFrame:
     spark, sheets = capacity.sparkSession, {"components": capacity.withColumnRenamed("optimum", "v"), "generation": dispatch.withColumnRenamed("p", "v")}
-    folder = new_path(spark, "sheets")
-    sinks.write_sheets(sheets, folder, "parquet")
-    total = lambda n: spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("sheet"), F.count("*").alias("rows"), F.sum("v").alias("total"))
+    path = new_path(spark, "sheets")
+    sinks.write_sheets(sheets, path)
+    total = lambda n: tables.read_sheet(spark, path, n).agg(F.lit(n).alias("sheet"), F.count("*").alias("rows"), F.sum("v").alias("total"))
     return total("components").unionByName(total("generation"))
 
 
+_SHEETS = f""", {_LINKS}, {_CONSUMED},
+ h as (select cell_id, sum(optimum)*1e5/(7134.703196e0/6.25e0*8760e0) cost_per_t, 7134.703196e0/6.25e0*8760e0*0.5e0 production from capacity group by 1),
+ g as (select c.optimum*0.5e0 rated from capacity c join techs on tech=name where component_type='generator'),
+ k as (select optimum*efficiency*0.5e0 rated, carrier, bus0, bus2 from capacity join links using (name)),
+ s as (select c.optimum*0.5e0*6e0 stored from capacity c join techs on tech=name where component_type='store'),
+ p as (select cell_id, ts, name, sum(p)*0.5e0 v from dispatch join techs on tech=name where component_type='generator' group by 1,2,3),
+ e as (select cell_id, ts, name, sum(e)*0.5e0*6e0 v from levels group by 1,2,3),
+ long as (select 'headlines' sheet, 'cost_per_t' field, cost_per_t v from h union all select 'headlines', 'production_t_per_year', production from h union all select 'generators', 'rated_mw', rated from g
+  union all select 'components', 'rated_mw', rated from k union all select 'stores', 'storage_mwh', stored from s union all select 'generation', name, v from p union all select 'stored_energy', name, v from e
+  union all select 'consumption', field, v from (unpivot (select * exclude (cell_id, ts) from consumed) on * into name field value v)),
+ texts as (select unnest(['carrier','primary_source','secondary_source']) field, unnest([carrier, bus0, bus2]) v from k)
+ select sheet, field, count(v) n, round(avg(v),3) mean from long group by 1,2 union all select 'components', field, count(v), null from texts group by field"""
+
+
+@query("capacity dispatch levels techs", _SHEETS, digits=3)
+def detailed_result_sheets(capacity: DataFrame, dispatch: DataFrame, levels: DataFrame, techs: DataFrame) -> DataFrame:
+    """All seven sheets, written in one job and each read back: its columns, with their values and mean."""
+    spark, path = capacity.sparkSession, new_path(capacity.sparkSession, "sheets")
+    objective = capacity.groupBy("cell_id").agg((F.sum("optimum") * 1e5).alias("objective"))
+    named = techs.withColumnRenamed("tech", "name")
+    sheets = results.detailed_sheets(capacity, dispatch, levels, flows_of(dispatch), named, links_of(techs), objective, 7134.703196, 0.5, scale=0.5, aggregation=3, time_step=2.0)
+    sinks.write_sheets(sheets, path)
+    out = None
+    for name, sheet in tables.read_sheets(spark, path).items():
+        kinds, fields = dict(sheet.dtypes), [c for c in sheet.columns if c not in tables.S.SHEET_KEYS]
+        each = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).isNotNull().alias("there"), (F.lit(None) if kinds[c] == "string" else F.col(c)).cast("double").alias("v")) for c in fields))
+        part = sheet.select(F.inline(each)).groupBy("field").agg(F.count_if("there").alias("n"), F.avg("v").alias("mean")).select(F.lit(name).alias("sheet"), "field", "n", "mean")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("results", "select row_no id, cast(file_rank as int) file_rank, case when file_rank=0 then null else country end country from results")
 def segment_files(rows: DataFrame) -> DataFrame:
     """Four files read in their order, columns by name; the first has no country."""
@@ -228,8 +294,6 @@ def segment_files(rows: DataFrame) -> DataFrame:
 @query("results", ", s as (select *, row_number() over (partition by latitude, longitude order by file_rank desc, row_no desc) turn from results) select latitude, longitude, row_no id from s where turn=1")
 def combined_segment_files(rows: DataFrame) -> DataFrame:
     """The last row of each place over four files, each in the order it was written."""
-    from .operators.results import combine_segments
-
     paths = [_written(rows.where(F.col("file_rank") == rank).orderBy("row_no").select("latitude", "longitude", F.col("row_no").alias("id")), "segment.csv") for rank in range(4)]
     last = combine_segments(tables.read_segments(rows.sparkSession, paths))
     return last.select(*(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")), F.col("id").cast("long").alias("id"))

@@ -59,6 +59,8 @@ from orders join customer on o_custkey=c_custkey left join nation on c_nationkey
  sum(l_quantity) optimum from lineitem join orders on l_orderkey=o_orderkey group by 1,2""",
     "dispatch": """select user_id cell_id, case event_type when 'error' then 'wind' when 'signup' then 'solar' else 'ammonia_synthesis' end name,
  date_trunc('hour',ts) ts, sum(value) p from events group by 1,2,3""",
+    "levels": """select user_id cell_id, case event_type when 'error' then 'battery_storage' when 'signup' then 'compressed_hydrogen_store' else 'ammonia' end name,
+ date_trunc('hour',ts) ts, sum(abs(value)) e from events group by 1,2,3""",
     "parts": "select 'brand_'||l_suppkey%40 tech, l_returnflag part, l_discount*100e0 percent, l_extendedprice cost from lineitem",
     # four boxes of countries' own longitudes with shared borders, one for each nation, and a hole in every third
     "edges": """select n_name country, cast(n_nationkey as int) polygon_order, seg, x1+14.4e0*n_nationkey x1, y1, x2+14.4e0*n_nationkey x2, y2 from nation

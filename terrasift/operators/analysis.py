@@ -38,9 +38,12 @@ def total_capacity(cells: DataFrame) -> DataFrame:
 
 
 def country_stats(results: DataFrame) -> DataFrame:
-    known = results.where("country is not null")
-    cost = F.col("lcoa_per_t")
-    return known.groupBy("country").agg(F.count(cost).alias("sites"), F.median(cost).alias("median_lcoa"), F.min(cost).alias("min_lcoa"), F.max(cost).alias("max_lcoa")).orderBy("median_lcoa", "country")
+    """Sites of each country with their median, least and largest cost, cheapest median first. Rows are read once, to count
+    values; a country without any cost has 0 sites."""
+    counts = value_counts(results.where("country is not null"), "lcoa_per_t", "country")
+    ends = counts.groupBy("country").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("sites"), F.min("v").alias("min_lcoa"), F.max("v").alias("max_lcoa"))
+    found = ends.join(ranked(counts, {"median_lcoa": 0.5}, "country"), "country", "left")
+    return found.select("country", "sites", "median_lcoa", "min_lcoa", "max_lcoa").orderBy("median_lcoa", "country")
 
 
 def most_frequent(results: DataFrame, column: str = "country", n: int = 20) -> DataFrame:
@@ -51,38 +54,77 @@ def of_top_countries(results: DataFrame, n: int = 20) -> DataFrame:
     return results.join(most_frequent(results, n=n).select("country"), "country", "left_semi")
 
 
+def _named(quantiles: tuple[float, ...]) -> dict[str, float]:
+    return {f"p{round(q * 100)}": q for q in quantiles}
+
+
 def describe(df: DataFrame, column: str, *by: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """count, mean, std, min, quantiles (linear between values) and max."""
-    c = F.col(column)
-    found = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.array(*map(F.lit, quantiles))).alias("q"))
-    named = [F.get("q", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)] if by else []
-    if by:
-        return found.select(*by, "count", "mean", "std", "min", *named, "max")
-    ranked = quantile_row(df, column, {f"p{round(q * 100)}": q for q in quantiles})
-    return found.drop("q").crossJoin(ranked).select("count", "mean", "std", "min", *(f"p{round(q * 100)}" for q in quantiles), "max")  # both are one row
+    """count, mean, std, min, quantiles (linear between values) and max, of each group or of all rows; null is a group."""
+    c, named = F.col(column), _named(quantiles)
+    found = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    ranked = quantiles_of(df, column, named, *by)
+    both = _beside(found, ranked, by, "left") if by else found.crossJoin(ranked)  # without groups both are one row
+    return both.select(*by, "count", "mean", "std", "min", *named, "max")
+
+
+def _beside(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Rows of the same group next to each other; null is a group. right's group columns go."""
+    own = {c: f"__{c}" for c in by}
+    right = right.withColumnsRenamed(own)
+    same = [left[c].eqNullSafe(right[o]) for c, o in own.items()]
+    return left.join(right, same, how).drop(*own.values())
+
+
+def value_counts(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, v, n): how often each value is there in each group; NaN counts as null."""
+    v = F.col(column).cast("double")
+    return df.select(*by, F.when(~F.isnan(v), v).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n"))
 
 
-def quantile_row(df: DataFrame, column: str, named: dict[str, float], pieces: int = 4096) -> DataFrame:
-    """One row of exact quantiles, linear between values, of a table of any size.
+def quantiles_of(df: DataFrame, column: str, named: dict[str, float], *by: str, pieces: int = 1024, cuts: int = 2) -> DataFrame:
+    """Exact quantiles, linear between values, of each group, however many of the rows it holds; see ranked."""
+    return ranked(value_counts(df, column, *by), named, *by, pieces=pieces, cuts=cuts)
 
-    The range of the values is cut in equal pieces. Rows are counted by value, and values by piece; only values of
-    the pieces that hold a wanted rank are ordered, each piece by itself. Nulls and NaN don't count; no rows give nulls.
+
+def ranked(counts: DataFrame, named: dict[str, float], *by: str, pieces: int = 1024, cuts: int = 2) -> DataFrame:
+    """(by, a column for each name) of counts(by, v, n): the values at the wanted ranks; nulls have no rank, and a group
+    of nulls has no row.
+
+    The range from a group's least to its largest value is cut in equal pieces, values are counted by piece, and the
+    pieces that hold a wanted rank are cut again. Only values of the pieces found last are ordered, each piece by itself,
+    so that a group is as many tasks as it has values for. Without groups there is one row, of nulls if nothing is counted.
     """
-    counts = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("n").alias("rows"))
-    width = F.coalesce(F.try_divide((F.col("v") - F.col("least")) * pieces, F.col("most") - F.col("least")), F.lit(0.0))
-    counts = counts.crossJoin(ends).select("v", "n", "rows", F.least(F.lit(pieces - 1), F.floor(width)).alias("piece"))
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are pieces
-    sums = counts.groupBy("piece", "rows").agg(F.sum("n").alias("inside")).withColumn("start", F.coalesce(F.sum("inside").over(before), F.lit(0)))
-    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.alias("rank")) for k, q in named.items() for p in [F.lit(q) * (F.col("rows") - 1)] for r in (F.floor(p), F.ceil(p)))))
-    asked = sums.select("piece", "start", "inside", wanted.alias("w")).where((F.col("w.rank") >= F.col("start")) & (F.col("w.rank") < F.col("start") + F.col("inside")))
-    asked = asked.select("piece", "start", "w.name", "w.rank").distinct()
-    within = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = counts.join(asked.select("piece", "start").distinct(), "piece").withColumn("upto", F.col("start") + F.sum("n").over(within))
-    found = kept.join(asked.drop("start"), "piece").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    counts = counts.where("v is not null")
+    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("rows"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, q in named.items() for p in [F.lit(q) * (F.col("rows") - 1)] for r in (F.floor(p), F.ceil(p))))
+    parts = ends.select(*by, "low", "high", "rows", F.lit(0).cast("long").alias("start"), wanted.alias("wanted"))
+    for _ in range(cuts):
+        inside = _in_parts(counts, parts, by)
+        width = F.coalesce(F.try_divide((F.col("v") - F.col("low")) * pieces, F.col("high") - F.col("low")), F.lit(0.0))
+        key = [*by, "low", "high", "rows", "start", "wanted"]
+        sums = inside.withColumn("piece", F.least(F.lit(pieces - 1), F.floor(width))).groupBy(*key, "piece").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = Window.partitionBy(*by, "low").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+        sums = sums.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        own = F.filter("wanted", lambda w: (w["rank"] >= F.col("start")) & (w["rank"] < F.col("start") + F.col("n")))
+        parts = sums.select(*by, F.col("least").alias("low"), F.col("most").alias("high"), "rows", "start", own.alias("wanted")).where(F.size("wanted") > 0)
+    within = Window.partitionBy(*by, "low").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = _in_parts(counts, parts, by).withColumn("upto", F.col("start") + F.sum("n").over(within))
+    found = kept.select(*by, "v", "rows", F.explode(F.filter("wanted", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))).alias("w"))
     share = lambda q: F.lit(q) * (F.max("rows") - 1) - F.floor(F.lit(q) * (F.max("rows") - 1))
-    of = lambda k, f: f(F.when(F.col("name") == k, F.col("v")))
-    return found.agg(*((of(k, F.min) + (of(k, F.max) - of(k, F.min)) * share(q)).alias(k) for k, q in named.items()))
+    of = lambda k, f: f(F.when(F.col("w.name") == k, F.col("v")))
+    return found.groupBy(*by).agg(*((of(k, F.min) + (of(k, F.max) - of(k, F.min)) * share(q)).alias(k) for k, q in named.items()))
+
+
+def _in_parts(counts: DataFrame, parts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """counts with the part, of a group's range of values, that each lies in; values in none go. A group has few parts."""
+    listed = parts.groupBy(*by).agg(F.collect_list(F.struct("low", "high", "rows", "start", "wanted")).alias("parts"))
+    both = _beside(counts, listed, by) if by else counts.crossJoin(listed)  # one row
+    return both.select(*by, "v", "n", F.inline(F.filter("parts", lambda p: F.col("v").between(p["low"], p["high"]))))
+
+
+def quantile_row(df: DataFrame, column: str, named: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles of all rows; nulls and NaN don't count; no rows give nulls."""
+    return quantiles_of(df, column, named)
 
 
 def clip_quantiles(df: DataFrame, column: str = "lcoa_per_t", low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -100,11 +142,13 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, by: str, column: str = "lcoa_per_t") -> DataFrame:
-    """Quartiles by group, and the outermost values within one and a half times their distance."""
-    q = df.groupBy(by).agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.5)).alias("median"), F.percentile(column, F.lit(0.75)).alias("q3"))
+    """Quartiles by group, and the outermost values within one and a half times their distance. Rows are read once, to count
+    values; rows without a group don't count."""
+    counts = value_counts(df.where(F.col(by).isNotNull()), column, by)
+    q = ranked(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, by).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
-    return q.join(inside.groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high")), by)
+    inside = counts.join(q, by).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
+    return inside.groupBy(by).agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ shuffle it otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +33,36 @@ def exact_lookup(probe: DataFrame, rows: DataFrame, order: str = "file_order") -
     return probe.join(last_by_key(rows, ["key_lat", "key_lon"], order), ["key_lat", "key_lon"], "left").drop("key_lat", "key_lon")
 
 
-def within_tolerance(probe: DataFrame, rows: DataFrame, tolerance: float = TOLERANCE_DEGREES) -> DataFrame:
+#: Rows, or probes, of one square that a task meets together; squares with more are cut.
+SQUARE_ROWS = 1 << 16
+
+
+def _cuts(keyed: DataFrame, limit: int, to: str) -> DataFrame:
+    """(sq_lat, sq_lon, to): into how many pieces each square of over limit rows is cut; at most a row for every limit rows."""
+    counts = keyed.groupBy("sq_lat", "sq_lon").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return counts.select("sq_lat", "sq_lon", F.ceil(F.col("n") / limit).cast("int").alias(to))
+
+
+def within_tolerance(probe: DataFrame, rows: DataFrame, tolerance: float = TOLERANCE_DEGREES, limit: int = SQUARE_ROWS) -> DataFrame:
     """Pairs of probe(id, latitude, longitude) and rows(latitude, longitude, ...) at most tolerance apart on both axes.
 
-    Rows fall into squares of that width; a probe meets its own square and the eight around it.
+    Rows fall into squares of that width; a probe meets its own square and the eight around it. Squares are counted
+    first: rows of one with more than limit are dealt over pieces by a hash of the row, which the probes of that square
+    are repeated for, and the other way round, so that each pair meets in exactly one piece.
     """
     square = lambda c: F.floor(c / tolerance).cast("bigint")
     near = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: square(c) + d))
     left = probe.select("id", F.col("latitude").alias("at_lat"), F.col("longitude").alias("at_lon"), near(F.col("latitude")).alias("sq_lat"))
     left = left.select("id", "at_lat", "at_lon", "sq_lat", near(F.col("at_lon")).alias("sq_lon"))
     right = rows.withColumns({"sq_lat": square(F.col("latitude")), "sq_lon": square(F.col("longitude"))})
-    both = left.join(right, ["sq_lat", "sq_lon"])
-    return both.where((F.abs(F.col("latitude") - F.col("at_lat")) <= tolerance) & (F.abs(F.col("longitude") - F.col("at_lon")) <= tolerance)).drop("sq_lat", "sq_lon")
+    squares, heavy_rows, heavy_probes = ["sq_lat", "sq_lon"], _cuts(right, limit, "row_cuts"), _cuts(left, limit, "probe_cuts")
+    cut = lambda df: df.join(heavy_rows, squares, "left").join(heavy_probes, squares, "left").na.fill(1, ["row_cuts", "probe_cuts"])
+    own = lambda columns, n: F.pmod(F.xxhash64(*columns), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cut(left).withColumn("probe_cut", own(["id"], F.col("probe_cuts"))).withColumn("row_cut", every("row_cuts"))
+    right = cut(right).withColumn("row_cut", own(rows.columns, F.col("row_cuts"))).withColumn("probe_cut", every("probe_cuts"))
+    both = left.drop("row_cuts", "probe_cuts").join(right.drop("row_cuts", "probe_cuts"), [*squares, "row_cut", "probe_cut"])
+    return both.where((F.abs(F.col("latitude") - F.col("at_lat")) <= tolerance) & (F.abs(F.col("longitude") - F.col("at_lon")) <= tolerance)).drop(*squares, "row_cut", "probe_cut")
 
 
 def first_within(probe: DataFrame, rows: DataFrame, order: str = "file_order", tolerance: float = TOLERANCE_DEGREES) -> DataFrame:
@@ -63,26 +84,59 @@ def locations_of(points: DataFrame, edges: DataFrame, country: str) -> DataFrame
     return points.join(inside, "id", "left_semi")
 
 
+#: Pieces that an axis is cut into at most.
+AXIS_PIECES = 1024
+
+
+def axis_cuts(lines: DataFrame, column: str, pieces: int = AXIS_PIECES) -> list[float]:
+    """Some of the lines, ascending, that cut an axis into pieces with about as many lines each; the first is the least.
+
+    The driver gets that many numbers, whatever the number of lines; how evenly they lie matters for speed alone.
+    """
+    v = F.col(column)
+    row = lines.agg(F.min(v).alias("least"), F.percentile_approx(v, [k / pieces for k in range(1, pieces)], 10 * pieces).alias("cuts")).first()
+    return [] if row.least is None else sorted({row.least, *(row.cuts or [])})
+
+
+def _at_most(ordered: Column, v: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
+    """How many values of an ascending array are at most v, by halving."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.greatest(F.size(ordered), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(value(F.get(ordered, at + step - 1)) <= v, at + step).otherwise(at))
+
+
+def _piece(cuts: list[float], v: Column) -> Column:
+    return F.greatest(F.lit(1), _at_most(F.lit(np.array(cuts)), v))
+
+
+def cut_axis(lines: DataFrame, column: str, cuts: list[float]) -> DataFrame:
+    """lines with piece, counted from 1; a line that begins a piece ends the one before as well."""
+    own = _piece(cuts, F.col(column))
+    begins = F.array_contains(F.lit(np.array(cuts)), F.col(column)) & (own > 1)
+    return lines.withColumn("piece", F.explode(F.when(begins, F.array(own - 1, own)).otherwise(F.array(own))))
+
+
 def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least") -> DataFrame:
     """(value, nearest) for values(value) and axis(axis_value): the closest axis value; of two as close the lower, with tie
-    'greatest' the higher, and with 'first' the one with the lower axis position, a column of axis.
+    'greatest' the higher, and with 'first' the one with the lower axis position, a column of axis. Nulls have no nearest;
+    without an axis there are no rows.
 
-    The axis alone is ordered: its values make intervals. Values meet their interval by an equi join on equal parts of the
-    axis, as many as it has values.
+    The axis is cut into pieces, each an ordered array of its lines with the first one of the next; a value finds its
+    piece, meets its array by an equi join, and its place in there by halving.
     """
     position = F.min("position") if tie == "first" else F.lit(0)
-    lines = axis.select(F.col("axis_value").alias("low"), *(["position"] if tie == "first" else [])).dropna(subset=["low"]).groupBy("low").agg(position.alias("low_at"))
-    order = Window.orderBy("low")  # the lines of a grid, not the values that are looked up
-    lines = lines.select("low", "low_at", F.lead("low").over(order).alias("high"), F.lead("low_at").over(order).alias("high_at"))
-    ends = lines.agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count("*").alias("parts"))
-    part = lambda c: F.greatest(F.lit(0), F.least(F.col("parts"), F.floor(F.coalesce(F.try_divide((c - F.col("least")) * F.col("parts"), F.col("most") - F.col("least")), F.lit(0.0)))))
-    covered = F.explode(F.sequence(part(F.col("low")), part(F.coalesce("high", "most"))))
-    lines = lines.crossJoin(ends).select("low", "high", "low_at", "high_at", "least", covered.alias("part"))  # ends is one row
-    asked = values.select("value").dropna().distinct().crossJoin(ends).select("value", "least", part(F.col("value")).alias("part"))
-    both = asked.join(lines.drop("least"), "part").where((F.greatest("value", "least") >= F.col("low")) & (F.col("high").isNull() | (F.col("value") < F.col("high"))))
-    below, above = F.col("value") - F.col("low"), F.col("high") - F.col("value")
-    even = {"least": F.col("low"), "greatest": F.col("high"), "first": F.when(F.col("high_at") < F.col("low_at"), F.col("high")).otherwise(F.col("low"))}[tie]
-    pick = F.when(F.col("high").isNull() | (below < above), F.col("low")).when(above < below, F.col("high")).otherwise(even)
+    lines = axis.select(F.col("axis_value").cast("double").alias("line"), *(["position"] if tie == "first" else [])).dropna(subset=["line"]).groupBy("line").agg(position.alias("place"))
+    asked = values.select("value").dropna().distinct()
+    cuts = axis_cuts(lines, "line")
+    if not cuts:
+        return asked.select("value", F.col("value").alias("nearest")).limit(0)
+    arrays = cut_axis(lines, "line", cuts).groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("line", "place"))).alias("lines"))
+    both = asked.withColumn("piece", _piece(cuts, F.col("value"))).join(arrays, "piece")
+    both = both.withColumn("at", _at_most(F.col("lines"), F.col("value"), lambda x: x["line"]))
+    both = both.select("value", F.get("lines", F.col("at") - 1).alias("low"), F.get("lines", F.col("at")).alias("high"))
+    low, high = F.col("low.line"), F.col("high.line")
+    below, above = F.col("value") - low, high - F.col("value")
+    even = {"least": low, "greatest": high, "first": F.when(F.col("high.place") < F.col("low.place"), high).otherwise(low)}[tie]
+    pick = F.when(low.isNull(), high).when(high.isNull() | (below < above), low).when(above < below, high).otherwise(even)
     return both.select("value", pick.alias("nearest"))
 
 
@@ -95,27 +149,64 @@ def nearest_grid(probe: DataFrame, grid: DataFrame, tie: str = "least") -> DataF
     return probe.join(grid.withColumnsRenamed({"latitude": "near_lat", "longitude": "near_lon"}), ["near_lat", "near_lon"], "left")
 
 
-def locate_country(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, country) for points(id, x, y): the first polygon that holds the point or has it on its border, else null.
+#: Edges of one polygon that a band of latitude holds about at most; a degree with more is cut into more bands.
+BAND_EDGES = 256
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c).cast("int")
+
 
-    edges(country, polygon_order, x1, y1, x2, y2). Bounding boxes find candidates by the whole degrees that they cover;
-    then the crossings of a ray decide, over all rings, so that holes are outside. A ray only meets the edges of its own degree
-    of latitude.
+def country_tiles(edges: DataFrame) -> DataFrame:
+    """(polygon_order, country, tile_x, tile_y, crossed, bands): the tiles of a degree that a polygon covers or its edges cross.
+
+    Points of a tile that no edge crosses all lie inside, or all outside; those outside aren't there. bands: into how many
+    bands the edges of this polygon and degree of latitude are cut, where tiles are crossed.
     """
-    boxes = edges.groupBy("polygon_order").agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"))
-    degrees = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
-    tiles = boxes.select("*", degrees(F.col("west"), F.col("east")).alias("tile_x"))
-    tiles = tiles.select("*", degrees(F.col("south"), F.col("north")).alias("tile_y"))
-    asked = points.select("id", "x", "y", F.floor("x").cast("int").alias("tile_x"), F.floor("y").cast("int").alias("tile_y"))
-    near = asked.join(tiles, ["tile_x", "tile_y"]).where("x between west and east and y between south and north").select("id", "x", "y", "polygon_order")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = edges.select("*", F.explode(F.sequence(_whole(F.least(y1, y2)), _whole(F.greatest(y1, y2)))).alias("tile_y"))
+    # where the edge is while it is in the row; a level edge is wherever it goes
+    at = lambda y: F.when(y2 == y1, None).otherwise((x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    ends = [F.coalesce(at(F.greatest(low, F.col("tile_y").cast("double"))), x1), F.coalesce(at(F.least(high, F.col("tile_y") + 1.0)), x2)]
+    hair = 1e-9
+    crossed = rows.select("polygon_order", "country", "tile_y", F.explode(F.sequence(_whole(F.least(*ends) - hair), _whole(F.greatest(*ends) + hair))).alias("tile_x"))
+    dense = rows.groupBy("polygon_order", "tile_y").agg(F.ceil(F.count("*") / BAND_EDGES).cast("int").alias("bands"))
+    crossed = crossed.distinct().join(dense, ["polygon_order", "tile_y"]).withColumn("crossed", F.lit(True))
+    # along the middle of a row a polygon goes from one crossing to the next, and the tiles between are inside
+    middle = F.col("tile_y") + 0.5
+    meets = rows.where((y1 > middle) != (y2 > middle)).groupBy("polygon_order", "country", "tile_y").agg(F.sort_array(F.collect_list(at(middle))).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda k: F.sequence(_whole(F.get("xs", k)) + 1, F.greatest(_whole(F.get("xs", k + 1)) - 1, _whole(F.get("xs", k)) + 1)))
+    inner = meets.where(F.size("xs") > 1).select("polygon_order", "country", "tile_y", F.explode(F.flatten(spans)).alias("tile_x"), F.lit(1).alias("bands"), F.lit(False).alias("crossed"))
+    return crossed.unionByName(inner.join(crossed.select("polygon_order", "tile_x", "tile_y"), ["polygon_order", "tile_x", "tile_y"], "left_anti"))
+
+
+def tested_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, polygon_order, country, crosses, on) for each point of a crossed tile and each edge of its band."""
+    tiles = country_tiles(edges)
+    near = points.select("id", "x", "y", _whole(F.col("x")).alias("tile_x"), _whole(F.col("y")).alias("tile_y")).join(tiles.where("crossed"), ["tile_x", "tile_y"])
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 == y1, 1.0).otherwise(y2 - y1) + x1)
     on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    bands = F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int")))
-    near = near.withColumn("band", F.floor("y").cast("int"))
-    tested = near.join(edges.withColumn("band", bands), ["polygon_order", "band"]).groupBy("id", "polygon_order", "country").agg((F.count_if(crosses) % 2 == 1).alias("inside"), F.bool_or(on).alias("border"))
-    first = tested.where("inside or border").groupBy("id").agg(F.min_by("country", "polygon_order").alias("country"))
-    return points.select("id").join(first, "id", "left")
+    band = lambda c: F.greatest(F.lit(0), F.least(F.col("bands") - 1, F.floor((c - F.col("tile_y")) * F.col("bands")).cast("int")))
+    bands = tiles.where("crossed").select("polygon_order", "tile_y", "bands").distinct()
+    own = edges.select("polygon_order", "x1", "y1", "x2", "y2", F.explode(F.sequence(_whole(F.least(y1, y2)), _whole(F.greatest(y1, y2)))).alias("tile_y")).join(bands, ["polygon_order", "tile_y"])
+    own = own.select("polygon_order", "tile_y", "x1", "y1", "x2", "y2", F.explode(F.sequence(band(F.least(y1, y2)), band(F.greatest(y1, y2)))).alias("band"))
+    return near.withColumn("band", band(y)).join(own, ["polygon_order", "tile_y", "band"]).select("id", "polygon_order", "country", crosses.alias("crosses"), on.alias("on"))
+
+
+def locate_country(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, country) for points(id, x, y): the first polygon that holds the point or has it on its border, else null.
+
+    edges(country, polygon_order, x1, y1, x2, y2). A point in a tile of a degree that lies inside a polygon tests no edge;
+    in a tile that edges cross, the crossings of a ray decide, over all rings, so that holes are outside. A ray meets the
+    edges of its own band of latitude alone.
+    """
+    inner = country_tiles(edges).where("not crossed").select("polygon_order", "country", "tile_x", "tile_y")
+    sure = points.select("id", _whole(F.col("x")).alias("tile_x"), _whole(F.col("y")).alias("tile_y")).join(inner, ["tile_x", "tile_y"]).select("id", "polygon_order", "country")
+    tested = tested_edges(points, edges).groupBy("id", "polygon_order", "country").agg((F.count_if("crosses") % 2 == 1).alias("inside"), F.bool_or("on").alias("border"))
+    found = tested.where("inside or border").select("id", "polygon_order", "country").unionByName(sure)
+    return points.select("id").join(found.groupBy("id").agg(F.min_by("country", "polygon_order").alias("country")), "id", "left")
 
 
 def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -123,6 +214,10 @@ def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def axis_step(axis: DataFrame, column: str) -> DataFrame:
-    """The smallest positive step between distinct values."""
-    gaps = axis.select(F.col(column).alias("v")).dropna().distinct().select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("step"))
-    return gaps.where("step > 0").agg(F.min("step").alias("step"))
+    """The smallest positive step between distinct values: of neighbours in a piece, and of its last line and the next one's first."""
+    lines = axis.select(F.col(column).cast("double").alias("line")).dropna().distinct()
+    cuts = axis_cuts(lines, "line")
+    if not cuts:
+        return lines.agg(F.min("line").alias("step"))
+    step = F.lead("line").over(Window.partitionBy("piece").orderBy("line")) - F.col("line")
+    return cut_axis(lines, "line", cuts).select(step.alias("step")).where("step > 0").agg(F.min("step").alias("step"))

@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import ammonia_t_per_h, hydrogen_t_per_h, output_capacity
 from ..schemas import AMMONIA_MWH_PER_T, COST_COMPONENTS, HOURS_PER_YEAR
 
-HEADLINE = ("latitude", "longitude", "country", "currency", "lcoa_per_t", "lcoa_all_in_per_t", "annual_ammonia_demand_mwh", "annual_ammonia_production_t", "total_cost", "build_cost_pct", "tech_cost_pct", "om_cost_pct", "interest_pct", "water_cost_pct", "land_cost_pct")
-LAND = ("land_onshore_pct", "offshore_sea_pct", "land_cell_area_km2", "onshore_area_km2", "offshore_area_km2", "bathymetry_depth_m", "area_cap_mw", "solar_area_used_km2", "wind_area_used_km2", "land_used_km2", "land_cost_per_t", "water_cost_per_t")
+#: The first columns of a result, in the order of a report.
+HEADLINE = (
+    "latitude",
+    "longitude",
+    "country",
+    "currency",
+    "lcoa_per_t",
+    "lcoa_all_in_per_t",
+    "annual_ammonia_demand_mwh",
+    "annual_ammonia_production_t",
+    "total_cost",
+    "build_cost_pct",
+    "tech_cost_pct",
+    "om_cost_pct",
+    "interest_pct",
+    "water_cost_pct",
+    "land_cost_pct",
+)
+#: Its columns of land and water, in the same order.
+LAND = (
+    "land_onshore_pct",
+    "offshore_sea_pct",
+    "land_cell_area_km2",
+    "onshore_area_km2",
+    "offshore_area_km2",
+    "bathymetry_depth_m",
+    "area_cap_mw",
+    "solar_area_used_km2",
+    "wind_area_used_km2",
+    "land_used_km2",
+    "land_cost_per_t",
+    "water_cost_per_t",
+)
 
 
 def combine_segments(rows: DataFrame, keys: tuple[str, ...] = ("latitude", "longitude")) -> DataFrame:
@@ -53,7 +84,7 @@ def assemble(parts: list[DataFrame], cells: DataFrame) -> DataFrame:
 
 
 def preflight(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
-    """(table, missing, rows): what the inputs of a run lack."""
+    """(table, missing, rows): what the inputs of a run lack, before the run and by a scan of each."""
     reports = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.lit(", ".join(c for c in needed if c not in df.columns)).alias("missing"), "rows") for name, (df, needed) in tables.items()]
     out = reports[0]
     for report in reports[1:]:
@@ -61,12 +92,84 @@ def preflight(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame
     return out
 
 
+class Preflight:
+    """What the inputs of a run lack, seen while the run reads them: watch() gives a table to use in place of one's own,
+    report() has a row for each after the run. No table is read for the report alone."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, tuple[str, Observation]] = {}
+
+    def watch(self, name: str, df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+        missing = ", ".join(c for c in needed if c not in df.columns)
+        present = [c for c in needed if c in df.columns]
+        self.seen[name] = missing, Observation()
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{k}") for k, c in enumerate(present)]
+        return df.observe(self.seen[name][1], F.count(F.lit(1)).alias("rows"), *nulls)
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(table, missing, rows, nulls): columns that are missing, rows that were read, and nulls in needed columns."""
+        rows = []
+        for name, (missing, seen) in self.seen.items():
+            got = seen.get
+            rows.append((name, missing, got["rows"], sum(v for k, v in got.items() if k != "rows")))
+        return spark.createDataFrame(rows, "table string, missing string, rows long, nulls long").coalesce(1)
+
+
 def timeline(dispatch: DataFrame) -> DataFrame:
     """A row per cell and snapshot: generation above 0, the process's demand below."""
     of = lambda n, sign: F.sum(F.when(F.col("name") == n, F.col("p") * sign)).alias(n)
     return dispatch.groupBy("cell_id", "ts").agg(of("wind", 1.0), of("solar", 1.0), of("ammonia_synthesis", -1.0))
 
 
+def pivoted(series: DataFrame, value: str, scale: float = 1.0, most: int = 256) -> DataFrame:
+    """(cell_id, ts, a column for each name) of series(cell_id, name, ts, value): sums, times scale.
+
+    Names are found by one aggregate, whose result is as long as there are components in a plant; more than most are an
+    error, as that is no table to read. A name without a row at a snapshot is null there.
+    """
+    found = series.where(F.col("name").isNotNull()).select("name").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} components")
+    sums = [(F.sum(F.when(F.col("name") == n, F.col(value))) * scale).alias(n) for n in sorted(r.name for r in found)]
+    return series.groupBy("cell_id", "ts").agg(*sums) if sums else series.select("cell_id", "ts").limit(0)
+
+
+def generation(dispatch: DataFrame, generators: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Power of all generators(name) by cell and snapshot, a column for each that has any."""
+    return pivoted(dispatch.join(generators.select("name").distinct(), "name", "left_semi"), "p", scale)
+
+
+def stored_energy(levels: DataFrame, scale: float = 1.0, aggregation: int = 1, time_step: float = 1.0) -> DataFrame:
+    """Energy in all stores by cell and snapshot, a column for each, from levels(cell_id, name, ts, e). A level counts
+    snapshots; each stands for aggregation times time_step hours."""
+    return pivoted(levels, "e", scale * aggregation * time_step)
+
+
+def detailed_sheets(
+    capacity: DataFrame, dispatch: DataFrame, levels: DataFrame, flows: tuple[DataFrame, DataFrame], techs: DataFrame, links: DataFrame, objective: DataFrame, load_mw: float,
+    fuel_cell_efficiency: float, scale: float = 1.0, aggregation: int = 1, time_step: float = 1.0, operating: bool = False,
+) -> dict[str, DataFrame]:
+    """The seven tables of a detailed result by cell: headlines, generators, components, stores, generation, consumption
+    and stored energy.
+
+    techs(name, component_type) tells kinds apart; links has what rated_components needs; flows are consumption's;
+    objective(cell_id, objective) is the cost of a year. A run with fixed capacity has its production for a headline.
+    """
+    kind = lambda k: techs.where(F.col("component_type") == k).select("name")
+    production = load_mw / AMMONIA_MWH_PER_T * HOURS_PER_YEAR
+    headlines = operating_headline(levels.where("name = 'ammonia'")) if operating else objective.select("cell_id", (F.col("objective") / production).alias("cost_per_t"), F.lit(production * scale).alias("production_t_per_year"))
+    generators = capacity.join(kind("generator"), "name", "left_semi").select("cell_id", "name", (F.col("optimum") * scale).alias("rated_mw"))
+    return {
+        "headlines": headlines,
+        "generators": generators,
+        "components": rated_components(capacity, links, scale),
+        "stores": scaled_stores(capacity, kind("store"), scale, aggregation * time_step),
+        "generation": generation(dispatch, kind("generator"), scale),
+        "consumption": consumption(*flows, fuel_cell_efficiency, scale),
+        "stored_energy": stored_energy(levels, scale, aggregation, time_step),
+    }
+
+
 def rated_components(capacity: DataFrame, links: DataFrame, scale: float = 1.0) -> DataFrame:
     both = capacity.join(links.select("name", "carrier", "bus0", "bus2", "efficiency"), "name")
     return both.select("cell_id", "name", (output_capacity(F.col("optimum"), F.col("efficiency")) * scale).alias("rated_mw"), "carrier", F.col("bus0").alias("primary_source"), F.col("bus2").alias("secondary_source"))

@@ -1,32 +1,32 @@
-"""Sizing by a sweep over candidate mixes. A screening answer: no chemistry, no ramp limits, no losses."""
+"""Figures of given mixes of wind and solar on hourly profiles. A screening answer: no chemistry, no ramp limits, no losses."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates that one group sweeps.
-BLOCK = 256
 
+def net_flow(wind_mw: Column, solar_mw: Column, demand: float) -> Column:
+    """What a mix makes in an hour beyond the demand; a missing profile makes nothing."""
+    return F.coalesce("wind", F.lit(0.0)) * wind_mw + F.coalesce("solar", F.lit(0.0)) * solar_mw - demand
 
-def capacity_sweep(frame: DataFrame, candidates: DataFrame, demand: float, storage_cost: float) -> DataFrame:
-    """(cell_id, mix, storage, cost, unmet) by windows: frame(cell_id, hour_index, wind, solar), candidates(mix, wind_mw,
-    solar_mw, mix_cost). Storage that carries a cyclic year is the largest fall of the running sum over two years in a
-    row; a mix that makes less than the demand is infeasible. All candidates are crossed with every hour."""
-    flow = F.coalesce("wind", F.lit(0.0)) * F.col("wind_mw") + F.coalesce("solar", F.lit(0.0)) * F.col("solar_mw") - demand
-    net = frame.crossJoin(candidates).select("cell_id", "mix", "mix_cost", "hour_index", flow.alias("net"))
+
+def capacity_sweep(frame: DataFrame, mixes: list[tuple[int, float, float, float]], demand: float, storage_cost: float) -> DataFrame:
+    """(cell_id, mix, storage, cost, unmet) of frame(cell_id, hour_index, wind, solar) for each of mixes, (mix, wind_mw,
+    solar_mw, mix_cost).
+
+    Storage that carries a cyclic year is the largest fall of the running sum over two years in a row; a mix that makes
+    less than the demand is infeasible. Every hour is looked at once for each mix and year, in a window for each cell and
+    mix; mixes are a short list of a parameter's size.
+    """
+    each = F.array(*(F.struct(F.lit(m).alias("mix"), F.lit(float(w)).alias("wind_mw"), F.lit(float(s)).alias("solar_mw"), F.lit(float(c)).alias("mix_cost")) for m, w, s, c in mixes))
+    net = frame.select("*", F.inline(each)).select("cell_id", "mix", "mix_cost", "hour_index", net_flow(F.col("wind_mw"), F.col("solar_mw"), demand).alias("net"))
     twice = net.withColumn("year", F.explode(F.array(F.lit(0), F.lit(1))))
     order = Window.partitionBy("cell_id", "mix").orderBy("year", "hour_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fallen = twice.withColumn("sum", F.sum("net").over(order)).withColumn("fall", F.max("sum").over(order) - F.col("sum"))
     sized = fallen.groupBy("cell_id", "mix", "mix_cost").agg(F.sum(F.when(F.col("year") == 0, F.col("net"))).alias("surplus"), F.max("fall").alias("storage"), F.sum(F.when(F.col("year") == 0, F.greatest(F.lit(0.0), -F.col("net")))).alias("unmet"))
-    return _priced(sized, storage_cost)
-
-
-def _priced(sized: DataFrame, storage_cost: float) -> DataFrame:
-    cost = F.when(F.col("surplus") >= 0, F.col("mix_cost") + F.col("storage") * storage_cost)
-    return sized.select("cell_id", "mix", F.when(F.col("surplus") >= 0, F.col("storage")).alias("storage"), cost.alias("cost"), "unmet")
+    feasible = F.col("surplus") >= 0
+    return sized.select("cell_id", "mix", F.when(feasible, F.col("storage")).alias("storage"), F.when(feasible, F.col("mix_cost") + F.col("storage") * storage_cost).alias("cost"), "unmet")
 
 
 def best_mix(sized: DataFrame) -> DataFrame:
@@ -35,31 +35,7 @@ def best_mix(sized: DataFrame) -> DataFrame:
     return feasible.groupBy("cell_id").agg(F.min(F.struct("cost", "mix", "storage")).alias("b")).select("cell_id", "b.mix", "b.storage", "b.cost")
 
 
-def sequent_peak(net: np.ndarray) -> np.ndarray:
-    """Storage of each row of net: the largest fall of its running sum over two years."""
-    running = np.cumsum(np.concatenate((net, net), axis=1), axis=1)
-    return (np.maximum.accumulate(running, axis=1) - running).max(axis=1)
-
-
-def capacity_sweep_packed(frame: DataFrame, candidates: DataFrame, demand: float, storage_cost: float) -> DataFrame:
-    """As capacity_sweep, for full years: a cell's hours are one group, and the candidates are swept inside it, so that
-    rows don't multiply by hours times candidates. A group holds the hours of a year and BLOCK candidates; the hours are
-    repeated for each block. The list of candidates is held by the driver."""
-    mixes = candidates.orderBy("mix").toPandas()
-    blocks = -(-len(mixes) // BLOCK)
-
-    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hour_index").fillna(0.0)
-        own = mixes.iloc[key[1] * BLOCK : (key[1] + 1) * BLOCK]
-        net = np.outer(own.wind_mw, pdf.wind) + np.outer(own.solar_mw, pdf.solar) - demand
-        return pd.DataFrame({"cell_id": key[0], "mix": own.mix, "mix_cost": own.mix_cost, "surplus": net.sum(axis=1), "storage": sequent_peak(net), "unmet": np.maximum(0.0, -net).sum(axis=1)})
-
-    hours = frame.select("cell_id", "hour_index", "wind", "solar", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks else F.expr("cast(array() as array<int>)")).alias("block"))
-    sized = hours.groupBy("cell_id", "block").applyInPandas(sweep, "cell_id long, mix int, mix_cost double, surplus double, storage double, unmet double")
-    return _priced(sized, storage_cost)
-
-
 def backstop_energy(frame: DataFrame, wind_mw: float, solar_mw: float, demand: float) -> DataFrame:
     """(cell_id, unmet_mwh): energy a mix without storage leaves to the backstop."""
-    flow = F.coalesce("wind", F.lit(0.0)) * wind_mw + F.coalesce("solar", F.lit(0.0)) * solar_mw - demand
+    flow = net_flow(F.lit(wind_mw), F.lit(solar_mw), demand)
     return frame.groupBy("cell_id").agg(F.sum(F.greatest(F.lit(0.0), -flow)).alias("unmet_mwh"))

@@ -369,15 +369,14 @@ def neighbour_distance(rows: DataFrame) -> DataFrame:
 _MIX = "(values (0,1e0,0e0,1e0),(1,0e0,1e0,0.8e0),(2,2e0,1e0,2.8e0),(3,1e0,2e0,2.6e0)) m(mix,wind_mw,solar_mw,mix_cost)"
 
 
-def _mixes(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(0, 1.0, 0.0, 1.0), (1, 0.0, 1.0, 0.8), (2, 2.0, 1.0, 2.8), (3, 1.0, 2.0, 2.6)], "mix int, wind_mw double, solar_mw double, mix_cost double")
+MIXES = [(0, 1.0, 0.0, 1.0), (1, 0.0, 1.0, 0.8), (2, 2.0, 1.0, 2.8), (3, 1.0, 2.0, 2.6)]
 
 
 @query(
     "weather",
     f"{_FRAME}, net as (select cell_id, mix, mix_cost, hour_index, coalesce(wind,0e0)*wind_mw+coalesce(solar,0e0)*solar_mw-0.01e0 net from frame, {_MIX}), run as (select *, sum(net) over (partition by cell_id, mix order by y, hour_index rows unbounded preceding) s from net, (values (0),(1)) yy(y)), fall as (select *, max(s) over (partition by cell_id, mix order by y, hour_index rows unbounded preceding)-s f from run), z as (select cell_id, mix, mix_cost, sum(net) filter (y=0) surplus, max(f) storage, sum(greatest(0e0,-net)) filter (y=0) unmet from fall group by 1,2,3) select cell_id, mix, round(case when surplus>=0 then storage end,9) storage, round(case when surplus>=0 then mix_cost+storage*0.1e0 end,9) cost, round(unmet,9) unmet from z", digits=9)
 def capacity_sweep(rows: DataFrame) -> DataFrame:
-    return sizing.capacity_sweep_packed(weather.weather_frame(weather.dense_hours(rows)), _mixes(rows), 0.01, 0.1)
+    return sizing.capacity_sweep(weather.weather_frame(weather.dense_hours(rows)), MIXES, 0.01, 0.1)
 
 
 @query("weather", f"{_FRAME} select cell_id, round(sum(greatest(0e0,-(coalesce(wind,0e0)*1e0+coalesce(solar,0e0)*1e0-0.05e0))),4) unmet_mwh from frame group by 1")

@@ -6,41 +6,199 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _struct(doubles: str = "", strings: str = "", **others: T.DataType) -> T.StructType:
-    fields = [T.StructField(n, T.StringType()) for n in strings.split()]
-    fields += [T.StructField(n, T.DoubleType()) for n in doubles.split()]
-    return T.StructType(fields + [T.StructField(n, t) for n, t in others.items()])
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "map<string,double>": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def _struct(*columns: tuple[str, str]) -> T.StructType:
+    """Nullable columns of (name, type)."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns])
 
 
-_MAP = T.MapType(T.StringType(), T.DoubleType())
-WEATHER = _struct("latitude longitude cf", "resource", hour_index=T.IntegerType(), ts=T.TimestampType())
-LANDCOVER = _struct("percentage", y_index=T.IntegerType(), x_index=T.IntegerType(), modis_class=T.IntegerType())
-BATHYMETRY = _struct("latitude longitude depth_m")
+#: Columns of the tables, as their files name them.
+WEATHER = _struct(
+    ("resource", "string"),
+    ("latitude", "double"),
+    ("longitude", "double"),
+    ("cf", "double"),
+    ("hour_index", "int"),
+    ("ts", "timestamp"),
+)
+LANDCOVER = _struct(
+    ("percentage", "double"),
+    ("y_index", "int"),
+    ("x_index", "int"),
+    ("modis_class", "int"),
+)
+BATHYMETRY = _struct(
+    ("latitude", "double"),
+    ("longitude", "double"),
+    ("depth_m", "double"),
+)
 CELLS = _struct(
-    "latitude longitude availability area onshore_land_pct offshore_sea_pct onshore_area_km2 offshore_area_km2 bathymetry_depth_m wind_availability"
-    " solar_availability solar_area_km2 wind_area_km2 wind_density_mw_per_km2 solar_density_mw_per_km2 max_power_solar_mw max_power_wind_mw"
-    " max_capacity_mw solar_max_capacity wind_max_capacity max_capacity"
+    ("latitude", "double"),
+    ("longitude", "double"),
+    ("availability", "double"),
+    ("area", "double"),
+    ("onshore_land_pct", "double"),
+    ("offshore_sea_pct", "double"),
+    ("onshore_area_km2", "double"),
+    ("offshore_area_km2", "double"),
+    ("bathymetry_depth_m", "double"),
+    ("wind_availability", "double"),
+    ("solar_availability", "double"),
+    ("solar_area_km2", "double"),
+    ("wind_area_km2", "double"),
+    ("wind_density_mw_per_km2", "double"),
+    ("solar_density_mw_per_km2", "double"),
+    ("max_power_solar_mw", "double"),
+    ("max_power_wind_mw", "double"),
+    ("max_capacity_mw", "double"),
+    ("solar_max_capacity", "double"),
+    ("wind_max_capacity", "double"),
+    ("max_capacity", "double"),
+)
+LEGACY_CELLS = _struct(
+    ("latitude", "double"),
+    ("longitude", "double"),
+    ("availability", "double"),
+    ("area", "double"),
+    ("wind_availability", "double"),
+    ("solar_availability", "double"),
+    ("onshore_land_pct", "double"),
 )
-LEGACY_CELLS = _struct("latitude longitude availability area wind_availability solar_availability onshore_land_pct")
 TECHS = _struct(
-    "overnight_cost_per_mw overnight_cost_per_mwh tech_cost_per_mw tech_cost_per_mwh build_cost_per_mw build_cost_per_mwh land_use_km2_per_mw"
-    " land_use_km2_per_mwh lifetime_years interest_rate fixed_om_fraction standing_loss_fraction_per_day overall_efficiency",
-    "scenario name component_type",
-    carriers_in=_MAP,
-    carriers_out=_MAP,
-)
-SCENARIO_META = _struct("water_usage_m3_per_t_nh3 water_cost_baseline_usd_per_m3 grid_p_nom_mw grid_marginal_cost", "scenario currency")
-BUSES = _struct("", "name carrier control generator comment")
-GENERATORS = _struct("p_nom marginal_cost capital_cost", "name bus control comment", p_nom_extendable=T.BooleanType())
-LINKS = _struct("efficiency p_nom_max p_min_pu capital_cost marginal_cost ramp_limit_up ramp_limit_down efficiency2", "name bus0 bus1 carrier bus2 comment", p_nom_extendable=T.BooleanType())
-STORES = _struct("e_nom_max e_initial capital_cost standing_loss", "name bus carrier comment", e_nom_extendable=T.BooleanType(), e_cyclic=T.BooleanType())
-LOADS = _struct("p_set", "name bus comment")
-SPATIAL_COSTS = _struct("lat lon interest_rate build_cost_multiplier land_cost_usd_per_km2_year water_cost_usd_per_m3", "tech", file_order=T.LongType())
-COUNTRY_EDGES = _struct("x1 y1 x2 y2", "country", polygon_order=T.IntegerType(), part=T.IntegerType(), seg=T.IntegerType())
-LOCATIONS = _struct("lat lon")
-SOLVED_CAPACITY = _struct("lat lon value", "component_type name")
-SOLVED_DISPATCH = _struct("lat lon p", "component_type name port", snapshot=T.IntegerType())
-SOLVED_OBJECTIVE = _struct("lat lon objective")
+    ("scenario", "string"),
+    ("name", "string"),
+    ("component_type", "string"),
+    ("overnight_cost_per_mw", "double"),
+    ("overnight_cost_per_mwh", "double"),
+    ("tech_cost_per_mw", "double"),
+    ("tech_cost_per_mwh", "double"),
+    ("build_cost_per_mw", "double"),
+    ("build_cost_per_mwh", "double"),
+    ("land_use_km2_per_mw", "double"),
+    ("land_use_km2_per_mwh", "double"),
+    ("lifetime_years", "double"),
+    ("interest_rate", "double"),
+    ("fixed_om_fraction", "double"),
+    ("standing_loss_fraction_per_day", "double"),
+    ("overall_efficiency", "double"),
+    ("carriers_in", "map<string,double>"),
+    ("carriers_out", "map<string,double>"),
+)
+SCENARIO_META = _struct(
+    ("scenario", "string"),
+    ("currency", "string"),
+    ("water_usage_m3_per_t_nh3", "double"),
+    ("water_cost_baseline_usd_per_m3", "double"),
+    ("grid_p_nom_mw", "double"),
+    ("grid_marginal_cost", "double"),
+)
+BUSES = _struct(
+    ("name", "string"),
+    ("carrier", "string"),
+    ("control", "string"),
+    ("generator", "string"),
+    ("comment", "string"),
+)
+GENERATORS = _struct(
+    ("name", "string"),
+    ("bus", "string"),
+    ("control", "string"),
+    ("comment", "string"),
+    ("p_nom", "double"),
+    ("marginal_cost", "double"),
+    ("capital_cost", "double"),
+    ("p_nom_extendable", "boolean"),
+)
+LINKS = _struct(
+    ("name", "string"),
+    ("bus0", "string"),
+    ("bus1", "string"),
+    ("carrier", "string"),
+    ("bus2", "string"),
+    ("comment", "string"),
+    ("efficiency", "double"),
+    ("p_nom_max", "double"),
+    ("p_min_pu", "double"),
+    ("capital_cost", "double"),
+    ("marginal_cost", "double"),
+    ("ramp_limit_up", "double"),
+    ("ramp_limit_down", "double"),
+    ("efficiency2", "double"),
+    ("p_nom_extendable", "boolean"),
+)
+STORES = _struct(
+    ("name", "string"),
+    ("bus", "string"),
+    ("carrier", "string"),
+    ("comment", "string"),
+    ("e_nom_max", "double"),
+    ("e_initial", "double"),
+    ("capital_cost", "double"),
+    ("standing_loss", "double"),
+    ("e_nom_extendable", "boolean"),
+    ("e_cyclic", "boolean"),
+)
+LOADS = _struct(
+    ("name", "string"),
+    ("bus", "string"),
+    ("comment", "string"),
+    ("p_set", "double"),
+)
+SPATIAL_COSTS = _struct(
+    ("tech", "string"),
+    ("lat", "double"),
+    ("lon", "double"),
+    ("interest_rate", "double"),
+    ("build_cost_multiplier", "double"),
+    ("land_cost_usd_per_km2_year", "double"),
+    ("water_cost_usd_per_m3", "double"),
+    ("file_order", "bigint"),
+)
+COUNTRY_EDGES = _struct(
+    ("country", "string"),
+    ("x1", "double"),
+    ("y1", "double"),
+    ("x2", "double"),
+    ("y2", "double"),
+    ("polygon_order", "int"),
+    ("part", "int"),
+    ("seg", "int"),
+)
+LOCATIONS = _struct(
+    ("lat", "double"),
+    ("lon", "double"),
+)
+SOLVED_CAPACITY = _struct(
+    ("component_type", "string"),
+    ("name", "string"),
+    ("lat", "double"),
+    ("lon", "double"),
+    ("value", "double"),
+)
+SOLVED_DISPATCH = _struct(
+    ("component_type", "string"),
+    ("name", "string"),
+    ("port", "string"),
+    ("lat", "double"),
+    ("lon", "double"),
+    ("p", "double"),
+    ("snapshot", "int"),
+)
+SOLVED_OBJECTIVE = _struct(
+    ("lat", "double"),
+    ("lon", "double"),
+    ("objective", "double"),
+)
 
 HYDROGEN_MWH_PER_T, AMMONIA_MWH_PER_T, AMMONIA_HYDROGEN_SHARE = 39.4, 6.25, 0.18
 HOURS_PER_YEAR = 8760
@@ -49,6 +207,10 @@ WAKE_FACTOR = 0.93
 EARTH_RADIUS_KM, WIND_KM2_PER_GW = 6371.0, 200.0
 DEFAULT_LIFETIME, DEFAULT_RATE, DEFAULT_OM, DEFAULT_WATER_M3_PER_T = 20.0, 0.07, 0.0, 1.5
 COST_CLIP = 2000.0
+#: Width of a band of longitude that places are stored by.
+BAND_DEGREES = 30
+#: What a row of a sheet is about, as far as the sheet has it.
+SHEET_KEYS = ("cell_id", "name", "ts")
 #: Share of a land class that wind can use; classes that aren't listed have none. Class 0 is water.
 WIND_SHARE = {0: 1.0, 6: 0.5, 7: 0.5, 8: 0.15, 9: 0.2, 10: 0.2, 16: 1.0}
 #: Depth in metres and cost multiplier, by curve.

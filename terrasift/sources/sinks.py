@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..schemas import CELLS, require_columns
+from ..operators.results import order_columns
+from ..schemas import BAND_DEGREES, CELLS, SHEET_KEYS, require_columns
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
@@ -19,18 +20,69 @@ def write_cells(cells: DataFrame, path: str, kind: str = "parquet") -> None:
     write_table(cells.repartitionByRange("latitude", "longitude").sortWithinPartitions("latitude", "longitude"), path, kind)
 
 
+def write_bands(places: DataFrame, path: str) -> None:
+    """places in a folder for each band of longitude, range-sorted in it, so that a segment reads its own bands; see read_bands."""
+    band = F.floor((F.col("longitude") + 180) / BAND_DEGREES).cast("int")
+    dealt = places.withColumn("band", band).repartitionByRange("band", "longitude", "latitude").sortWithinPartitions("band", "longitude", "latitude")
+    dealt.write.mode("overwrite").partitionBy("band").parquet(path)
+
+
+def write_observed(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> dict[str, int]:
+    """Writes df and returns rows and checksum of what was written, observed in passing."""
+    seen = Observation()
+    columns = df.columns
+    write_table(df.observe(seen, *_figures(columns)), path, kind, mode)
+    return seen.get
+
+
+def _figures(columns: list[str]) -> list[Column]:
+    """Rows, and the sum of their hashes, which no order or partitioning of them changes."""
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38, 0)")), F.lit(0).cast("decimal(38, 0)")).alias("checksum")]
+
+
 def write_compiled(compiled: DataFrame, path: str) -> DataFrame:
-    """Writes compiled costs, reads them again, and returns the techs whose cost came back different."""
-    write_table(compiled, path)
-    again = compiled.sparkSession.read.parquet(path).select("tech", F.col("capital_cost").alias("read"))
+    """Writes compiled costs, reads them again, and returns the techs whose cost came back different.
+
+    Rows and checksum of the file, by one scan, are compared with those observed while writing; only a file that differs
+    is joined with what was to be written.
+    """
+    compiled = compiled.select("tech", "capital_cost")
+    written = write_observed(compiled, path)
+    again = compiled.sparkSession.read.schema(compiled.schema).parquet(path)
+    same = again.agg(*_figures(compiled.columns)).first().asDict() == written
+    again = again.withColumnRenamed("capital_cost", "read")
+    if same:
+        return again.select("tech", F.col("read").alias("capital_cost"), "read").limit(0)
     return compiled.join(again, "tech", "full").where(~F.col("capital_cost").eqNullSafe(F.col("read"))).select("tech", "capital_cost", "read")
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Adds finished cells of a segment; a job that is run again appends again, and combine_segments keeps the last."""
+    """Adds finished cells of a segment; a job that is run again appends again, and combine_segments keeps the last. Where a
+    segment is run as a whole, commit_segments replaces it."""
     require_columns(results, "segment").write.mode("append").partitionBy("segment").parquet(path)
 
 
+def commit_segments(results: DataFrame, path: str) -> None:
+    """Puts finished cells in place of what the table had of the same segments; segments that results has no row of stay.
+
+    A segment is a folder, and all folders of a job are moved into place when all its tasks are done: a job that failed
+    leaves the table as it was, and one that is run again replaces its own rows.
+    """
+    dealt = require_columns(results, "segment", "latitude", "longitude").repartitionByRange("segment", "latitude", "longitude")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(path)
+
+
+def rewrite_in_order(results: DataFrame, requested: DataFrame, path: str, order: str = "file_order", kind: str = "parquet") -> None:
+    """results(latitude, longitude, ...) once for each place of requested(latitude, longitude, order), in that order.
+
+    Parts of the order's range are files, named in order, and sorted; columns stand in report order. Places without a
+    result aren't there, a place that is requested twice stands where it was first, and results that weren't requested go.
+    """
+    first = requested.groupBy("latitude", "longitude").agg(F.min(order).alias("__order"))
+    rows = results.join(first, ["latitude", "longitude"]).repartitionByRange("__order").sortWithinPartitions("__order")
+    write_table(order_columns(rows.drop("__order")), path, kind)
+
+
 def key_values(row: DataFrame) -> DataFrame:
     """A one-site result as (tag, metric, value)."""
     tag = F.format_string("lat%.2f_lon%.2f", F.col("latitude"), F.col("longitude"))
@@ -43,10 +95,26 @@ def weather_labels(weather: DataFrame) -> DataFrame:
     return weather.select("cell_id", F.concat(F.lit("t"), F.col("hour_index").cast("string")).alias("t"), F.col("solar").alias("s"), F.col("wind").alias("w"))
 
 
-def write_sheets(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
-    """One folder for each named table of a detailed result."""
+def _sheet_rows(name: str, df: DataFrame) -> DataFrame:
+    """A table as rows (sheet, cell_id, name, ts, field, number, text), one for each value; a table of keys alone has one for each row."""
+    kinds = dict(df.dtypes)
+    fields = [c for c in df.columns if c not in SHEET_KEYS]
+    keys = [(F.col(k) if k in df.columns else F.lit(None)).cast(t).alias(k) for k, t in zip(SHEET_KEYS, ("long", "string", "timestamp"), strict=True)]
+    value = lambda c: F.struct(F.lit(c).alias("field"), (F.lit(None) if kinds[c] == "string" else F.col(c)).cast("double").alias("number"), (F.col(c) if kinds[c] == "string" else F.lit(None)).cast("string").alias("text"))
+    return df.select(F.lit(name).alias("sheet"), *keys, F.inline(F.array(*map(value, fields))))
+
+
+def write_sheets(tables: dict[str, DataFrame], path: str) -> None:
+    """All tables of a detailed result in one job, as one table with a folder for each sheet; read_sheet gives them back.
+
+    A table's rows are told apart by cell_id, name and ts, as far as it has them; its other columns are numbers or
+    strings, and may be any.
+    """
+    out = None
     for name, df in tables.items():
-        write_table(df, f"{folder}/{name}", kind)
+        rows = _sheet_rows(name, df)
+        out = rows if out is None else out.unionByName(rows)
+    out.write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 
 def with_currency(results: DataFrame, currency: str) -> DataFrame:

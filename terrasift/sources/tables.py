@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,9 +100,29 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     return typed(S.require_columns(S.lower_columns(_read(spark, path)), "lat", "lon"), S.LOCATIONS)
 
 
-def read_weather(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Hourly capacity factors; several files join by their rows, resource is a column or a partition folder."""
-    return typed(S.require_columns(spark.read.parquet(*paths), "latitude", "longitude", "resource", "ts", "cf"), S.WEATHER)
+def weather_sets(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Paths under root, files or partitioned folders, that are named prefix and digits, or prefix alone; in order of name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    named = re.compile(rf"{re.escape(prefix.lower())}\d*(\.parquet)?")
+    return sorted(x for x in (status.getPath().toString() for status in found) if named.fullmatch(x.rpartition("/")[2].lower()))
+
+
+def read_weather(spark: SparkSession, roots: str | list[str], prefix: str = "weather", resources: list[str] | None = None) -> DataFrame:
+    """Hourly capacity factors of all sets of that prefix under the roots, as one table.
+
+    A set is a folder, or a file, named prefix and digits; its columns are matched by name, and those that only some sets
+    have are null elsewhere. resource is a column or a partition folder of each set, found from the set's own path; only
+    folders of the asked resources are read. No set at all is an error.
+    """
+    sets = [s for root in ([roots] if isinstance(roots, str) else roots) for s in weather_sets(spark, root, prefix)]
+    if not sets:
+        raise ValueError(f"no sets named {prefix} and digits")
+    scans = [S.require_columns(spark.read.option("basePath", s).parquet(s), "latitude", "longitude", "resource", "ts", "cf") for s in sets]
+    both = scans[0]
+    for scan in scans[1:]:
+        both = both.unionByName(scan, allowMissingColumns=True)
+    return typed(both.where(F.col("resource").isin(*resources)) if resources is not None else both, S.WEATHER)
 
 
 def read_site_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -154,6 +176,39 @@ def country_edges(features: DataFrame) -> DataFrame:
     return points.where("x2 is not null").select("country", "polygon_order", "part", number.alias("seg"), "x1", "y1", "x2", "y2")
 
 
+def read_bands(spark: SparkSession, path: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """A table of places that write_bands wrote: those with low <= longitude < high; only bands that may hold some are read."""
+    low, high = -180.0 if low is None else low, 180.0 if high is None else high
+    bands = F.col("band").between(*(int((x + 180) // S.BAND_DEGREES) for x in (low, high)))
+    return spark.read.parquet(path).where(bands & (F.col("longitude") >= low) & (F.col("longitude") < high)).drop("band")
+
+
+def read_sheets(spark: SparkSession, path: str, names: list[str] | None = None, most: int = 4096) -> dict[str, DataFrame]:
+    """The sheets of a detailed result that write_sheets wrote, all or those named: cell_id, name and ts, as far as a sheet
+    has them, and its columns. One aggregate finds the columns of all; more than most of them are an error."""
+    rows = spark.read.parquet(path)
+    rows = rows if names is None else rows.where(F.col("sheet").isin(*names))
+    counts = [F.count(k).alias(k) for k in S.SHEET_KEYS]
+    listed = rows.groupBy("sheet", "field").agg(F.count("text").alias("texts"), *counts).limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} columns")
+    sheets: dict[str, DataFrame] = {}
+    for sheet in sorted({r.sheet for r in listed}):
+        own = sorted((r for r in listed if r.sheet == sheet), key=lambda r: r.field)
+        columns = [F.first(F.when(F.col("field") == r.field, F.col("text" if r.texts else "number")), ignorenulls=True).alias(r.field) for r in own]
+        wide = rows.where(F.col("sheet") == sheet).groupBy(*S.SHEET_KEYS).agg(*columns)
+        sheets[sheet] = wide.drop(*(k for k in S.SHEET_KEYS if not any(r[k] for r in own)))
+    return sheets
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, most: int = 4096) -> DataFrame:
+    """One of read_sheets; a sheet without rows is an error."""
+    found = read_sheets(spark, path, [sheet], most)
+    if sheet not in found:
+        raise ValueError(f"no rows in {sheet}")
+    return found[sheet]
+
+
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Result files in the given order, columns by name, with file_rank and row_no, a row's place in its file."""
     out = None

@@ -167,28 +167,40 @@ def test_weather(spark):
     assert [r.name for r in weather.missing_profiles(generators, series).collect()] == ["tidal"]
 
 
-def test_sweep_forms_agree(spark):
+def swept_by_force(hours, mix, demand, storage_cost):
+    """(storage, cost, unmet) of one cell and mix."""
+    _, wind_mw, solar_mw, mix_cost = mix
+    net = [w * wind_mw + s * solar_mw - demand for w, s in hours]
+    running, peak, storage = 0.0, -math.inf, 0.0
+    for x in net + net:
+        running += x
+        peak = max(peak, running)
+        storage = max(storage, peak - running)
+    feasible = sum(net) >= 0
+    return storage if feasible else None, mix_cost + storage * storage_cost if feasible else None, sum(max(0.0, -x) for x in net)
+
+
+def test_sweep_against_brute_force(spark):
     r = np.random.Generator(np.random.PCG64(4))
-    frame = spark.createDataFrame([(c, h, float(r.random()), float(r.random())) for c in range(3) for h in range(48)], "cell_id long, hour_index int, wind double, solar double")
-    mixes = spark.createDataFrame([(m, float(w), float(s), w + 0.8 * s) for m, (w, s) in enumerate(itertools.product((0, 1, 2, 4), (0, 1, 3)))], "mix int, wind_mw double, solar_mw double, mix_cost double")
-    a, b = ({(x.cell_id, x.mix): x for x in f(frame, mixes, 0.9, 0.1).collect()} for f in (sizing.capacity_sweep, sizing.capacity_sweep_packed))
-    assert a.keys() == b.keys()
-    for k, x in a.items():
-        assert (x.storage is None) == (b[k].storage is None) and close(x.unmet, b[k].unmet) and (x.storage is None or close(x.storage, b[k].storage) and x.storage >= 0)
-    for c in range(3):
-        assert b[c, 8].storage is None or b[c, 11].storage <= b[c, 8].storage + 1e-9
-    assert sizing.best_mix(sizing.capacity_sweep_packed(frame, mixes, 0.9, 0.1)).count() == 3
+    hours = {c: [(float(r.random()), float(r.random())) for _ in range(48)] for c in range(3)}
+    frame = spark.createDataFrame([(c, h, w, s) for c, rows in hours.items() for h, (w, s) in enumerate(rows)], "cell_id long, hour_index int, wind double, solar double")
+    mixes = [(m, float(w), float(s), w + 0.8 * s) for m, (w, s) in enumerate(itertools.product((0, 1, 2, 4), (0, 1, 3)))]
+    sized = sizing.capacity_sweep(frame, mixes, 0.9, 0.1)
+    got = {(x.cell_id, x.mix): x for x in sized.collect()}
+    assert got.keys() == {(c, m[0]) for c in hours for m in mixes}
+    for (c, m), x in got.items():
+        storage, cost, unmet = swept_by_force(hours[c], mixes[m], 0.9, 0.1)
+        assert (x.storage is None) == (storage is None) and close(x.unmet, unmet) and (storage is None or close(x.storage, storage) and close(x.cost, cost))
+    assert sizing.best_mix(sized).count() == 3
 
 
 def test_sweep_takes_all_mixes(spark):
     frame = spark.createDataFrame([(c, h, 0.5, float(h % 2)) for c in range(2) for h in range(4)], "cell_id long, hour_index int, wind double, solar double")
-    grid = list(itertools.product(range(33), range(33)))
-    mixes = spark.createDataFrame([(m, float(w), float(s), 1.0 if m == len(grid) - 1 else 100.0) for m, (w, s) in enumerate(grid)], "mix int, wind_mw double, solar_mw double, mix_cost double")
-    for f in (sizing.capacity_sweep, sizing.capacity_sweep_packed):
-        sized = f(frame, mixes, 0.9, 0.1).collect()
-        assert sorted((x.cell_id, x.mix) for x in sized) == [(c, m) for c in range(2) for m in range(len(grid))]
-        assert sorted((x.cell_id, x.mix) for x in sizing.best_mix(f(frame, mixes, 0.9, 0.1)).collect()) == [(0, 1088), (1, 1088)]
-    assert sizing.capacity_sweep_packed(frame, mixes.limit(0), 0.9, 0.1).count() == 0
+    grid = list(itertools.product(range(17), range(17)))
+    mixes = [(m, float(w), float(s), 1.0 if m == len(grid) - 1 else 100.0) for m, (w, s) in enumerate(grid)]
+    sized = sizing.capacity_sweep(frame, mixes, 0.9, 0.1)
+    assert sorted((x.cell_id, x.mix) for x in sized.collect()) == [(c, m) for c in range(2) for m in range(len(grid))]
+    assert sorted((x.cell_id, x.mix) for x in sizing.best_mix(sized).collect()) == [(0, 288), (1, 288)]
 
 
 def test_economics(spark):

@@ -77,7 +77,7 @@ def test_sinks(spark, tmp_path):
         sinks.append_results(cells.select("latitude", F.lit(segment).alias("segment")), str(tmp_path / "results"))
     assert spark.read.parquet(str(tmp_path / "results")).count() == 10
     sinks.write_sheets({"a": compiled, "b": cells}, str(tmp_path / "sheets"))
-    assert (tmp_path / "sheets" / "a").is_dir()
+    assert (tmp_path / "sheets" / "sheet=a").is_dir() and tables.read_sheet(spark, str(tmp_path / "sheets"), "a").count() == 1
     named = sinks.with_currency(spark.createDataFrame([(1.0, 2.0)], "lcoa_per_t double, area double"), "EUR")
     assert named.columns == ["lcoa_eur_per_t", "area"]
     pairs = sinks.key_values(spark.createDataFrame([(1.0, 2.0, 5.0)], "latitude double, longitude double, x double")).first()
