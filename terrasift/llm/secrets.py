@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +22,16 @@ from .words import Words, text_chunks
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenization pattern of that vocabulary.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs of fewer characters aren't tested; a run with more characters per token than this is text.
-LEAST, RATIO = 20, 2.0
+#: Runs of fewer characters aren't tested; a run with more characters per token than this is text. A run under LONG, of
+#: which there are too few tokens to tell much, needs letters and digits and still fewer characters per token.
+LEAST, LONG, RATIO, SHORT_RATIO = 12, 20, 2.0, 1.75
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS, _HEX, _RUN = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}"), re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: Digests by their hexadecimal lengths (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), with an algorithm's name or not; UUIDs; dates and plain numbers.
-_KNOWN = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=/])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9T_/+-]+Z?", re.IGNORECASE | re.ASCII)
+#: Digests by their hexadecimal lengths (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), with an algorithm's name or not; UUIDs; dates, plain numbers, and numbers behind a few letters.
+_KNOWN = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=/])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9TZ_/+-]+|[a-z]{1,6}[-_/]?[0-9][0-9_/-]*", re.IGNORECASE | re.ASCII)
 
 _PART = re.compile(r"[^/=_-]+")
 
@@ -74,13 +76,18 @@ def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> list[tuple[int,
 
 
 def is_candidate(run: str) -> bool:
-    return any(c.isalpha() for c in run) and not _KNOWN.fullmatch(run)
+    letters = any(c.isalpha() for c in run)
+    return letters and len(run) >= LEAST and (len(run) >= LONG or any(c.isdigit() for c in run)) and not _KNOWN.fullmatch(run)
+
+
+def is_random(run: str, efficiency: Efficiency) -> bool:
+    return is_candidate(run) and efficiency.ratio(run) <= (RATIO if len(run) >= LONG else SHORT_RATIO)
 
 
 def stretches(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
     """(start, end) in a run of what is random: the whole, or what is left without the words around it, or else parts
     between separators. A known form between words is no secret, nor are its parts."""
-    random = lambda a, b: b - a >= LEAST and is_candidate(run[a:b]) and efficiency.ratio(run[a:b]) <= RATIO
+    random = lambda a, b: is_random(run[a:b], efficiency)
     if _KNOWN.fullmatch(run):
         return []
     parts = [m.span() for m in _PART.finditer(run)]
@@ -103,11 +110,17 @@ def stretches(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
 
 def random_spans(text: str, efficiency: Efficiency, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs, or stretches of them, with few characters per token that touch none of the spans taken."""
-    found = []
+    starts, far, found = [], [], []
+    for start, _, end in sorted(taken):
+        starts.append(start)
+        far.append(max(end, far[-1] if far else 0))  # the furthest end of the spans up to this one
     for m in _RUN.finditer(text):
-        if any(c.isalpha() for c in m[0]):
-            at = [(m.start() + a, m.start() + b) for a, b in stretches(m[0], efficiency)]
-            found += [(a, 3, b) for a, b in at if not any(s < b and a < e for s, _, e in taken)]
+        run = m[0]
+        if any(c.isalpha() for c in run) and (len(run) >= LONG or any(c.isdigit() for c in run)):
+            for a, b in stretches(run, efficiency):
+                k = bisect_left(starts, m.start() + b)  # spans that begin before the stretch ends
+                if not k or far[k - 1] <= m.start() + a:
+                    found.append((m.start() + a, 3, m.start() + b))
     return found
 
 
@@ -130,9 +143,11 @@ def _likely(data: np.ndarray, offsets: np.ndarray) -> dict[int, set[str]]:
     for kind, rows in (("assign", _rows_with(lowered, _WORDS, offsets)), ("access", _rows_with(data.tobytes(), (b"AKIA",), offsets))):
         for row in rows:
             out.setdefault(row, set()).add(kind)
-    for kind, table, least in (("hex", _HEX_BYTES, 24), ("random", _RUN_BYTES, LEAST)):
+    digits = np.concatenate(([0], np.cumsum((data >= 0x30) & (data <= 0x39))))
+    for kind, table in (("hex", _HEX_BYTES), ("random", _RUN_BYTES)):
         runs = Words(data, offsets, table, lower=False)
-        keep = runs.end - runs.start >= least
+        size = runs.end - runs.start
+        keep = size >= 24 if kind == "hex" else (size >= LONG) | ((size >= LEAST) & (digits[runs.end] > digits[runs.start]))
         for row in np.unique(runs.row_of_word()[keep]).tolist():
             out.setdefault(row, set()).add(kind)
     return out
