@@ -361,6 +361,44 @@ def test_random_strings_of_letters_and_behind_words(spark):
     assert not any(got[i] for i in range(len(texts), len(texts) + len(plain)))
 
 
+def planted_secrets(r, n, count):
+    """Texts with a random string of n characters each, and texts with words, names and numbers of that length."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(count)]
+    names = ["python3-dev-tools", "windows11update", "covid19vaccine", "chapter12section3", "tokyo2020olympics", "sha256checksum", "order-123456789", "INV-2023-004512", "isbn9783161484100", "x86_64-linux-gnu", "2024-01-01T00:00:00", "internationalization", "donaudampfschifffahrt", "user_profile_v2_backup", "release-2024-12-31"]
+    return keys, [f"it is {k} there" for k in keys], [f"see {name} for more" for name in names]
+
+
+@pytest.mark.parametrize("n, least", [(12, 0.8), (16, 0.85), (20, 0.95)])
+def test_secret_recall_by_length(spark, n, least):
+    keys, texts, plain = planted_secrets(random.Random(n), n, 200)
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(spark.createDataFrame(list(enumerate([*texts, *plain])), "doc_id long, text string")).collect()}
+    hits = sum([(s.kind, s.start, s.end) for s in got[i]] == [("random", 6, 6 + n)] for i in range(len(texts)))
+    assert hits >= least * len(texts), hits
+    assert [plain[i - len(texts)] for i in range(len(texts), len(got)) if got[i]] == []
+
+
+def test_secret_query_adds_spans(spark, tmp_path):
+    """The registered query on documents with planted strings beside patterns' matches."""
+    from terrasift.llm.queries import QUERIES
+
+    keys, texts, plain = planted_secrets(random.Random(9), 20, 50)
+    texts = [f"{t} password=abcdefgh" for t in texts]
+    spark.createDataFrame(list(enumerate([*texts, *plain])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {x.doc_id: x for x in QUERIES["op7_secret_scan"](spark, str(tmp_path)).collect()}
+    found = [i for i in range(50) if rows[i].spans == f"random:6:26,assign:{texts[i].index('password')}:{len(texts[i])}"]
+    assert len(found) >= 47 and all(rows[i].n_assign == 1 for i in range(50)) and not any(rows[50 + k].spans for k in range(len(plain)))
+
+
+def test_many_secrets_in_one_text_take_time_in_proportion():
+    """Thousands of spans of both sorts, and a comparison of each with each would be tens of millions."""
+    efficiency = secrets.Efficiency.of(Path(secrets.VOCABULARY).read_bytes())
+    text = " ".join(f"token={'abcdefgh'[k % 8] * 6} Qz{k:04}Xw{k * 7919 % 10007:05}Kp{k * 31 % 997:03}Zt" for k in range(6000))
+    base = secrets.base_spans(text)
+    found = secrets.random_spans(text, efficiency, base)
+    assert len(base) == 6000 and len(found) > 3000 and all(text[a - 1] == " " for a, _, _ in found)
+
+
 def labelled(spark, n=400):
     r = random.Random(6)
     rows, labels = [], []
@@ -496,13 +534,32 @@ def test_sharding(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(load.values()) / 6
     assert max(load.values()) - min(load.values()) <= max(0.02 * mean, max(r["size"] for r in got) - mean * 0.7) and len(load) == 6
-    small = max(1, sum(load.values()) // (6 * sharding.PIECES))
+    small = sum(load.values()) // 6  # a shard
     count = collections.Counter((r["size"], r.text_crc32) for r in got)
     assert all(len(s) == 1 for k, s in where.items() if count[k] * k[0] <= small)
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(frame(spark, rows, 5), 6).collect()))
     assert sharding.shard(frame(spark, [])).count() == 0
 
 
+def test_groups_stay_whole_up_to_a_shard():
+    """Pieces of large groups: whole where that leaves shards equal, in bundles of a shard where they are larger, and cut
+    further only where many are nearly as large."""
+    pools = [(5.0, 1.0, 1.0)] * 2000
+    for sizes, parts in (([900.0, 700.0, 400.0], [1, 1, 1]), ([5200.0, 100.0], [3, 1]), ([600.0] * 10, [1] * 10), ([1800.0] * 12, None)):
+        units, group, piece = list(pools), list(range(2000)), [-1] * 2000
+        for g, size in enumerate(sizes):
+            for k in range(64):
+                units.append((size / 64, 1.0, 1.0))
+                group.append(10_000 + g)
+                piece.append(k)
+        units, group, piece = np.array(units), np.array(group), np.array(piece)
+        where = sharding.place_groups(units, group, piece, 8)
+        load = np.bincount(where, weights=units[:, 0], minlength=8)
+        assert load.max() <= 1.02 * load.mean()
+        found = [len(set(where[group == 10_000 + g])) for g in range(len(sizes))]
+        assert found == parts if parts else max(found) <= 16
+
+
 def test_place_balances_every_dimension():
     r = np.random.Generator(np.random.PCG64(5))
     units = np.column_stack((r.pareto(1.5, 3000) * 100, r.pareto(1.5, 3000) * 20, np.ones(3000)))
