@@ -85,17 +85,19 @@ def locations_of(points: DataFrame, edges: DataFrame, country: str) -> DataFrame
 
 
 #: Pieces that an axis is cut into at most.
-AXIS_PIECES = 1024
+AXIS_PIECES = 256
 
 
-def axis_cuts(lines: DataFrame, column: str, pieces: int = AXIS_PIECES) -> list[float]:
-    """Some of the lines, ascending, that cut an axis into pieces with about as many lines each; the first is the least.
+def axis_cuts(axes: DataFrame, *columns: str, pieces: int = AXIS_PIECES) -> list[list[float]]:
+    """For each column some of its values, ascending, that cut the axis into pieces with about as many rows each; the first
+    is the least. A column without values has none.
 
-    The driver gets that many numbers, whatever the number of lines; how evenly they lie matters for speed alone.
+    One aggregate for all; the driver gets that many numbers, whatever the number of rows. How evenly they lie matters
+    for speed alone.
     """
-    v = F.col(column)
-    row = lines.agg(F.min(v).alias("least"), F.percentile_approx(v, [k / pieces for k in range(1, pieces)], 10 * pieces).alias("cuts")).first()
-    return [] if row.least is None else sorted({row.least, *(row.cuts or [])})
+    shares = F.lit(np.arange(1, pieces) / pieces)
+    row = axes.agg(*(f.alias(f"{n}{k}") for k, c in enumerate(columns) for v in [F.col(c).cast("double")] for n, f in (("least", F.min(v)), ("cuts", F.percentile_approx(v, shares, 10 * pieces))))).first()
+    return [[] if row[f"least{k}"] is None else sorted({row[f"least{k}"], *(row[f"cuts{k}"] or [])}) for k in range(len(columns))]
 
 
 def _at_most(ordered: Column, v: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
@@ -115,18 +117,18 @@ def cut_axis(lines: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     return lines.withColumn("piece", F.explode(F.when(begins, F.array(own - 1, own)).otherwise(F.array(own))))
 
 
-def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least") -> DataFrame:
+def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least", cuts: list[float] | None = None) -> DataFrame:
     """(value, nearest) for values(value) and axis(axis_value): the closest axis value; of two as close the lower, with tie
     'greatest' the higher, and with 'first' the one with the lower axis position, a column of axis. Nulls have no nearest;
     without an axis there are no rows.
 
     The axis is cut into pieces, each an ordered array of its lines with the first one of the next; a value finds its
-    piece, meets its array by an equi join, and its place in there by halving.
+    piece, meets its array by an equi join, and its place in there by halving. cuts: the axis's own, if they are known.
     """
     position = F.min("position") if tie == "first" else F.lit(0)
     lines = axis.select(F.col("axis_value").cast("double").alias("line"), *(["position"] if tie == "first" else [])).dropna(subset=["line"]).groupBy("line").agg(position.alias("place"))
     asked = values.select("value").dropna().distinct()
-    cuts = axis_cuts(lines, "line")
+    cuts = axis_cuts(axis, "axis_value")[0] if cuts is None else cuts
     if not cuts:
         return asked.select("value", F.col("value").alias("nearest")).limit(0)
     arrays = cut_axis(lines, "line", cuts).groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("line", "place"))).alias("lines"))
@@ -143,8 +145,9 @@ def nearest_on_axis(values: DataFrame, axis: DataFrame, tie: str = "least") -> D
 def nearest_grid(probe: DataFrame, grid: DataFrame, tie: str = "least") -> DataFrame:
     """probe(latitude, longitude, ...) with near_lat, near_lon and grid's other columns at the nearest grid lines, each
     axis by itself; nulls where the grid has no row at that crossing."""
-    for axis, name in (("latitude", "near_lat"), ("longitude", "near_lon")):
-        lines = nearest_on_axis(probe.select(F.col(axis).alias("value")), grid.select(F.col(axis).alias("axis_value")), tie)
+    axes = ("latitude", "longitude")
+    for axis, name, cuts in zip(axes, ("near_lat", "near_lon"), axis_cuts(grid, *axes), strict=True):
+        lines = nearest_on_axis(probe.select(F.col(axis).alias("value")), grid.select(F.col(axis).alias("axis_value")), tie, cuts)
         probe = probe.join(lines.select(F.col("value").alias(axis), F.col("nearest").alias(name)), axis, "left")
     return probe.join(grid.withColumnsRenamed({"latitude": "near_lat", "longitude": "near_lon"}), ["near_lat", "near_lon"], "left")
 
@@ -216,7 +219,7 @@ def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 def axis_step(axis: DataFrame, column: str) -> DataFrame:
     """The smallest positive step between distinct values: of neighbours in a piece, and of its last line and the next one's first."""
     lines = axis.select(F.col(column).cast("double").alias("line")).dropna().distinct()
-    cuts = axis_cuts(lines, "line")
+    cuts = axis_cuts(axis, column)[0]
     if not cuts:
         return lines.agg(F.min("line").alias("step"))
     step = F.lead("line").over(Window.partitionBy("piece").orderBy("line")) - F.col("line")

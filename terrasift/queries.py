@@ -556,7 +556,15 @@ def normalized_names(spatial: DataFrame) -> DataFrame:
 # --- more of the same ----------------------------------------------------------------------------------------------------
 
 
-@query("cells spatial", digits=6)  # DuckDB ends with an internal error on its SQL; a test has brute force
+@query(
+    "cells spatial",
+    """, p as materialized (select s.file_order, s.tech, s.interest_rate, s.build_cost_multiplier, c.latitude+s.file_order%7*0.05e0 la, c.longitude lo from spatial s join cells c using (cell_id)),
+ c as materialized (select cell_id id, latitude, longitude from cells),
+ near as materialized (select id, latitude, longitude, d.a, e.o from c, (select unnest([-1,0,1]) a) d, (select unnest([-1,0,1]) o) e),
+ pairs as materialized (select n.id, p.* from near n join p on floor(n.latitude/0.125e0)+n.a=floor(p.la/0.125e0) and floor(n.longitude/0.125e0)+n.o=floor(p.lo/0.125e0) where abs(p.la-n.latitude)<=0.125e0 and abs(p.lo-n.longitude)<=0.125e0)
+ select id, tech, round(arg_max(interest_rate, file_order) filter (interest_rate is not null),6) interest_rate, round(arg_max(build_cost_multiplier, file_order) filter (build_cost_multiplier is not null),6) build_cost_multiplier from pairs group by 1,2""",
+    digits=6,
+)
 def tolerance_overrides(cells: DataFrame, spatial: DataFrame) -> DataFrame:
     moved = spatial.join(cells.select("cell_id", "latitude", "longitude"), "cell_id").withColumn("latitude", F.col("latitude") + F.col("file_order") % 7 * 0.05)
     return lookup.merged_within(cells.select(F.col("cell_id").alias("id"), "latitude", "longitude"), moved, ["tech"], ["interest_rate", "build_cost_multiplier"])
