@@ -53,30 +53,31 @@ def first_hours(dense: DataFrame, m: int) -> DataFrame:
     return dense.where(F.col("hour_index") < m)
 
 
-def block_mean(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
-    """Means of k hours each; hours beyond the last whole block go."""
-    hours = dense.agg((F.floor((F.max("hour_index") + 1) / k) * k).alias("whole"))
-    kept = dense.crossJoin(hours).where("hour_index < whole")
-    return kept.groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.avg(value).alias(value))
+def _blocks(dense: DataFrame, k: int, value: str) -> DataFrame:
+    """(cell_id, resource, block, mean, sum, hours) of k hours each; the last block may have fewer."""
+    return dense.groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.avg(value).alias("mean"), F.sum(value).alias("sum"), F.count("*").alias("hours"))
+
 
+def _all_whole(blocks: DataFrame, k: int) -> DataFrame:
+    """blocks, none of which may lack hours, as then the number of all hours is no multiple of k."""
+    whole = F.when(F.col("hours") == k, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{k} does not divide the hours, a block has "), F.col("hours").cast("string"))).cast("boolean"))
+    return blocks.where(whole)
 
-def _whole_blocks(dense: DataFrame, k: int) -> DataFrame:
-    """dense, whose number of hours has to be a multiple of k."""
-    hours = dense.agg((F.max("hour_index") + 1).alias("hours"))
-    whole = F.when(F.col("hours") % k == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{k} does not divide "), F.col("hours").cast("string"), F.lit(" hours"))).cast("boolean"))
-    return dense.crossJoin(hours).where(whole).drop("hours")  # hours is one row
+
+def block_mean(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
+    """Means of k hours each of a table in which every series has every hour; hours beyond the last whole block go."""
+    return _blocks(dense, k, value).where(F.col("hours") == k).select("cell_id", "resource", "block", F.col("mean").alias(value))
 
 
 def block_mean_strict(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
     """As block_mean, but the hours have to be a multiple of k, and a series with a mean of 0 or less is 0."""
-    means = block_mean(_whole_blocks(dense, k), k, value)
-    level = F.avg(value).over(Window.partitionBy("cell_id", "resource"))
-    return means.withColumn(value, F.when(level <= 0, 0.0).otherwise(F.col(value)))
+    level = F.avg("mean").over(Window.partitionBy("cell_id", "resource"))
+    return _all_whole(_blocks(dense, k, value), k).select("cell_id", "resource", "block", F.when(level <= 0, 0.0).otherwise(F.col("mean")).alias(value))
 
 
 def block_sum(dense: DataFrame, k: int, value: str = "cf") -> DataFrame:
     """Sums of k hours each, with their number as weight; the hours have to be a multiple of k."""
-    return _whole_blocks(dense, k).groupBy("cell_id", "resource", F.floor(F.col("hour_index") / k).cast("int").alias("block")).agg(F.sum(value).alias(value), F.count("*").alias("weights"))
+    return _all_whole(_blocks(dense, k, value), k).select("cell_id", "resource", "block", F.col("sum").alias(value), F.col("hours").alias("weights"))
 
 
 def cyclic_change(series: DataFrame, value: str = "p") -> DataFrame:
