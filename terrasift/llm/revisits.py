@@ -78,7 +78,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def captures(pages: DataFrame) -> DataFrame:
     """Records of two captures of each page, derived from its own columns: the full response, and a later (for every
-    eleventh page: earlier) request that was answered with not modified, under a URL of another spelling."""
+    eleventh page: earlier) request that was answered with not modified, under a URL of another spelling.
+
+    A page without html has a response without digest, size and the headers made of them; one without a url has records
+    without one, which find no response. Pages of one id have records of one id each time; a null id has null times. Other
+    columns aren't read.
+    """
     at = lambda seconds: F.timestamp_seconds(F.lit(1704067200) + seconds)
     digest, pick, id_ = F.md5("html"), F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("url"), 1, 1)) % 4, F.col("page_id")
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")

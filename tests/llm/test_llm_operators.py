@@ -216,6 +216,48 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_captures_of_odd_pages(spark):
+    """Nulls, repeated rows and clashing columns: two records a page, and a revisit each in the result."""
+    rows = [(1, "http://a.b/x", "<p>", "k"), (2, None, "<p>", "k"), (3, "http://a.b/y", None, "k"), (None, "http://a.b/z", "", "k"), (1, "http://a.b/x", "<p>", "k"), (4, "", "x" * 100_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    records = revisits.captures(pages).collect()
+    assert collections.Counter(r.kind for r in records) == {"response": 6, "revisit": 6}
+    of = {(r.kind, r.record_id): r for r in records}
+    assert of["response", 6].digest is None and of["response", 6].bytes is None and "etag" not in of["response", 6].headers
+    assert of["response", 4].url is None and of["response", 8].bytes == 100_000 and of["revisit", 3].url.endswith("#again")
+    found = revisits.resolve_revisits(revisits.captures(pages)).collect()
+    assert len(found) == 6 and all(r.check == "no response" for r in found if r.url is None)
+    assert revisits.captures(pages.limit(0)).count() == 0
+
+
+STAGE_ROWS = [(None, "no id and some words in it here", "s"), (1, None, "s"), (2, "", None), (3, " \t", None), (4, "plain words that stand alone in this text", "s"), (4, "plain words that stand alone in this text", "s"), (5, "long " * 30_000, "t"), (6, "plain words that stand alone in this text", "t")]
+
+
+def test_stages_of_the_pipeline_on_odd_rows(spark, tmp_path):
+    """Each stage by itself on nulls, blanks, a long text, repeats and clashing columns, and on an empty table."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(*r, 1, "c", 2.0) for r in STAGE_ROWS], "doc_id long, text string, source string, size int, shard string, score double")
+    spark.createDataFrame([(1, "of the windows none is in the documents at all here"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, 1), (9, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    count = lambda df: collections.Counter((r.doc_id, (r.text or "")[:40]) for r in df.collect())
+    every = count(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "sharding":
+            assert got.count() == len(STAGE_ROWS)
+            continue
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        kept = count(got)
+        if name in ("toxicity", "benchmark decontamination"):
+            assert kept == every
+        elif name == "n-gram Jaccard join":
+            assert kept == collections.Counter({k: 1 for k in every if k[0] != 6})
+        else:
+            assert set(kept) <= set(every) and {k for k in every if k[0] in (4, 5)} <= set(kept)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_captures_of_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     assert revisits.resolve_revisits(revisits.captures(pages)).count() == pages.count()
