@@ -15,19 +15,26 @@ from terrasift.llm.sharding import shard
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that score below the threshold. Null and empty texts score the base rate and stay while that is low; equal
+    texts are judged alike; without labels, or with one label only, all rows stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels, toxicity.learnable()))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked texts, that with the smallest id. Texts without words are no copies and stay, but
+    rows of one id and text are one."""
     return drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows without a benchmark window. Texts without words hold none and stay; items without words have none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, in order of position; null is a source. A row without words is taken in every
+    whole pass over its source."""
     return mixed_documents(docs)
 
 
