@@ -105,7 +105,7 @@ class Examples:
     """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], base: float) -> None:
-        self.terms, self.idf, self.base, self.owner, self.calibration, self.shared = terms, idf, base, None, None, None
+        self.terms, self.idf, self.base, self.owner, self.calibration, self.shared, self.loaded = terms, idf, base, None, None, None, False
         rows = sorted(rows, key=lambda r: r[0])
         self.ids, self.y = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows]))).astype(np.int64)
@@ -121,33 +121,50 @@ class Examples:
 
     def __setstate__(self, state: dict) -> None:
         term, count = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in state.pop("packed"))
-        self.__dict__ |= state | {"term": np.cumsum(term, dtype=np.int32), "count": count, "owner": None, "calibration": None, "shared": None}
+        self.__dict__ |= state | {"term": np.cumsum(term, dtype=np.int32), "count": count, "owner": None, "calibration": None, "shared": None, "loaded": True}
+
+    def _weights(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of an example."""
+        own = slice(self.first[i], self.first[i + 1])
+        return self.term[own], self.logs[self.count[own]] * self.idf[self.term[own]] * self.inverse[i]
 
     def _invert(self) -> None:
-        """The lists by term, and the blocks; examples whose heaviest head term is the same become neighbours in them."""
+        """The lists by term, and the blocks; examples whose heaviest head term is the same become neighbours in them.
+
+        Examples are gone through one by one, so that besides the lists nothing of their size is held.
+        """
         n = len(self.ids)
         self.logs = 1 + np.log(np.maximum(np.arange(self.count.max(initial=0) + 1), 1))
-        owner = np.repeat(np.arange(n), np.diff(self.first))
-        weight = (self.logs[self.count] * self.idf[self.term] * self.inverse[owner])
         head = np.argsort(-np.bincount(self.term, minlength=len(self.terms)), kind="stable")[:HEAD]
-        self.head = np.full(len(self.terms), -1, dtype=np.int64)
+        self.head = np.full(len(self.terms), -1, dtype=np.int32)
         self.head[head] = np.arange(len(head))
-        row = self.head[self.term]
-        top, rest = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
-        dense = np.zeros((len(head), n))
-        dense[row[top], owner[top]] = weight[top]
-        self.order = np.lexsort((self.ids, dense.argmax(axis=0))) if len(head) else np.arange(n)
+        heaviest = np.zeros(n, dtype=np.int64)
+        for i in range(n):
+            term, weight = self._weights(i)
+            row = self.head[term]
+            if (row >= 0).any():
+                most = weight[row >= 0].max()
+                heaviest[i] = row[(row >= 0) & (weight == most)].min()
+        self.order = np.lexsort((self.ids, heaviest))
         self.blocks = -(-n // BLOCK)
         self.dense = np.zeros((self.blocks, len(head), BLOCK))
-        for b in range(self.blocks):
-            own = self.order[b * BLOCK : (b + 1) * BLOCK]
-            self.dense[b, :, : len(own)] = dense[:, own]
-        self.most = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(head), 0))
+        rest = self.head[self.term] < 0
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.term[rest], minlength=len(self.terms)))))
+        free, self.owner, self.part = self.at[:-1].copy(), np.zeros(self.at[-1], dtype=np.int32), np.zeros(self.at[-1])
+        del rest
         place = np.empty(n, dtype=np.int64)
         place[self.order] = np.arange(n)
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.owner, self.part = place[owner[rest]], weight[rest]
-        self.at = np.searchsorted(self.term[rest], np.arange(len(self.terms) + 1))
+        for i in range(n):
+            term, weight = self._weights(i)
+            row = self.head[term]
+            block, column = divmod(int(place[i]), BLOCK)
+            self.dense[block, row[row >= 0], column] = weight[row >= 0]
+            others = term[row < 0]  # each of them once
+            self.owner[free[others]], self.part[free[others]] = place[i], weight[row < 0]
+            free[others] += 1
+        self.most = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(head), 0))
+        if self.loaded:
+            self.term = self.count = np.zeros(0, dtype=np.int32)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, own: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of the k nearest of each query (terms, weights), with a cosine above 0, best first, ties to
