@@ -6,7 +6,7 @@ members, children, leaves and repeated text grow on the way up. A turn is known
 
 A level with many rows is grouped by Spark, a row for each node and task going into the shuffle, however many
 conversations begin alike. Levels that together hold few rows, as below the usual lengths, are peeled in one round, each
-subtree inside one task.
+subtree inside one task. A row takes along the keys of some levels only, however long its conversation is.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from .durable import written
 
 #: Turns that all levels of a round hold together at most, unless it has one level only.
 ROUND_TURNS = 1 << 14
+#: Levels above the lowest one of a round, or of its neighbours, whose keys a row takes along; when they are used up, the keys
+#: of as many more are fetched from the conversation that a node is named after.
+STRETCH = 16
 #: Lengths up to this have a folder each; longer ones share one with all up to twice as long.
 SHELVES = 32
 #: Ids that are joined to one string at once.
@@ -86,42 +89,46 @@ def rounds(lengths: dict[int, int], most: int = ROUND_TURNS) -> list[tuple[int,
     return [*out, (0, high)] if high else out
 
 
-def _one_level(rows: DataFrame, level: int) -> DataFrame:
-    """Nodes of rows(path, sizes, conv, n, child, leaves, saved), whose paths all end at level."""
-    nodes = rows.groupBy(F.get("path", F.lit(level - 1)).alias("key")).agg(
+def _one_level(rows: DataFrame, level: int, base: int) -> DataFrame:
+    """Nodes of rows(path, sizes, conv, n, child, leaves, saved), whose paths all end at level; a path has the keys of the
+    levels over base."""
+    at = level - base - 1
+    nodes = rows.groupBy(F.get("path", F.lit(at)).alias("key")).agg(
         F.min("conv").alias("conv"), F.sum("n").alias("n"), F.sum("child").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.first("path").alias("path"), F.first("sizes").alias("sizes")
     )
-    own = (F.col("n") - 1) * F.get("sizes", F.lit(level - 1))
-    above = lambda c: F.slice(c, 1, level - 1).alias(c)
-    parent = F.get("path", F.lit(level - 2)) if level > 1 else F.lit(None).cast("binary")
+    own = (F.col("n") - 1) * F.get("sizes", F.lit(at))
+    above = lambda c: F.slice(c, 1, at).alias(c)
+    parent = F.get("path", F.lit(at - 1)) if level > 1 else F.lit(None).cast("binary")
     return nodes.select(F.lit(level).cast("long").alias("depth"), "key", parent.alias("parent"), "conv", "n", "children", F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("leaves"), (F.col("saved") + own).alias("saved"), above("path"), above("sizes"))
 
 
-def peel(rows: list[tuple], low: int) -> Iterator[tuple]:
-    """Nodes, as _NODE says, of all levels above low, deepest first; rows: (path, sizes, conv, n, child, leaves, saved).
+def peel(rows: list[tuple], low: int, base: int = 0) -> Iterator[tuple]:
+    """Nodes, as _NODE says, of all levels above low, deepest first; rows: (path, sizes, conv, n, child, leaves, saved), whose
+    paths have the keys of the levels over base.
 
     Only nodes of the last level have a path, of the turns that are left.
     """
     waiting: dict[int, dict[bytes, list]] = {}
 
     def add(depth: int, path: list, sizes: list, conv: int, n: int, child: int, leaves: int, saved: int) -> None:
-        node = waiting.setdefault(depth, {}).setdefault(path[depth - 1], [path, sizes, conv, 0, 0, 0, 0])
+        node = waiting.setdefault(depth, {}).setdefault(path[depth - base - 1], [path, sizes, conv, 0, 0, 0, 0])
         node[2] = min(node[2], conv)
         for k, x in enumerate((n, child, leaves, saved), 3):
             node[k] += x
 
     for path, *others in rows:
-        add(len(path), path, *others)
+        add(base + len(path), path, *others)
     for depth in range(max(waiting, default=low), low, -1):
         for key, (path, sizes, conv, n, children, leaves, saved) in waiting.pop(depth, {}).items():
-            leaves, saved = leaves if children else 1, saved + (n - 1) * sizes[depth - 1]
+            at = depth - base - 1
+            leaves, saved = leaves if children else 1, saved + (n - 1) * sizes[at]
             top = depth == low + 1
-            yield depth, key, path[depth - 2] if depth > 1 else None, conv, n, children, leaves, saved, path[:low] if top else None, sizes[:low] if top else None
+            yield depth, key, path[at - 1] if depth > 1 else None, conv, n, children, leaves, saved, path[:at] if top else None, sizes[:at] if top else None
             if not top:
                 add(depth - 1, path, sizes, conv, n, 1, leaves, saved)
 
 
-def _some_levels(rows: DataFrame, low: int) -> DataFrame:
+def _some_levels(rows: DataFrame, low: int, base: int) -> DataFrame:
     """As _one_level for all levels above low: whole subtrees of the first of them meet in a task, which peels them. All
     rows together hold at most ROUND_TURNS turns in these levels."""
     names = ["path", "sizes", "conv", "n", "child", "leaves", "saved"]
@@ -129,25 +136,32 @@ def _some_levels(rows: DataFrame, low: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in names), strict=True)]
-        if nodes := list(peel(mine, low)):
+        if nodes := list(peel(mine, low, base)):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*nodes, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.repartition(F.get("path", F.lit(low))).select(*names).mapInArrow(run, _NODE)
+    return rows.repartition(F.get("path", F.lit(low - base))).select(*names).mapInArrow(run, _NODE)
 
 
 def _peeled(spark: SparkSession, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes of all levels but the root, root) of branches(conv_id, depth, path, sizes, shelf)."""
     lengths = {r.depth: r.n for r in branches.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # a row for each length
-    ended = branches.select("depth", "shelf", "path", "sizes", F.col("conv_id").alias("conv"), F.lit(1).cast("long").alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("child", "leaves", "saved")))
-    folder, below = new_path(spark, "trie"), None
+    counts = [F.lit(1).cast("long").alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("child", "leaves", "saved"))]
+    shelf_of = lambda *depths: spark.range(1).select(*(_shelf(F.lit(d)).alias(str(d)) for d in depths)).first()
+    keys = lambda base, high: [F.slice(c, base + 1, high - base).alias(c) for c in ("path", "sizes")]
+    folder, below, base = new_path(spark, "trie"), None, None
     for low, high in rounds(lengths):
-        shelves = spark.range(1).select(_shelf(F.lit(low + 1)).alias("a"), _shelf(F.lit(high)).alias("b")).first()
-        rows = ended.where(F.col("shelf").between(*shelves) & (F.col("depth") > low) & (F.col("depth") <= high)).drop("depth", "shelf")
+        shelves = shelf_of(low + 1, high)
+        if base is None or base > max(0, low - 1):
+            base = max(0, low - STRETCH)
+            if below is not None:  # nodes of one level are named after conversations of their own
+                longer = branches.where((F.col("shelf") >= shelves[1]) & (F.col("depth") >= high)).select(F.col("conv_id").alias("conv"), *keys(base, high))
+                below = below.drop("path", "sizes").join(longer, "conv").select(*below.columns)
+        rows = branches.where(F.col("shelf").between(*shelves) & (F.col("depth") > low) & (F.col("depth") <= high)).select(*keys(base, high), F.col("conv_id").alias("conv"), *counts)
         if below is not None:
             rows = rows.unionByName(below)
-        nodes = written(_one_level(rows, high) if low == high - 1 else _some_levels(rows, low), "nodes", folder)
+        nodes = written(_one_level(rows, high, base) if low == high - 1 else _some_levels(rows, low, base), "nodes", folder)
         below = nodes.where(F.col("depth") == low + 1).select("path", "sizes", "conv", "n", F.lit(1).cast("long").alias("child"), "leaves", "saved")
-    rows = ended.where("shelf = 0").drop("depth", "shelf")
+    rows = branches.where("shelf = 0").select("path", "sizes", F.col("conv_id").alias("conv"), *counts)
     root = (rows if below is None else rows.unionByName(below)).agg(F.min("conv").alias("conv"), F.sum("n").alias("n"), F.sum("child").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
     root = root.where("n is not null").select(F.lit(0).cast("long").alias("depth"), F.lit(b"").alias("key"), F.lit(None).cast("binary").alias("parent"), "conv", "n", "children", F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("leaves"), "saved")
     nodes = spark.read.schema(_NODE).parquet(f"{folder}/nodes-*") if below is not None else spark.createDataFrame([], _NODE)

@@ -63,9 +63,10 @@ def odd_rows(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("most", [1, 200, 1 << 14])
-def test_odd_conversations(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, stretch", [(1, 16), (1, 3), (200, 2), (1 << 14, 16)])
+def test_odd_conversations(spark, monkeypatch, most, stretch):
     monkeypatch.setattr(trie.rounds, "__defaults__", (most,))
+    monkeypatch.setattr(trie, "STRETCH", stretch)
     if most == 1:  # a round for each level
         rows = [r for r in odd_rows() if r[0] is None or r[0] < 300]
     else:
