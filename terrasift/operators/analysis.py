@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cell_geojson, cell_id, raster_index
 from ..functions.names import component_label, location_label
 from ..schemas import COST_CLIP
+from ..sources.folders import stored
 
 PLACE = ("latitude", "longitude")
 
@@ -76,9 +77,9 @@ def _beside(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str = "
 
 
 def value_counts(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """(by, v, n): how often each value is there in each group; NaN counts as null."""
+    """(by, v, n): how often each value is there in each group; NaN counts as null. Stored, as ranking reads it several times."""
     v = F.col(column).cast("double")
-    return df.select(*by, F.when(~F.isnan(v), v).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n"))
+    return stored(df.select(*by, F.when(~F.isnan(v), v).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n")), "counts")
 
 
 def quantiles_of(df: DataFrame, column: str, named: dict[str, float], *by: str, pieces: int = 1024, cuts: int = 2) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEY_DECIMALS, TOLERANCE_DEGREES
+from ..sources.folders import stored
 
 
 def place_key(latitude: Column, longitude: Column) -> list[Column]:
@@ -184,9 +185,8 @@ def country_tiles(edges: DataFrame) -> DataFrame:
     return crossed.unionByName(inner.join(crossed.select("polygon_order", "tile_x", "tile_y"), ["polygon_order", "tile_x", "tile_y"], "left_anti"))
 
 
-def tested_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, polygon_order, country, crosses, on) for each point of a crossed tile and each edge of its band."""
-    tiles = country_tiles(edges)
+def tested_edges(points: DataFrame, edges: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(id, polygon_order, country, crosses, on) for each point of a crossed tile, of country_tiles, and each edge of its band."""
     near = points.select("id", "x", "y", _whole(F.col("x")).alias("tile_x"), _whole(F.col("y")).alias("tile_y")).join(tiles.where("crossed"), ["tile_x", "tile_y"])
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 == y1, 1.0).otherwise(y2 - y1) + x1)
@@ -203,11 +203,12 @@ def locate_country(points: DataFrame, edges: DataFrame) -> DataFrame:
 
     edges(country, polygon_order, x1, y1, x2, y2). A point in a tile of a degree that lies inside a polygon tests no edge;
     in a tile that edges cross, the crossings of a ray decide, over all rings, so that holes are outside. A ray meets the
-    edges of its own band of latitude alone.
+    edges of its own band of latitude alone. Tiles, which are as many as polygons have degrees, are stored.
     """
-    inner = country_tiles(edges).where("not crossed").select("polygon_order", "country", "tile_x", "tile_y")
+    tiles = stored(country_tiles(edges), "tiles")
+    inner = tiles.where("not crossed").select("polygon_order", "country", "tile_x", "tile_y")
     sure = points.select("id", _whole(F.col("x")).alias("tile_x"), _whole(F.col("y")).alias("tile_y")).join(inner, ["tile_x", "tile_y"]).select("id", "polygon_order", "country")
-    tested = tested_edges(points, edges).groupBy("id", "polygon_order", "country").agg((F.count_if("crosses") % 2 == 1).alias("inside"), F.bool_or("on").alias("border"))
+    tested = tested_edges(points, edges, tiles).groupBy("id", "polygon_order", "country").agg((F.count_if("crosses") % 2 == 1).alias("inside"), F.bool_or("on").alias("border"))
     found = tested.where("inside or border").select("id", "polygon_order", "country").unionByName(sure)
     return points.select("id").join(found.groupBy("id").agg(F.min_by("country", "polygon_order").alias("country")), "id", "left")
 

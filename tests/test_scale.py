@@ -97,7 +97,7 @@ def test_polygons_by_tiles(spark, monkeypatch):
     got = {x.id: x.country for x in lookup.locate_country(frame, edges).collect()}
     for k, (x, y) in enumerate(points):
         assert got[k] == next((f"c{n}" for n, p in enumerate(polygons) if inside_by_force(x, y, p)), None), (k, x, y)
-    tested = collections.Counter(x.id for x in lookup.tested_edges(frame, edges).select("id").collect())
+    tested = collections.Counter(x.id for x in lookup.tested_edges(frame, edges, lookup.country_tiles(edges)).select("id").collect())
     every = sum(map(len, polygons)) * len(points)
     assert sum(tested.values()) < every / 20 and max(tested.values()) < 120
     tiles = lookup.country_tiles(edges).collect()
