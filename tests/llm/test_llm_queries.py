@@ -16,7 +16,7 @@ from terrasift.llm import toxicity
 from terrasift.llm.durable import written
 from terrasift.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def normal(value):
