@@ -72,14 +72,17 @@ def commit_segments(results: DataFrame, path: str) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(path)
 
 
-def rewrite_in_order(results: DataFrame, requested: DataFrame, path: str, order: str = "file_order", kind: str = "parquet") -> None:
+def rewrite_in_order(results: DataFrame, requested: DataFrame, path: str, order: str = "file_order", kind: str = "parquet", once: bool = True) -> None:
     """results(latitude, longitude, ...) once for each place of requested(latitude, longitude, order), in that order.
 
     Parts of the order's range are files, named in order, and sorted; columns stand in report order. Places without a
-    result aren't there, a place that is requested twice stands where it was first, and results that weren't requested go.
+    result aren't there, and results that weren't requested go. A place that is requested twice stands where it was first;
+    without once, it stands at each of its requests.
     """
-    first = requested.groupBy("latitude", "longitude").agg(F.min(order).alias("__order"))
-    rows = results.join(first, ["latitude", "longitude"]).repartitionByRange("__order").sortWithinPartitions("__order")
+    asked = requested.select("latitude", "longitude", F.col(order).alias("__order"))
+    if once:
+        asked = asked.groupBy("latitude", "longitude").agg(F.min("__order").alias("__order"))
+    rows = results.join(asked, ["latitude", "longitude"]).repartitionByRange("__order").sortWithinPartitions("__order")
     write_table(order_columns(rows.drop("__order")), path, kind)
 
 

@@ -181,6 +181,16 @@ def test_order_holds_over_files(spark, tmp_path):
     assert spark.read.parquet(path).columns == ["latitude", "longitude", "currency", "lcoa_per_t"]
 
 
+def test_each_request_of_a_place_is_written(spark):
+    """Cells at one place: a row for each, as in the query's SQL."""
+    from terrasift import file_queries
+
+    rows = spark.createDataFrame([(1.0, 2.0, 5.0, 0, 1), (1.0, 2.0, 6.0, 1, 2), (3.0, 4.0, 7.0, 0, 3)], "latitude double, longitude double, lcoa_per_t double, file_rank int, row_no long")
+    cells = spark.createDataFrame([(1, 1.0, 2.0, 9.0), (2, 1.0, 2.0, 9.0), (3, 1.0, 2.0, 0.0), (4, 3.0, 4.0, 9.0), (5, 8.0, 8.0, 9.0)], "cell_id long, latitude double, longitude double, max_capacity_mw double")
+    got = file_queries.rewritten_results(rows, cells).collect()
+    assert sorted((r.row_no, r.lcoa_per_t) for r in got) == [(2, 6.0), (2, 6.0), (3, 7.0)]
+
+
 def test_bands_are_pruned(spark, data, tmp_path):
     cells = load(spark, data, "cells")
     sinks.write_bands(cells, str(tmp_path / "banded"))
