@@ -99,21 +99,20 @@ _SITES = "sites as (select cell_id, latitude+0.3e0 latitude, longitude-0.4e0 lon
 _NEAR = f"{_SITES}, la as (select cell_id, arg_min(a, (abs(a-latitude), -a)) near_lat from sites, (select distinct latitude a from points) group by 1), lo as (select cell_id, arg_min(a, (abs(a-longitude), -a)) near_lon from sites, (select distinct longitude a from points) group by 1), near as (select cell_id, near_lat, near_lon from la join lo using (cell_id))"
 
 
-def _gridded(rows: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sites beside the cells, and weather at the cells' places."""
-    sites = cells.select("cell_id", (F.col("latitude") + 0.3).alias("latitude"), (F.col("longitude") - 0.4).alias("longitude"))
-    return sites, rows.join(cells.select("cell_id", "latitude", "longitude"), "cell_id").drop("cell_id")
+def _beside(cells: DataFrame) -> DataFrame:
+    """Sites beside the cells."""
+    return cells.select("cell_id", (F.col("latitude") + 0.3).alias("latitude"), (F.col("longitude") - 0.4).alias("longitude"))
 
 
 @query("weather cells", f", {_NEAR} select n.cell_id, near_lat, near_lon, resource, w.ts, round(cf,6) cf from near n join points p on p.latitude=near_lat and p.longitude=near_lon join weather w on w.cell_id=p.cell_id", digits=6)
 def weather_of_sites(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    return weather.site_weather(*_gridded(rows, cells)).select("cell_id", "near_lat", "near_lon", "resource", "ts", "cf")
+    gridded = rows.join(cells.select("cell_id", "latitude", "longitude"), "cell_id").drop("cell_id")
+    return weather.site_weather(_beside(cells), gridded).select("cell_id", "near_lat", "near_lon", "resource", "ts", "cf")
 
 
 @query("weather cells", f"{_DENSE}, {_NEAR}, d as (select n.cell_id, d.hour_index, resource, cf from near n join points p on p.latitude=near_lat and p.longitude=near_lon join dense d on d.cell_id=p.cell_id) select cell_id, hour_index, round(max(cf) filter (resource='solar'),9) solar, round(max(cf) filter (resource='wind')*0.93e0,9) wind, round(coalesce(max(cf) filter (resource='solar_tracking'),max(cf) filter (resource='solar')),9) solar_tracking, 0e0 grid, 1e0 ramp_dummy from d group by 1,2", digits=9)
 def frames_of_sites(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    sites, gridded = _gridded(weather.dense_hours(rows), cells)
-    return weather.location_frame(sites, gridded)
+    return weather.location_frame(_beside(cells), rows, cells.select("cell_id", "latitude", "longitude"))
 
 
 @query("cells", ", v as (select distinct latitude+0.5e0 v from cells), a as (select latitude l, min(cell_id) p from cells group by 1) select v, arg_min(l, (abs(l-v), p)) nearest from v, a group by 1")

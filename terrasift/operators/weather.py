@@ -3,30 +3,53 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import WAKE_FACTOR
+from ..sources.folders import stored
 from .lookup import nearest_grid
 
 
-def dense_hours(series: DataFrame, value: str = "cf") -> DataFrame:
-    """series(cell_id, resource, ts, value) with a row for each hour of the table's span, numbered from 0; gaps are 0."""
-    span = series.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    keys = series.select("cell_id", "resource").distinct()
-    hours = span.select(F.posexplode(F.expr("sequence(first, last, interval 1 hour)")).alias("hour_index", "ts"))
-    full = keys.crossJoin(hours)  # hours is a calendar, of a year's length whatever the number of series
-    return full.join(series, ["cell_id", "resource", "ts"], "left").select("cell_id", "resource", "ts", "hour_index", F.coalesce(value, F.lit(0.0)).alias(value))
-
-
-def weather_frame(dense: DataFrame, wake: float = WAKE_FACTOR) -> DataFrame:
+#: Rows of a dense table that a task makes, about; it holds, sorts and groups these in memory.
+TASK_ROWS = 1 << 21
+
+
+def dense_hours(series: DataFrame, value: str = "cf", by: tuple[str, ...] = ("cell_id",), span_of: DataFrame | None = None) -> DataFrame:
+    """series(cell_id, resource, ts, value) with a row for each hour of the table's span, numbered from 0; gaps are 0.
+
+    Given rows alone are moved: they are dealt by the columns of by, and a row makes the hours up to its series' next one
+    where it is, so that what groups the hours by these columns, or these and others, moves nothing more. As many tasks
+    are made as hours there will be need, known from one aggregate. by: columns that tell apart series, or sets of them,
+    which stay as columns. span_of: the table whose span counts, if series is a part of it.
+    """
+    of_span = (F.min("ts").alias("first"), F.max("ts").alias("last"))
+    found = series.agg(*of_span, F.approx_count_distinct(F.xxhash64("cell_id", "resource")).alias("n"))
+    row = (found if span_of is None else span_of.agg(*of_span).crossJoin(found.select("n"))).select(F.unix_micros("first"), F.unix_micros("last"), "n").first()
+    first, hours = row[0], 0 if row[0] is None else (row[1] - row[0]) // 3_600_000_000 + 1
+    tasks = max(series.sparkSession.sparkContext.defaultParallelism, -(-row[2] * hours // TASK_ROWS))
+    since = F.unix_micros("ts") - F.lit(first).cast("long")
+    known = F.col("cell_id").isNotNull() & F.col("resource").isNotNull() & (since % 3_600_000_000 == 0) & since.between(0, (hours - 1) * 3_600_000_000)
+    keys = list(dict.fromkeys((*by, "cell_id", "resource")))
+    # hours that aren't in the calendar, and those of series without a name, count as -1: they make gaps alone
+    rows = series.select(*keys, F.coalesce(F.col(value), F.lit(0.0)).alias(value), F.when(known, since / 3_600_000_000).otherwise(-1).cast("int").alias("at"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    start, end = F.when(F.lag("at").over(order).isNull(), 0).otherwise(F.col("at")), F.coalesce(F.lead("at").over(order), F.lit(hours)) - 1
+    ends = rows.repartition(tasks, *by).select("*", start.alias("start"), F.greatest(end, "at").alias("end"))
+    made = ends.where("end >= start and end >= 0").select(*keys, value, "at", F.explode(F.sequence(F.greatest("start", F.lit(0)), "end")).alias("hour_index"))
+    ts = F.timestamp_micros(F.lit(first).cast("long") + F.col("hour_index").cast("long") * 3_600_000_000).cast(series.schema["ts"].dataType).alias("ts")
+    return made.select(*keys, ts, "hour_index", F.when(F.col("hour_index") == F.col("at"), F.col(value)).otherwise(0.0).alias(value))
+
+
+def weather_frame(dense: DataFrame, wake: float = WAKE_FACTOR, key: str = "cell_id") -> DataFrame:
     """(cell_id, hour_index, solar, wind, solar_tracking, grid, ramp_dummy): wind loses its wakes; a missing tracking
     profile is that of solar."""
     of = lambda n: F.max(F.when(F.col("resource") == n, F.col("cf")))
-    wide = dense.groupBy("cell_id", "hour_index").agg(of("solar").alias("solar"), (of("wind") * wake).alias("wind"), of("solar_tracking").alias("solar_tracking"))
+    wide = dense.groupBy(key, "hour_index").agg(of("solar").alias("solar"), (of("wind") * wake).alias("wind"), of("solar_tracking").alias("solar_tracking"))
     return wide.withColumns({"solar_tracking": F.coalesce("solar_tracking", "solar"), "grid": F.lit(0.0), "ramp_dummy": F.lit(1.0)})
 
 
@@ -37,9 +60,18 @@ def site_weather(locations: DataFrame, weather: DataFrame) -> DataFrame:
     return near.join(weather.withColumnsRenamed({"latitude": "near_lat", "longitude": "near_lon"}), ["near_lat", "near_lon"])
 
 
-def location_frame(locations: DataFrame, weather: DataFrame, wake: float = WAKE_FACTOR) -> DataFrame:
-    """weather_frame of the nearest grid point of each location(cell_id, latitude, longitude); weather has hour_index."""
-    return weather_frame(site_weather(locations, weather), wake)
+def location_frame(locations: DataFrame, series: DataFrame, places: DataFrame, wake: float = WAKE_FACTOR) -> DataFrame:
+    """weather_frame of the nearest grid point of each location(cell_id, latitude, longitude), cell_id being its key, from
+    series(cell_id, resource, ts, cf) of cells at places(cell_id, latitude, longitude). A point has the highest values of
+    its cells; its frame is made once, and hours are moved once for a point, whatever the number of locations at it.
+    """
+    place = ["latitude", "longitude"]
+    there = places.join(series.select("cell_id"), "cell_id", "left_semi")
+    points = stored(there.select(*place).distinct().withColumn("point", F.monotonically_increasing_id()), "points")
+    own = there.join(points, place).select("cell_id", "point")
+    frame = weather_frame(dense_hours(series.join(own, "cell_id"), by=("point",), span_of=series), wake, "point")
+    near = nearest_grid(locations.select("cell_id", *place), points, tie="greatest").where("point is not null").select("cell_id", "point").distinct()
+    return near.join(frame, "point").drop("point")
 
 
 def missing_profiles(generators: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -105,46 +137,89 @@ def neighbour_distance(hours: DataFrame, columns: list[str]) -> DataFrame:
 
 def merge_neighbours(values: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges the closest neighbours, of equal ones the first, until n rows are left; both distances of a merged row are
-    renewed. A heap of distances over a linked list: entries of rows that have changed since are passed over."""
-    values, weights = values.astype(float), weights.astype(float)
-    count = len(values)
+    renewed. A heap of distances over a linked list: entries of rows that have changed since are passed over. Rows are
+    lists, as each merge is of a few numbers. Equal neighbours come first; where all of them are merged, or none but zeros
+    are equal, zeros, whose means are exact, are merged in one pass."""
+    rows, weight = values.astype(float).tolist(), weights.astype(float).tolist()
+    merges = len(rows) - max(n, 1)
+    empty = [not any(row) for row in rows]
+    again = [False, *(a and b for a, b in zip(empty, empty[1:], strict=False))]
+    equal, zeros = sum(a == b for a, b in zip(rows, rows[1:], strict=False)), sum(again)
+    if equal <= merges or equal == zeros:
+        kept, sums = [], []
+        for row, w, more in zip(rows, weight, again, strict=True):
+            if more and merges > 0:
+                sums[-1] += w
+                merges -= 1
+            else:
+                kept.append(row)
+                sums.append(w)
+        rows, weight = kept, sums
+    count = len(rows)
     following, before, changes = list(range(1, count + 1)), list(range(-1, count - 1)), [0] * count
-    distance = lambda i, j: 2 * np.abs(values[j] - values[i]).sum() * weights[i] * weights[j] / (weights[i] + weights[j])
-    entry = lambda i: (distance(i, following[i]), i, changes[i], changes[following[i]])
+
+    def entry(i: int) -> tuple[float, int, int, int]:
+        j = following[i]
+        a, b, gap = weight[i], weight[j], 0.0
+        for x, y in zip(rows[i], rows[j], strict=True):
+            gap += abs(y - x)
+        return 2 * gap * a * b / (a + b), i, changes[i], changes[j]
+
     gaps = [entry(i) for i in range(count - 1)]
     heapq.heapify(gaps)
-    alive = [True] * count
-    for _ in range(count - max(n, 1)):
+    for _ in range(merges):
         while True:
             _, i, own, other = heapq.heappop(gaps)
-            if alive[i] and changes[i] == own and changes[following[i]] == other:
+            if changes[i] == own and changes[following[i]] == other:
                 break
         j = following[i]
-        values[i] = (values[i] * weights[i] + values[j] * weights[j]) / (weights[i] + weights[j])
-        weights[i] += weights[j]
-        alive[j], following[i] = False, following[j]
+        a, b = weight[i], weight[j]
+        rows[i] = [(x * a + y * b) / (a + b) for x, y in zip(rows[i], rows[j], strict=True)]
+        weight[i] = a + b
+        after = following[i] = following[j]
         changes[i] += 1
-        changes[j] += 1
-        if following[i] < count:
-            before[following[i]] = i
+        changes[j], rows[j] = -1, None
+        if after < count:
+            before[after] = i
             heapq.heappush(gaps, entry(i))
         if before[i] >= 0:
             heapq.heappush(gaps, entry(before[i]))
-    left = np.flatnonzero(alive)
-    return values[left], weights[left]
+    left = [i for i in range(count) if changes[i] >= 0]
+    return values.astype(float)[:0] if not left else np.array([rows[i] for i in left]), np.array([weight[i] for i in left])
 
 
 def cluster_hours(hours: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """Adjacent hours of each cell clustered to a k-th of their number; sequential in a cell, parallel over cells."""
-    schema = "cell_id long, cluster int, weights double, " + ", ".join(f"{c} double" for c in columns)
+    """Adjacent hours of each cell clustered to a k-th of their number; sequential in a cell, parallel over cells.
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hour_index")
-        values, weights = merge_neighbours(pdf[columns].to_numpy(), np.ones(len(pdf)), len(pdf) // k)
-        out = pd.DataFrame(values, columns=columns)
-        out.insert(0, "weights", weights)
-        out.insert(0, "cluster", np.arange(len(out)))
-        out.insert(0, "cell_id", key[0])
-        return out
+    A window numbers the hours of a cell, which leaves them together and in order; cells are cut from batches of them, so
+    that a batch is handed over once and not once a cell.
+    """
+    schema = "cell_id long, cluster int, weights double, " + ", ".join(f"{c} double" for c in columns)
 
-    return hours.groupBy("cell_id").applyInPandas(merge, schema)
+    def clustered(cells: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if cells:
+            ids, values = zip(*cells, strict=True)
+            values, weights = zip(*(merge_neighbours(v, np.ones(len(v)), len(v) // k) for v in values), strict=True)
+            cell, cluster = [i for i, w in zip(ids, weights, strict=True) for _ in w], [np.arange(len(w), dtype=np.int32) for w in weights]
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *map(pa.array, (np.concatenate(cluster), np.concatenate(weights), *np.concatenate(values).T))], ["cell_id", "cluster", "weights", *columns])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, seen = None, [], 0
+        for batch in batches:
+            place, ids = batch.column("place").to_numpy(), batch.column("cell_id")
+            if np.any((place != 1) & (place != np.concatenate([[seen], place[:-1]]) + 1)):
+                raise ValueError("hours aren't in order")
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            starts, done = np.flatnonzero(place == 1).tolist(), []
+            if head := starts[0] if starts else len(place):
+                parts.append(values[:head])
+            for begin, end in zip(starts, [*starts[1:], len(place)], strict=False):
+                if parts:
+                    done.append((last, np.concatenate(parts)))
+                last, parts = ids[begin].as_py(), [values[begin:end]]
+            seen = place[-1] if len(place) else seen
+            yield from clustered(done)
+        yield from clustered([(last, np.concatenate(parts))] if parts else [])
+
+    place = F.row_number().over(Window.partitionBy("cell_id").orderBy("hour_index"))
+    return hours.select("cell_id", place.alias("place"), *columns).mapInArrow(merge, schema)

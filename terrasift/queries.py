@@ -356,13 +356,13 @@ def axis_step(bathymetry: DataFrame) -> DataFrame:
 
 @query("weather")
 def adjacent_cluster(rows: DataFrame) -> DataFrame:
-    frame = weather.weather_frame(weather.dense_hours(rows)).na.fill(0.0)
+    frame = weather.weather_frame(weather.dense_hours(rows)).na.fill(0.0, ["solar", "wind"])
     return weather.cluster_hours(frame, ["solar", "wind"], 6)
 
 
 @query("weather", f"{_FRAME}, o as (select cell_id, hour_index, abs(lead(coalesce(solar,0e0)) over p - coalesce(solar,0e0)) + abs(lead(coalesce(wind,0e0)) over p - coalesce(wind,0e0)) gap from frame window p as (partition by cell_id order by hour_index)) select cell_id, hour_index, round(gap,9) distance from o", digits=9)
 def neighbour_distance(rows: DataFrame) -> DataFrame:
-    frame = weather.weather_frame(weather.dense_hours(rows)).na.fill(0.0).withColumn("weights", F.lit(1.0))
+    frame = weather.weather_frame(weather.dense_hours(rows)).na.fill(0.0, ["solar", "wind"]).withColumn("weights", F.lit(1.0))
     return weather.neighbour_distance(frame, ["solar", "wind"]).select("cell_id", "hour_index", "distance")
 
 

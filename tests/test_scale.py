@@ -1,6 +1,7 @@
 """What holds when one key has most of the rows, or files are many: same rows as by force, and plans that say how."""
 
 import collections
+import datetime
 import json
 import random
 import re
@@ -8,6 +9,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrasift.fixtures import load
@@ -262,5 +264,60 @@ def test_adjacent_cluster_query_by_force(spark, data):
     assert all(sum(x[1] for x in rows) == len(hours[c]) for c, rows in got.items())
 
 
+def test_hours_of_a_series_are_made_where_it_is(spark, data):
+    """Rows alone are shuffled: frames, blocks, windows and clusters move no hour, and tasks follow the hours."""
+    rows = load(spark, data, "weather")
+    dense = weather.dense_hours(rows)
+    given = plan(rows).count("Exchange ") + 1
+    frame = weather.weather_frame(dense)
+    order = Window.partitionBy("cell_id").orderBy("hour_index")
+    for df in (dense, frame, weather.block_mean(dense, 7), weather.block_mean_strict(dense, 6), frame.withColumn("n", F.lead("wind").over(order)), weather.cluster_hours(frame.na.fill(0.0, ["solar", "wind"]), ["solar", "wind"], 6)):
+        assert plan(df).count("Exchange ") <= given, plan(df)
+    for name in ("weather_frame", "block_mean", "strict_block_mean", "block_sum_weights", "neighbour_distance", "adjacent_cluster", "backstop_energy", "capacity_sweep"):
+        assert plan(QUERIES[name](spark, data)).count("Exchange ") <= given, name
+    few, weather.TASK_ROWS = weather.TASK_ROWS, 1000
+    try:
+        assert weather.dense_hours(rows).rdd.getNumPartitions() > 4
+    finally:
+        weather.TASK_ROWS = few
+
+
+def test_odd_hours_and_series(spark):
+    """Nulls, hours beside the calendar, rows that come twice, a series without any hour: as a join with the calendar has them."""
+    hour = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    rows = [(1, "wind", hour(2), 0.5), (1, "wind", hour(2), 0.7), (1, "wind", hour(3, 30), 0.9), (1, "wind", None, 0.8), (1, "solar", hour(5), None), (1, "solar", hour(0), 0.1), (2, "wind", None, 0.3), (None, "wind", hour(1), 0.4), (3, None, hour(1), 0.4)]
+    series = spark.createDataFrame(rows, "cell_id long, resource string, ts timestamp, cf double")
+    span = series.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    hours = span.select(F.posexplode(F.expr("sequence(first, last, interval 1 hour)")).alias("hour_index", "ts"))
+    want = series.select("cell_id", "resource").distinct().crossJoin(hours).join(series, ["cell_id", "resource", "ts"], "left").select("cell_id", "resource", "ts", "hour_index", F.coalesce("cf", F.lit(0.0)).alias("cf"))
+    assert collections.Counter(weather.dense_hours(series).collect()) == collections.Counter(want.collect()) and want.count() == 5 * 6 + 1
+    assert weather.dense_hours(series.limit(0)).count() == 0
+
+
+def test_frames_of_places_with_several_cells(spark):
+    """Locations at one point, and cells at one place: each hour's highest value, from a frame made once."""
+    hour = lambda h: datetime.datetime(2024, 1, 1, h)
+    series = spark.createDataFrame([(1, "wind", hour(0), -0.5), (2, "wind", hour(1), 0.4), (3, "solar", hour(2), 0.2), (4, "wind", hour(3), 0.6)], "cell_id long, resource string, ts timestamp, cf double")
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 10.0, 10.0)], "cell_id long, latitude double, longitude double")
+    sites = spark.createDataFrame([(7, 1.0, 1.0), (8, -1.0, 0.0), (9, 9.0, 9.0), (10, 1.0, 9.0)], "cell_id long, latitude double, longitude double")
+    got = {(x.cell_id, x.hour_index): (x.solar, x.wind) for x in weather.location_frame(sites, series, places, wake=1.0).collect()}
+    point = {0: (None, 0.0), 1: (None, 0.4), 2: (None, 0.0), 3: (None, 0.0)}
+    assert got == {**{(c, h): v for c in (7, 8) for h, v in point.items()}, **{(9, h): (0.2 if h == 2 else 0.0, None) for h in range(4)}}
+
+
+def test_merging_zeros_at_once_changes_nothing():
+    """Many equal rows, with and without zeros, against distances of all neighbours anew for every merge."""
+    from test_operators import merged_by_force
+
+    r = np.random.Generator(np.random.PCG64(7))
+    for k in range(60):
+        values = np.round(r.random((40, 1 + k % 3)), 1 if k % 2 else 9) * (r.random((40, 1)) < 0.4)
+        for n in (3, 12, 20, 35):
+            want = merged_by_force(values, np.ones(40), n)
+            got, weights = weather.merge_neighbours(values, np.ones(40), n)
+            if k % 2 == 0:  # rounded ones have ties that rounding of sums decides
+                assert weights.tolist() == [w for _, w in want] and np.allclose(got, [v for v, _ in want])
+
+
 def test_geojson_feed_is_json(spark, data):
     assert all(json.loads(x.geojson)["type"] == "Polygon" for x in QUERIES["cell_geojson_feed"](spark, data).limit(20).collect())
