@@ -33,9 +33,12 @@ def battery_violations(capacity: DataFrame, efficiency: float, cycles: float | N
 
 
 def bus_balance(dispatch: DataFrame, ports: DataFrame, load: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(cell_id, ts, bus, net, load): buses where the flows through ports(name, bus, coef) don't add up to the load."""
-    net = dispatch.join(ports, "name").groupBy("cell_id", "ts", "bus").agg(F.sum(F.col("p") * F.col("coef")).alias("net"))
-    both = net.join(load, "bus", "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
+    """(cell_id, ts, bus, net, load): buses where the flows through ports(name, bus, coef) don't add up to the load.
+
+    ports and load are a plant's, whose few names would be as many tasks in a shuffle of the dispatch, so they are broadcast.
+    """
+    net = dispatch.join(F.broadcast(ports), "name").groupBy("cell_id", "ts", "bus").agg(F.sum(F.col("p") * F.col("coef")).alias("net"))
+    both = net.join(F.broadcast(load), "bus", "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
     return both.where(F.abs(F.col("net") - F.col("load")) > tolerance).select("cell_id", "ts", "bus", "net", "load")
 
 
