@@ -42,6 +42,9 @@ LAND = (
     "water_cost_per_t",
 )
 
+#: Rows of a series that a task makes a wide table of, about; it holds and sorts these in memory.
+TASK_ROWS = 1 << 20
+
 
 def combine_segments(rows: DataFrame, keys: tuple[str, ...] = ("latitude", "longitude")) -> DataFrame:
     """The last row of each place, by file_rank and then row_no."""
@@ -125,13 +128,18 @@ def pivoted(series: DataFrame, value: str, scale: float = 1.0, most: int = 256)
     """(cell_id, ts, a column for each name) of series(cell_id, name, ts, value): sums, times scale.
 
     Names are found by one aggregate, whose result is as long as there are components in a plant; more than most are an
-    error, as that is no table to read. A name without a row at a snapshot is null there.
+    error, as that is no table to read. A name without a row at a snapshot is null there. The aggregate counts the rows too:
+    as many tasks are made as they need.
     """
-    found = series.where(F.col("name").isNotNull()).select("name").distinct().limit(most + 1).collect()
-    if len(found) > most:
+    found = series.groupBy("name").count().orderBy("name").limit(most + 2).collect()
+    names, rows = [r.name for r in found if r.name is not None], sum(r["count"] for r in found)
+    if len(names) > most:
         raise ValueError(f"more than {most} components")
-    sums = [(F.sum(F.when(F.col("name") == n, F.col(value))) * scale).alias(n) for n in sorted(r.name for r in found)]
-    return series.groupBy("cell_id", "ts").agg(*sums) if sums else series.select("cell_id", "ts").limit(0)
+    if not names:
+        return series.select("cell_id", "ts").limit(0)
+    sums = [(F.sum(F.when(F.col("name") == n, F.col(value))) * scale).alias(n) for n in sorted(names)]
+    tasks = max(series.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return series.repartition(tasks, "cell_id", "ts").groupBy("cell_id", "ts").agg(*sums)
 
 
 def generation(dispatch: DataFrame, generators: DataFrame, scale: float = 1.0) -> DataFrame:

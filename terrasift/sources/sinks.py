@@ -99,23 +99,22 @@ def weather_labels(weather: DataFrame) -> DataFrame:
 
 
 def _sheet_rows(name: str, df: DataFrame) -> DataFrame:
-    """A table as rows (sheet, cell_id, name, ts, field, number, text), one for each value; a table of keys alone has one for each row."""
-    kinds = dict(df.dtypes)
-    fields = [c for c in df.columns if c not in SHEET_KEYS]
+    """A table as rows (sheet, cell_id, name, ts, numbers, texts), one for each of its own, with the values of its columns in order."""
+    of = lambda texts: F.array(*(F.col(f"`{c}`").cast("string" if texts else "double") for c, t in df.dtypes if c not in SHEET_KEYS and (t == "string") == texts))
     keys = [(F.col(k) if k in df.columns else F.lit(None)).cast(t).alias(k) for k, t in zip(SHEET_KEYS, ("long", "string", "timestamp"), strict=True)]
-    value = lambda c: F.struct(F.lit(c).alias("field"), (F.lit(None) if kinds[c] == "string" else F.col(c)).cast("double").alias("number"), (F.col(c) if kinds[c] == "string" else F.lit(None)).cast("string").alias("text"))
-    return df.select(F.lit(name).alias("sheet"), *keys, F.inline(F.array(*map(value, fields))))
+    return df.select(F.lit(name).alias("sheet"), *keys, of(False).cast("array<double>").alias("numbers"), of(True).cast("array<string>").alias("texts"), F.lit(None).cast("string").alias("columns"))
 
 
 def write_sheets(tables: dict[str, DataFrame], path: str) -> None:
     """All tables of a detailed result in one job, as one table with a folder for each sheet; read_sheet gives them back.
 
-    A table's rows are told apart by cell_id, name and ts, as far as it has them; its other columns are numbers or
-    strings, and may be any.
+    A row stays a row, whatever it has in cell_id, name and ts; a table's other columns are numbers or strings, and may be
+    any. One more row of each sheet has its schema in columns.
     """
     out = None
     for name, df in tables.items():
-        rows = _sheet_rows(name, df)
+        head = df.sparkSession.range(0, 1, 1, 1).select(F.lit(name).alias("sheet"), F.lit(df.schema.json()).alias("columns"))
+        rows = _sheet_rows(name, df).unionByName(head, allowMissingColumns=True)
         out = rows if out is None else out.unionByName(rows)
     out.write.mode("overwrite").partitionBy("sheet").parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.errors import AnalysisException
@@ -184,20 +185,27 @@ def read_bands(spark: SparkSession, path: str, low: float | None = None, high: f
 
 
 def read_sheets(spark: SparkSession, path: str, names: list[str] | None = None, most: int = 4096) -> dict[str, DataFrame]:
-    """The sheets of a detailed result that write_sheets wrote, all or those named: cell_id, name and ts, as far as a sheet
-    has them, and its columns. One aggregate finds the columns of all; more than most of them are an error."""
+    """The sheets of a detailed result that write_sheets wrote, all or those named, that have rows: their columns, numbers as
+    doubles. One aggregate finds the columns of all; more than most of them are an error."""
     rows = spark.read.parquet(path)
     rows = rows if names is None else rows.where(F.col("sheet").isin(*names))
-    counts = [F.count(k).alias(k) for k in S.SHEET_KEYS]
-    listed = rows.groupBy("sheet", "field").agg(F.count("text").alias("texts"), *counts).limit(most + 1).collect()
-    if len(listed) > most:
+    listed = rows.select("sheet", "columns").distinct().collect()
+    filled = {r.sheet for r in listed if r.columns is None}
+    schemas = {r.sheet: T.StructType.fromJson(json.loads(r.columns)) for r in listed if r.columns is not None and r.sheet in filled}
+    if sum(map(len, schemas.values())) > most:
         raise ValueError(f"more than {most} columns")
     sheets: dict[str, DataFrame] = {}
-    for sheet in sorted({r.sheet for r in listed}):
-        own = sorted((r for r in listed if r.sheet == sheet), key=lambda r: r.field)
-        columns = [F.first(F.when(F.col("field") == r.field, F.col("text" if r.texts else "number")), ignorenulls=True).alias(r.field) for r in own]
-        wide = rows.where(F.col("sheet") == sheet).groupBy(*S.SHEET_KEYS).agg(*columns)
-        sheets[sheet] = wide.drop(*(k for k in S.SHEET_KEYS if not any(r[k] for r in own)))
+    for sheet, schema in sorted(schemas.items()):
+        place = {"numbers": 0, "texts": 0}
+        columns = []
+        for f in schema:
+            if f.name in S.SHEET_KEYS:
+                columns.append(F.col(f.name))
+                continue
+            kind = "texts" if isinstance(f.dataType, T.StringType) else "numbers"
+            columns.append(F.get(kind, F.lit(place[kind])).alias(f.name))
+            place[kind] += 1
+        sheets[sheet] = rows.where((F.col("sheet") == sheet) & F.col("columns").isNull()).select(*columns)
     return sheets
 
 

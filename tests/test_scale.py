@@ -244,6 +244,24 @@ def test_sheets_of_any_components(spark, tmp_path):
         tables.read_sheet(spark, str(tmp_path / "sheets"), "none")
 
 
+def test_a_sheet_s_row_stays_a_row(spark, tmp_path, monkeypatch):
+    """Rows alike in their keys, or without any, all come back, and reading groups nothing; a wide table is many tasks."""
+    same = spark.createDataFrame([(1, "a", 1.0, "x", 3), (1, "a", 1.0, "x", 3), (None, None, None, None, 4)], "cell_id long, name string, v double, t string, n int")
+    bare = spark.createDataFrame([(1.0,), (2.0,), (None,)], "`a.b` double")
+    sinks.write_sheets({"same": same, "bare": bare, "none": bare.limit(0)}, str(tmp_path / "sheets"))
+    assert spark.read.parquet(str(tmp_path / "sheets")).where("columns is null").count() == 6
+    back = tables.read_sheets(spark, str(tmp_path / "sheets"))
+    assert back.keys() == {"same", "bare"} and back["same"].columns == same.columns
+    for name, df in (("same", same), ("bare", bare)):
+        assert sorted(map(repr, map(tuple, back[name].collect()))) == sorted(repr(tuple(float(x) if c == "n" else x for c, x in zip(df.columns, r))) for r in df.collect())
+        assert "Exchange" not in plan(back[name])
+    with pytest.raises(ValueError, match="more than 3 columns"):
+        tables.read_sheets(spark, str(tmp_path / "sheets"), most=3)
+    monkeypatch.setattr(results, "TASK_ROWS", 50)
+    series = spark.range(1000).select((F.col("id") % 200).alias("cell_id"), F.concat(F.lit("n"), (F.col("id") % 5).cast("string")).alias("name"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(1.0).alias("p"))
+    assert results.pivoted(series, "p").rdd.getNumPartitions() == 20
+
+
 def test_adjacent_cluster_query_by_force(spark, data):
     """All cells of the registered query against distances of all neighbours anew for every merge."""
     from test_operators import merged_by_force
