@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,9 +28,19 @@ def _read(spark: SparkSession, path: str | list[str], schema: T.StructType | Non
 
 
 def in_file_order(df: DataFrame, name: str) -> DataFrame:
-    """df, as it was read, with a column to order by: file, place of the block in it, then row."""
-    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select("*", row.alias(name))
+    """df, as it was read, with a number to order by: file by name, place of the block in it, then row.
+
+    Aggregates keep a number in place, where they would have to sort all rows for a struct with the file's name. The names
+    of the files are broadcast, in both ways to write a path without a host.
+    """
+    files = sorted(df.inputFiles())
+    names = dict(pair for k, f in enumerate(files) for pair in ((f, k), (re.sub(r"^([^:/]+):///", r"\1:/", f), k)))
+    ranks = df.sparkSession.createDataFrame(list(names.items()), "__file string, __rank long")
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    rank = F.coalesce("__rank", F.raise_error(F.concat(F.lit("not among the files: "), "__file")).cast("long"))
+    # files up to 4 TB, a row's number in its task below 2 ** 63; more than a million files are an error
+    place = (rank * F.lit(1 << 42) + F.col("__block")).cast("decimal(20, 0)") * F.lit(Decimal(1 << 63)) + F.col("__row")
+    return rows.join(F.broadcast(ranks), "__file", "left").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -262,6 +262,29 @@ def test_a_sheet_s_row_stays_a_row(spark, tmp_path, monkeypatch):
     assert results.pivoted(series, "p").rdd.getNumPartitions() == 20
 
 
+def test_file_order_is_a_number(spark, tmp_path):
+    """Rows of several files, of which one is cut in blocks, come in order; the last value is found without sorting rows."""
+    from terrasift.operators import costs
+
+    folder = tmp_path / "a b%20c.csv"
+    folder.mkdir()
+    for k, n in enumerate((3, 4000, 1)):
+        (folder / f"part-{k}.csv").write_text("lat,lon,tech,interest_rate,build_cost_multiplier,at\n" + "".join(f"{r % 2}.0,0.0,{'HB' if r % 3 else 'wind'},{r / 8 if k < 2 else ''},{k}.5,{k * 10000 + r}\n" for r in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        read = tables.read_spatial_costs(spark, str(folder))
+        assert read.rdd.getNumPartitions() > 4 and dict(read.dtypes)["file_order"] == "decimal(38,0)"
+        assert [int(r.at) for r in read.orderBy("file_order").select("at").collect()] == [0, 1, 2, *range(10000, 14000), 20000]
+        last = costs.tech_overrides(read.withColumn("cell_id", F.col("lat")))
+        got = {(r.cell_id, r.tech): (r.interest_rate, r.build_cost_multiplier) for r in last.collect()}
+        text = plan(last)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(0.0, "wind"): (3996 / 8, 2.5), (1.0, "wind"): (3999 / 8, 1.5), (0.0, "ammonia_synthesis"): (3998 / 8, 1.5), (1.0, "ammonia_synthesis"): (3997 / 8, 1.5)}
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_adjacent_cluster_query_by_force(spark, data):
     """All cells of the registered query against distances of all neighbours anew for every merge."""
     from test_operators import merged_by_force
