@@ -9,6 +9,7 @@ from ..functions.costs import annual_cost, depth_multiplier, effective_depth, st
 from ..functions.names import normalize_name
 from ..functions.recipes import differing_keys, extra_keys, first_efficiency, overall_efficiency, recipe_per_output, second_efficiency
 from ..schemas import DEFAULT_LIFETIME, DEFAULT_OM, DEFAULT_RATE, DEFAULT_WATER_M3_PER_T, RATE_ALIASES
+from ..sources.folders import stored
 from .lookup import merged_within, place_key
 
 
@@ -127,6 +128,16 @@ def location_overrides(spatial: DataFrame) -> DataFrame:
     return spatial.groupBy("cell_id").agg(last("land_cost_usd_per_km2_year"), last("water_cost_usd_per_m3"))
 
 
+def both_overrides(spatial: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tech_overrides and location_overrides of a table that is read once: what a cell's technologies have last, with its
+    order, is stored, and a cell's own values are the last of these."""
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("file_order"))
+    own, whole = ("interest_rate", "build_cost_multiplier"), {"land_cost_usd_per_km2_year": "land_order", "water_cost_usd_per_m3": "water_order"}
+    values = [F.max_by(c, at(c)).alias(c) for c in (*own, *whole)]
+    last = stored(spatial.groupBy("cell_id", "tech").agg(*values, *(F.max(at(c)).alias(o) for c, o in whole.items())), "overrides")
+    return last.select("cell_id", "tech", *own), last.groupBy("cell_id").agg(*(F.max_by(c, o).alias(c) for c, o in whole.items()))
+
+
 def place_overrides(cells: DataFrame, spatial: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(cell_id, tech, interest_rate, build_cost_multiplier) for cells(cell_id, latitude, longitude): the last values in file
     order at the cell's place, to four decimals; with a tolerance, cells without any take those of rows so near."""

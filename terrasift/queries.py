@@ -490,15 +490,15 @@ _SPLIT = f"""t as ({_TECH_LAST}), s as (select cell_id, techs.*, optimum, optimu
  split as (select cell_id, b/objective*100e0 build_cost_pct, tt/objective*100e0 tech_cost_pct, m/objective*100e0 om_cost_pct, i/objective*100e0 interest_pct, applied build_cost_multiplier_applied, objective total_cost from q where objective>0)"""
 
 
-def _splits(capacity: DataFrame, techs: DataFrame, spatial: DataFrame) -> DataFrame:
+def _splits(capacity: DataFrame, techs: DataFrame, overrides: DataFrame) -> DataFrame:
     known = capacity.join(techs.select(F.col("tech").alias("name")), "name", "left_semi")
     objective = known.where("optimum > 0").groupBy("cell_id").agg((F.sum("optimum") * 1e5).alias("objective"))
-    return economics.headline_splits(capacity, techs, costs.tech_overrides(spatial), objective).join(objective.withColumnRenamed("objective", "total_cost"), "cell_id")
+    return economics.headline_splits(capacity, techs, overrides, objective).join(objective.withColumnRenamed("objective", "total_cost"), "cell_id")
 
 
 @query("capacity techs spatial", f", {_SPLIT} select cell_id, round(columns(* exclude (cell_id)),4) from split")
 def headline_splits(capacity: DataFrame, techs: DataFrame, spatial: DataFrame) -> DataFrame:
-    return _splits(capacity, techs, spatial)
+    return _splits(capacity, techs, costs.tech_overrides(spatial))
 
 
 @query(
@@ -506,7 +506,8 @@ def headline_splits(capacity: DataFrame, techs: DataFrame, spatial: DataFrame) -
     f", {_SPLIT}, l as ({_CELL_LAST}), z as (select split.*, land_cost_usd_per_km2_year*10e0/1e6 land_cost_per_t, water_cost_usd_per_m3*1.5e0 water_cost_per_t from split left join l using (cell_id)), y as (select *, total_cost+coalesce(water_cost_per_t,0e0)*1e6+coalesce(land_cost_per_t,0e0)*1e6 every from z)"
     " select cell_id, round(water_cost_per_t*1e6/every*100e0,6) water_cost_pct, round(land_cost_per_t*1e6/every*100e0,6) land_cost_pct, round(build_cost_pct*total_cost/every,6) build_cost_pct, round(tech_cost_pct*total_cost/every,6) tech_cost_pct, round(om_cost_pct*total_cost/every,6) om_cost_pct, round(interest_pct*total_cost/every,6) interest_pct, round(every/1e6,6) lcoa_all_in_per_t from y", digits=6)
 def rescaled_splits(capacity: DataFrame, techs: DataFrame, spatial: DataFrame, cells: DataFrame) -> DataFrame:
-    rows = _splits(capacity, techs, spatial).join(costs.location_overrides(spatial), "cell_id", "left")
+    overrides, places = costs.both_overrides(spatial)
+    rows = _splits(capacity, techs, overrides).join(places, "cell_id", "left")
     rows = rows.withColumns({"annual_ammonia_production_t": F.lit(1e6), "land_used_km2": F.lit(10.0), "water_cost_per_t": F.col("water_cost_usd_per_m3") * 1.5})
     rows = economics.rescale_splits(economics.land_cost_per_t(rows))
     return rows.select("cell_id", "water_cost_pct", "land_cost_pct", "build_cost_pct", "tech_cost_pct", "om_cost_pct", "interest_pct", "lcoa_all_in_per_t")
@@ -630,7 +631,7 @@ def country_locations(cells: DataFrame, edges: DataFrame) -> DataFrame:
 def assembled_results(capacity: DataFrame, techs: DataFrame, spatial: DataFrame, cells: DataFrame) -> DataFrame:
     wind = capacity.where("name = 'wind'").groupBy("cell_id").agg(F.sum("optimum").alias("wind_mw"))
     places = cells.select("cell_id", "latitude", "longitude", "country", F.col("onshore_land_pct").alias("land_onshore_pct"))
-    splits = _splits(capacity, techs, spatial).select("cell_id", "total_cost", "build_cost_pct")
+    splits = _splits(capacity, techs, costs.tech_overrides(spatial)).select("cell_id", "total_cost", "build_cost_pct")
     return results.assemble([splits, wind], places)
 
 

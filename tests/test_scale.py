@@ -285,6 +285,19 @@ def test_file_order_is_a_number(spark, tmp_path):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
+def test_both_overrides_read_their_table_once(spark, data):
+    """Same rows as by two aggregates of the table, with nulls and a cell without a technology; the query's own plan doesn't read it again."""
+    from terrasift.operators import costs
+
+    r = random.Random(9)
+    some = lambda: r.choice((None, r.randrange(100) / 8))
+    rows = [(r.randrange(12), r.choice(("wind", "solar", None)), some(), some(), some(), some(), k) for k in r.sample(range(10**12), 300)] + [(99, None, None, None, None, 2.0, 5)]
+    spatial = spark.createDataFrame(rows, "cell_id long, tech string, interest_rate double, build_cost_multiplier double, land_cost_usd_per_km2_year double, water_cost_usd_per_m3 double, file_order long")
+    for got, want in zip(costs.both_overrides(spatial), (costs.tech_overrides(spatial), costs.location_overrides(spatial)), strict=True):
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "l_tax" in plan(QUERIES["headline_splits"](spark, data)) and "l_tax" not in plan(QUERIES["rescaled_splits"](spark, data))
+
+
 def test_adjacent_cluster_query_by_force(spark, data):
     """All cells of the registered query against distances of all neighbours anew for every merge."""
     from test_operators import merged_by_force
