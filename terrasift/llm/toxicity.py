@@ -27,8 +27,10 @@ from .words import ALNUM, Words, distinct_by_row, mix, text_chunks
 EXAMPLES, NEIGHBOURS, CALIBRATION = 4096, 9, 2048
 #: Chi-square that a term reaches by chance, and the weight of terms without a tie to the label; it grows to 1 with the tie.
 NOISE, LEAST_TIE = 10.0, 0.005
-#: Terms whose lists are kept by block, examples of a block, blocks that a query reads first, and queries of one step.
-HEAD, BLOCK, FIRST, STEP = 1024, 64, 4, 64
+#: Terms whose lists are kept by block, examples of a block, and blocks that a query reads first.
+HEAD, BLOCK, FIRST = 1024, 64, 4
+#: Queries of one step, which read a block together, and terms that they have together, give or take those of one text.
+STEP, HELD = 256, 1 << 20
 #: What rounding may make a cosine wrong by.
 SLACK = 1e-12
 #: Beginnings of longer words, in bytes, that are terms as well: inflected words share them.
@@ -64,26 +66,39 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(ones), pa.array(every)], ["term", "ones", "every"])
 
 
-def _high_bits(terms: np.ndarray) -> np.ndarray:
-    """True for the high 20 bits that any of the terms has; most hashes are sorted out by it."""
-    table = np.zeros(1 << 20, dtype=bool)
-    table[(terms >> np.uint64(44)).astype(np.int64)] = True
-    return table
+def _by_high_bits(terms: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """(shift, first): the sorted terms whose bits from shift on are i are terms[first[i]:first[i + 1]], one or none as a rule."""
+    bits = max(20, len(terms).bit_length())
+    shift = np.uint64(64 - bits)
+    count = np.bincount((terms >> shift).astype(np.int64), minlength=1 << bits)
+    return shift, np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+
+
+def _look_up(hashes: np.ndarray, terms: np.ndarray, shift: np.uint64, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, term numbers) of the hashes that are terms, in no order."""
+    high = (hashes >> shift).astype(np.int64)
+    at, end = first[high], first[high + 1]
+    hit = np.flatnonzero(at < end)
+    at, end = at[hit], end[hit]
+    places, numbers = [], []
+    while len(hit):
+        same = terms[at] == hashes[hit]
+        places.append(hit[same])
+        numbers.append(at[same])
+        more = ~same & (at + 1 < end)
+        hit, at, end = hit[more], at[more] + 1, end[more]
+    return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int64), *numbers])
 
 
 def _vectors(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, term numbers, counts) of the texts that have any of the sorted terms."""
-    table = _high_bits(terms)
+    shift, first = _by_high_bits(terms)
     for low, _, data, offsets in text_chunks(column):
         words = Words(data, offsets, ALNUM, lower=True)
         if not len(words.start) or not len(terms):
             continue
         hashes, rows = _hashes(words)
-        at = table[(hashes >> np.uint64(44)).astype(np.int64)]
-        hit = np.flatnonzero(at)
-        at = np.minimum(np.searchsorted(terms, hashes[hit]), len(terms) - 1)
-        same = terms[at] == hashes[hit]
-        hit, at = hit[same], at[same]
+        hit, at = _look_up(hashes, terms, shift, first)
         if not len(hit):
             continue
         code, count = np.unique(rows[hit] * len(terms) + at, return_counts=True)
@@ -177,11 +192,12 @@ class Examples:
             row = self.head[term]
             asked[i, row[row >= 0]] = weight[row >= 0]
             term, weight = term[row < 0], weight[row < 0]
-            low, high = self.at[term], self.at[term + 1]
-            cuts = [slice(x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
-            if cuts:
-                part = np.concatenate([self.part[c] for c in cuts]) * np.repeat(weight, high - low)
-                sums[i] = np.bincount(np.concatenate([self.owner[c] for c in cuts]), weights=part, minlength=width)
+            low, size = self.at[term], self.at[term + 1] - self.at[term]
+            places = np.repeat(low - (np.cumsum(size) - size), size)
+            places += np.arange(len(places))  # the lists, one behind the other
+            part = self.part[places]
+            part *= np.repeat(weight, size)
+            sums[i] = np.bincount(self.owner[places], weights=part, minlength=width)
         by_block = sums.reshape(len(queries), self.blocks, BLOCK)
         bound = asked @ self.most + by_block.max(axis=2) if self.blocks else np.zeros((len(queries), 0))
         read = np.zeros(bound.shape, dtype=bool)
@@ -225,13 +241,14 @@ class Examples:
 
     def search(self, column: pa.Array, own: list[int | None] | None = None) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
         """(row, vote, ids, cosines) of the texts that have any term."""
-        rows, vectors = [], []
+        rows, vectors, held = [], [], 0
         for row, term, count in _vectors(column, self.terms):
             rows.append(row)
             vectors.append((term, count))
-            if len(rows) == STEP:
+            held += len(term)
+            if len(rows) == STEP or held >= HELD:
                 yield from ((r, *v) for r, v in zip(rows, self.votes(vectors, own and [own[r] for r in rows]), strict=True))
-                rows, vectors = [], []
+                rows, vectors, held = [], [], 0
         yield from ((r, *v) for r, v in zip(rows, self.votes(vectors, own and [own[r] for r in rows]), strict=True))
 
     def scores(self, votes: np.ndarray) -> np.ndarray:
