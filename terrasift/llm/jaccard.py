@@ -12,25 +12,31 @@ The method, exact from end to end:
    ones fall into classes, where every combination of k = 2 is a signature, so a class of c frequent shingles
    survives c - 2 misses and the prefix is extended until the survivals exceed the misses a partner can cause.
 4. Classes that share a signature form a group with all that they reach that way; groups are verified with exact
-   intersection counts. A group above a size is cut in blocks: each block is verified by itself, then one set of every
-   component of a block is compared with all other blocks, and only where that leaves several larger components are
-   their blocks compared in pairs.
+   intersection counts. A group above a size is cut in blocks of sets about as large: each block is verified by itself,
+   then one set of every component of a block meets the other blocks of its size, and only where that leaves several
+   larger components do the rest of their sets. Sets first meet as bitmaps of two to four bits a shingle, which bound
+   what two sets can share; only where a set may have a partner in a block do its shingles go there.
 
 A shingle that very many classes have in their prefix is told by counting in each batch; its entries need no counting
-and are dealt by class. Shingles are 64-bit hashes; sets are told apart by 128 bits.
+and are dealt by class. Shingles are 64-bit hashes; sets are told apart by 128 bits, of which prefixes take the first 64
+along if these differ for all classes. Of texts nothing is moved but the shingles of those that a group asks for, which a
+bitmap of bounded size tells from most others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import contract
+from .decontamination import _bitmap
 from .durable import checkpoint, small_batches, spare_name
 from .words import NOT_SPACE, Words, mix, shingle_sets, text_chunks
 
@@ -40,6 +46,8 @@ FREQUENT = 64
 EXTENSION = 8
 #: Shingles of sets whose prefixes make one bucket, and shingles that one block of a group may hold.
 BUCKET_SHINGLES, BLOCK_SHINGLES = 4_000_000, 100_000
+#: Bytes of bitmaps that make one row, and words of them that are compared at once.
+PACK_BYTES, STEP_WORDS = 16_384, 1_000_000
 #: A shingle is hot with at least one in HOT_SHARE of all prefix entries, and at least HOT_LEAST of them.
 HOT_SHARE, HOT_LEAST = 4096, 1024
 
@@ -66,6 +74,10 @@ class _Rule:
         own = n.bit_length() - 1
         return [own] + [own + 1] * (n * self.den // self.num >= 2 << own)
 
+    def size_step(self) -> float:
+        """Partners of a set lie in its own step of sizes or in a neighbouring one, if each is so many times the last."""
+        return max(2**0.5, 1.001 * self.den / self.num)
+
     def token_classes(self, band: int) -> int:
         """Classes of frequent shingles in a band, few enough that every prefix can be extended to full coverage."""
         smallest = _ceil(self.num << band, self.den)
@@ -109,7 +121,13 @@ def _profile(width: int, rule: _Rule):
     return run
 
 
-def _prefixes(width: int, rule: _Rule, buckets: int, hot: np.ndarray):
+def _name_words(classes: DataFrame) -> int:
+    """Words of 64 bits of their hashes that tell the classes apart."""
+    first, every = classes.agg(F.count_distinct(F.substring("node", 1, 8)), F.count("*")).first()
+    return 1 if first == every else 2
+
+
+def _prefixes(width: int, rule: _Rule, buckets: int, hot: np.ndarray, name_words: int):
     """Rows of one bucket and one batch: the prefix shingles in it of the batch's classes, each class once. Hot shingles
     lie in buckets of their own, dealt by class."""
 
@@ -121,7 +139,7 @@ def _prefixes(width: int, rule: _Rule, buckets: int, hot: np.ndarray):
                     found[node] = values[: rule.prefix(len(values))].copy()
             if not found:
                 continue
-            ids = np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2)
+            ids = np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2)[:, :name_words]
             tokens, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(ids)), [len(p) for p in found.values()])
             bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int32)
             if len(hot):
@@ -139,13 +157,13 @@ def _prefixes(width: int, rule: _Rule, buckets: int, hot: np.ndarray):
     return run
 
 
-def _shared(buckets: int, hot: np.ndarray, hot_count: np.ndarray):
+def _shared(buckets: int, hot: np.ndarray, hot_count: np.ndarray, name_words: int):
     """The prefix shingles of a bucket that at least two classes have, with the number of classes (of hot ones, a bound)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()])
-        node, token = np.repeat(read("nodes", np.uint64).reshape(-1, 2), read("counts", np.int32), axis=0), read("tokens", np.uint64)
-        order = np.lexsort((node[:, 1], node[:, 0], token))
+        node, token = np.repeat(read("nodes", np.uint64).reshape(-1, name_words), read("counts", np.int32), axis=0), read("tokens", np.uint64)
+        order = np.lexsort((*node.T, token))
         node, token = node[order], token[order]
         keep = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(axis=1)))
         node, token = node[keep], token[keep]
@@ -157,7 +175,7 @@ def _shared(buckets: int, hot: np.ndarray, hot_count: np.ndarray):
             frequency = np.repeat(frequency, frequency)
         keep = frequency > 1
         nodes = np.ascontiguousarray(node[keep])
-        nodes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, pa.py_buffer(nodes.tobytes())]).cast(pa.binary())
+        nodes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * name_words), len(nodes), [None, pa.py_buffer(nodes.tobytes())]).cast(pa.binary())
         return pa.table({"node": nodes, "token": token[keep].view(np.int64), "df": np.minimum(frequency[keep], 2**31 - 1).astype(np.int32)})
 
     return run
@@ -210,14 +228,17 @@ def _signature_rows(rule: _Rule):
     return run
 
 
-def _tokens(width: int):
+def _tokens(width: int, asked: Broadcast):
+    """The sets of texts whose hash the bitmap has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column("th").to_numpy().view(np.uint64) & np.uint64(64 * len(asked.value) - 1)
+            batch = batch.filter(pa.array(((asked.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)))
             found = [None] * len(batch)
             for row, values in _sets(batch, width):
                 found[row] = values.tobytes()
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.binary())], [*keep, "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(found, pa.binary())], ["id", "th", "tokens"])
 
     return run
 
@@ -288,28 +309,128 @@ def _link_rows(num: int, den: int, keys: tuple[str, ...]):
     return run
 
 
-_WITHIN = "label bigint, block int, blocks int, node bigint, part bigint, pivot boolean, single boolean, tokens binary"
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits that the bitmap of a set of n has: a power of two, with two to four bits a shingle."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """The parity of the shingles at each place; bitmaps of two sets differ in at most as many bits as the sets."""
+    places = 64 * int(bitmap_words(np.array([len(values)]))[0])
+    odd = np.bincount((values & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class _Bitmaps:
+    """Bitmaps one after the other, cut to any number of words by folding."""
+
+    def __init__(self, n: np.ndarray, flat: np.ndarray) -> None:
+        self.n, words = n, bitmap_words(n)
+        start = np.cumsum(words) - words
+        self.by_words = {}
+        for k in np.unique(words).tolist():
+            at = np.flatnonzero(words == k)
+            self.by_words[k] = (at, flat[start[at][:, None] + np.arange(k)])
+
+    def folded(self, k: int, to: int) -> np.ndarray:
+        bits = self.by_words[k][1]
+        while bits.shape[1] > to:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        return bits
+
+
+def may_link(hosts: _Bitmaps, host_part: np.ndarray, guests: _Bitmaps, guest_part: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Guests that can have a similarity of num / den or more to a host of another part; none that has one is missing."""
+    found = np.zeros(len(guests.n), dtype=bool)
+    for a, (host, _) in hosts.by_words.items():
+        for b, (guest, _) in guests.by_words.items():
+            k = min(a, b)
+            mine, theirs, step = hosts.folded(a, k), guests.folded(b, k), max(1, STEP_WORDS // (len(host) * k))
+            for low in range(0, len(guest), step):
+                some = guest[low : low + step]
+                apart = np.bitwise_count(theirs[low : low + step, None] ^ mine[None]).sum(axis=2, dtype=np.int64)
+                x, y = guests.n[some][:, None], hosts.n[host][None]
+                near = ((den + num) * (x + y - apart) >= 2 * num * (x + y)) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+                found[some] |= (near & (guest_part[some][:, None] != host_part[host][None])).any(axis=1)
+    return found
+
+
+_WITHIN = "label bigint, block bigint, node bigint, part bigint, pivot boolean, single boolean, tokens binary"
 
 
 def _within(num: int, den: int):
     """Each block's sets with their component in the block; one set of each is its pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (label, block, blocks), nodes, sets in _blocks(batches, ("label", "block", "blocks")):
+        for (label, block), nodes, sets in _blocks(batches, ("label", "block")):
             part = verify(sets, num, den)[1]
             names, first, held = np.unique(part, return_index=True, return_counts=True)
             at, n = np.searchsorted(names, part), len(nodes)
             pivot = np.zeros(n, dtype=bool)
             pivot[first] = True
-            columns = [pa.array([label] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array([blocks] * n, pa.int32()), pa.array(nodes, pa.int64())]
+            columns = [pa.array([label] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(nodes, pa.int64())]
             columns += [pa.array(np.array(nodes, dtype=np.int64)[first[at]]), pa.array(pivot), pa.array(held[at] == 1), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "block", "blocks", "node", "part", "pivot", "single", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, ["label", "block", "node", "part", "pivot", "single", "tokens"])
+
+    return run
+
+
+_PACK = "label bigint, block bigint, guest boolean, nodes binary, parts binary, sizes binary, bits binary"
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of each block's sets, many in a row: of all as hosts, and of those that visit other blocks as guests."""
+    names = [x.split()[0] for x in _PACK.split(", ")]
+
+    def row(key: tuple[int, int, bool], sets: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        packed = [np.array([x[i] for x in sets], dtype=np.int64).tobytes() for i in range(3)] + [b"".join(x[3] for x in sets)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, *packed), (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names)
+
+    at, open_ = None, {}
+    for batch in batches:
+        for label, block, node, part, visits, tokens in zip(*(batch.column(c).to_pylist() for c in ("label", "block", "node", "part", "visits", "tokens")), strict=True):
+            if (label, block) != at:
+                yield from (row(k, v) for k, (v, _) in open_.items())
+                at, open_ = (label, block), {}
+            bits = bitmap(np.frombuffer(tokens, dtype=np.uint64)).tobytes()
+            for guest in (False, True)[: 1 + visits]:
+                sets, size = open_.pop((label, block, guest), ([], 0))
+                sets.append((node, part, len(tokens) // 8, bits))
+                if size + len(bits) + 24 < PACK_BYTES:
+                    open_[label, block, guest] = sets, size + len(bits) + 24
+                else:
+                    yield row((label, block, guest), sets)
+    yield from (row(k, v) for k, (v, _) in open_.items())
+
+
+def _visits(num: int, den: int):
+    """(label, block, node) of guests that may have a partner in a block; a block's hosts come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hosts, index = None, [], None
+        for batch in batches:
+            for label, block, guest, *packed in zip(*(batch.column(c).to_pylist() for c in ("label", "block", "guest", "nodes", "parts", "sizes", "bits")), strict=True):
+                if (label, block) != key:
+                    key, hosts, index = (label, block), [], None
+                nodes, parts, sizes = (np.frombuffer(x, dtype=np.int64) for x in packed[:3])
+                bits = np.frombuffer(packed[3], dtype=np.uint64)
+                if not guest:
+                    hosts.append((parts, sizes, bits))
+                    continue
+                if not hosts:
+                    continue
+                if index is None:
+                    host_part, *rest = (np.concatenate(x) for x in zip(*hosts, strict=True))
+                    index = _Bitmaps(*rest)
+                nodes = nodes[may_link(index, host_part, _Bitmaps(sizes, bits), parts, num, den)]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(nodes), pa.int64()), pa.array([block] * len(nodes), pa.int64()), pa.array(nodes)], ["label", "block", "node"])
 
     return run
 
 
 def _across(num: int, den: int):
-    """Links between the parts of a block, whose sets come first, and the pivots of other blocks, which are read one by one."""
+    """Links between the parts of a block, whose sets come first, and its guests from other blocks, which are read one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets, parts, index = None, [], [], None
@@ -333,28 +454,39 @@ def _across(num: int, den: int):
     return run
 
 
+def _links_across(sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of sets that visit with sets of other blocks and parts; sets(label, block, node, part, visits, tokens) are
+    runs of equal blocks, blocks(label, there) has the blocks of each label."""
+    packs = sets.mapInArrow(_packs, _PACK)
+    near = F.filter("there", lambda x: (x != F.col("block")) & (F.abs(F.shiftright(x, 32) - F.shiftright("block", 32)) <= 1))
+    guests = packs.where("guest").join(blocks, "label").withColumn("block", F.explode(near)).drop("there")
+    met = packs.where("not guest").unionByName(guests).repartition("label", "block").sortWithinPartitions("label", "block", "guest")
+    visits = checkpoint(met.mapInArrow(_visits(num, den), "label bigint, block bigint, node bigint"))
+    guests = visits.join(sets.select("node", "part", "tokens"), "node").select("label", "block", F.lit(True).alias("guest"), "part", "tokens")
+    hosts = sets.join(visits.select("label", "block").distinct(), ["label", "block"], "left_semi").select("label", "block", F.lit(False).alias("guest"), "part", "tokens")
+    met = hosts.unionByName(guests).repartition("label", "block").sortWithinPartitions("label", "block", "guest")
+    return checkpoint(met.mapInArrow(_across(num, den), "a bigint, b bigint").distinct())
+
+
 def _large_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked in groups of several blocks; sets(label, block, blocks, node, tokens)."""
-    parts = sets.repartition("label", "block").sortWithinPartitions("label", "block", "blocks")
+    """Links (a, b) that connect what is linked in groups of several blocks; sets(label, block, node, tokens), and the high
+    half of block is the step of sizes."""
+    parts = sets.repartition("label", "block").sortWithinPartitions("label", "block")
     parts = checkpoint(parts.mapInArrow(_within(num, den), _WITHIN))
+    blocks = parts.groupBy("label").agg(F.collect_set("block").alias("there"))
     links = parts.where("node <> part").select(F.col("part").alias("a"), F.col("node").alias("b"))
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    guests = parts.where("pivot").select("label", others.alias("block"), F.lit(True).alias("guest"), "part", "tokens")
-    meet = parts.select("label", "block", F.lit(False).alias("guest"), "part", "tokens").unionByName(guests)
-    meet = meet.repartition("label", "block").sortWithinPartitions("label", "block", "guest")
-    across = checkpoint(meet.mapInArrow(_across(num, den), "a bigint, b bigint").distinct())
+    across = _links_across(parts.withColumn("visits", F.col("pivot")), blocks, num, den)
     links = links.unionByName(across)
 
-    # Sets that are alone in their block's component have met all others. Of the rest, pairs in different components haven't.
+    # Pivots have met all others, and so have sets that are alone in their block's component. Of the rest, pairs in different components haven't.
     joined = contract(across, "a", "b").select(F.col("node").alias("part"), "component")
-    rest = parts.where("not single").join(joined, "part", "left").withColumn("component", F.coalesce("component", "part"))
-    open_ = rest.groupBy("label").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("label")
+    rest = parts.where("not pivot").join(joined, "part", "left").withColumn("part", F.coalesce("component", "part"))
+    open_ = rest.groupBy("label").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("label")
     if open_.isEmpty():
         return links
-    pairs = rest.join(open_, "label", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "tokens").where("low < high")
-    pairs = pairs.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
-    return links.unionByName(pairs.mapInArrow(_link_rows(num, den, ("label", "low", "high")), "a bigint, b bigint"))
+    rest = rest.join(open_, "label", "left_semi").select("label", "block", "node", "part", F.lit(True).alias("visits"), "tokens")
+    rest = checkpoint(rest.repartition("label", "block").sortWithinPartitions("label", "block"))
+    return links.unionByName(_links_across(rest, blocks, num, den))
 
 
 def _classes_and_components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -374,27 +506,31 @@ def _classes_and_components(docs: DataFrame, id_col: str, text_col: str, width:
     hot_token, hot_count = (hot[c].to_numpy() for c in ("th", "n"))
     order = np.argsort(hot_token.view(np.uint64))
     hot_token, hot_count = hot_token.view(np.uint64)[order], hot_count[order]
-    buckets = _ceil(entries + 1, BUCKET_SHINGLES * 3 // 8)
+    buckets, name_words = _ceil(entries + 1, BUCKET_SHINGLES * 3 // 8), _name_words(classes)
 
-    dealt = texts.mapInArrow(_prefixes(width, rule, buckets, hot_token), "bucket int, nodes binary, counts binary, tokens binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets, hot_token, hot_count), "node binary, token bigint, df int")
-    per_class = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t")).join(classes, "node")
+    dealt = texts.mapInArrow(_prefixes(width, rule, buckets, hot_token, name_words), "bucket int, nodes binary, counts binary, tokens binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets, hot_token, hot_count, name_words), "node binary, token bigint, df int")
+    per_class = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t")).join(classes.withColumn("node", F.substring("node", 1, 8 * name_words)), "node")
     per_class = per_class.select(F.col("k").alias("node"), "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
     signed = checkpoint(per_class.mapInArrow(_signature_rows(rule), "sig bigint, node bigint"))
     stars = signed.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
     groups = contract(signed.join(stars, "sig").select("node", "centre"), "node", "centre").withColumnRenamed("component", "label")
 
-    wanted = groups.join(classes.select(F.col("k").alias("node"), "rep", "n"), "node")
-    weight = wanted.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    wanted = wanted.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    wanted = checkpoint(wanted.select(F.col("rep.id").alias("wanted_id"), F.col("rep.th").alias("wanted_th"), "node", "label", "blocks", "block"))
-    same = texts["id"].eqNullSafe(F.col("wanted_id")) & (texts["th"] == F.col("wanted_th"))
-    fetch = lambda some: texts.join(some.hint("shuffle_hash"), same).select("text", "node", "label", "blocks", "block").mapInArrow(_tokens(width), "node bigint, label bigint, blocks int, block int, tokens binary")
-    small = fetch(wanted.where("blocks = 1")).repartition("label").sortWithinPartitions("label")
+    wanted = groups.join(classes.select(F.col("k").alias("node"), "rep", "n"), "node").withColumn("step", F.floor(F.log("n") / math.log(rule.size_step())))
+    weight = wanted.groupBy("label", "step").agg(F.sum("n").alias("own")).withColumn("large", F.sum("own").over(Window.partitionBy("label")) > BLOCK_SHINGLES)
+    wanted = wanted.join(weight, ["label", "step"])
+    block = F.shiftleft("step", 32) + F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK_SHINGLES))
+    wanted = checkpoint(wanted.select(F.col("rep.id").alias("wanted_id"), F.col("rep.th").alias("wanted_th"), "node", "label", "large", F.when(F.col("large"), block).otherwise(0).alias("block")))
+    same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("th") == F.col("wanted_th"))
+    asked = _bitmap(wanted.select(F.col("wanted_th").alias("shingle")), wanted.count())
+    sets = texts.mapInArrow(_tokens(width, asked), "id bigint, th bigint, tokens binary").join(wanted.hint("shuffle_hash"), same)
+    sets = sets.select("node", "label", "large", "block", "tokens")
+    if several := not wanted.where("large").isEmpty():
+        sets = checkpoint(sets)
+    small = sets.where("not large").repartition("label").sortWithinPartitions("label")
     links = small.mapInArrow(_link_rows(num, den, ("label",)), "a bigint, b bigint")
-    large = wanted.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_large_groups(fetch(large), num, den))
+    if several:
+        links = links.unionByName(_large_groups(sets.where("large").drop("large"), num, den))
 
     repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     own = rows.where("n > 0").join(repeated, "id", "left_semi").join(classes.select("node", "k"), "node").select("id", "k")

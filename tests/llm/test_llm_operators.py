@@ -131,6 +131,63 @@ def test_signatures_meet_for_every_similar_pair():
             assert len(np.intersect1d(a, b)), (len(x), len(y), common)
 
 
+def chained(n=60):
+    """Texts of 30 words that all lie in one group, as each shares a line with the next, and none of which are near copies;
+    and two that are, one short and one in the size of the others."""
+    r = random.Random(9)
+    line = lambda: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(14)]
+    lines = [line() for _ in range(n + 1)]
+    texts = [" ".join([*lines[k], f"own{k}", f"mine{k}", *lines[k + 1]]) for k in range(n)]
+    texts += [texts[3] + " end", texts[50].replace("own50", "own51")]
+    return [(k, t, "s", 1, 1, "a", "b") for k, t in enumerate(texts)]
+
+
+def test_sets_of_a_large_group_visit_few_blocks(spark, monkeypatch):
+    """Shingles go where a partner may be, and not to every other block, so that they don't grow with the square of a group."""
+
+    def counting(num, den):
+        def run(batches):
+            for batch in batches:
+                some = batch.filter(batch.column("guest"))
+                yield pa.RecordBatch.from_arrays([some.column("part"), some.column("block").cast(pa.int64())], ["a", "b"])
+
+        return run
+
+    kept, checkpoint = [], jaccard.checkpoint
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    rows = chained()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicate_components(frame(spark, rows)).collect())
+    assert got == jaccard_by_force(rows)
+    monkeypatch.setattr(jaccard, "_across", counting)
+    monkeypatch.setattr(jaccard, "checkpoint", lambda x: (kept.append(y) if (y := checkpoint(x)).columns == ["a", "b"] else None, y)[1])
+    jaccard.near_duplicate_components(frame(spark, rows)).collect()
+    assert kept and sum(x.count() for x in kept) <= 8  # 798 where each visits every block
+
+
+def test_bitmaps_bound_similarity():
+    """A set that has a partner at the threshold is never left out, whatever their sizes; most others are."""
+    r = np.random.Generator(np.random.PCG64(4))
+    for n in (1, 5, 31, 33, 64, 65, 200, 700):
+        sets = [np.sort(r.integers(1, 2**63, n, dtype=np.uint64))]
+        for _ in range(40):
+            gone, more = r.integers(0, n // 3 + 1, 2)
+            sets.append(np.unique(np.concatenate((r.permutation(sets[0])[gone:], r.integers(1, 2**63, more, dtype=np.uint64)))))
+        sets += [np.sort(r.integers(1, 2**63, n + n // 4, dtype=np.uint64)) for _ in range(40)]
+        flat = lambda x: jaccard._Bitmaps(np.array([len(s) for s in x]), np.concatenate([jaccard.bitmap(s) for s in x]))
+        found = jaccard.may_link(flat(sets[:1]), np.array([-1]), flat(sets), np.arange(len(sets)), 75, 100)
+        common = np.array([len(np.intersect1d(sets[0], s)) for s in sets])
+        near = 100 * common >= 75 * (np.array([len(s) for s in sets]) + len(sets[0]) - common)
+        assert found[near].all() and near[0] and (n < 31 or not found[41:].any())
+        assert not jaccard.may_link(flat(sets[:1]), np.array([7]), flat(sets), np.full(len(sets), 7), 75, 100).any()
+
+
+def test_classes_that_64_bits_do_not_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_name_words", lambda classes: 2)
+    rows = corpus(1)
+    mark = lambda x: -1 if x is None else x
+    assert sorted((mark(r.doc_id), r.n_shingles, mark(r.component_id)) for r in jaccard.near_duplicate_components(frame(spark, rows)).collect()) == jaccard_by_force(rows)
+
+
 def test_drop_near_duplicates(spark):
     rows = corpus(1)
     kept = jaccard.drop_near_duplicates(frame(spark, rows))
