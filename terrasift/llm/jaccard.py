@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import contract
@@ -48,6 +48,8 @@ EXTENSION = 8
 BUCKET_SHINGLES, BLOCK_SHINGLES = 4_000_000, 100_000
 #: Bytes of bitmaps that make one row, and words of them that are compared at once.
 PACK_BYTES, STEP_WORDS = 16_384, 1_000_000
+#: Bits, 64 in a row that is broadcast, that tell most rows that stay from those that go, which alone are shuffled.
+MARKS = 1 << 24
 #: A shingle is hot with at least one in HOT_SHARE of all prefix entries, and at least HOT_LEAST of them.
 HOT_SHARE, HOT_LEAST = 4096, 1024
 
@@ -556,6 +558,14 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
+def _cell(text_hash: Column) -> Column:
+    return F.shiftright(text_hash.bitwiseAND(F.lit(MARKS - 1)), 6)
+
+
+def _place(text_hash: Column) -> Column:
+    return text_hash.bitwiseAND(F.lit(63)).cast("int")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
     """docs with one document of each component of near copies: that with the smallest id, where a row without an id
     comes first, and of equal ids the text with the smallest hash.
@@ -567,8 +577,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, classes = _classes_and_components(docs, id_col, text_col, rule["width"], rule["num"], rule["den"])
     found = checkpoint(rows.join(classes, "node", "left").select("id", "th", (F.col("n") > 0).alias("has"), "rep"))
     gone = found.where(F.col("has") & ~(F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.th") == F.col("th")))).select("id", "th").distinct()
-    same = docs[id_col].cast("bigint").eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["th"])
-    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    text_hash = F.xxhash64(docs[text_col].cast("string"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _place(F.col("th")))
+    marks = gone.groupBy(_cell(F.col("th")).alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    marked = (_cell(text_hash) == marks["cell"]) & (F.getbit(marks["bits"], _place(text_hash)) == 1)
+    same = docs[id_col].cast("bigint").eqNullSafe(gone["id"]) & (text_hash == gone["th"])
+    kept = docs.join(F.broadcast(marks), marked, "left_semi").join(gone.hint("shuffle_hash"), same, "left_anti")
+    kept = docs.join(F.broadcast(marks), marked, "left_anti").union(kept)
     if found.groupBy("id").count().where("count > 1").isEmpty():
         return kept
     key = spare_name(docs, "key")

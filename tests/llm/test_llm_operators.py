@@ -188,6 +188,13 @@ def test_classes_that_64_bits_do_not_tell_apart(spark, monkeypatch):
     assert sorted((mark(r.doc_id), r.n_shingles, mark(r.component_id)) for r in jaccard.near_duplicate_components(frame(spark, rows)).collect()) == jaccard_by_force(rows)
 
 
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Only rows whose hash is marked meet those that go in a shuffle; marks may be too many, never too few."""
+    kept = jaccard.drop_near_duplicates(frame(spark, corpus(1)))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "LeftSemi" in plan
+
+
 def test_drop_near_duplicates(spark):
     rows = corpus(1)
     kept = jaccard.drop_near_duplicates(frame(spark, rows))
